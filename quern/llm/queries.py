@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.media import media_round_trip
 from quern.llm.packing import best_fit_packing
+from quern.llm.quality import quality_rules, quality_sql
 from quern.llm.sharding import lpt_shards
+from quern.llm.simhash import simhash_components
 from quern.llm.token_counts import token_counts
 from quern.llm.token_store import token_store
 
@@ -29,6 +31,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op8_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +48,16 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_media_columns, op3_token_counts, op8_lpt_sharding, op9_token_store)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_media_columns,
+        op3_token_counts,
+        op4_simhash,
+        op5_quality_rules,
+        op8_lpt_sharding,
+        op9_token_store,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality_sql()}

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.media import media_round_trip
 from quern.llm.packing import best_fit_packing
 from quern.llm.quality import quality_rules, quality_sql
+from quern.llm.repeats import remove_repeats
 from quern.llm.sharding import lpt_shards
 from quern.llm.simhash import simhash_components
 from quern.llm.token_counts import token_counts
 from quern.llm.token_store import token_store
+from quern.llm.warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_table(spark, sf_dir, "documents"))
 
 
+def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -55,8 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_counts,
         op4_simhash,
         op5_quality_rules,
+        op7_warc,
         op8_lpt_sharding,
         op9_token_store,
+        op10_remove_repeats,
     )
 }
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.media import media_round_trip
+from quern.llm.mixing import mix
 from quern.llm.packing import best_fit_packing
 from quern.llm.quality import quality_rules, quality_sql
 from quern.llm.repeats import remove_repeats
@@ -41,6 +42,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mix(docs, docs, _table(spark, sf_dir, "labels")).drop("row_key")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_counts,
         op4_simhash,
         op5_quality_rules,
+        op6_mixing,
         op7_warc,
         op8_lpt_sharding,
         op9_token_store,

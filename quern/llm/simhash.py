@@ -112,3 +112,93 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
     linked = joined.join(named, "component").select("fp", "component_id")
     names = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Similarity mode: a fingerprint of SYMBOLS symbols, cut into SYMBOLS / BAND bands.
+SYMBOLS, BAND = 128, 4
+_MIX = np.random.default_rng(42).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
+
+
+def symbols(hashes: np.ndarray) -> np.ndarray:
+    """SYMBOLS min-wise symbols: the share of equal ones in two texts is their shingles' similarity, in expectation."""
+    out = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        part = hashes[k : k + 4096, None]
+        np.minimum(out, ((part ^ (part >> np.uint64(31))) * _MIX[0] + _MIX[1]).min(axis=0), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def _symbol_rows(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node (a hash of the fingerprint), symbols and the key of each band. Texts of fewer words are their own shingle."""
+    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("symbols", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            nodes, prints, bands = [], [], []
+            for text in texts_of(batch):
+                raw = symbols(shingle_hashes(text, words)).tobytes()
+                nodes.append(xxhash.xxh64_intdigest(raw))
+                prints.append(raw)
+                bands.append([xxhash.xxh64_intdigest(raw[i : i + 4 * BAND], i) for i in range(0, 4 * SYMBOLS, 4 * BAND)])
+            keys = np.array(bands, np.uint64).view(np.int64).tolist()
+            yield batch_of(out, [batch.column("doc_id"), np.array(nodes, np.uint64).view(np.int64), prints, keys])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, symbols binary, bands array<long>")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, differing: int) -> DataFrame:
+    """Pairs a, b of nodes whose fingerprints differ in at most `differing` symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SYMBOLS) for c in ("sa", "sb"))
+            near = np.flatnonzero((left != right).sum(axis=1) <= differing)
+            picked = batch.take(pa.array(near))
+            yield batch_of(out, [picked.column("a"), picked.column("b")])
+
+    a, b = (nodes.select(F.col("node").alias(n), F.col("symbols").alias(f"s{n}")) for n in "ab")
+    return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of each row: rows whose shingles of `words` words are similar by `similarity` or more.
+
+    At similarity 0.8 two 64-bit SimHashes differ in about 10 bits, which no pigeonhole of few blocks finds. So the
+    fingerprint here has SYMBOLS min-wise symbols, and the same steps follow: it is cut into bands, close pairs agree on
+    one, bands are joined, and the number of differing symbols is verified. Pairs that differ in fewer symbols than
+    there are bands must agree on one, so none of them is missed; the limit is the number for `similarity`, widened by
+    1.5 standard errors, or one less than the bands. In a band of over BLOCK_PAIRS fingerprints each is compared with the
+    least of them, and those that aren't near it among each other in further rounds: rows in proportion to its size.
+
+    Null and wordless texts are equal to each other. Rows with a null doc_id take part and stay null. Repeated rows keep
+    their number; an empty table gives no rows; other columns are not read.
+    """
+    spread = 1.5 * (SYMBOLS * similarity * (1 - similarity)) ** 0.5
+    differing = min(SYMBOLS // BAND - 1, int(SYMBOLS * (1 - similarity) + spread))
+    rows = materialize(_symbol_rows(docs, words), "symbols")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("symbols").alias("symbols"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes, "nodes")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
+    met = materialize(banded.join(sizes, ["band", "key"]), "bands")
+    few = met.filter(F.col("n") <= BLOCK_PAIRS).select("band", "key", "node")
+    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["band", "key"])
+    links = materialize(_verified(pairs.filter("a < b").select("a", "b").distinct(), nodes, differing), "links")
+    many = met.filter(F.col("n") > BLOCK_PAIRS).select("band", "key", "node", "head")
+    while not many.isEmpty():
+        stars = many.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        found = materialize(_verified(stars, nodes, differing), "links")
+        links = links.union(found)
+        linked = found.select(F.col("a").alias("head"), F.col("b").alias("node"))
+        left = many.filter("node <> head").join(linked, ["head", "node"], "left_anti").select("band", "key", "node")
+        heads = left.groupBy("band", "key").agg(F.min("node").alias("head"))
+        many = materialize(left.join(heads, ["band", "key"]), "bands")
+    joined = connected_components(links)
+    named = joined.withColumnRenamed("node", "n").join(nodes.select(F.col("node").alias("n"), "least"), "n")
+    named = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = joined.join(named, "component").select("node", "component_id")
+    names = nodes.select("node", "least").join(known, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.select("doc_id", "node").join(names, "node").select("doc_id", "component_id")

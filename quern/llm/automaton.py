@@ -26,8 +26,8 @@ CHUNK, SETTLE = 256, 24
 #: Code points taken in one run; a longer text is cut at a space between two characters other than white space.
 PIECE = 1 << 21
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
-#: States kept before the table starts again.
-MAX_STATES = 1 << 18
+#: States kept before the table starts again, and columns of the table, which distinct bytes take as they are met.
+MAX_STATES, COLUMNS = 160_000, 128
 #: The white space of Unicode.
 WHITE_SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: What may follow an apostrophe in a contraction of its own.
@@ -131,13 +131,14 @@ class Merger:
         self.spines: tuple[dict, dict] = {}, {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.sound: dict[int, bool] = {}
+        self.width, self.bytes, self.column = COLUMNS, [], np.full(256, -1, np.int16)
         self.reset()
 
     def reset(self) -> None:
         """Forget all states but the first."""
         # For each state and byte: the next state, or 1 + a word's last token, above 6 bits of 32 + change; 0: not made.
-        self.next = np.zeros((MAX_STATES, 256), np.int32)
-        self.final = np.zeros((MAX_STATES, 256), np.int32) if self.marks_end else None
+        self.next = np.zeros((MAX_STATES, self.width), np.int32)
+        self.final = np.zeros((MAX_STATES, self.width), np.int32) if self.marks_end else None
         self.last = np.zeros(MAX_STATES, np.int32)
         start = ("", ((0, -1, 0),))
         self.states, self.numbers = [None, start], {start: 1}
@@ -231,7 +232,7 @@ class Merger:
         """Make the transitions of these pairs."""
         for pair in np.unique(states.astype(np.int64) * 256 + symbols).tolist():
             state, byte = divmod(pair, 256)
-            content, token, change = self._step(state, byte + 256 * final)
+            content, token, change = self._step(state, self.bytes[byte] + 256 * final)
             if final:
                 self.final[state, byte] = (token + 1) << 6 | change + 32
                 continue
@@ -245,9 +246,22 @@ class Merger:
                 self.last[number] = token
             self.next[state, byte] = number << 6 | change + 32
 
+    def _columns(self, data: np.ndarray) -> np.ndarray:
+        """The table column of each byte. A byte met first takes the next one; a full table gets one for every byte."""
+        columns = self.column[data]
+        if len(data) and columns.min() < 0:
+            for byte in np.flatnonzero(np.bincount(data[columns < 0], minlength=256)).tolist():
+                self.column[byte] = len(self.bytes)
+                self.bytes.append(byte)
+            if len(self.bytes) > self.width:
+                self.width = 256
+                self.reset()
+            columns = self.column[data]
+        return columns
+
     def run(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, want_last: bool):
         """Tokens of each span of data; with want_last, also the last token after each byte."""
-        lengths = end - begin
+        data, lengths = self._columns(data), end - begin
         order = np.argsort(-lengths, kind="stable")
         at, size = begin[order], lengths[order]
         state, count = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
@@ -263,7 +277,7 @@ class Merger:
                 if not n:
                     break
             where = at[:n] + k
-            index = state[:n] * 256 + data[where]
+            index = state[:n] * self.width + data[where]
             found = self.next.take(index)
             if not found.all():
                 missing = np.flatnonzero(found == 0)
@@ -280,7 +294,7 @@ class Merger:
 
     def _finish(self, data, at, state, count, last, low, high, k) -> None:
         where = at[low:high] + k
-        index = state[low:high] * 256 + data[where]
+        index = state[low:high] * self.width + data[where]
         found = self.final.take(index)
         if not found.all():
             missing = np.flatnonzero(found == 0)

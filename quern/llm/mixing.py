@@ -16,10 +16,12 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 #: Labelled rows that the classifier is fitted on (those with the least hashes of doc_id), hashed words, and words kept.
 TRAIN_ROWS, BUCKETS, FEATURES = 20_000, 1 << 15, 2048
+#: The chi-square of a word kept: chance gives it to about one word in a million.
+MIN_GAIN = 25.0
 #: Steps of the rate fit, and the error in token shares that ends it.
-STEPS, TOLERANCE = 30, 1e-6
-#: Characters that separate words for the classifier besides white space.
-EDGES = ".,;:!?\"'()[]"
+STEPS, TOLERANCE = 30, 1e-3
+#: What separates words for the classifier.
+EDGES = "[ \\t\\n\\x0b\\f\\r.,;:!?\"'()\\[\\]]+"
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -29,9 +31,9 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def _buckets(text: Column) -> Column:
-    """Distinct hashed words of a text."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), EDGES, " " * len(EDGES))
-    return F.array_distinct(F.transform(split_words(plain), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    """The hashed words of a text. A text that begins or ends with a separator has the empty word too."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), EDGES)
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
 def _constant(values: np.ndarray, kind: str) -> Column:
@@ -51,7 +53,7 @@ class Classifier:
 
         def chances(found: Column) -> Column:
             def score(k: int) -> Column:
-                column = F.get(weights, F.lit(k))
+                column = _constant(self.weights[:, k], "double")
                 return F.aggregate(found, F.lit(float(self.priors[k])), lambda a, r: a + F.get(column, r - 1))
 
             def softmax(scores: Column) -> Column:
@@ -61,7 +63,7 @@ class Classifier:
             return let(F.array(*(score(k) for k in range(len(self.priors)))), softmax)
 
         found = F.filter(F.transform(_buckets(text), lambda b: F.get(rows, b)), lambda r: r > 0)
-        return let(found, chances)
+        return let(F.array_distinct(found), chances)
 
 
 def _scaled(values: Column) -> Column:
@@ -78,7 +80,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     labelled = labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
     labelled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(train_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
-    counted = texts.select("domain", F.explode(F.concat(F.array(F.lit(-1)), _buckets(F.col("text")))).alias("bucket"))
+    counted = texts.select("domain", F.explode(F.concat(F.array(F.lit(-1)), F.array_distinct(_buckets(F.col("text"))))).alias("bucket"))
     table = np.zeros((BUCKETS + 1, n))
     for row in counted.groupBy("bucket", "domain").count().collect():
         table[row["bucket"], row["domain"]] = row["count"]
@@ -89,7 +91,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     expected = share[:, None] * sizes[None, :]
     gain = ((table - expected) ** 2 / np.maximum(expected, 0.5)).sum(axis=1)
     picked = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    picked = picked[gain[picked] > 10.83]  # the chance of a word without bearing is 1 in 1000
+    picked = picked[gain[picked] > MIN_GAIN]
     weights = np.log((table[picked] + 0.5) / (sizes + 1)) - np.log(share[picked])[:, None]
     weights[:, sizes == 0] = 0
     rows = np.zeros(BUCKETS, np.int64)
@@ -105,13 +107,14 @@ def _rate(steps: list[list[float]]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(1.0), lambda r, step: F.greatest(F.lit(0.0), r - dot(step)))
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], anchor: str | None = None) -> Column:
+def fit_rates(scored: DataFrame, targets: dict[str, float], kept: tuple[str, ...] = ()) -> Column:
     """The rate column for scored (posterior, n_tokens): nonnegative rates whose expected domain tokens meet the targets.
 
     Least squares over token shares by projected gradient from rate 1. All documents move along their posterior, so a
     step is one vector of as many numbers as domains, and a rate is a fold over the steps: nothing but those vectors is
     kept, and each step is one aggregate over all documents. Steps are scaled by the documents still above 0, and halved
-    where they do not lessen the error. The budget is all tokens, or with an anchor as many as keep that domain's.
+    where they do not lessen the error. The budget is all tokens. With `kept`, those domains are to keep the tokens that
+    they have, and the others' targets are in proportion to them.
     """
     n = len(DOMAINS)
 
@@ -125,12 +128,14 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], anchor: str | None =
         return np.array(row[:n]), np.array(row[n:]).reshape(n, n)
 
     have, gram = totals([])
-    share = np.array([targets[d] for d in DOMAINS])
-    share = share / share.sum()
-    budget = have.sum() if anchor is None else have[DOMAINS.index(anchor)] / share[DOMAINS.index(anchor)]
-    if not budget:
+    share, stays = np.array([targets[d] for d in DOMAINS]), np.array([d in kept for d in DOMAINS])
+    budget = have.sum()
+    if not budget or (stays.any() and not have[stays].sum()):
         return F.lit(1.0)
-    goal, steps, scale = share * budget, [], 1.0
+    goal = share / share.sum() * budget
+    if stays.any():
+        goal = np.where(stays, have, share / share[stays].sum() * have[stays].sum())
+    steps, scale = [], 1.0
     error = float((((have - goal) / budget) ** 2).sum())
     for _ in range(STEPS):
         if error < TOLERANCE**2 or scale < 1e-3:
@@ -152,7 +157,7 @@ def mix(
     labelled_docs: DataFrame,
     labels: DataFrame,
     targets: dict[str, float] = TARGETS,
-    anchor: str | None = None,
+    kept: tuple[str, ...] = (),
     nearest: bool = False,
 ) -> DataFrame:
     """doc_id, n_tokens (words), p_clean, p_low, p_toxic, domain (the likeliest), rate and copies of each row.
@@ -162,19 +167,44 @@ def mix(
     empty table gives no rows; other columns are not read. No Python runs on the executors, and the scored rows, numbers
     alone, are written to shared storage.
     """
-    classifier = fit_classifier(labelled_docs, labels)
-    words = F.size(split_words(F.coalesce(F.col("text"), F.lit("")))).cast("long")
-    scored = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), words.alias("n_tokens"), classifier.posterior(F.col("text")).alias("posterior"))
-    scored = materialize(scored, "scored")
-    rated = scored.withColumn("rate", fit_rates(scored, targets, anchor))
-    draw = F.lit(0.5) if nearest else (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) * F.lit(2.0**-53))
+    _, scored, rate = fit_mix(docs, labelled_docs, labels, targets, kept)
+    rated = scored.withColumn("rate", rate)
     top = F.array_position("posterior", F.array_max("posterior")).cast("int")
     return rated.select(
         "doc_id",
-        "row_key",
         "n_tokens",
         *(F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)),
         F.element_at(F.array(*map(F.lit, DOMAINS)), top).alias("domain"),
         "rate",
-        F.floor(F.col("rate") + draw).cast("int").alias("copies"),
+        _copies(nearest).alias("copies"),
     )
+
+
+def _copies(nearest: bool) -> Column:
+    draw = F.lit(0.5) if nearest else (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) * F.lit(2.0**-53))
+    return F.floor(F.col("rate") + draw).cast("int")
+
+
+def fit_mix(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, targets: dict[str, float], kept: tuple[str, ...]):
+    """The classifier, the scored rows (doc_id, n_tokens, posterior; in shared storage) and the rate as a column of them."""
+    classifier = fit_classifier(labelled_docs, labels)
+    words = F.size(split_words(F.coalesce(F.col("text"), F.lit("")))).cast("long")
+    scored = docs.select("doc_id", words.alias("n_tokens"), classifier.posterior(F.col("text")).alias("posterior"))
+    scored = materialize(scored, "scored")
+    return classifier, scored, fit_rates(scored, targets, kept)
+
+
+def apply_mix(
+    docs: DataFrame,
+    labelled_docs: DataFrame,
+    labels: DataFrame,
+    targets: dict[str, float],
+    kept: tuple[str, ...] = (),
+    nearest: bool = True,
+) -> DataFrame:
+    """docs with all their columns, each row as many times as its copies say. Texts are scored again, not shuffled."""
+    classifier, _, rate = fit_mix(docs, labelled_docs, labels, targets, kept)
+    scored = docs.select(F.struct("*").alias("_row"), "doc_id", classifier.posterior(F.col("text")).alias("posterior"))
+    counted = scored.withColumn("rate", rate).withColumn("_n", _copies(nearest)).filter("_n > 0")
+    copied = counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    return copied.select("_row.*")

@@ -112,23 +112,32 @@ def quality_columns(text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), measured)
 
 
-def quality_rules(docs: DataFrame, with_columns: bool = False) -> DataFrame:
+def _verdict() -> tuple[Column, Column]:
+    failed = (F.col("_q.n_words") < 50) | (100 * F.col("_q.n_repeat_words") > 50 * F.col("_q.n_words"))
+    return failed, ~failed & (100 * F.col("_q.chars_left") >= MIN_LEFT * F.col("_q.word_chars"))
+
+
+def cleaned_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns, and their texts without failing lines."""
+    judged = docs.select(F.struct("*").alias("_row"), quality_columns(docs["text"]).alias("_q")).filter(_verdict()[1])
+    columns = (clean_text(F.col("_row.text")).alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns)
+    return judged.select(*columns)
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and chars_left.
 
     A document fails at the base with under 50 words or with over half of its words in repeated windows. Otherwise its
     lines are judged one by one, failing lines are removed, and it is kept if the rest holds at least MIN_LEFT percent
     of its word characters. Null and empty texts fail at the base. Repeated rows and null doc_ids give rows of their own;
-    an empty table gives none. with_columns adds the measures to all columns of docs, under the name `quality_rules`,
-    which must be free. No shuffle, no Python: one pass over the text.
+    an empty table gives none; other columns are not read. No shuffle, no Python: one pass over the text.
     """
-    failed = (F.col("q.n_words") < 50) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
-    kept = ~failed & (100 * F.col("q.chars_left") >= MIN_LEFT * F.col("q.word_chars"))
-    if with_columns:
-        q = docs.withColumn("q", quality_columns(docs["text"]))
-        return q.withColumn("quality_rules", F.struct("q.*", failed.alias("base_failed"), kept.alias("kept"))).drop("q")
-    q = docs.select("doc_id", quality_columns(docs["text"]).alias("q"))
+    failed, kept = _verdict()
+    judged = docs.select("doc_id", quality_columns(docs["text"]).alias("_q"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return q.select("doc_id", *(F.col(f"q.{c}") for c in base), failed.alias("base_failed"), kept.alias("kept"), "q.chars_left")
+    return judged.select(
+        "doc_id", *(F.col(f"_q.{c}") for c in base), failed.alias("base_failed"), kept.alias("kept"), "_q.chars_left"
+    )
 
 
 def _quoted(text: str) -> str:

@@ -44,7 +44,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return mix(docs, docs, _table(spark, sf_dir, "labels")).drop("row_key")
+    return mix(docs, docs, _table(spark, sf_dir, "labels"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

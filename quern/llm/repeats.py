@@ -290,13 +290,33 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int, in
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with mark and spans (null where nothing repeats)."""
+    """docs (doc_id as long, text and others) with mark and spans, null where nothing repeats."""
     marked = docs.withColumn("mark", F.hash("text"))
-    slim = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "mark", "text")
-    spans = repeated_spans(slim).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    spans = repeated_spans(marked.select("doc_id", "mark", "text"))
+    spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     return _same_doc(marked, spans, "left")
 
 
+def _whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What is left of raw when only characters that lie wholly in a removed run go."""
+    kept, done, runs = [], 0, []
+    for at, n in sorted(spans):
+        if runs and at <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], at + n - 1 + LENGTH)
+        else:
+            runs.append([at, at + n - 1 + LENGTH])
+    for low, high in runs:
+        kept.append(raw[done:low])
+        while low < high and raw[low] & 0xC0 == 0x80:
+            kept.append(raw[low : low + 1])
+            low += 1
+        while low < high < len(raw) and raw[high] & 0xC0 == 0x80:
+            high -= 1
+        done = high
+    kept.append(raw[done:])
+    return b"".join(kept)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row, after removing each byte covered by a string of
     LENGTH bytes that starts anywhere else in the corpus too.
@@ -318,5 +338,33 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     column.append(value)
             yield batch_of(out, rows)
 
-    joined = _with_spans(docs.select("doc_id", "text"))
-    return arrow_map(joined.select(F.col("doc_id").cast("long"), "text", "spans"), run, ddl)
+    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return arrow_map(joined.select("doc_id", "text", "spans"), run, ddl)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with all their columns, their texts without repeated strings; rows with nothing but white space left go.
+
+    Bytes at a removed run's edge that are part of a character stay. Texts without repeats stay as they are, null too.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*others).alias("others"))
+    joined = _with_spans(slim).select("text", "spans", "others")
+    kinds = dict(docs.dtypes)
+    ddl = f"text string, others struct<{', '.join(f'`{c}`: {kinds[c]}' for c in others)}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = [], []
+            for row, (text, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "spans")), strict=True)):
+                if spans:
+                    text = _whole_characters(text.encode(), [(s["at"], s["n"]) for s in spans]).decode()
+                    if not text.strip():
+                        continue
+                texts.append(text)
+                keep.append(row)
+            rest = batch.column("others").take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), rest], ["text", "others"])
+
+    cleaned = arrow_map(joined, run, ddl)
+    return cleaned.select(*(F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns))

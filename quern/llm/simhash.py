@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, batch_of, materialize, texts_of
@@ -115,7 +115,7 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
 
 
 #: Similarity mode: a fingerprint of SYMBOLS symbols, cut into SYMBOLS / BAND bands.
-SYMBOLS, BAND = 128, 4
+SYMBOLS, BAND = 126, 3
 _MIX = np.random.default_rng(42).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -170,13 +170,13 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     fingerprint here has SYMBOLS min-wise symbols, and the same steps follow: it is cut into bands, close pairs agree on
     one, bands are joined, and the number of differing symbols is verified. Pairs that differ in fewer symbols than
     there are bands must agree on one, so none of them is missed; the limit is the number for `similarity`, widened by
-    1.5 standard errors, or one less than the bands. In a band of over BLOCK_PAIRS fingerprints each is compared with the
+    2 standard errors, or one less than the bands. In a band of over BLOCK_PAIRS fingerprints each is compared with the
     least of them, and those that aren't near it among each other in further rounds: rows in proportion to its size.
 
     Null and wordless texts are equal to each other. Rows with a null doc_id take part and stay null. Repeated rows keep
     their number; an empty table gives no rows; other columns are not read.
     """
-    spread = 1.5 * (SYMBOLS * similarity * (1 - similarity)) ** 0.5
+    spread = 2 * (SYMBOLS * similarity * (1 - similarity)) ** 0.5
     differing = min(SYMBOLS // BAND - 1, int(SYMBOLS * (1 - similarity) + spread))
     rows = materialize(_symbol_rows(docs, words), "symbols")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("symbols").alias("symbols"), F.first("bands").alias("bands"))
@@ -202,3 +202,18 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     known = joined.join(named, "component").select("node", "component_id")
     names = nodes.select("node", "least").join(known, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     return rows.select("doc_id", "node").join(names, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, but of each component of similar rows only the least doc_id's.
+
+    Of repeated rows with that doc_id one stays. Components whose doc_ids are all null keep a row for each text.
+    """
+    kept = similar_components(docs, words, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    text = F.xxhash64("text")
+    group = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
+    turn = F.row_number().over(group)
+    packed = found.select(F.struct("*").alias("_row"), turn.alias("_turn"))
+    return packed.filter("_turn = 1").select("_row.*")

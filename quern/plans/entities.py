@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.session import configure, ship
+
 
 class Tables:
     """Loads and derives tables of one folder. Nothing is read before an action; unused columns are pruned."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship(configure(spark))
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -166,4 +168,7 @@ def with_tables(sql: str) -> str:
         return sql
     head = ", ".join(f"{n} AS ({CTES[n]})" for n in needed)
     body = sql.lstrip()
-    return f"WITH {head}, {body.removeprefix('WITH ')}" if body.startswith("WITH ") else f"WITH {head} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{head}, {body.removeprefix(start)}"
+    return f"WITH {head} {body}"

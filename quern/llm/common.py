@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import atexit
 import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.session import ship
+
 #: Rows and bytes of one Arrow batch handed to Python. Texts are whole documents, so few rows fill a batch.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
-_shipped: set[str] = set()
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -56,16 +55,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, as they may not have it on their path."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="quern-package-")
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
-        _shipped.add(context.applicationId)
-
-
 def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -244,6 +244,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     """Blocks of every file (id, name, content), with id. Files of unknown suffix or broken content give one row with an
     error and no block."""
 
+    names = [c.split()[0] for c in BLOCK_DDL.split(", ")]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows: list[dict] = []
@@ -254,8 +256,9 @@ def parse_files(files: DataFrame) -> DataFrame:
                         raise ValueError("UNSUPPORTED")
                     rows += [{"id": id_, "error": None, **b} for b in parser(content or "")]
                 except (ValueError, KeyError, TypeError, AttributeError) as error:
-                    rows.append({"id": id_, "error": "UNSUPPORTED" if parser is None else f"BROKEN: {type(error).__name__}"})
-            yield pd.DataFrame(rows, columns=["id", "error", *(c.split()[0] for c in BLOCK_DDL.split(", "))])
+                    known = "UNSUPPORTED" if parser is None else f"BROKEN: {type(error).__name__}"
+                    rows.append({"id": id_, "error": known, **dict.fromkeys(names)})
+            yield pd.DataFrame(rows, columns=["id", "error", *names], dtype=object)
 
     kind = dict(files.dtypes)["id"]
     return files.select("id", "name", "content").mapInPandas(run, f"id {kind}, error string, {BLOCK_DDL}")

@@ -64,14 +64,21 @@ def split_text(text: str, policy: ChunkPolicy, count: Counter) -> list[tuple[str
             continue
         spans = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
         packed: list[str] = []
+        bound = 0  # at least the last part's tokens: joined texts never have more tokens than their parts
         for span in spans:
-            joined = packed[-1] + span if packed else span
-            n = count(joined)
-            fits = n <= policy.target_tokens or (packed and count(packed[-1]) < policy.min_tokens and n <= policy.max_tokens)
-            if packed and fits:
-                packed[-1] = joined
+            more = bound + count(span)
+            if packed and more > policy.target_tokens:
+                joined = count(packed[-1] + span)
+                fits = joined <= policy.target_tokens or (joined <= policy.max_tokens and count(packed[-1]) < policy.min_tokens)
+                more = joined
+            else:
+                fits = bool(packed)
+            if fits:
+                packed[-1] += span
+                bound = more
             else:
                 packed.append(span)
+                bound = count(span)
         if len(packed) > 1:
             return [(deeper or level, part) for p in packed for deeper, part in split_text(p, policy, count)]
     out = []

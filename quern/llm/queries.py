@@ -15,7 +15,7 @@ from quern.llm.sharding import lpt_shards
 from quern.llm.simhash import simhash_components
 from quern.llm.token_counts import token_counts
 from quern.llm.token_store import token_store
-from quern.llm.warc import warc_round_trip
+from quern.llm.warc import warc_round_trip, warc_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality_sql(), "op7_warc": warc_sql()}

@@ -158,3 +158,15 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     """
     index = write_archives(pages, scratch(pages.sparkSession, "warc"))
     return read_records(index).drop("url")
+
+
+def warc_sql() -> str:
+    """The same rows in DuckDB SQL. Five hexadecimal digits of a SHA-1 are four base32 digits."""
+    return """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+    h AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first, count(*) OVER (PARTITION BY t) AS n FROM p)
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+           CASE WHEN n > 1 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM h
+    """

@@ -18,6 +18,8 @@ TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 TRAIN_ROWS, BUCKETS, FEATURES = 20_000, 1 << 15, 2048
 #: The chi-square of a word kept: chance gives it to one word in a thousand.
 MIN_GAIN = 10.83
+#: The log prior of a domain without labelled rows.
+NEVER = -1e6
 #: Steps of the rate fit, and the error in token shares that ends it.
 STEPS, TOLERANCE = 30, 1e-3
 #: What separates words for the classifier.
@@ -42,28 +44,33 @@ def _constant(values: np.ndarray, kind: str) -> Column:
 
 
 class Classifier:
-    """Naive Bayes over hashed words, at most FEATURES of them. Sizes are parameters, so weights are constants of a plan."""
+    """Naive Bayes over the distinct hashed words of a text, at most FEATURES of them. A word's chance is its share of all
+    words of a domain, so a text's length says nothing. Sizes are parameters, so weights are constants of a plan."""
 
-    def __init__(self, priors: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+    def __init__(self, priors: np.ndarray, rows: np.ndarray, weights: np.ndarray, others: np.ndarray):
         self.priors, self.rows, self.weights = priors, rows, weights  # rows: by bucket, 1 + the weight row or 0
+        self.others = others  # what each distinct word that is not kept says for a domain
 
     def posterior(self, text: Column) -> Column:
         """The domains' probabilities as an array."""
         rows = _constant(self.rows, "int")
 
-        def chances(found: Column) -> Column:
-            def score(k: int) -> Column:
+        def chances(buckets: Column) -> Column:
+            def score(k: int, found: Column) -> Column:
                 column = _constant(self.weights[:, k], "double")
-                return F.aggregate(found, F.lit(float(self.priors[k])), lambda a, r: a + F.get(column, r - 1))
+                start = F.lit(float(self.priors[k])) + (F.size(buckets) - F.size(found)) * F.lit(float(self.others[k]))
+                return F.aggregate(found, start, lambda a, r: a + F.get(column, r - 1))
 
-            def softmax(scores: Column) -> Column:
-                top = F.array_max(scores)
-                return let(F.transform(scores, lambda s: F.exp(s - top)), lambda e: _scaled(e))
+            def scores(found: Column) -> Column:
+                return F.array(*(score(k, found) for k in range(len(self.priors))))
 
-            return let(F.array(*(score(k) for k in range(len(self.priors)))), softmax)
+            def softmax(values: Column) -> Column:
+                top = F.array_max(values)
+                return let(F.transform(values, lambda s: F.exp(s - top)), lambda e: _scaled(e))
 
-        found = F.filter(F.transform(_buckets(text), lambda b: F.get(rows, b)), lambda r: r > 0)
-        return let(F.array_distinct(found), chances)
+            return let(let(F.filter(F.transform(buckets, lambda b: F.get(rows, b)), lambda r: r > 0), scores), softmax)
+
+        return let(F.array_distinct(_buckets(text)), chances)
 
 
 def _scaled(values: Column) -> Column:
@@ -74,7 +81,7 @@ def _scaled(values: Column) -> Column:
 def fit_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
     """Fits on at most train_rows labelled rows. Words are counted in Spark; BUCKETS x domains counts come to the driver.
 
-    Without labelled rows every domain is as likely as any other.
+    A domain without labelled rows has probability 0; with none at all every domain is as likely as any other.
     """
     n = len(DOMAINS)
     labelled = labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
@@ -85,18 +92,22 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     for row in counted.groupBy("bucket", "domain").count().collect():
         table[row["bucket"], row["domain"]] = row["count"]
     sizes, table = table[-1], table[:-1]
-    total, share = sizes.sum(), (table.sum(axis=1) + 0.5) / (sizes.sum() + 1)
-    if not total:
-        return Classifier(np.full(n, -math.log(n)), np.zeros(BUCKETS, np.int64), np.zeros((1, n)))
-    expected = share[:, None] * sizes[None, :]
+    total, mass = sizes.sum(), table.sum(axis=0)
+    if not total or not mass.sum():
+        return Classifier(np.full(n, -math.log(n)), np.zeros(BUCKETS, np.int64), np.zeros((1, n)), np.zeros(n))
+    share = (table.sum(axis=1) + 0.5) / (mass.sum() + 0.5 * BUCKETS)
+    expected = share[:, None] * mass[None, :]
     gain = ((table - expected) ** 2 / np.maximum(expected, 0.5)).sum(axis=1)
     picked = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
     picked = picked[gain[picked] > MIN_GAIN]
-    weights = np.log((table[picked] + 0.5) / (sizes + 1)) - np.log(share[picked])[:, None]
-    weights[:, sizes == 0] = 0
+    chance = (table[picked] + 0.5) / (mass + 0.5 * BUCKETS)
+    weights = np.log(chance) - np.log(share[picked])[:, None]
+    others = np.log1p(-chance.sum(axis=0)) - np.log1p(-share[picked].sum())
+    weights[:, sizes == 0] = others[sizes == 0] = 0
     rows = np.zeros(BUCKETS, np.int64)
     rows[picked] = np.arange(1, len(picked) + 1)
-    return Classifier(np.log((sizes + 0.5) / (total + 0.5 * n)), rows, weights if len(picked) else np.zeros((1, n)))
+    priors = np.where(sizes > 0, np.log((sizes + 0.5) / (total + 0.5 * n)), NEVER)
+    return Classifier(priors, rows, weights if len(picked) else np.zeros((1, n)), others)
 
 
 def _rate(steps: list[list[float]]) -> Column:

@@ -101,8 +101,8 @@ def test_rates_meet_targets_and_match_a_dense_fit(spark, monkeypatch):
 
 def test_mix(labelled, empty):
     docs, labels = labelled
-    targets = {"clean": 0.75, "low": 0.13, "toxic": 0.12}  # words that are absent say nothing: every row may be toxic by the prior
-    rows = mix(docs, docs, labels, targets).collect()
+    targets = mixing.TARGETS
+    rows = mix(docs, docs, labels).collect()
     assert len(rows) == docs.count()
     total = sum(r.n_tokens for r in rows)
     shares = [sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) / total for d in DOMAINS]
@@ -121,6 +121,12 @@ def test_applied_mix_keeps_clean_rows(labelled):
     assert len(clean - set(ids)) <= 4 and sum(i % 10 == 0 for i in ids) <= 6 and len(ids) == len(set(ids))
 
 
+def test_a_domain_without_labels_takes_no_rows(labelled):
+    docs, labels = labelled
+    rows = mix(docs, docs, labels.filter("quality = 1")).collect()
+    assert all(r.p_low == 0 and abs(r.p_clean + r.p_toxic - 1) < 1e-9 for r in rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

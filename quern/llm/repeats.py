@@ -29,7 +29,7 @@ from quern.llm.common import arrow_map, batch_of, materialize, texts_of
 #: Bytes of a repeated string, and of a trigger.
 LENGTH, ANCHOR = 200, 64
 #: Bytes of text hashed at once; bytes of phrases in one suffix array; phrases of a trigger that are gathered.
-HASH_BYTES, ARRAY_BYTES, GATHERED = 2 << 20, 4 << 20, 4096
+HASH_BYTES, ARRAY_BYTES, GATHERED = 512 << 10, 2 << 20, 4096
 _U = np.uint64
 
 
@@ -56,16 +56,44 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return word
 
 
-def hashes_at(data: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ANCHOR and of the LENGTH bytes from each place on. Those that pass the end are of no use."""
-    h8 = _stir(words_at(data) ^ _U(seed))
-    h, width = h8, 8
-    while width < ANCHOR:
-        h = _join(h, _ahead(h, width), width + seed)
-        width *= 2
-    anchor = h
-    long = _join(anchor, _ahead(anchor, 64), 64 + seed)
-    return anchor, _join(_join(long, _ahead(anchor, 128), 128 + seed), _ahead(h8, 192), 192 + seed)
+class RollingHash:
+    """Karp-Rabin hashes modulo 2^64 of any substrings, from prefix sums.
+
+    The sum of value[byte] * base^place up to each place gives a substring's hash by one difference, brought to place 0
+    by a power of the base's inverse. Values are random odd numbers, so equal hashes of unequal texts are left to chance.
+    """
+
+    def __init__(self, seed: int):
+        draw = np.random.default_rng(seed)
+        self.values = draw.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+        self.base = int(draw.integers(1 << 40, 1 << 62)) * 8 + 5
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            for name, base in (("powers", self.base), ("inverses", pow(self.base, -1, 1 << 64))):
+                steps = np.full(n, base % (1 << 64), np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def prefixes(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums, one more than there are bytes."""
+        self._reach(len(data) + 1)
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=out[1:])
+        return out
+
+    def of(self, prefixes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hashes of data[low:high]."""
+        return _stir((prefixes[high] - prefixes[low]) * self.inverses[low])
+
+    def windows(self, prefixes: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of all substrings of a width."""
+        n = len(prefixes) - width
+        return _stir((prefixes[width:] - prefixes[:n]) * self.inverses[:n])
+
+
+_ROLLING = RollingHash(11), RollingHash(23)
 
 
 def least_in_window(x: np.ndarray, width: int) -> np.ndarray:
@@ -86,9 +114,12 @@ def parse(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     if len(data) < LENGTH:
         return empty
-    anchor, long = hashes_at(data)
-    packed = anchor & _U(0xFFFFFFFF00000000) | np.arange(len(data), dtype=np.uint64)
-    owner = (least_in_window(packed[: len(data) - ANCHOR + 1], LENGTH - ANCHOR + 1) & _U(0xFFFFFFFF)).astype(np.int64)
+    first_hash, second_hash = _ROLLING
+    prefixes = first_hash.prefixes(data)
+    anchor = first_hash.windows(prefixes, ANCHOR)
+    packed = anchor & _U(0xFFFFFFFF00000000)
+    packed |= np.arange(len(anchor), dtype=np.uint64)
+    owner = (least_in_window(packed, LENGTH - ANCHOR + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     text = np.repeat(np.arange(len(sizes)), np.maximum(sizes - LENGTH + 1, 0))
     if not len(text):
         return empty
@@ -100,7 +131,9 @@ def parse(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     n = np.diff(np.append(first, len(text)))
     low, high = at[first], at[first] + n - 1
     shape = (n.astype(np.uint64) << _U(32)) | (own[first] - low).astype(np.uint64)
-    return text[first], anchor[own[first]], _join(_join(long[low], long[high], 7), shape, 9), place[first], n
+    other = second_hash.of(second_hash.prefixes(data), low, high + LENGTH)
+    ctx = _join(_join(first_hash.of(prefixes, low, high + LENGTH), other, 7), shape, 9)
+    return text[first], anchor[own[first]], ctx, place[first], n
 
 
 def repeated_starts(data: np.ndarray, valid: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -165,7 +198,7 @@ def phrases(docs: DataFrame) -> DataFrame:
                 sizes = np.fromiter(map(len, raw[a:b]), np.int64, b - a)
                 data = np.frombuffer(b"".join(raw[a:b]), np.uint8)
                 text, key, ctx, at, n = parse(data, np.cumsum(sizes) - sizes, sizes)
-                rows = batch.slice(a, b - a).take(pa.array(text))
+                rows = batch.select(["doc_id", "mark"]).slice(a, b - a).take(pa.array(text))  # not the texts
                 yield batch_of(out, [key.view(np.int64), ctx.view(np.int64), rows.column("doc_id"), rows.column("mark"), at.astype(np.int32), n.astype(np.int32)])
 
     return arrow_map(docs, run, _PHRASE)
@@ -245,7 +278,7 @@ def _by_names(dictionary: DataFrame) -> DataFrame:
         for batch in batches:
             for copies, doc_id, mark, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(raw, np.uint8)
-                names = [hashes_at(data, seed)[1][:n].view(np.int64) for seed in (1, 0x5BD1E995)]
+                names = [h.windows(h.prefixes(data), LENGTH).view(np.int64) for h in _ROLLING]
                 yield batch_of(out, [*names, [copies] * n, [doc_id] * n, [mark] * n, np.arange(at, at + n, dtype=np.int32)])
 
     picked = dictionary.filter("hot = 1").select("copies", "doc_id", "mark", "at", "n", "bytes")

@@ -62,7 +62,8 @@ def labelled(spark):
     rows, labels = [], []
     for i in range(600):
         toxic, low = i % 10 == 0, i % 10 == 1
-        text = [draw.choice(words) for _ in range(60)] + ["vile"] * (6 * toxic) + ["spam", "spam!"] * (4 * low)
+        bad = ["vile", "scum", "awful", "trash", "rotten", "nasty"] * toxic + ["spam", "buy!", "cheap", "offer", "click", "prize"] * low
+        text = [draw.choice(words) for _ in range(60)] + bad
         draw.shuffle(text)
         rows.append((i, " ".join(text) + "."))
         if i % 3:

@@ -291,12 +291,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark, at, n: in the text, each of the n strings of LENGTH bytes from byte `at` on is elsewhere too."""
     rows = phrases(docs)
     keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("c > 1")
-    met = rows.join(keys.select("key", F.expr("lo = hi").alias("one"), F.col("c").alias("of_key")), "key")
-    met = materialize(met, "phrases")
+    # written first, so that the join deals out both sides itself and may split the rows of a frequent trigger
+    keys = materialize(keys.select("key", F.expr("lo = hi").alias("one")), "triggers")
+    met = materialize(rows.join(keys, "key"), "phrases")
     whole = met.filter("one").select("doc_id", "mark", "at", "n")
     mixed = met.filter("not one")
     first = F.min(F.struct("doc_id", "mark", "at", "n")).alias("first")
-    distinct = mixed.groupBy("key", "ctx").agg(F.count("*").alias("copies"), first, F.first("of_key").alias("of_key"))
+    distinct = mixed.groupBy("key", "ctx").agg(F.count("*").alias("copies"), first)
     distinct = materialize(distinct, "dictionary")
     often = mixed.join(distinct.filter("copies > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("doc_id", "mark", "at", "n")
     sizes = distinct.groupBy("key").agg(F.count("*").alias("phrases"))

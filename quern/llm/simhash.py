@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, batch_of, materialize, texts_of
@@ -111,6 +111,7 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
     named = joined.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     linked = joined.join(named, "component").select("fp", "component_id")
     names = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    names = materialize(names, "names")  # so that the join may split the rows of a frequent fingerprint
     return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -163,6 +164,31 @@ def _verified(pairs: DataFrame, nodes: DataFrame, differing: int) -> DataFrame:
     return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
+def _meetings(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs a, b of nodes that share keys: all of them in small buckets; in large ones those with a head, which differs
+    from bucket to bucket; and the nodes of large buckets."""
+    head = F.min_by("node", F.xxhash64("node", *keys)).alias("head")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), head).filter("n > 1")
+    met = materialize(rows.join(sizes, list(keys)), "bands")
+    few = met.filter(F.col("n") <= BLOCK_PAIRS).select(*keys, "node")
+    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), list(keys)).filter("a < b")
+    many = met.filter(F.col("n") > BLOCK_PAIRS)
+    stars = many.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+    return pairs.select("a", "b"), stars, many.select("node").distinct()
+
+
+#: Bands in a group: two near fingerprints agree on more bands than there are groups, so on two in one group.
+GROUP = 6
+
+
+def _band_pairs() -> Column:
+    """The keys of all pairs of bands within groups."""
+    bands = range(SYMBOLS // BAND)
+    pairs = [(i, j) for i in bands for j in bands if i < j and i // GROUP == j // GROUP]
+    key = lambda i, j: F.xxhash64(F.get("bands", F.lit(i)), F.get("bands", F.lit(j)))
+    return F.array(*(F.struct(F.lit(k).alias("band"), key(i, j).alias("key")) for k, (i, j) in enumerate(pairs)))
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of each row: rows whose shingles of `words` words are similar by `similarity` or more.
 
@@ -170,8 +196,10 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     fingerprint here has SYMBOLS min-wise symbols, and the same steps follow: it is cut into bands, close pairs agree on
     one, bands are joined, and the number of differing symbols is verified. Pairs that differ in fewer symbols than
     there are bands must agree on one, so none of them is missed; the limit is the number for `similarity`, widened by
-    2 standard errors, or one less than the bands. In a band of over BLOCK_PAIRS fingerprints each is compared with the
-    least of them, and those that aren't near it among each other in further rounds: rows in proportion to its size.
+    2 standard errors. Bands of over BLOCK_PAIRS fingerprints, as of thousands of copies, are not compared pair by pair:
+    there each is compared with one of them, another in each band, and its pairs of bands are joined in the same way,
+    where near fingerprints must agree too and others part. Only a fingerprint that is near none of all those, in bands
+    and pairs of bands that are all that large, is not linked. Rows grow in proportion to a band's size.
 
     Null and wordless texts are equal to each other. Rows with a null doc_id take part and stay null. Repeated rows keep
     their number; an empty table gives no rows; other columns are not read.
@@ -182,25 +210,17 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("symbols").alias("symbols"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
-    met = materialize(banded.join(sizes, ["band", "key"]), "bands")
-    few = met.filter(F.col("n") <= BLOCK_PAIRS).select("band", "key", "node")
-    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["band", "key"])
-    links = materialize(_verified(pairs.filter("a < b").select("a", "b").distinct(), nodes, differing), "links")
-    many = met.filter(F.col("n") > BLOCK_PAIRS).select("band", "key", "node", "head")
-    while not many.isEmpty():
-        stars = many.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-        found = materialize(_verified(stars, nodes, differing), "links")
-        links = links.union(found)
-        linked = found.select(F.col("a").alias("head"), F.col("b").alias("node"))
-        left = many.filter("node <> head").join(linked, ["head", "node"], "left_anti").select("band", "key", "node")
-        heads = left.groupBy("band", "key").agg(F.min("node").alias("head"))
-        many = materialize(left.join(heads, ["band", "key"]), "bands")
+    pairs, stars, crowded = _meetings(banded, "band", "key")
+    again = nodes.join(crowded, "node", "left_semi").select("node", F.explode(_band_pairs()).alias("p"))
+    more_pairs, more_stars, _ = _meetings(again.select("node", "p.band", "p.key"), "band", "key")
+    near = pairs.union(stars).union(more_pairs).union(more_stars).distinct()
+    links = materialize(_verified(near, nodes, differing), "links")
     joined = connected_components(links)
     named = joined.withColumnRenamed("node", "n").join(nodes.select(F.col("node").alias("n"), "least"), "n")
     named = named.groupBy("component").agg(F.min("least").alias("component_id"))
     known = joined.join(named, "component").select("node", "component_id")
     names = nodes.select("node", "least").join(known, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    names = materialize(names, "names")
     return rows.select("doc_id", "node").join(names, "node").select("doc_id", "component_id")
 
 

@@ -117,6 +117,10 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
 
 #: Similarity mode: a fingerprint of SYMBOLS symbols, cut into SYMBOLS / BAND bands.
 SYMBOLS, BAND = 126, 3
+#: As BLOCK_PAIRS, for bands: a group of near copies meets in very many bands, so few pairs of each suffice.
+BAND_PAIRS = 6
+#: Orders from which a band's head is taken. Of one order, large bands of a group have few different heads.
+HEADS = 12
 _MIX = np.random.default_rng(42).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -167,12 +171,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, differing: int) -> DataFrame:
 def _meetings(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs a, b of nodes that share keys: all of them in small buckets; in large ones those with a head, which differs
     from bucket to bucket; and the nodes of large buckets."""
-    head = F.min_by("node", F.xxhash64("node", *keys)).alias("head")
+    head = F.min_by("node", F.xxhash64("node", F.col(keys[0]) % HEADS)).alias("head")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), head).filter("n > 1")
     met = materialize(rows.join(sizes, list(keys)), "bands")
-    few = met.filter(F.col("n") <= BLOCK_PAIRS).select(*keys, "node")
+    few = met.filter(F.col("n") <= BAND_PAIRS).select(*keys, "node")
     pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), list(keys)).filter("a < b")
-    many = met.filter(F.col("n") > BLOCK_PAIRS)
+    many = met.filter(F.col("n") > BAND_PAIRS)
     stars = many.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
     return pairs.select("a", "b"), stars, many.select("node").distinct()
 
@@ -196,8 +200,8 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     fingerprint here has SYMBOLS min-wise symbols, and the same steps follow: it is cut into bands, close pairs agree on
     one, bands are joined, and the number of differing symbols is verified. Pairs that differ in fewer symbols than
     there are bands must agree on one, so none of them is missed; the limit is the number for `similarity`, widened by
-    2 standard errors. Bands of over BLOCK_PAIRS fingerprints, as of thousands of copies, are not compared pair by pair:
-    there each is compared with one of them, another in each band, and its pairs of bands are joined in the same way,
+    2 standard errors. Bands of over BAND_PAIRS fingerprints, as of thousands of copies, are not compared pair by pair:
+    there each is compared with a head, the least of them by one of HEADS orders, and its pairs of bands are joined in the same way,
     where near fingerprints must agree too and others part. Only a fingerprint that is near none of all those, in bands
     and pairs of bands that are all that large, is not linked. Rows grow in proportion to a band's size.
 

@@ -84,7 +84,7 @@ def test_similar_components(spark, docs, empty, monkeypatch):
             rows.append((family * 10 + copy, " ".join(near)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for limit in (32, 2):
-        monkeypatch.setattr(simhash, "BLOCK_PAIRS", limit)
+        monkeypatch.setattr(simhash, "BAND_PAIRS", limit)
         got = {r.doc_id: r.component_id for r in similar_components(frame).collect()}
         assert got == {i: i // 10 * 10 for i, _ in rows}
     assert similar_components(empty).count() == 0

@@ -134,7 +134,7 @@ def symbols(hashes: np.ndarray) -> np.ndarray:
 
 
 def _symbol_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node (a hash of the fingerprint), symbols and the key of each band. Texts of fewer words are their own shingle."""
+    """doc_id, node (a hash of the set of shingles), symbols and the key of each band. Texts of fewer words are their own shingle."""
     out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("symbols", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +143,9 @@ def _symbol_rows(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             nodes, prints, bands = [], [], []
             for text in texts_of(batch):
-                raw = symbols(shingle_hashes(text, words)).tobytes()
-                nodes.append(xxhash.xxh64_intdigest(raw))
+                hashes = np.unique(shingle_hashes(text, words))
+                raw = symbols(hashes).tobytes()
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 prints.append(raw)
                 bands.append([xxhash.xxh64_intdigest(raw[i : i + 4 * BAND], i) for i in range(0, 4 * SYMBOLS, 4 * BAND)])
             keys = np.array(bands, np.uint64).view(np.int64).tolist()
@@ -153,7 +154,7 @@ def _symbol_rows(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, symbols binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, differing: int) -> DataFrame:
+def _likely(pairs: DataFrame, nodes: DataFrame, differing: int) -> DataFrame:
     """Pairs a, b of nodes whose fingerprints differ in at most `differing` symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +169,62 @@ def _verified(pairs: DataFrame, nodes: DataFrame, differing: int) -> DataFrame:
     return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
+#: Bits of the filter by doc_id that stands before shingles are made again.
+FILTER_BITS = 24
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node and its sorted distinct shingles, 8 bytes each, of the wanted nodes (node, least). Other texts are not shuffled."""
+    ids = wanted.select("least").distinct().toArrow().column("least")
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[_slots(ids.drop_null().to_numpy())] = True
+    packed, nulls = np.packbits(bits), ids.null_count > 0
+    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            column = batch.column("doc_id")
+            at = _slots(column.fill_null(0).to_numpy(zero_copy_only=False))
+            hit = (packed[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
+            hit = np.where(column.is_null().to_numpy(zero_copy_only=False), nulls, hit > 0)
+            batch = batch.take(pa.array(np.flatnonzero(hit)))
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts_of(batch)]
+            nodes = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
+            yield batch_of(out, [batch.column("doc_id"), nodes, sets])
+
+    made = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, shingles binary")
+    found = made.join(wanted.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    return found.select("node", "shingles").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of nodes whose sets of shingles (node, shingles) have this Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            near = []
+            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+                left, right = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                if shared / max(1, len(left) + len(right) - shared) >= similarity:
+                    near.append(i)
+            picked = batch.take(pa.array(near, pa.int64()))
+            yield batch_of(out, [picked.column("a"), picked.column("b")])
+
+    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
+    return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+
+
 def _meetings(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs a, b of nodes that share keys: all of them in small buckets; in large ones those with a head, which differs
-    from bucket to bucket; and the nodes of large buckets."""
+    from bucket to bucket; and the rows of large buckets."""
     head = F.min_by("node", F.xxhash64("node", F.col(keys[0]) % HEADS)).alias("head")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), head).filter("n > 1")
     met = materialize(rows.join(sizes, list(keys)), "bands")
@@ -178,7 +232,7 @@ def _meetings(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, DataFr
     pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), list(keys)).filter("a < b")
     many = met.filter(F.col("n") > BAND_PAIRS)
     stars = many.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
-    return pairs.select("a", "b"), stars, many.select("node").distinct()
+    return pairs.select("a", "b"), stars, many.select(*keys, "node")
 
 
 #: Bands in a group: two near fingerprints agree on more bands than there are groups, so on two in one group.
@@ -196,29 +250,32 @@ def _band_pairs() -> Column:
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of each row: rows whose shingles of `words` words are similar by `similarity` or more.
 
-    At similarity 0.8 two 64-bit SimHashes differ in about 10 bits, which no pigeonhole of few blocks finds. So the
-    fingerprint here has SYMBOLS min-wise symbols, and the same steps follow: it is cut into bands, close pairs agree on
-    one, bands are joined, and the number of differing symbols is verified. Pairs that differ in fewer symbols than
-    there are bands must agree on one, so none of them is missed; the limit is the number for `similarity`, widened by
-    2 standard errors. Bands of over BAND_PAIRS fingerprints, as of thousands of copies, are not compared pair by pair:
-    there each is compared with a head, the least of them by one of HEADS orders, and its pairs of bands are joined in the same way,
-    where near fingerprints must agree too and others part. Only a fingerprint that is near none of all those, in bands
-    and pairs of bands that are all that large, is not linked. Rows grow in proportion to a band's size.
+    Similarity is the Jaccard similarity of the sets of shingles (of their 64-bit hashes), and every linked pair has it
+    exactly. At 0.8 two 64-bit SimHashes differ in about 10 bits, which no pigeonhole of few blocks finds. So candidates
+    come from a fingerprint of SYMBOLS min-wise symbols: cut into bands, joined on bands, and left out if the number of
+    differing symbols is 6.5 standard errors above the expected one. A pair at similarity 0.8 meets in no band with
+    chance 1e-13, and has more differing symbols with chance 2e-9. Bands of over BAND_PAIRS fingerprints, as of thousands
+    of copies, are not compared pair by pair: there each is compared with a head, the least of them by one of HEADS
+    orders, and its pairs of bands are joined in the same way. Only a fingerprint that is near none of all those, in bands and
+    pairs of bands that are all that large, is not linked.
 
     Null and wordless texts are equal to each other. Rows with a null doc_id take part and stay null. Repeated rows keep
     their number; an empty table gives no rows; other columns are not read.
     """
-    spread = 2 * (SYMBOLS * similarity * (1 - similarity)) ** 0.5
-    differing = min(SYMBOLS // BAND - 1, int(SYMBOLS * (1 - similarity) + spread))
+    differing = int(SYMBOLS * (1 - similarity) + 6.5 * (SYMBOLS * similarity * (1 - similarity)) ** 0.5)
     rows = materialize(_symbol_rows(docs, words), "symbols")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("symbols").alias("symbols"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     pairs, stars, crowded = _meetings(banded, "band", "key")
-    again = nodes.join(crowded, "node", "left_semi").select("node", F.explode(_band_pairs()).alias("p"))
+    again = nodes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode(_band_pairs()).alias("p"))
     more_pairs, more_stars, _ = _meetings(again.select("node", "p.band", "p.key"), "band", "key")
     near = pairs.union(stars).union(more_pairs).union(more_stars).distinct()
-    links = materialize(_verified(near, nodes, differing), "links")
+    near = materialize(_likely(near, nodes, differing), "candidates")
+    least = nodes.select("node", "least")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(_shingle_sets(docs, wanted.join(least, "node"), words), "sets")
+    links = materialize(_verified(near, sets, similarity), "links")
     joined = connected_components(links)
     named = joined.withColumnRenamed("node", "n").join(nodes.select(F.col("node").alias("n"), "least"), "n")
     named = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -135,3 +135,23 @@ def test_texts_without_repeats(docs, texts):
     by_id = dict(texts)
     assert left[13] == by_id[13] and left[0] is None and left[1] == "" and 3 not in left and 8 not in left
     assert left[7] in by_id[7] and len(left[7]) < len(by_id[7])
+
+
+def brute_similar(rows):
+    """Component of each doc_id by the exact similarity of five-word shingles."""
+    sets = {}
+    for i, text in rows:
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    return components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+def test_pairs_are_linked_by_exact_similarity(spark):
+    draw = random.Random(21)
+    rows = []
+    for family in range(60):  # a run of changed words: similarities on both sides of 0.8, 0.66 to 0.87
+        base = [f"f{family}w{i}" for i in range(150)]
+        at, run = draw.randrange(10, 100), 7 + family % 20
+        rows += [(2 * family, " ".join(base)), (2 * family + 1, " ".join([*base[:at], *(f"x{family}y{i}" for i in range(run)), *base[at + run :]]))]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_similar(rows)

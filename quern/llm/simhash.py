@@ -117,7 +117,7 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
 
 #: Similarity mode: a fingerprint of SYMBOLS symbols, cut into SYMBOLS / BAND bands.
 SYMBOLS, BAND = 126, 3
-#: As BLOCK_PAIRS, for bands: a group of near copies meets in very many bands, so few pairs of each suffice.
+#: As BLOCK_PAIRS, for bands. No result depends on it: what larger bands don't link is found by shared shingles.
 BAND_PAIRS = 6
 #: Orders from which a band's head is taken. Of one order, large bands of a group have few different heads.
 HEADS = 12
@@ -222,6 +222,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
+def _apart(sets: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of nodes of different components (node, component), all that may be similar by `similarity` among them.
+
+    With shingles in one order, the rarest first, similar sets have their first common one near the front of both: what
+    follows it must suffice for the similarity. So nodes are joined on shingles of their front, and only where those lie
+    far enough to the front for both sizes. The test holds for every similar pair, so none is left out.
+    """
+    out = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                hashes = np.frombuffer(raw, "<i8")
+                yield batch_of(out, [np.full(len(hashes), node, np.int64), np.full(len(hashes), len(hashes), np.int32), hashes])
+
+    each = materialize(arrow_map(sets, run, "node long, size int, shingle long"), "shingles")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    order = F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common")
+    known = each.join(counts, "shingle").groupBy("node", "size").agg(order).withColumn("own", F.col("size") - F.size("common"))
+    front = known.select("node", "size", "own", F.posexplode("common").alias("k", "s"))
+    front = front.select("node", "size", (F.col("size") - F.col("own") - F.col("k")).alias("rest"), F.col("s.shingle").alias("shingle"))
+    front = front.filter(F.col("rest") >= F.ceil(F.col("size") * similarity - 1e-9)).join(components, "node")
+    mixed = front.groupBy("shingle").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("shingle")
+    front = materialize(front.join(mixed, "shingle"), "front")
+    a, b = (front.select("shingle", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "rest", "component"))) for n in "ab")
+    least = F.ceil((F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-9)
+    met = (
+        (a["shingle"] == b["shingle"])
+        & (F.col("component_a") != F.col("component_b"))
+        & (F.struct("size_a", "node_a") < F.struct("size_b", "node_b"))
+        & (F.least("rest_a", "rest_b", "size_a") >= least)
+    )
+    return a.join(b, met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _meetings(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs a, b of nodes that share keys: all of them in small buckets; in large ones those with a head, which differs
     from bucket to bucket; and the rows of large buckets."""
@@ -256,8 +291,8 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     differing symbols is 6.5 standard errors above the expected one. A pair at similarity 0.8 meets in no band with
     chance 1e-13, and has more differing symbols with chance 2e-9. Bands of over BAND_PAIRS fingerprints, as of thousands
     of copies, are not compared pair by pair: there each is compared with a head, the least of them by one of HEADS
-    orders, and its pairs of bands are joined in the same way. Only a fingerprint that is near none of all those, in bands and
-    pairs of bands that are all that large, is not linked.
+    orders, and its pairs of bands are joined in the same way. Where such a band still holds several components after
+    that, its fingerprints are compared by shared shingles (_apart), which leaves out no similar pair of two components.
 
     Null and wordless texts are equal to each other. Rows with a null doc_id take part and stay null. Repeated rows keep
     their number; an empty table gives no rows; other columns are not read.
@@ -276,7 +311,15 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(_shingle_sets(docs, wanted.join(least, "node"), words), "sets")
     links = materialize(_verified(near, sets, similarity), "links")
-    joined = connected_components(links)
+    joined = materialize(connected_components(links), "joined")
+    labels = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    seen = crowded.join(materialize(labels, "labels"), "node")
+    mixed = seen.groupBy("band", "key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h")
+    left = materialize(seen.join(mixed, ["band", "key"]).select("node", "component").distinct(), "left")
+    if not left.isEmpty():
+        sets = materialize(_shingle_sets(docs, left.select("node").join(least, "node"), words), "sets")
+        apart = materialize(_apart(sets, left, similarity), "apart")
+        joined = connected_components(links.union(_verified(apart, sets, similarity)))
     named = joined.withColumnRenamed("node", "n").join(nodes.select(F.col("node").alias("n"), "least"), "n")
     named = named.groupBy("component").agg(F.min("least").alias("component_id"))
     known = joined.join(named, "component").select("node", "component_id")

@@ -155,3 +155,23 @@ def test_pairs_are_linked_by_exact_similarity(spark):
         rows += [(2 * family, " ".join(base)), (2 * family + 1, " ".join([*base[:at], *(f"x{family}y{i}" for i in range(run)), *base[at + run :]]))]
     got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_similar(rows)
+
+
+def crowd():
+    """Texts at 0.74 of each other by a frequent template; chains of three inside, neighbours at 0.83."""
+    template, rows = [f"t{i}" for i in range(180)], []
+    for k in range(200):
+        tail = [f"o{k}w{i}" for i in range(30)]
+        if k < 90 and k % 3:  # shares a half of its tail with the text before it, the other one with the text after it
+            before = rows[-1][1].split()[180:]
+            tail = [*tail[:15], *before[15:]] if k % 3 == 1 else [*before[:15], *tail[15:]]
+        rows.append((k, " ".join([*template, *tail])))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [6, 2])
+def test_chains_in_large_buckets(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BAND_PAIRS", limit)
+    rows = crowd()
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_similar(rows)

@@ -145,3 +145,22 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
     assert corpus_pipeline.STAGES[0][1](spark, source.limit(0), folder).count() == 0
+
+
+@pytest.mark.parametrize("percent", [1, 3])
+def test_pipeline_mix_meets_targets_at_any_toxic_share(spark, tmp_path, percent):
+    import corpus_pipeline
+
+    draw = random.Random(5)
+    rows, labels = [], []
+    for i in range(4000):
+        toxic, low = i % 100 < percent, i % 100 >= 90
+        words = ["vile", "scum", "awful", "trash", "rotten", "nasty"] * toxic + ["spam", "buy!", "cheap", "offer", "click", "prize"] * low
+        rows.append((i, " ".join(words + [f"w{draw.randrange(400)}" for _ in range(60 - len(words))])))
+        labels.append((i, int(not low), int(toxic)))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = [r.doc_id for r in corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()]
+    share = sum(i % 100 < percent for i in ids) / len(ids)
+    assert 0.014 <= share <= 0.026
+    assert abs(sum(percent <= i % 100 < 90 for i in ids) - 40 * (90 - percent)) < 60

@@ -148,3 +148,10 @@ def test_shards_are_balanced_with_many_small_groups(spark):
     frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE repeat(concat('t', id), 1 + CAST(id % 17 AS INT)) END").alias("text"))
     loads = {r.shard: r.b for r in lpt_shards(frame).groupBy("shard").agg(F.sum("size").alias("b")).collect()}
     assert len(loads) == 16 and max(loads.values()) / min(loads.values()) < 1.01
+
+
+def test_media_query_returns_seek_offsets(spark):
+    from quern.llm.queries import op2_media_columns
+
+    rows = op2_media_columns(spark, "/root/testdata/sf0.001").select("samples", "seek_offsets").collect()
+    assert rows and all(r.samples == 1152 * len(r.seek_offsets) for r in rows)

@@ -15,6 +15,11 @@ FILE_TYPES = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays in double precision."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -60,6 +65,50 @@ def query_tokens(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
+def match_query(text: Column) -> Column:
+    """The text-match query of a question: its tokens, any of which may match."""
+    return F.array_join(query_tokens(text), " | ")
+
+
+#: A search token and what follows it up to the next one; what stands before the first one.
+_UNIT, _LEAD = r"((?:[\x{4E00}-\x{9FFF}]|[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]+)[^\p{L}\p{N}]*)", r"^[^\p{L}\p{N}]*"
+
+
+def _units(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_UNIT), 1)
+
+
+def token_prefix(text: Column, limit: int) -> Column:
+    """The longest beginning of a text that has at most `limit` tokens."""
+    return F.concat(F.regexp_extract(text, _LEAD, 0), F.array_join(F.slice(_units(text), 1, limit), "")) if limit > 0 else F.lit("")
+
+
+def token_suffix(text: Column, limit: int) -> Column:
+    """The last part of a text that is cut into longest parts of at most `limit` tokens."""
+
+    def last(units: Column) -> Column:
+        begin = (F.floor((F.size(units) - 1) / limit) * limit).cast("int")
+        part = F.array_join(F.slice(units, begin + 1, F.size(units)), "")
+        return F.when(F.size(units) == 0, text).when(begin == 0, F.concat(F.regexp_extract(text, _LEAD, 0), part)).otherwise(part)
+
+    return let(_units(text), last) if limit > 0 else F.lit("")
+
+
+def context_window(parent: Column, child: Column, budget: int) -> Column:
+    """What stands around a child's text in its parent's, spaces collapsed: half of the budget of tokens on each side.
+
+    The child is found with any white space between its words. Empty where it isn't found.
+    """
+
+    def around(whole: Column, own: Column) -> Column:
+        at = F.when(own == "", 0).otherwise(F.instr(whole, own))
+        left, right = F.substring(whole, F.lit(1), at - 1), F.substring(whole, at + F.length(own), F.length(whole))
+        window = F.concat(token_suffix(left, budget // 2), F.lit(" "), token_prefix(right, budget - budget // 2))
+        return F.when(at > 0, collapsed(window)).otherwise("")
+
+    return let(collapsed(parent), lambda whole: let(collapsed(child), lambda own: around(whole, own)))
+
+
 def token_count(text: Column) -> Column:
     """Number of search tokens: the counter that chunking uses by default."""
     return F.size(tokens(text))
@@ -72,9 +121,9 @@ def search_text(*parts: Column) -> Column:
 
 def mock_embedding(text: Column, dimension: int = 64) -> Column:
     """A deterministic vector from the digest of a text: byte i mod 32 over 255, to six places."""
-    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
-    byte = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.round(byte(i) / 255, 6))
+    byte = lambda digest, i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    places = F.sequence(F.lit(0), F.lit(dimension - 1))
+    return let(F.sha2(F.coalesce(text, F.lit("")), 256), lambda d: F.transform(places, lambda i: F.round(byte(d, i) / 255, 6)))
 
 
 def fallback_embedding(text: Column, dimension: int = 4) -> Column:
@@ -116,15 +165,10 @@ def linear_percentile(value: Column, share: float) -> Column:
     return F.percentile(value, F.lit(share))
 
 
-def nearest_rank(value: Column, share: float) -> Column:
-    """The value at index round((n - 1) * share), halves to even, in ascending order."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.get(ordered, F.bround((F.size(ordered) - 1) * F.lit(share)).cast("int"))
-
-
 def substring_score(text: Column, terms: list[str]) -> Column:
     """Occurrences of all terms in a text, letter case aside."""
-    counts = [(F.length(text) - F.length(F.replace(F.lower(text), F.lit(t.lower()), F.lit("")))) / len(t) for t in terms if t]
+    low = F.lower(text)  # some letters change their number here, so lengths are taken after it
+    counts = [(F.length(low) - F.length(F.replace(low, F.lit(t.lower()), F.lit("")))) / len(t) for t in terms if t]
     return reduce(lambda a, b: a + b, counts, F.lit(0.0)).cast("long")
 
 
@@ -134,13 +178,29 @@ def json_slice(text: Column) -> Column:
     return F.regexp_extract(bare, r"(?s)([\[{].*[\]}])", 1)
 
 
-#: Names whose values are masked, and forms of secrets in free text.
-SECRET_NAMES = "authorization|api[_-]?key|password|secret|token|cookie"
-MASK = "***"
+#: The mask, parts of names whose values are masked whole and those that are safe, parameters masked in
+#: addresses, and forms of secrets in free text.
+MASK = "***REDACTED***"
+SECRET_NAMES = ("authorization", "api_key", "apikey", "access_token", "refresh_token", "secret", "password", "encrypted_api_key")
+SAFE_NAMES = ("key_prefix", "keyprefix")
+SECRET_PARAMETER = r"(?i)((?:api[_-]?key|access[_-]?token|refresh[_-]?token|authorization|password|secret)=)[^&\s]+"
+SECRET_FORM = (
+    r"eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}|lk_(?:live|test)_[A-Za-z0-9_-]{8,}|sk-[A-Za-z0-9]{16,}"
+    r"|enc:v\d+:[A-Za-z0-9_:+/=-]{8,}"
+)
 
 
 def redacted(text: Column) -> Column:
-    """Free text with values of secret names, bearer tokens and URL parameters masked."""
-    out = F.regexp_replace(text, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", f"$1{MASK}")
-    out = F.regexp_replace(out, rf"(?i)([?&](?:{SECRET_NAMES})=)[^&\s]+", f"$1{MASK}")
-    return F.regexp_replace(out, rf'(?i)("?(?:{SECRET_NAMES})"?\s*[:=]\s*"?)[^",\s}}]+', f"$1{MASK}")
+    """Free text without secrets: masked whole where it quotes a header, else parameters and known forms are masked."""
+    header = F.contains(F.lower(text), F.lit("authorization:")) | F.contains(F.lower(text), F.lit("bearer "))
+    parts = F.regexp_replace(F.regexp_replace(text, SECRET_PARAMETER, f"$1{MASK}"), SECRET_FORM, MASK)
+    return F.when(header, MASK).otherwise(parts)
+
+
+def redacted_payload(payload: Column) -> Column:
+    """A payload as a map from names to texts: values of secret names are masked, those of safe names stay, others are
+    free text."""
+    plain = lambda name: F.lower(F.replace(name, F.lit("-"), F.lit("_")))
+    any_of = lambda name, parts: reduce(lambda a, b: a | b, (F.contains(plain(name), F.lit(p)) for p in parts))
+    value = lambda k, v: F.when(any_of(k, SAFE_NAMES), v).when(any_of(k, SECRET_NAMES), MASK).otherwise(redacted(v))
+    return F.transform_values(payload, value)

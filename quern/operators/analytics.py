@@ -63,6 +63,19 @@ def latest_per(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("_turn", turn).filter("_turn = 1").drop("_turn")
 
 
+def nearest_rank(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """Per key the value at index round((n - 1) * share), halves to even, in ascending order of the values that are not null.
+
+    Values are counted first, so a group is held as its distinct values, and the running sum finds the place.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(key)
+    placed = counts.withColumns({"_upto": F.sum("_n").over(order), "_all": F.sum("_n").over(whole)})
+    place = F.bround((F.col("_all") - 1) * F.lit(share)).cast("long")
+    return placed.filter((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))).select(key, value)
+
+
 def merged_top(sources: list[DataFrame], time: str, tie: str, limit: int) -> DataFrame:
     """The newest rows of several sources of like columns: the newest `limit` of each, merged, the newest `limit` again.
     Equal times keep the sources' order."""

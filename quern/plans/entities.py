@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.scalar import mock_embedding
+from quern.operators.access import Principal, live_chunks, live_pairs, visible_documents
 from quern.session import configure, ship
 
 
@@ -57,14 +59,16 @@ class Tables:
             "CASE WHEN (doc_id + pos) % 13 = 0 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS status",
             "content",
         )
-        parents = lines.selectExpr("doc_id", "pos DIV 4 AS part").distinct().selectExpr(
+        split = self.raw("documents").select("doc_id", F.split("text", "\n").alias("lines"))
+        parts = split.select("doc_id", "lines", F.explode(F.expr("sequence(0, (size(lines) - 1) DIV 4)")).alias("part"))
+        parents = parts.filter("lines is not null").selectExpr(
             "concat(doc_id, '-p', part) AS chunk_id",
             "doc_id AS document_id",
             "CAST(NULL AS STRING) AS parent_chunk_id",
             "CAST(part AS INT) AS chunk_index",
             "'PARENT' AS chunk_level",
             "CASE WHEN doc_id % 17 = 0 THEN 'STAGING' ELSE 'ACTIVE' END AS status",
-            "CAST(NULL AS STRING) AS content",
+            "array_join(slice(lines, CAST(part AS INT) * 4 + 1, 4), '\n') AS content",
         )
         return children.unionByName(parents)
 
@@ -81,6 +85,32 @@ class Tables:
             "answer",
         )
 
+    def scoped_pairs(self, principal: Principal) -> DataFrame:
+        """Live pairs of documents that the principal may see, as items of retrieval."""
+        seen = visible_documents(self.documents(), self.rules(), principal).select(F.col("id").alias("document_id"))
+        live = live_pairs(self.pairs(), self.chunks()).join(seen, "document_id", "left_semi")
+        return live.select(
+            "document_id", F.col("pair_id").alias("item_id"), F.col("pair_index").alias("item_index"), "chunk_id", "question", "answer",
+            F.concat_ws(" ", "question", "answer").alias("search_text"), mock_embedding(F.col("question"), 32).alias("embedding"),
+        )
+
+    def scoped_chunks(self, principal: Principal) -> DataFrame:
+        """Live child chunks of documents that the principal may see, as items of retrieval."""
+        seen = visible_documents(self.documents(), self.rules(), principal).select(F.col("id").alias("document_id"), "title")
+        live = live_chunks(self.chunks()).join(seen, "document_id")
+        text = F.col("content").alias("search_text")
+        return live.select("document_id", "chunk_id", "chunk_index", "parent_chunk_id", F.array("title").alias("title_path"), "content", text, mock_embedding(F.col("content"), 32).alias("embedding"))
+
+    def scoped_parents(self, principal: Principal) -> DataFrame:
+        """Active parents of documents that the principal may see."""
+        seen = visible_documents(self.documents(), self.rules(), principal).select(F.col("id").alias("document_id"))
+        return self.chunks().filter("chunk_level = 'PARENT' and status = 'ACTIVE'").join(seen, "document_id", "left_semi")
+
+    def questions(self) -> DataFrame:
+        """The question table with its vectors."""
+        asked = self.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+        return asked.withColumn("vector", mock_embedding(F.col("query"), 32))
+
     def calls(self) -> DataFrame:
         return self.raw("events").selectExpr(
             "event_id AS id",
@@ -105,6 +135,20 @@ class Tables:
         )
 
 
+def _chars(text: str) -> str:
+    return f"list_distinct(string_split(regexp_replace(lower({text}), '\\s', '', 'g'), ''))"
+
+
+def _mock(text: str) -> str:
+    return f"list_transform(range(0, 32), lambda i: round(CAST('0x' || sha256({text})[i * 2 + 1 : i * 2 + 2] AS INT) / 255.0, 6)::DOUBLE)"
+
+
+_VECTOR = "round(coalesce(list_cosine_similarity(q.e, t.e), 0), 6)"
+_TEXT = "round(len(list_intersect(q.cs, t.cs)) / len(q.cs), 6)"
+#: One channel's best rows of each question. A text channel leaves out rows with nothing in common, a vector channel has none here.
+_CHANNEL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
+        (SELECT '{name}' AS channel, q.query_id, t.document_id, t.{id} AS item_id, t.{index} AS item_index, {score} AS score FROM kb_q q, {items} t) WHERE score > 0) WHERE rank <= {k}"""
+
 #: The same tables for the SQL side, in dependency order.
 CTES = {
     "kb_documents": """SELECT doc_id AS id, 't' || (doc_id % 2) AS tenant_id, 'Document ' || doc_id AS title,
@@ -125,8 +169,9 @@ CTES = {
     "kb_chunks": """SELECT doc_id || '-c' || pos AS chunk_id, doc_id AS document_id,
         CASE WHEN pos % 10 = 9 THEN NULL ELSE doc_id || '-p' || (pos // 4) END AS parent_chunk_id, CAST(pos AS INT) AS chunk_index,
         'CHILD' AS chunk_level, CASE WHEN (doc_id + pos) % 13 = 0 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS status, content FROM kb_lines
-        UNION ALL SELECT DISTINCT doc_id || '-p' || (pos // 4), doc_id, CAST(NULL AS VARCHAR), CAST(pos // 4 AS INT), 'PARENT',
-        CASE WHEN doc_id % 17 = 0 THEN 'STAGING' ELSE 'ACTIVE' END, CAST(NULL AS VARCHAR) FROM kb_lines""",
+        UNION ALL SELECT doc_id || '-p' || (pos // 4), doc_id, CAST(NULL AS VARCHAR), CAST(pos // 4 AS INT), 'PARENT',
+        CASE WHEN doc_id % 17 = 0 THEN 'STAGING' ELSE 'ACTIVE' END, content FROM kb_parts""",
+    "kb_parts": """SELECT doc_id, pos // 4 * 4 AS pos, string_agg(content, chr(10) ORDER BY pos) AS content FROM kb_lines GROUP BY doc_id, pos // 4 * 4""",
     "kb_live": """SELECT * FROM kb_chunks c WHERE chunk_level = 'CHILD' AND status = 'ACTIVE' AND (parent_chunk_id IS NULL OR EXISTS
         (SELECT 1 FROM kb_chunks p WHERE p.chunk_id = c.parent_chunk_id AND p.document_id = c.document_id AND p.chunk_level = 'PARENT' AND p.status = 'ACTIVE'))""",
     "kb_turns": """SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations
@@ -147,6 +192,34 @@ CTES = {
         (SELECT 1 FROM kb_rules r WHERE r.document_id = d.id AND (subject_type = 'ALL_AUTHENTICATED' OR (subject_type = 'DEPARTMENT' AND subject_id IN ('src1', 'src2'))
          OR (subject_type = 'ROLE' AND subject_id IN ('editor')) OR (subject_type = 'USER' AND subject_id = 'u7')))""",
     "kb_queries": """SELECT item_id AS query_id, text AS query FROM benchmark""",
+    "kb_q": f"""SELECT item_id AS query_id, text AS query, {_chars("text")} AS cs, regexp_replace(lower(text), '\\s+', '', 'g') AS flat, {_mock("text")} AS e FROM benchmark""",
+    "kb_qa_items": f"""SELECT p.*, {_chars("question || ' ' || answer")} AS cs, {_mock("question")} AS e FROM kb_pairs p WHERE status = 'ACTIVE'
+        AND document_id IN (SELECT id FROM kb_visible) AND (chunk_id IS NULL OR chunk_id IN (SELECT chunk_id FROM kb_live))""",
+    "kb_text_items": f"""SELECT c.*, d.title, {_chars("content")} AS cs, {_mock("content")} AS e FROM kb_live c JOIN kb_visible d ON d.id = c.document_id""",
+    "kb_fused_pairs": f"""SELECT query_id, item_id, min(document_id) AS document_id, min(item_index) AS item_index, max(rank) FILTER (channel = 'v') AS vr, max(rank) FILTER (channel = 'x') AS xr,
+        coalesce(max(score) FILTER (channel = 'v'), 0) AS vs, coalesce(max(score) FILTER (channel = 'x'), 0) AS xs, round(sum(1.0 / (60 + rank)), 9) AS fused_score,
+        min(CASE channel WHEN 'v' THEN rank ELSE 1000 + rank END) AS first_seen FROM ({_CHANNEL.format(name="v", score=_VECTOR, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}
+        UNION ALL {_CHANNEL.format(name="x", score=_TEXT, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}) GROUP BY 1, 2""",
+    "kb_hits": " UNION ALL ".join(
+        _CHANNEL.format(name=name, score=score, items=items, id=id_, index=index, k=10)
+        for name, score, items, id_, index in (
+            ("qv", _VECTOR, "kb_qa_items", "pair_id", "pair_index"), ("qx", _TEXT, "kb_qa_items", "pair_id", "pair_index"),
+            ("tv", _VECTOR, "kb_text_items", "chunk_id", "chunk_index"), ("tx", _TEXT, "kb_text_items", "chunk_id", "chunk_index"),
+        )
+    ),
+    "kb_evidence": """SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS fused_score, max_by(score, rank) FILTER (channel = 'qv') AS qv, max_by(score, rank) FILTER (channel = 'qx') AS qx,
+        min_by(pair_index, (CASE channel WHEN 'qv' THEN 0 ELSE 1000 END) + rank) FILTER (pair_index IS NOT NULL) AS pair_index FROM
+        (SELECT h.query_id, h.channel, h.rank, h.score, p.chunk_id, p.pair_index FROM kb_hits h JOIN kb_qa_items p ON p.pair_id = h.item_id WHERE channel IN ('qv', 'qx') AND p.chunk_id IS NOT NULL
+         UNION ALL SELECT query_id, channel, rank, score, item_id, NULL FROM kb_hits WHERE channel IN ('tv', 'tx')) WHERE chunk_id IN (SELECT chunk_id FROM kb_text_items) GROUP BY 1, 2""",
+    "kb_kept": """SELECT query_id, arg_min(chunk_id, o) AS chunk_id, min_by(fused_score, o) AS fused_score, min_by(pair_index, o) AS pair_index, max_by(qv, o) FILTER (qv IS NOT NULL) AS qv,
+        max_by(qx, o) FILTER (qx IS NOT NULL) AS qx, count(*) AS merged FROM (SELECT e.*, c.content, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, c.document_id, e.chunk_id) AS o
+        FROM kb_evidence e JOIN kb_text_items c USING (chunk_id)) GROUP BY query_id, content""",
+    "kb_final": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_score DESC, coalesce(qx, 0) DESC, document_id, chunk_id) AS final_rank FROM
+        (SELECT k.*, c.document_id, c.parent_chunk_id, c.chunk_index, c.content, round(fused_score * 8 + coalesce(qv, 0) * 0.35 + coalesce(qx, 0) * 0.45
+            + CASE WHEN q.flat <> '' AND contains(s.flat, q.flat) THEN 1.2 ELSE 0 END + CASE WHEN len(q.cs) > 0 THEN len(list_intersect(q.cs, s.cs)) / len(q.cs) ELSE 0 END * 0.5
+            + 0.15 / (1 + greatest(coalesce(k.pair_index, c.chunk_index), 0)), 6) AS rerank_score
+         FROM kb_kept k JOIN kb_text_items c USING (chunk_id) JOIN kb_q q USING (query_id) JOIN
+         (SELECT chunk_id, regexp_replace(lower(title || content), '\\s+', '', 'g') AS flat, list_distinct(string_split(regexp_replace(lower(title || content), '\\s', '', 'g'), '')) AS cs FROM kb_text_items) s USING (chunk_id))) WHERE final_rank <= 5""",
     "kb_vectors": """SELECT CAST(label AS BIGINT) AS document_id, vec_id AS item_id, vec_id AS item_index, embedding FROM embeddings""",
     "kb_asked": """SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0""",
 }

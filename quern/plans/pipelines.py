@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +11,9 @@ from quern.operators import access as A
 from quern.operators import chunking, qa
 from quern.operators import retrieval as R
 from quern.plans.entities import Tables
-from quern.plans.queries import CONFIG, _text_queries, query
+from quern.plans.queries import query
 from quern.sources.blocks import parse_files
+from quern.storage import scratch
 from quern.streaming import logs
 
 
@@ -105,47 +103,6 @@ def qas5_answer_validation(t: Tables) -> DataFrame:
     return qa.validate_answers(answers, chunks).select("document_id", "error")
 
 
-def _chunk_items(t: Tables) -> DataFrame:
-    live = A.live_chunks(t.chunks())
-    return live.select("document_id", F.col("chunk_id").alias("item_id"), F.col("chunk_index").alias("item_index"), F.col("content").alias("search_text"), S.mock_embedding(F.col("content"), 32).cast("array<double>").alias("embedding"))
-
-
-def _hybrid(t: Tables) -> DataFrame:
-    pairs = t.pairs().filter("chunk_id IS NOT NULL").select("document_id", F.col("chunk_id").alias("item_id"), F.col("pair_index").alias("item_index"), F.concat_ws(" ", "question", "answer").alias("search_text"), S.mock_embedding(F.col("question"), 32).cast("array<double>").alias("embedding"))
-    queries = _text_queries(t).withColumn("vector", S.mock_embedding(F.col("query"), 32))
-    k, chunks = CONFIG.hybrid_top_k, _chunk_items(t)
-    channels = {
-        "qa_vector": R.vector_channel(pairs, queries, k), "qa_text": R.text_channel(pairs, queries, k),
-        "chunk_vector": R.vector_channel(chunks, queries, k), "chunk_text": R.text_channel(chunks, queries, k),
-    }
-    return R.fuse(channels, CONFIG)
-
-
-@query()
-def ret2_hybrid_retrieval(t: Tables) -> DataFrame:
-    return _hybrid(t)
-
-
-@query()
-def ret4_deduplicated_evidence(t: Tables) -> DataFrame:
-    content = A.live_chunks(t.chunks()).select(F.col("chunk_id").alias("item_id"), "content", "chunk_index")
-    evidence = _hybrid(t).join(content, "item_id").select(
-        "query_id", "document_id", "item_id", "fused_score", F.sha2("content", 256).alias("content_hash"), F.col("chunk_index").cast("string").alias("block"),
-        F.lit(0).alias("span_start"), F.length("content").alias("span_end"),
-    )
-    return R.deduplicate(evidence, CONFIG.overlap_share)
-
-
-@query()
-def ret7_hydrated_context(t: Tables) -> DataFrame:
-    live = A.live_chunks(t.chunks())
-    hits = _hybrid(t).select("query_id", F.col("item_id").alias("chunk_id"), "fused_score").join(live, "chunk_id")
-    near = R.neighbors(hits.select("query_id", "chunk_id", "document_id", "parent_chunk_id", "chunk_index", "fused_score"), live)
-    parts = hits.select("query_id", "fused_score", "content").unionByName(near.select("query_id", "fused_score", F.col("neighbor_content").alias("content")))
-    order = F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.desc("fused_score"), "content"))
-    return R.hydrate(parts.select("query_id", order.cast("long").alias("part_order"), "content"))
-
-
 @query()
 def emb2_batched_embedding(t: Tables) -> DataFrame:
     def embed(texts: list[str]) -> list[list[float]]:
@@ -154,11 +111,15 @@ def emb2_batched_embedding(t: Tables) -> DataFrame:
     return R.embed_batches(t.raw("benchmark").select(F.col("item_id").alias("id"), "text"), embed, 2)
 
 
-@query("SELECT event_id, regexp_replace('Authorization: Bearer abc' || event_id || ' id=1', '(Bearer )[A-Za-z0-9]+', '\\1***') AS line FROM events WHERE event_id % 10 = 3")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '***REDACTED***' WHEN 1 THEN 'GET /x?api_key=***REDACTED***&id=' || event_id WHEN 2 THEN 'key ***REDACTED*** of ' || user_id ELSE 'plain text ' || event_id END AS line,
+    '***REDACTED***' AS password, 'lk_live_12345678' AS key_prefix FROM events""")
 def fun23_redaction(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("Authorization: Bearer abc"), "event_id", F.lit(" id=1"))
-    masked = F.regexp_replace(S.redacted(text), r"Authorization: \*\*\* \*\*\*", "Authorization: Bearer ***")
-    return t.raw("events").filter("event_id % 10 = 3").select("event_id", masked.alias("line"))
+    kind, n = F.col("event_id") % 4, F.col("event_id").cast("string")
+    text = F.when(kind == 0, F.concat(F.lit("Authorization: Bearer abc"), n)).when(kind == 1, F.concat(F.lit("GET /x?api_key=k"), n, F.lit("&id="), n))
+    text = text.when(kind == 2, F.concat(F.lit("key sk-0123456789abcdef"), n, F.lit(" of "), "user_id")).otherwise(F.concat(F.lit("plain text "), n))
+    payload = F.create_map(F.lit("message"), text, F.lit("Password"), n, F.lit("key-prefix"), F.lit("lk_live_12345678"))
+    masked = t.raw("events").select("event_id", S.redacted_payload(payload).alias("p"))
+    return masked.select("event_id", *(F.col("p").getItem(k).alias(name) for k, name in (("message", "line"), ("Password", "password"), ("key-prefix", "key_prefix"))))
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
@@ -167,12 +128,26 @@ def _stream(t: Tables, name: str) -> DataFrame:
 
 
 def _drained(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
-    """The result of a stream after all that is there now."""
-    name = f"quern_{uuid.uuid4().hex}"
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-stream-")
-    running = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return t.spark.table(name)
+    """The result of a stream after all that is there now, by way of Parquet in the shared folder.
+
+    An appending stream writes files; one with a complete or updated result writes each batch to a folder of its own, of
+    which the last holds the result.
+    """
+    base = scratch(t.spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{base}/rows").awaitTermination()
+        return t.spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    batches: list[int] = []
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/batch-{number}")
+        batches.append(number)
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    if not batches:
+        return t.spark.createDataFrame([], stream.schema)
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/batch-{max(batches)}")
 
 
 def _stream_calls(t: Tables) -> DataFrame:

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows and bytes of one Arrow batch handed to Python. Texts are whole documents, so few rows fill a batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,6 +33,9 @@ def session(app: str = "quern", **conf: str) -> SparkSession:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings that results depend on."""
+    """The session's settings that results and the memory of Python workers depend on. Every query of this package sets
+    them, and they stay: Spark reads them when a plan runs, not when it is made."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

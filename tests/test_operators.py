@@ -1,11 +1,13 @@
 """Operators on small cases worked out by hand."""
 
 import json
+import random
 
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quern.config import ChunkPolicy, RetrievalConfig
@@ -13,7 +15,7 @@ from quern.functions import scalar as S
 from quern.operators import access as A
 from quern.operators import analytics as N
 from quern.operators import chunking as C
-from quern.operators import qa
+from quern.operators import qa, redaction, search
 from quern.operators import retrieval as R
 from quern.sources import blocks as B
 from quern.streaming import logs
@@ -65,7 +67,6 @@ def test_scalar_functions(spark):
     assert get(S.retry_delay(F.lit(20))) == 600.0
     assert get(S.token_count(F.lit("Hello, 中文 w0rld"))) == 4
     assert get(S.fallback_embedding(F.lit("ab"))) == [ord("a") % 29 + 1, ord("b") % 29 + 1, 0.0, 0.0]
-    assert "s3cret" not in get(S.redacted(F.lit("api_key=s3cret&x=1 Bearer s3cret password: s3cret")))
 
 
 def test_markdown_blocks():
@@ -142,17 +143,158 @@ def test_evidence_dedup_keeps_the_strongest(spark):
     assert got == [("q", "a", 3), ("q", "d", 1), ("q", "e", 1), ("r", "a", 1)]
 
 
-def test_query_blocks_cover_all_queries(spark):
-    items = spark.createDataFrame([(1, i, i, [float(i), 1.0]) for i in range(20)], "document_id int, item_id int, item_index int, embedding array<float>")
-    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "query_id int, vector array<float>")
-    whole, parts = (sorted(map(str, R.vector_channel(items, queries, 3, n).collect())) for n in (1, 4))
-    assert whole == parts and len(whole) == 27
+def brute_top(items, queries, k, score):
+    """The k best (score, item) of each query by score, then by document, index and item."""
+    out = {}
+    for q, asked in queries:
+        scored = [(-round(score(asked, item), 6), d, i, n) for d, n, i, item in items if score(asked, item) is not None]
+        out[q] = [(n, -s) for s, d, i, n in sorted(scored)[:k]]
+    return out
+
+
+def found_top(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: r.rank):
+        out.setdefault(r.query_id, []).append((r.item_id, r.score))
+    return out
+
+
+@pytest.mark.parametrize("block,pairs", [(1000, 1 << 21), (4, 40)])
+def test_channels_equal_brute_force_in_any_number_of_blocks(spark, monkeypatch, block, pairs):
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)  # 4: the nine questions take several blocks
+    monkeypatch.setattr(search, "PAIRS", pairs)
+    draw = random.Random(3)
+    vectors = [[float(draw.randint(-3, 3)) for _ in range(draw.choice((3, 3, 3, 2)))] for _ in range(60)]
+    texts = ["".join(draw.choice("abcdef É\n") for _ in range(draw.randint(0, 12))) for _ in range(60)]
+    items = [(n % 5, f"i{n}", n % 7, vectors[n] if n % 9 else None, texts[n] if n % 11 else None) for n in range(60)]
+    frame = spark.createDataFrame(items, "document_id int, item_id string, item_index int, embedding array<float>, search_text string").repartition(5)
+    asked = [(i, [float(draw.randint(-3, 3)) for _ in range(3)] if i else None, "".join(draw.choice("abcXÉ ") for _ in range(6))) for i in range(9)]
+    queries = spark.createDataFrame(asked, "query_id int, vector array<float>, query string")
+    assert len(search.query_blocks(queries)) == (1 if block > 9 else 5)
+
+    def cosine(a, b):
+        if a is None or not b:
+            return None
+        norm = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / norm if len(a) == len(b) and norm else 0.0
+
+    def characters(a, b):
+        own = set("".join(a.lower().split()))
+        return len(own & set((b or "").lower())) / max(1, len(own)) or None
+
+    got = found_top(R.vector_channel(frame, queries, 4).collect())
+    wanted = brute_top([(d, n, i, v) for d, n, i, v, _ in items], [(q, v) for q, v, _ in asked], 4, cosine)
+    assert got == {q: top for q, top in wanted.items() if top}
+    got = found_top(R.text_channel(frame, queries, 4).collect())
+    assert got == {q: top for q, top in brute_top([(d, n, i, x) for d, n, i, _, x in items], [(q, x) for q, _, x in asked], 4, characters).items() if top}
+    words = spark.createDataFrame([(0, 0, 0, "red Blue red"), (0, 1, 1, "blue"), (1, 2, 0, "green")], "document_id int, item_id int, item_index int, search_text string")
+    asked = spark.createDataFrame([(0, "Red, blue."), (1, None)], "query_id int, query string")
+    assert found_top(R.token_channel(words, asked, 5).collect()) == {0: [(0, 1.0), (1, 0.5)]}
+
+
+def test_passages_are_found_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    draw = random.Random(9)
+    texts = [(i, None if i == 5 else "".join(draw.choice("ab") for _ in range(40))) for i in range(30)]
+    passages = [(i, "".join(draw.choice("ab") for _ in range(draw.randint(1, 7)))) for i in range(12)] + [(12, ""), (13, None), (14, "ab"), (15, "ab")]
+    got = search.passage_matches(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(passages, "passage_id int, passage string"))
+    wanted = sorted((p, i) for p, x in passages for i, t in texts if x is not None and t is not None and x in t)
+    assert sorted((r.passage_id, r.id) for r in got.collect()) == wanted
+
+
+def corpus(spark):
+    """Three documents of one tenant, of which one is for another role; a chunk of each, and pairs."""
+    docs = spark.createDataFrame([(1, "t", "READY", None), (2, "t", "READY", None), (3, "t", "READY", None)], "id int, tenant_id string, status string, deleted_at date")
+    rules = spark.createDataFrame([(1, "ALL_AUTHENTICATED", "*"), (2, "ALL_AUTHENTICATED", "*"), (3, "ROLE", "payroll")], "document_id int, subject_type string, subject_id string")
+    chunks = [(d, f"c{d}{k}", f"p{d}", k, f"text {k} of refunds {d}" if k else "salary table refund") for d in (1, 2, 3) for k in range(3)]
+    chunks = spark.createDataFrame(chunks, "document_id int, chunk_id string, parent_chunk_id string, chunk_index int, content string")
+    chunks = chunks.selectExpr("*", "array('Refunds') AS title_path", "content AS search_text", "array(1D, CAST(chunk_index AS DOUBLE)) AS embedding")
+    pairs = spark.createDataFrame([(1, "q1", 0, "c11", "how are refunds paid"), (3, "q3", 0, "c31", "refund of salary"), (2, "q2", 0, None, "refund without a chunk")], "document_id int, item_id string, item_index int, chunk_id string, question string")
+    pairs = pairs.selectExpr("*", "'answer' AS answer", "question AS search_text", "array(1D, 0.5D) AS embedding")
+    queries = spark.createDataFrame([(0, "refund salary", [1.0, 0.0])], "query_id int, query string, vector array<double>")
+    return docs, rules, chunks, pairs, queries
+
+
+def scoped(frame, docs, rules, principal):
+    seen = A.visible_documents(docs, rules, principal).select(F.col("id").alias("document_id"))
+    return frame.join(seen, "document_id", "left_semi")
+
+
+def test_retrieval_never_shows_what_the_principal_may_not_see(spark):
+    docs, rules, chunks, pairs, queries = corpus(spark)
+    config = RetrievalConfig(confidence=0.1)
+    parents = chunks.groupBy("document_id", "parent_chunk_id").agg(F.array_join(F.sort_array(F.collect_list("content")), " ").alias("content")).withColumnRenamed("parent_chunk_id", "chunk_id")
+    seen = {}
+    for name, principal in (("me", A.Principal("t", "me")), ("boss", A.Principal("t", "boss", role_ids=("payroll",)))):
+        own = [scoped(x, docs, rules, principal) for x in (pairs, chunks, parents)]
+        final = R.hybrid_retrieve(queries, own[0], own[1], config)
+        context = R.hydrate(final, own[1], own[2])
+        qa = R.qa_retrieve(queries, own[0], config)
+        seen[name] = {r.document_id for r in final.collect()}, {r.context_id[1] for r in context.collect()}, {r.document_id for r in qa.collect()}
+        assert all(r.has_answer for r in final.collect())
+    assert seen["me"][0] == {1, 2} and seen["me"][2] == {1, 2} and "3" not in seen["me"][1]
+    assert 3 in seen["boss"][0] and 3 in seen["boss"][2]
+
+
+def test_missing_chunks_and_failing_rerankers_degrade(spark):
+    docs, rules, chunks, pairs, queries = corpus(spark)
+    config = RetrievalConfig()
+    lost = R.hybrid_retrieve(queries, pairs, lambda: spark.read.parquet("/nowhere/chunks"), config).collect()
+    assert {r.item_id for r in lost} == {"q1", "q2", "q3"} and all(r.chunk_degraded for r in lost)
+    with pytest.raises(AnalysisException):  # a wrong column is no outage
+        R.hybrid_retrieve(queries, pairs, lambda: chunks.select("no_such_column"), config)
+
+    def broken(candidates):
+        raise ConnectionError
+
+    plain = R.hybrid_retrieve(queries, pairs, chunks, config, broken).collect()
+    assert plain and all(r.rerank_degraded and r.rerank_score == r.fused_score for r in plain)
+    own = R.hybrid_retrieve(queries, pairs, chunks, config, lambda c: c.withColumn("rerank_score", F.when(F.col("item_id") == "c10", 9.0))).collect()
+    assert {r.item_id: r.rerank_degraded for r in own}["c10"] is False and min(r.final_rank for r in own if r.item_id == "c10") == 1
+
+
+def test_fusion_adds_both_ranks_of_two_pairs_of_one_chunk(spark):
+    hits = spark.createDataFrame(
+        [("qa_vector", 0, 1, 1, 0.9, "a"), ("qa_vector", 0, 1, 4, 0.5, "a"), ("chunk_text", 0, 1, 2, 0.7, "a"), ("qa_text", 0, 1, 1, 0.3, "b")],
+        "channel string, query_id int, document_id int, rank int, score double, chunk_id string",
+    )
+    got = {r.chunk_id: r for r in R.fuse(hits, RetrievalConfig(), "chunk_id").collect()}
+    assert got["a"].fused_score == round(1 / 61 + 1 / 64 + 1 / 62, 9) and (got["a"].qa_vector_rank, got["a"].qa_vector_score) == (4, 0.5)
+    assert got["b"].fused_score == round(1 / 61, 9) and got["b"].chunk_text_rank is None
 
 
 def test_hydration_skips_what_is_held(spark):
-    rows = [(1, 1, "alpha  beta gamma"), (1, 2, "beta"), (1, 3, "alpha beta gamma delta"), (1, 4, "new")]
-    got = R.hydrate(spark.createDataFrame(rows, "query_id int, part_order long, content string")).collect()
-    assert [r.content for r in got] == ["alpha beta gamma", "new"]
+    final = spark.createDataFrame([(1, "c1", 1, "p", 1, 1, 0.9, "alpha beta"), (1, "c9", 2, None, 0, 2, 0.5, "other")], "query_id int, item_id string, document_id int, parent_chunk_id string, chunk_index int, final_rank int, fused_score double, content string")
+    chunks = spark.createDataFrame([(1, "p", 0, "c0", "before  it"), (1, "p", 1, "c1", "alpha beta"), (1, "p", 2, "c2", "quite new"), (1, "p", 3, "c3", "far")], "document_id int, parent_chunk_id string, chunk_index int, chunk_id string, content string")
+    parents = spark.createDataFrame([(1, "p", "before it\nalpha \n beta gamma"), (2, "p", "another document's")], "document_id int, chunk_id string, content string")
+    got = [(r.item_id, r.kind, r.context_id, r.content) for r in R.hydrate(final, chunks, parents).collect()]
+    assert got == [("c1", "PARENT", "p", "before it gamma"), ("c1", "NEIGHBOR", "c2", "quite new")]
+
+
+def test_context_window_takes_half_of_the_budget_on_each_side(spark):
+    get = lambda p, c, n: spark.range(1).select(S.context_window(F.lit(p), F.lit(c), n)).first()[0]
+    assert get("a b c d, e CHILD x f. g h i j", "CHILD  x", 4) == "e f. g"  # the left side's last part: a b | c d | e
+    assert get("CHILD", "CHILD", 4) == "" and get("nothing", "CHILD", 4) == "" and get("x", "", 4) == ""
+
+
+def test_snapshots_hold_ranks_and_no_texts(spark):
+    stage = spark.createDataFrame([(1, i, f"e{i}", 0.5, "secret text") for i in range(1, 5)], "query_id int, rank int, evidenceId string, score double, content string")
+    made = R.snapshots({"rrf": stage}, 3, ("evidenceId", "score", "content"))
+    whole = F.concat(F.lit('{"question": "secret", "chunkerConfigHashes": [" b", "a", "a", ""], "stages": '), "snapshot", F.lit("}"))
+    got = json.loads(made.select(redaction.sanitized_snapshot(whole, 2)).first()[0])
+    assert got == {"chunkerConfigHashes": ["a", "b"], "stages": {"rrf": [{"evidenceId": f"e{i}", "rank": i, "score": 0.5} for i in (1, 2)]}}
+    clean = lambda f, text: json.loads(spark.range(1).select(f(F.lit(text))).first()[0])
+    assert clean(redaction.sanitized_item, '{"documentId": "d", "quote": "secret", "rank": 3}') == {"documentId": "d", "rank": 3}
+    assert clean(redaction.sanitized_filters, '{"scopeSpaceId": "s", "query": "secret"}') == {"scopeSpaceId": "s"}
+    assert clean(redaction.sanitized_parameters, '{"k": 60, "weights": {"qa_text": 1.5}, "note": "secret"}') == {"k": 60.0, "weights": {"qa_text": 1.5}}
+
+
+def test_redaction(spark):
+    get = lambda c: spark.range(1).select(c).first()[0]
+    assert get(S.redacted(F.lit("GET /?access_token=abc&x=1 and sk-ABCDEFGHIJKLMNOP"))) == "GET /?access_token=***REDACTED***&x=1 and ***REDACTED***"
+    assert get(S.redacted(F.lit("sent Bearer abc"))) == "***REDACTED***" and get(S.redacted(F.lit("nothing here"))) == "nothing here"
+    payload = F.create_map(*(F.lit(x) for x in ("API-Key", "x", "keyPrefix", "sk-ABCDEFGHIJKLMNOP", "note", "password=1 b", "n", "7")))
+    assert get(S.redacted_payload(payload)) == {"API-Key": "***REDACTED***", "keyPrefix": "sk-ABCDEFGHIJKLMNOP", "note": "password=***REDACTED*** b", "n": "7"}
 
 
 def test_quality_metrics(spark):

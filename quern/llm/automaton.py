@@ -18,6 +18,7 @@ import json
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -28,8 +29,6 @@ PIECE = 1 << 21
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 #: States kept before the table starts again, and columns of the table, which distinct bytes take as they are met.
 MAX_STATES, COLUMNS = 160_000, 128
-#: The white space of Unicode.
-WHITE_SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: What may follow an apostrophe in a contraction of its own.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
@@ -38,18 +37,57 @@ _START, _IN_LETTERS, _IN_NUMBERS, _IN_OTHERS, _AFTER_SPACE, _IN_SPACE, _ONE_LEFT
 _CONTINUES, _BEGINS, _DROPS = range(3)
 
 
+#: The planes that have characters. Code points of others are no letters, numbers or spaces.
+PLANES = (0, 1, 2, 3, 14)
+
+
+def _alphabet() -> Iterator[str]:
+    """The code points of PLANES but surrogates, in order, a part at a time."""
+    for plane in PLANES:
+        for low in range(plane << 16, plane + 1 << 16, 1 << 15):
+            yield "".join(map(chr, (c for c in range(low, low + (1 << 15)) if not 0xD800 <= c < 0xE000)))
+
+
 def _classes() -> np.ndarray:
+    """The class of each code point by the library's own tables, which may be of another Unicode version than Python's."""
+    from tokenizers import Regex, pre_tokenizers
+
     table = np.full(sys.maxunicode + 2, _OTHER, np.uint8)
-    kinds = "".join(unicodedata.category(chr(i))[0] for i in range(sys.maxunicode + 1))
-    kinds = np.frombuffer(kinds.encode(), np.uint8)
-    table[:-1][kinds == ord("L")] = _LETTER
-    table[:-1][kinds == ord("N")] = _NUMBER
-    table[list(WHITE_SPACE)] = _BLANK
+    runs = [(pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True), kind) for name, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _BLANK))]
+    for part in _alphabet():
+        codes = np.frombuffer(part.encode("utf-32-le"), "<u4")
+        for splitter, kind in runs:
+            for _, (low, high) in splitter.pre_tokenize_str(part):
+                table[codes[low:high]] = kind
     table[32] = _SPACE
     table[-1] = _PAD
     return table
 
 
+def _odd(normalizer) -> frozenset[str]:
+    """The characters that the normalizer (composition, then lower case) may treat in another way than Python does, alone
+    or beside others: those that the two tables lower differently, and those that Python doesn't know and the library
+    composes or moves. The last capital sigma and the dotted I depend on their neighbours."""
+    from tokenizers import normalizers
+
+    parted, odd, high, low = normalizers.NFD(), {"Σ", "İ"}, "\u0345", "\u0334"  # combining classes 240 and 1
+    for part in _alphabet():
+        part = part[128:] if part[0] == "\0" else part
+        joined = "\x01".join(part)
+        ours = unicodedata.normalize("NFC", joined.lower()).split("\x01")
+        theirs = normalizer.normalize_str(joined).split("\x01")
+        odd.update(c for c, x, y in zip(part, ours, theirs, strict=True) if x != y and not c.isspace())  # spaces part words in any form
+        new = [c for c in part if unicodedata.category(c) == "Cn"]
+        if not new:
+            continue
+        apart = parted.normalize_str("\x01".join(new)).split("\x01")
+        odd.update(x for c, d in zip(new, apart, strict=True) if c != d for x in (c, *d))
+        for mark in (low, high):
+            moved = parted.normalize_str("\x01".join(f"a{mark}{c}{mark}" for c in new)).split("\x01")
+            odd.update(c for c, x in zip(new, moved, strict=True) if len(x) == 4 and x != f"a{mark}{c}{mark}")
+    return frozenset(odd)
+
+
 def _splitter(drops_space: bool) -> tuple[np.ndarray, np.ndarray]:
     """Next state and mark for each (state, symbol)."""
     step, mark = np.zeros((8, 10), np.uint8), np.full((8, 10), _BEGINS, np.uint8)
@@ -315,6 +353,7 @@ class Transducer:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
         self.normalizer = self.library.normalizer
+        self.odd = _odd(self.normalizer) if self.normalizer is not None else frozenset()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.merger = Merger(spec["model"])
         self.classes = _classes()
@@ -325,9 +364,9 @@ class Transducer:
             return text
         if text.isascii():
             return text.lower()
-        if "Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text):
-            return self.normalizer.normalize_str(text)
-        return text.lower()
+        if self.odd.isdisjoint(text) and unicodedata.is_normalized("NFC", text):
+            return text.lower()
+        return self.normalizer.normalize_str(text)
 
     def _segments(self, texts: list[str]) -> tuple[list[str | int], list[int]]:
         """Texts cut at special strings, which become ids, and where long at a space that always begins a pre-token."""

@@ -1,68 +1,23 @@
-"""Helpers shared by the training-data operators: shared scratch folders, Arrow maps, raw files."""
+"""Helpers shared by the training-data operators: Arrow maps, record batches, raw files."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from quern.session import ship
+from quern.session import configure, ship
+from quern.storage import keep, materialize, release, scratch, shared_dir, temporary
 
-#: Rows and bytes of one Arrow batch handed to Python. Texts are whole documents, so few rows fill a batch.
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where it is unset (local runs, tests)."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="quern-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(base)
-    return base
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one. It is removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/quern-{uuid.uuid4().hex}/{name}"
-    if not _scratch:
-        atexit.register(_clear)
-    _scratch.append((spark, path))
-    return path
-
-
-def _clear() -> None:
-    for spark, path in _scratch:
-        try:
-            context = spark.sparkContext
-            target = context._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already
-            return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again, so that a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_map", "batch_of", "keep", "materialize", "open_store", "quoted", "release", "scratch", "shared_dir", "temporary", "texts_of"]
 
 
 def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """mapInArrow with batches bounded in rows and bytes."""
-    ship(df.sparkSession)
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """mapInArrow with batches bounded in rows and bytes, as configure sets them."""
+    ship(configure(df.sparkSession))
     return df.mapInArrow(function, schema)
 
 
@@ -74,6 +29,11 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def quoted(name: str) -> str:
+    """A column name for use in column expressions and type strings."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column as Python strings; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
@@ -86,16 +46,3 @@ def open_store(uri: str):
     if uri.startswith("s3a://"):
         uri = "s3://" + uri[6:]
     return fs.FileSystem.from_uri(uri)
-
-
-def write_once(uri: str, chunks: Iterable[bytes]) -> int:
-    """Write a file under a name of this attempt, then move it into place: a retried or doubled task leaves one file."""
-    store, path = open_store(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    attempt, size = f"{path}.{uuid.uuid4().hex}.tmp", 0
-    with store.open_output_stream(attempt, compression=None) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            size += len(chunk)
-    store.move(attempt, path)
-    return size

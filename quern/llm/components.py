@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.llm.common import materialize, release
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -27,14 +27,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node in links (columns a and b, any comparable type).
 
     Only nodes with a link to another are returned. Every round is written to shared storage, so a lost executor costs
-    one round. Rounds grow with the logarithm of a component's diameter; minima are pre-aggregated, so a node with very
+    one round, and the one before is removed. Rounds grow with the logarithm of a component's diameter; minima are pre-aggregated, so a node with very
     many links does not gather them.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()
     edges = materialize(edges, "links")
     seen = _signature(edges)
     while seen[0]:
-        edges = materialize(_step(edges), "links")
+        before, edges = edges, materialize(_step(edges), "links")
+        release(before)
         now = _signature(edges)
         if now == seen:
             break

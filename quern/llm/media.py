@@ -140,7 +140,7 @@ def _vbr_table(data: bytes, at: int, head: Header, track: Track) -> bool:
         track.toc = data[spot : spot + 100] if flags & 4 else b""
         track.table = name.decode()
         return True
-    if data[at + 36 : at + 40] == b"VBRI":
+    if data[at + 36 : at + 40] == b"VBRI" and head.size >= 54:  # a shorter frame has no room for the table
         track.table_bytes, track.table_frames = struct.unpack(">II", data[at + 46 : at + 54])
         track.table = "VBRI"
         return True

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -122,6 +123,12 @@ def _rate(steps: list[list[float]]) -> Column:
 
 def fit_rates(scored: DataFrame, targets: dict[str, float], kept: tuple[str, ...] = ()) -> Column:
     """The rate column for scored (posterior, n_tokens): nonnegative rates whose expected domain tokens meet the targets.
+    Warns if some target is out of reach, as of a domain without documents."""
+    return _fitted_rates(scored, targets, kept)[0]
+
+
+def _fitted_rates(scored: DataFrame, targets: dict[str, float], kept: tuple[str, ...]) -> tuple[Column, bool]:
+    """The rate column, and whether all domains are within ten times TOLERANCE of their goals.
 
     Least squares over token shares by projected gradient from rate 1. All documents move along their posterior, so a
     step is one vector of as many numbers as domains, and a rate is a fold over the steps: nothing but those vectors is
@@ -144,7 +151,7 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], kept: tuple[str, ...
     share, stays = np.array([targets[d] for d in DOMAINS]), np.array([d in kept for d in DOMAINS])
     budget = have.sum()
     if not budget or (stays.any() and not have[stays].sum()):
-        return F.lit(1.0)
+        return F.lit(1.0), False
     goal = share / share.sum() * budget
     if stays.any():
         goal = np.where(stays, have, share / share[stays].sum() * have[stays].sum())
@@ -162,7 +169,10 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], kept: tuple[str, ...
             steps.append(step.tolist())
         else:
             scale /= 2
-    return _rate(steps)
+    unmet = [f"{d}: {h / budget:.4f} for {g / budget:.4f}" for d, h, g in zip(DOMAINS, have, goal, strict=True) if abs(h - g) > 10 * TOLERANCE * budget]
+    if unmet:
+        warnings.warn(f"shares of tokens that are not met: {', '.join(unmet)}", stacklevel=3)
+    return _rate(steps), not unmet
 
 
 def mix(
@@ -172,15 +182,19 @@ def mix(
     targets: dict[str, float] = TARGETS,
     kept: tuple[str, ...] = (),
     nearest: bool = False,
+    tokens: str | None = None,
 ) -> DataFrame:
-    """doc_id, n_tokens (words), p_clean, p_low, p_toxic, domain (the likeliest), rate and copies of each row.
+    """doc_id, n_tokens, p_clean, p_low, p_toxic, domain (the likeliest), rate, copies and targets_met of each row.
 
-    copies is the rate rounded: to the nearest number, or up or down by a hash of doc_id so that its mean is the rate.
-    Null texts have no tokens and the priors; null doc_ids are rows like others; repeated rows get the same copies; an
-    empty table gives no rows; other columns are not read. No Python runs on the executors, and the scored rows, numbers
-    alone, are written to shared storage.
+    n_tokens is the column of docs that `tokens` names, as an operator of token counts gives it, or the number of words.
+    copies is the rate rounded: to the nearest number, or up or down by a hash of doc_id and text so that its mean is the
+    rate. targets_met is false on all rows if some target is out of reach. Null texts have no words and the priors; null
+    doc_ids are rows like others; repeated rows get the same copies; an empty table gives no rows; other columns are not
+    read. No Python runs on the executors, and the scored rows, numbers alone, are written to shared storage.
     """
-    _, scored, rate = fit_mix(docs, labelled_docs, labels, targets, kept)
+    classifier = fit_classifier(labelled_docs, labels)
+    scored = materialize(_scored(docs, classifier, tokens, F.col("doc_id")), "scored")
+    rate, met = _fitted_rates(scored, targets, kept)
     rated = scored.withColumn("rate", rate)
     top = F.array_position("posterior", F.array_max("posterior")).cast("int")
     return rated.select(
@@ -190,21 +204,19 @@ def mix(
         F.element_at(F.array(*map(F.lit, DOMAINS)), top).alias("domain"),
         "rate",
         _copies(nearest).alias("copies"),
+        F.lit(met).alias("targets_met"),
     )
 
 
-def _copies(nearest: bool) -> Column:
-    draw = F.lit(0.5) if nearest else (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) * F.lit(2.0**-53))
-    return F.floor(F.col("rate") + draw).cast("int")
+def _scored(docs: DataFrame, classifier: Classifier, tokens: str | None, *columns: Column) -> DataFrame:
+    """The columns with n_tokens, posterior and draw, a number from 0 to 1 by a hash of doc_id and text."""
+    count = F.col(tokens) if tokens else F.size(split_words(F.coalesce(F.col("text"), F.lit(""))))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("mix")), 11) * F.lit(2.0**-53)
+    return docs.select(*columns, count.cast("long").alias("n_tokens"), classifier.posterior(F.col("text")).alias("posterior"), draw.alias("draw"))
 
 
-def fit_mix(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, targets: dict[str, float], kept: tuple[str, ...]):
-    """The classifier, the scored rows (doc_id, n_tokens, posterior; in shared storage) and the rate as a column of them."""
-    classifier = fit_classifier(labelled_docs, labels)
-    words = F.size(split_words(F.coalesce(F.col("text"), F.lit("")))).cast("long")
-    scored = docs.select("doc_id", words.alias("n_tokens"), classifier.posterior(F.col("text")).alias("posterior"))
-    scored = materialize(scored, "scored")
-    return classifier, scored, fit_rates(scored, targets, kept)
+def _copies(nearest: bool) -> Column:
+    return F.floor(F.col("rate") + (F.lit(0.5) if nearest else F.col("draw"))).cast("int")
 
 
 def apply_mix(
@@ -214,10 +226,15 @@ def apply_mix(
     targets: dict[str, float],
     kept: tuple[str, ...] = (),
     nearest: bool = True,
+    tokens: str | None = None,
 ) -> DataFrame:
-    """docs with all their columns, each row as many times as its copies say. Texts are scored again, not shuffled."""
-    classifier, _, rate = fit_mix(docs, labelled_docs, labels, targets, kept)
-    scored = docs.select(F.struct("*").alias("_row"), "doc_id", classifier.posterior(F.col("text")).alias("posterior"))
-    counted = scored.withColumn("rate", rate).withColumn("_n", _copies(nearest)).filter("_n > 0")
+    """docs with all their columns, each row as many times as its copies say.
+
+    Null texts have the priors' rate, null doc_ids are rows like others, repeated rows get the same copies, and an empty
+    table gives an empty table. Texts are scored once: the rows are written to shared storage with their scores.
+    """
+    classifier = fit_classifier(labelled_docs, labels)
+    scored = materialize(_scored(docs, classifier, tokens, F.struct("*").alias("_row")), "scored")
+    counted = scored.withColumn("rate", _fitted_rates(scored, targets, kept)[0]).withColumn("_n", _copies(nearest)).filter("_n > 0")
     copied = counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
     return copied.select("_row.*")

@@ -28,6 +28,8 @@ class PerfectHash:
     @classmethod
     def of(cls, keys: np.ndarray) -> PerfectHash:
         """Each level takes the keys that have a bit of it to themselves; the next level takes the others."""
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two keys are equal: no function maps them one to one")
         sizes, levels, left = [], [], keys.astype(np.uint64)
         while len(left) and len(levels) < LEVELS:
             size = int(SPREAD * len(left)) + 1

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quern.llm.automaton import transducer
 from quern.llm.common import arrow_map, batch_of, texts_of
 
-#: Documents whose pieces one task packs, and bins that it holds open: enough for one each at the usual size.
-DOCS_PER_TASK, OPEN_BINS = 100_000, 1 << 17
+#: Documents whose pieces one task packs, bins that it holds open, and pieces that it looks ahead.
+DOCS_PER_TASK, OPEN_BINS, LOOK_AHEAD = 100_000, 1024, 4096
 
 
 class BestFit:
@@ -90,26 +90,39 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), cut, _DDL)
 
 
-def pack(pieces: DataFrame, tasks: int, capacity: int = 2048, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(pieces: DataFrame, tasks: int, capacity: int = 2048, open_bins: int = OPEN_BINS, look_ahead: int = LOOK_AHEAD) -> DataFrame:
     """pieces with sequence_id and offset. Each of `tasks` partitions packs its share with its own open bins.
 
-    Pieces come longest first, so that short ones fill what long ones leave; ties go by a hash, so that a task that runs
-    again repeats its packing.
+    Pieces arrive in the order of a hash, so that a task that runs again repeats its packing. Of the next `look_ahead`
+    pieces the longest go first, so that short ones fill what long ones leave; a piece that is packed is never moved.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
+
+        def placed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            rows = rows.take(pa.array(np.argsort(-np.asarray(rows["length"]), kind="stable")))
+            places = [bins.add(n) for n in rows["length"].to_pylist()]
+            ids, offsets = pa.array([base + b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())
+            yield from rows.append_column("sequence_id", ids).append_column("offset", offsets).cast(_PACKED).to_batches()
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            placed = [bins.add(n) for n in batch.column("length").to_pylist()]
-            ids, offsets = [base + b for b, _ in placed], [o for _, o in placed]
-            yield batch_of(_PACKED, [*(batch.column(f.name) for f in _PIECES), ids, offsets])
+            while batch.num_rows:
+                room = look_ahead - sum(b.num_rows for b in held)
+                held.append(batch.slice(0, room))
+                batch = batch.slice(min(room, batch.num_rows))
+                if sum(b.num_rows for b in held) == look_ahead:
+                    yield from placed(held)
+                    held = []
+        if held:
+            yield from placed(held)
 
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = pieces.repartition(tasks, "doc_id", "piece", "ids_crc32").sortWithinPartitions(
-        F.desc("length"), order, "doc_id", "piece", "start"
-    )
+    dealt = pieces.repartition(tasks, "doc_id", "piece", "ids_crc32").sortWithinPartitions(order, "doc_id", "piece", "start")
     return arrow_map(dealt, fill, f"{_DDL}, sequence_id long, offset long")
 
 
@@ -118,8 +131,8 @@ def best_fit_packing(docs: DataFrame, capacity: int = 2048, docs_per_task: int =
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts are empty documents of
     one token. Repeated rows are packed each for itself; a null doc_id stays null; an empty table gives no rows; other
-    columns are not read. Only numbers are shuffled, once, and the number of tasks follows the number of documents, so
-    a task holds a bounded number of pieces and at most OPEN_BINS open bins.
+    columns are not read. Only numbers are shuffled, once, and the number of tasks follows the number of documents. A task
+    holds at most LOOK_AHEAD pieces and OPEN_BINS open bins, however many pieces it packs.
     """
     tasks = max(1, math.ceil(docs.count() / docs_per_task))
     return pack(token_pieces(docs, capacity), tasks, capacity)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import quoted
+
 #: The white space between words, the characters counted as symbols.
 BLANKS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 #: Punctuation: a line fails if more than MAX_PUNCTUATION percent of its characters are of these.
@@ -18,6 +20,9 @@ BOILERPLATE_WORDS = 25
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie", "javascript", "click here",
     "read more", "sign up", "log in", "subscribe to", "share this", "powered by", "licensed under", "released under the",
+    "alle rechte vorbehalten", "datenschutz", "impressum", "nutzungsbedingungen", "mehr lesen", "jetzt anmelden",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "en savoir plus",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "leer más",
 )
 #: A document whose lines left hold under this percentage of its word characters is rejected.
 MIN_LEFT = 60
@@ -85,27 +90,30 @@ def line_fails(line: Column) -> Column:
     return let(trimmed(line), judge)
 
 
-def clean_text(text: Column) -> Column:
-    """The text without its failing lines. Lines without words stay if the text keeps any other line."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (trimmed(x) == "") | ~line_fails(x)), "\n")
+def kept_lines(text: Column) -> Column:
+    """The lines of a text that pass the rules, and those without words."""
+    return F.filter(F.split(text, "\n"), lambda x: (trimmed(x) == "") | ~line_fails(x))
 
 
-def quality_columns(text: Column) -> Column:
-    """All measures of a text as a struct. Null counts as empty."""
+def quality_columns(text: Column, with_text: bool = False) -> Column:
+    """All measures of a text as a struct, and with `with_text` the text of its kept lines. Null counts as empty."""
 
     def measured(t: Column) -> Column:
         def by_words(words: Column) -> Column:
-            lines = F.filter(F.split(t, "\n"), lambda x: trimmed(x) != "")
-            duplicate = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-            left = F.aggregate(F.filter(lines, lambda x: ~line_fails(x)), F.lit(0).cast("long"), lambda a, x: a + word_chars(x))
-            return F.struct(
-                F.size(words).cast("long").alias("n_words"),
-                word_chars(t).cast("long").alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-                duplicate.cast("long").alias("n_dup_lines"),
-                repeated_words(words).alias("n_repeat_words"),
-                left.alias("chars_left"),
-            )
+            def by_lines(kept: Column) -> Column:
+                lines = F.filter(F.split(t, "\n"), lambda x: trimmed(x) != "")
+                duplicate = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+                measures = [
+                    F.size(words).cast("long").alias("n_words"),
+                    word_chars(t).cast("long").alias("word_chars"),
+                    (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                    duplicate.cast("long").alias("n_dup_lines"),
+                    repeated_words(words).alias("n_repeat_words"),
+                    F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + word_chars(x)).alias("chars_left"),
+                ]
+                return F.struct(*measures, *([F.array_join(kept, "\n").alias("text")] if with_text else []))
+
+            return let(kept_lines(t), by_lines)
 
         return let(split_words(t), by_words)
 
@@ -118,10 +126,15 @@ def _verdict() -> tuple[Column, Column]:
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns, and their texts without failing lines."""
-    judged = docs.select(F.struct("*").alias("_row"), quality_columns(docs["text"]).alias("_q")).filter(_verdict()[1])
-    columns = (clean_text(F.col("_row.text")).alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns)
-    return judged.select(*columns)
+    """The rows of docs that the rules keep, with all their columns, and their texts without failing lines.
+
+    Null and empty texts go. Repeated rows and null doc_ids are rows like others; an empty table gives an empty table.
+    Lines without words stay with the rest. Each line is judged once: exploding an array of one struct keeps the
+    optimizer from working the measures out again for the filter.
+    """
+    measured = F.explode(F.array(quality_columns(docs["text"], with_text=True))).alias("_q")
+    judged = docs.select(F.struct(*(docs[quoted(c)] for c in docs.columns if c != "text")).alias("_row"), measured).filter(_verdict()[1])
+    return judged.select(*(F.col("_q.text") if c == "text" else F.col(f"_row.{quoted(c)}") for c in docs.columns))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

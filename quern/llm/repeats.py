@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, batch_of, materialize, texts_of
+from quern.llm.common import arrow_map, batch_of, keep, materialize, quoted, temporary, texts_of
 
 #: Bytes of a repeated string, and of a trigger.
 LENGTH, ANCHOR = 200, 64
@@ -167,8 +167,9 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-_PHRASE = "key long, ctx long, doc_id long, mark int, at int, n int"
-_SPAN = "doc_id long, mark int, at int, n int"
+#: m1 and m2 name a text: two 64-bit hashes. What repeats in a text depends on its bytes alone, so copies share one name.
+_PHRASE = "key long, ctx long, m1 long, m2 long, at int, n int"
+_SPAN = "m1 long, m2 long, at int, n int"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -188,7 +189,7 @@ def _groups(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
 
 
 def phrases(docs: DataFrame) -> DataFrame:
-    """The parse of every text: a row per phrase. docs has doc_id, mark (a hash of the text) and text."""
+    """The parse of every text: a row per phrase. docs has m1 and m2, the text's name, and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _schema(_PHRASE)
@@ -198,39 +199,47 @@ def phrases(docs: DataFrame) -> DataFrame:
                 sizes = np.fromiter(map(len, raw[a:b]), np.int64, b - a)
                 data = np.frombuffer(b"".join(raw[a:b]), np.uint8)
                 text, key, ctx, at, n = parse(data, np.cumsum(sizes) - sizes, sizes)
-                rows = batch.select(["doc_id", "mark"]).slice(a, b - a).take(pa.array(text))  # not the texts
-                yield batch_of(out, [key.view(np.int64), ctx.view(np.int64), rows.column("doc_id"), rows.column("mark"), at.astype(np.int32), n.astype(np.int32)])
+                rows = batch.select(["m1", "m2"]).slice(a, b - a).take(pa.array(text))  # not the texts
+                yield batch_of(out, [key.view(np.int64), ctx.view(np.int64), *rows.columns, at.astype(np.int32), n.astype(np.int32)])
 
-    return arrow_map(docs, run, _PHRASE)
+    return arrow_map(docs.select("m1", "m2", "text"), run, _PHRASE)
 
 
-def _same_doc(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    right = right.withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
-    joined = left.join(right, (left["mark"] == right["_m"]) & left["doc_id"].eqNullSafe(right["_d"]), how)
-    return joined.drop("_d", "_m")
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with the name of each text."""
+    return docs.withColumns({"m1": F.xxhash64("text"), "m2": F.xxhash64(F.lit(1), "text")})
 
 
 def _dictionary(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (key, hot, copies, doc_id, mark, at, n) with the bytes of each phrase."""
-    ddl = "key long, hot int, copies int, doc_id long, mark int, at int, n int, bytes binary"
-    lists = wanted.groupBy("doc_id", "mark").agg(
+    """wanted (key, hot, copies, m1, m2, at, n) with the bytes of each phrase.
+
+    Bytes are read from one row of each text, that with the least doc_id; where several have it they lie side by side
+    after the join, and the first is read.
+    """
+    ddl = "key long, hot int, copies int, m1 long, m2 long, at int, n int, bytes binary"
+    lists = wanted.groupBy("m1", "m2").agg(
         F.collect_list(F.struct("key", F.col("hot").cast("int").alias("hot"), F.least("copies", F.lit(2)).cast("int").alias("copies"), "at", "n")).alias("ps")
     )
+    first = docs.groupBy("m1", "m2").agg(F.min("doc_id").alias("least"))
+    lists = lists.join(first, ["m1", "m2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _schema(ddl)
+        out, last = _schema(ddl), None
         for batch in batches:
             rows: list[list] = [[] for _ in out]
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "mark", "text", "ps"))
-            for doc_id, mark, text, ps in zip(*columns, strict=True):
-                raw = (text or "").encode()
+            columns = (batch.column(c).to_pylist() for c in ("m1", "m2", "text", "ps"))
+            for m1, m2, text, ps in zip(*columns, strict=True):
+                if last == (m1, m2):
+                    continue
+                raw, last = (text or "").encode(), (m1, m2)
                 for p in ps:
                     part = raw[p["at"] : p["at"] + p["n"] - 1 + LENGTH]
-                    for column, value in zip(rows, (p["key"], p["hot"], p["copies"], doc_id, mark, p["at"], p["n"], part), strict=True):
+                    for column, value in zip(rows, (p["key"], p["hot"], p["copies"], m1, m2, p["at"], p["n"], part), strict=True):
                         column.append(value)
             yield batch_of(out, rows)
 
-    return arrow_map(_same_doc(docs, lists, "inner").select("doc_id", "mark", "text", "ps"), run, ddl)
+    held = docs.join(lists, ["m1", "m2"]).filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    return arrow_map(held.select("m1", "m2", "text", "ps"), run, ddl)
 
 
 def _by_suffix_array(dictionary: DataFrame) -> DataFrame:
@@ -265,41 +274,43 @@ def _by_suffix_array(dictionary: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    dealt = dictionary.filter("hot = 0").select("key", "copies", "doc_id", "mark", "at", "n", "bytes")
+    dealt = dictionary.filter("hot = 0").select("key", "copies", "m1", "m2", "at", "n", "bytes")
     return arrow_map(dealt.repartition("key").sortWithinPartitions("key"), run, _SPAN)
 
 
 def _by_names(dictionary: DataFrame) -> DataFrame:
     """The same for triggers with very many phrases: strings are named, and names counted, over all tasks."""
-    ddl = "h1 long, h2 long, copies int, doc_id long, mark int, at int"
+    ddl = "h1 long, h2 long, copies int, m1 long, m2 long, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _schema(ddl)
         for batch in batches:
-            for copies, doc_id, mark, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for copies, m1, m2, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(raw, np.uint8)
                 names = [h.windows(h.prefixes(data), LENGTH).view(np.int64) for h in _ROLLING]
-                yield batch_of(out, [*names, [copies] * n, [doc_id] * n, [mark] * n, np.arange(at, at + n, dtype=np.int32)])
+                yield batch_of(out, [*names, [copies] * n, [m1] * n, [m2] * n, np.arange(at, at + n, dtype=np.int32)])
 
-    picked = dictionary.filter("hot = 1").select("copies", "doc_id", "mark", "at", "n", "bytes")
+    picked = dictionary.filter("hot = 1").select("copies", "m1", "m2", "at", "n", "bytes")
     named = arrow_map(picked, run, ddl)
     often = named.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).filter("c > 1")
-    return named.join(often, ["h1", "h2"]).select("doc_id", "mark", "at", F.lit(1).alias("n"))
+    return named.join(often, ["h1", "h2"]).select("m1", "m2", "at", F.lit(1).alias("n"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, at, n: in the text, each of the n strings of LENGTH bytes from byte `at` on is elsewhere too."""
+    """m1, m2, at, n: in the text of that name, each of the n strings of LENGTH bytes from byte `at` on is elsewhere too."""
     rows = phrases(docs)
     keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("c > 1")
     # written first, so that the join deals out both sides itself and may split the rows of a frequent trigger
     keys = materialize(keys.select("key", F.expr("lo = hi").alias("one")), "triggers")
     met = materialize(rows.join(keys, "key"), "phrases")
-    whole = met.filter("one").select("doc_id", "mark", "at", "n")
+    whole = met.filter("one").select("m1", "m2", "at", "n")
     mixed = met.filter("not one")
-    first = F.min(F.struct("doc_id", "mark", "at", "n")).alias("first")
+    first = F.min(F.struct("m1", "m2", "at", "n")).alias("first")
     distinct = mixed.groupBy("key", "ctx").agg(F.count("*").alias("copies"), first)
     distinct = materialize(distinct, "dictionary")
-    often = mixed.join(distinct.filter("copies > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("doc_id", "mark", "at", "n")
+    # written by themselves, so that their size is known when the join is planned: few are broadcast, many may be split
+    twice = materialize(distinct.filter("copies > 1").select("key", "ctx"), "repeated-phrases")
+    often = mixed.join(twice, ["key", "ctx"], "left_semi").select("m1", "m2", "at", "n")
     sizes = distinct.groupBy("key").agg(F.count("*").alias("phrases"))
     wanted = distinct.join(sizes, "key").select("key", (F.col("phrases") > GATHERED).alias("hot"), "copies", "first.*")
     dictionary = materialize(_dictionary(docs, wanted), "phrase-bytes")
@@ -324,11 +335,15 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int, in
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id as long, text and others) with mark and spans, null where nothing repeats."""
-    marked = docs.withColumn("mark", F.hash("text"))
-    spans = repeated_spans(marked.select("doc_id", "mark", "text"))
-    spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    return _same_doc(marked, spans, "left")
+    """docs (doc_id as long, text and others) with m1, m2 and spans, null where nothing repeats.
+
+    Copies of a text find the same spans; the set keeps them once, before and after the shuffle.
+    """
+    named = _named(docs)
+    with temporary():
+        spans = repeated_spans(named.select("doc_id", "m1", "m2", "text"))
+        spans = keep(spans.groupBy("m1", "m2").agg(F.collect_set(F.struct("at", "n")).alias("spans")), "spans")
+    return named.join(spans, ["m1", "m2"], "left")
 
 
 def _whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -356,7 +371,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     LENGTH bytes that starts anywhere else in the corpus too.
 
     Texts are judged as UTF-8 bytes on the input; null is empty. Repeated rows repeat each other, so all their bytes go
-    if there are LENGTH or more; a null doc_id is kept; an empty table gives no rows; other columns are not read.
+    if there are LENGTH or more; rows with a null doc_id are rows like others; an empty table gives no rows; other
+    columns are not read.
     """
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -380,12 +396,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with all their columns, their texts without repeated strings; rows with nothing but white space left go.
 
     Bytes at a removed run's edge that are part of a character stay. Texts without repeats stay as they are, null too.
+    Repeated rows repeat each other and go if they have LENGTH bytes or more; rows with a null doc_id are rows like
+    others; an empty table gives an empty table.
     """
     others = [c for c in docs.columns if c != "text"]
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*others).alias("others"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*map(quoted, others)).alias("others"))
     joined = _with_spans(slim).select("text", "spans", "others")
     kinds = dict(docs.dtypes)
-    ddl = f"text string, others struct<{', '.join(f'`{c}`: {kinds[c]}' for c in others)}>"
+    ddl = f"text string, others struct<{', '.join(f'{quoted(c)}: {kinds[c]}' for c in others)}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,4 +419,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), rest], ["text", "others"])
 
     cleaned = arrow_map(joined, run, ddl)
-    return cleaned.select(*(F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns))
+    return cleaned.select(*(F.col("text") if c == "text" else F.col(f"others.{quoted(c)}") for c in docs.columns))

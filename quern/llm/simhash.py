@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, batch_of, materialize, texts_of
+from quern.llm.common import arrow_map, batch_of, keep, materialize, temporary, texts_of
 from quern.llm.components import connected_components
 
 #: A block with more fingerprints than this is linked through one-bit neighbours, not through its pairs.
@@ -106,21 +106,21 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
     not read. Equal fingerprints are one node, so exact copies of any number cost nothing in the joins.
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = connected_components(fingerprint_links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    named = joined.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = joined.join(named, "component").select("fp", "component_id")
-    names = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    names = materialize(names, "names")  # so that the join may split the rows of a frequent fingerprint
+    with temporary():
+        nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        joined = connected_components(fingerprint_links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+        named = joined.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+        linked = joined.join(named, "component").select("fp", "component_id")
+        names = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+        names = keep(names, "names")  # so that the join may split the rows of a frequent fingerprint
     return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Similarity mode: a fingerprint of SYMBOLS symbols, cut into SYMBOLS / BAND bands.
 SYMBOLS, BAND = 126, 3
-#: As BLOCK_PAIRS, for bands. No result depends on it: what larger bands don't link is found by shared shingles.
-BAND_PAIRS = 6
-#: Orders from which a band's head is taken. Of one order, large bands of a group have few different heads.
-HEADS = 12
+#: As BLOCK_PAIRS, for bands; orders from which a larger band's head is taken. No result depends on these: what larger bands
+#: don't link is found by shared shingles.
+BAND_PAIRS, HEADS = 6, 12
 _MIX = np.random.default_rng(42).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -134,71 +134,62 @@ def symbols(hashes: np.ndarray) -> np.ndarray:
 
 
 def _symbol_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), symbols and the key of each band. Texts of fewer words are their own shingle."""
-    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("symbols", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, node (a hash of the set of shingles) and the key of each band. Texts of fewer words are their own shingle."""
+    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, prints, bands = [], [], []
+            nodes, bands = [], []
             for text in texts_of(batch):
                 hashes = np.unique(shingle_hashes(text, words))
                 raw = symbols(hashes).tobytes()
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
-                prints.append(raw)
                 bands.append([xxhash.xxh64_intdigest(raw[i : i + 4 * BAND], i) for i in range(0, 4 * SYMBOLS, 4 * BAND)])
             keys = np.array(bands, np.uint64).view(np.int64).tolist()
-            yield batch_of(out, [batch.column("doc_id"), np.array(nodes, np.uint64).view(np.int64), prints, keys])
+            yield batch_of(out, [batch.column("doc_id"), np.array(nodes, np.uint64).view(np.int64), keys])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, symbols binary, bands array<long>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, bands array<long>")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, differing: int) -> DataFrame:
-    """Pairs a, b of nodes whose fingerprints differ in at most `differing` symbols."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SYMBOLS) for c in ("sa", "sb"))
-            near = np.flatnonzero((left != right).sum(axis=1) <= differing)
-            picked = batch.take(pa.array(near))
-            yield batch_of(out, [picked.column("a"), picked.column("b")])
-
-    a, b = (nodes.select(F.col("node").alias(n), F.col("symbols").alias(f"s{n}")) for n in "ab")
-    return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+#: Bits of the filter by doc_id that stands before shingles are made again: 2 MB at any size of the input.
+FILTER_BITS = 24
 
 
-#: Bits of the filter by doc_id that stands before shingles are made again.
-FILTER_BITS = 24
+def _slot(doc_id: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - FILTER_BITS)
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for each slot that some doc_id of ids has. Spark sets the bits; 512 parts of 4 KB come to the driver."""
+    slots = ids.select((_slot(F.col("least")) + 1).alias("s"))  # bit positions count from 1
+    parts = slots.groupBy(F.bitmap_bucket_number("s").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    out = np.zeros((1 << FILTER_BITS - 15, 1 << 12), np.uint8)
+    for row in parts.collect():
+        out[row["part"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node and its sorted distinct shingles, 8 bytes each, of the wanted nodes (node, least). Other texts are not shuffled."""
-    ids = wanted.select("least").distinct().toArrow().column("least")
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[_slots(ids.drop_null().to_numpy())] = True
-    packed, nulls = np.packbits(bits), ids.null_count > 0
+    """node and its sorted distinct shingles, 8 bytes each, of the wanted nodes (node, least). Other texts are not shuffled:
+    a filter of fixed size leaves most of them out before their shingles are made; the join decides."""
+    bits = _bitmap(wanted)
     out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            column = batch.column("doc_id")
-            at = _slots(column.fill_null(0).to_numpy(zero_copy_only=False))
-            hit = (packed[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
-            hit = np.where(column.is_null().to_numpy(zero_copy_only=False), nulls, hit > 0)
+            at = np.asarray(batch.column("slot"))
+            hit = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
             batch = batch.take(pa.array(np.flatnonzero(hit)))
             sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts_of(batch)]
             nodes = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
             yield batch_of(out, [batch.column("doc_id"), nodes, sets])
 
-    made = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, shingles binary")
+    doc_id = F.col("doc_id").cast("long")
+    made = arrow_map(docs.select(doc_id.alias("doc_id"), _slot(doc_id).alias("slot"), "text"), run, "doc_id long, node long, shingles binary")
     found = made.join(wanted.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     return found.select("node", "shingles").dropDuplicates(["node"])
 
@@ -222,12 +213,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _apart(sets: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of nodes of different components (node, component), all that may be similar by `similarity` among them.
+def _front(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, size, shingle and rest of the shingles at each node's front.
 
     With shingles in one order, the rarest first, similar sets have their first common one near the front of both: what
-    follows it must suffice for the similarity. So nodes are joined on shingles of their front, and only where those lie
-    far enough to the front for both sizes. The test holds for every similar pair, so none is left out.
+    follows it must suffice for the similarity. rest is how many shingles a set has from this one on. Those that no other
+    set has come before all and are left out.
     """
     out = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("shingle", pa.int64())])
 
@@ -237,40 +228,52 @@ def _apart(sets: DataFrame, components: DataFrame, similarity: float) -> DataFra
                 hashes = np.frombuffer(raw, "<i8")
                 yield batch_of(out, [np.full(len(hashes), node, np.int64), np.full(len(hashes), len(hashes), np.int32), hashes])
 
-    each = materialize(arrow_map(sets, run, "node long, size int, shingle long"), "shingles")
+    each = materialize(arrow_map(sets.select("node", "shingles"), run, "node long, size int, shingle long"), "shingles")
     counts = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
     order = F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common")
     known = each.join(counts, "shingle").groupBy("node", "size").agg(order).withColumn("own", F.col("size") - F.size("common"))
     front = known.select("node", "size", "own", F.posexplode("common").alias("k", "s"))
-    front = front.select("node", "size", (F.col("size") - F.col("own") - F.col("k")).alias("rest"), F.col("s.shingle").alias("shingle"))
-    front = front.filter(F.col("rest") >= F.ceil(F.col("size") * similarity - 1e-9)).join(components, "node")
-    mixed = front.groupBy("shingle").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("shingle")
-    front = materialize(front.join(mixed, "shingle"), "front")
+    front = front.select("node", "size", F.col("s.shingle").alias("shingle"), (F.col("size") - F.col("own") - F.col("k")).alias("rest"))
+    return materialize(front.filter(F.col("rest") >= F.ceil(F.col("size") * similarity - 1e-9)), "front")
+
+
+def _mixed_front(front: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of front (with component) whose shingle stands at the front in several components."""
+    known = front.join(labels, "node")
+    mixed = known.groupBy("shingle").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h")
+    return materialize(known.join(mixed.select("shingle"), "shingle"), "mixed")
+
+
+def _reachable(x: dict[str, Column], y: dict[str, Column], similarity: float) -> Column:
+    """Whether sets whose first common shingle is this one may have the similarity: what follows it suffices in both, and
+    so does the smaller set."""
+    least = F.ceil((x["size"] + y["size"]) * (similarity / (1 + similarity)) - 1e-9)
+    return (x["component"] != y["component"]) & (F.least(x["rest"], y["rest"], x["size"], y["size"]) >= least)
+
+
+def _all_apart(front: DataFrame, similarity: float) -> DataFrame:
+    """All pairs a, b of nodes of different components that may be similar. The test of the front holds for every similar
+    pair, so none is left out."""
     a, b = (front.select("shingle", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "rest", "component"))) for n in "ab")
-    least = F.ceil((F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-9)
-    met = (
-        (a["shingle"] == b["shingle"])
-        & (F.col("component_a") != F.col("component_b"))
-        & (F.struct("size_a", "node_a") < F.struct("size_b", "node_b"))
-        & (F.least("rest_a", "rest_b", "size_a") >= least)
-    )
+    x, y = ({c: F.col(f"{c}_{n}") for c in ("component", "size", "rest")} for n in "ab")
+    met = (a["shingle"] == b["shingle"]) & (F.col("node_a") < F.col("node_b")) & _reachable(x, y, similarity)
     return a.join(b, met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _meetings(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs a, b of nodes that share keys: all of them in small buckets; in large ones those with a head, which differs
-    from bucket to bucket; and the rows of large buckets."""
-    head = F.min_by("node", F.xxhash64("node", F.col(keys[0]) % HEADS)).alias("head")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), head).filter("n > 1")
-    met = materialize(rows.join(sizes, list(keys)), "bands")
-    few = met.filter(F.col("n") <= BAND_PAIRS).select(*keys, "node")
-    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), list(keys)).filter("a < b")
+def _meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of nodes that share a band: all of them in small bands, those with a head in large ones, which differs
+    from band to band; and the rows of large bands."""
+    head = F.min_by("node", F.xxhash64("node", F.col("band") % HEADS)).alias("head")
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), head).filter("n > 1")
+    met = materialize(rows.join(sizes, ["band", "key"]), "bands")
+    few = met.filter(F.col("n") <= BAND_PAIRS).select("band", "key", "node")
+    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["band", "key"]).filter("a < b")
     many = met.filter(F.col("n") > BAND_PAIRS)
     stars = many.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
-    return pairs.select("a", "b"), stars, many.select(*keys, "node")
+    return pairs.select("a", "b").union(stars), many.select("band", "key", "node")
 
 
-#: Bands in a group: two near fingerprints agree on more bands than there are groups, so on two in one group.
+#: Bands in a group, for pairs of bands: two near fingerprints agree on more bands than there are groups, so on two in one.
 GROUP = 6
 
 
@@ -282,50 +285,53 @@ def _band_pairs() -> Column:
     return F.array(*(F.struct(F.lit(k).alias("band"), key(i, j).alias("key")) for k, (i, j) in enumerate(pairs)))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after links a, b of nodes: their components become one."""
+    ends = labels.select(F.col("node").alias("n"), F.col("component").alias("c"))
+    pairs = links.join(ends, links["a"] == ends["n"]).select("b", F.col("c").alias("a"))
+    pairs = pairs.join(ends, pairs["b"] == ends["n"]).select("a", F.col("c").alias("b")).distinct()
+    names = connected_components(pairs).select(F.col("node").alias("component"), F.col("component").alias("name"))
+    named = labels.join(names, "component", "left").select("node", F.coalesce("name", "component").alias("component"))
+    return materialize(named, "labels")
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of each row: rows whose shingles of `words` words are similar by `similarity` or more.
 
     Similarity is the Jaccard similarity of the sets of shingles (of their 64-bit hashes), and every linked pair has it
     exactly. At 0.8 two 64-bit SimHashes differ in about 10 bits, which no pigeonhole of few blocks finds. So candidates
-    come from a fingerprint of SYMBOLS min-wise symbols: cut into bands, joined on bands, and left out if the number of
-    differing symbols is 6.5 standard errors above the expected one. A pair at similarity 0.8 meets in no band with
-    chance 1e-13, and has more differing symbols with chance 2e-9. Bands of over BAND_PAIRS fingerprints, as of thousands
-    of copies, are not compared pair by pair: there each is compared with a head, the least of them by one of HEADS
-    orders, and its pairs of bands are joined in the same way. Where such a band still holds several components after
-    that, its fingerprints are compared by shared shingles (_apart), which leaves out no similar pair of two components.
+    come from a fingerprint of SYMBOLS min-wise symbols, cut into bands and joined on bands; a pair at similarity 0.8
+    meets in no band with chance 1e-13. Bands of over BAND_PAIRS fingerprints, as of thousands of near copies, are not
+    compared pair by pair: there each is compared with a head, the least of them by one of HEADS orders, and its pairs of
+    bands are joined in the same way. Fingerprints of such bands that hold several components after that are compared by
+    the shingles at their front, of which every two similar ones share one: all pairs of two components that may be
+    similar. So this second step leaves out no similar pair.
 
     Null and wordless texts are equal to each other. Rows with a null doc_id take part and stay null. Repeated rows keep
     their number; an empty table gives no rows; other columns are not read.
     """
-    differing = int(SYMBOLS * (1 - similarity) + 6.5 * (SYMBOLS * similarity * (1 - similarity)) ** 0.5)
-    rows = materialize(_symbol_rows(docs, words), "symbols")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("symbols").alias("symbols"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "nodes")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    pairs, stars, crowded = _meetings(banded, "band", "key")
-    again = nodes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode(_band_pairs()).alias("p"))
-    more_pairs, more_stars, _ = _meetings(again.select("node", "p.band", "p.key"), "band", "key")
-    near = pairs.union(stars).union(more_pairs).union(more_stars).distinct()
-    near = materialize(_likely(near, nodes, differing), "candidates")
-    least = nodes.select("node", "least")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(_shingle_sets(docs, wanted.join(least, "node"), words), "sets")
-    links = materialize(_verified(near, sets, similarity), "links")
-    joined = materialize(connected_components(links), "joined")
-    labels = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    seen = crowded.join(materialize(labels, "labels"), "node")
-    mixed = seen.groupBy("band", "key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h")
-    left = materialize(seen.join(mixed, ["band", "key"]).select("node", "component").distinct(), "left")
-    if not left.isEmpty():
-        sets = materialize(_shingle_sets(docs, left.select("node").join(least, "node"), words), "sets")
-        apart = materialize(_apart(sets, left, similarity), "apart")
-        joined = connected_components(links.union(_verified(apart, sets, similarity)))
-    named = joined.withColumnRenamed("node", "n").join(nodes.select(F.col("node").alias("n"), "least"), "n")
-    named = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = joined.join(named, "component").select("node", "component_id")
-    names = nodes.select("node", "least").join(known, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    names = materialize(names, "names")
-    return rows.select("doc_id", "node").join(names, "node").select("doc_id", "component_id")
+    with temporary():
+        rows = materialize(_symbol_rows(docs, words), "symbols")
+        nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+        nodes = materialize(nodes, "nodes")
+        least = nodes.select("node", "least")
+        pairs, crowded = _meetings(nodes.select("node", F.posexplode("bands").alias("band", "key")))
+        again = nodes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode(_band_pairs()).alias("p"))
+        near = materialize(pairs.union(_meetings(again.select("node", "p.band", "p.key"))[0]).distinct(), "candidates")
+        ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = materialize(_shingle_sets(docs, ends.join(least, "node"), words), "sets")
+        links = materialize(_verified(near, sets, similarity), "links")
+        labels = _joined(nodes.select("node", F.col("node").alias("component")), links)
+        seen = crowded.join(labels, "node")
+        mixed = seen.groupBy("band", "key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h")
+        left = materialize(seen.join(mixed.select("band", "key"), ["band", "key"]).select("node").distinct(), "left")
+        if not left.isEmpty():
+            sets = materialize(_shingle_sets(docs, left.join(least, "node"), words), "sets")
+            near = materialize(_all_apart(_mixed_front(_front(sets, similarity), labels), similarity), "apart")
+            labels = _joined(labels, materialize(_verified(near, sets, similarity), "links"))
+        named = labels.join(least, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+        names = materialize(labels.join(named, "component").select("node", "component_id"), "names")
+        return keep(rows.select("doc_id", "node").join(names, "node").select("doc_id", "component_id"), "components")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

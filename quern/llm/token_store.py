@@ -23,8 +23,8 @@ from quern.llm.automaton import transducer
 from quern.llm.common import arrow_map, batch_of, materialize, open_store, scratch, texts_of
 from quern.llm.mph import PerfectHash, fingerprints, mix
 
-#: Documents in a shard, about; bytes read at once; rows of the manifest that are broadcast.
-DOCS_PER_SHARD, READ_BYTES, MANIFEST_ROWS = 16_384, 4 << 20, 100_000
+#: Documents in a shard, about; bytes read at once.
+DOCS_PER_SHARD, READ_BYTES = 16_384, 4 << 20
 MAGIC = b"QUERNTK1"
 _NULL_KEY = np.uint64(0xA5A5A5A5A5A5A5A5)
 
@@ -108,44 +108,66 @@ class ShardReader:
         return np.frombuffer(self.block, "<u2", length, low - self.first)
 
 
-def shard_bounds(docs: DataFrame, docs_per_shard: int) -> list[int]:
-    """Ascending doc_ids that begin shards. Only the doc_id column is read, and one number per shard comes back."""
+_KEY = np.dtype([("known", "i1"), ("doc_id", "<i8"), ("salt", "<i8")])
+
+
+def _salted(docs: DataFrame) -> DataFrame:
+    """doc_id, a salt that parts rows of one doc_id, and text. A task that runs again salts its rows alike."""
+    salt = F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("salt")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), salt, "text")
+
+
+def _places(doc_ids: pa.Array, salts: pa.Array) -> np.ndarray:
+    """(known, doc_id, salt) of rows, in the order of shards: null doc_ids come first."""
+    out = np.zeros(len(doc_ids), _KEY)
+    out["known"] = np.asarray(doc_ids.is_valid())
+    out["doc_id"] = np.asarray(doc_ids.fill_null(0))
+    out["salt"] = np.asarray(salts)
+    return out
+
+
+def shard_bounds(docs: DataFrame, docs_per_shard: int) -> np.ndarray:
+    """The least (known, doc_id, salt) of each shard but the first, ascending: one row for docs_per_shard documents.
+
+    Spark's range partitioning of doc_id and salt alone gives them, so no text is read and a frequent doc_id is parted.
+    """
     shards = max(1, math.ceil(docs.count() / docs_per_shard))
-    cuts = [i / shards for i in range(1, shards)]
-    if not cuts:
-        return []
-    found = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * shards)).alias("b")).first()["b"]
-    return sorted(set(found or []))
+    if shards == 1:
+        return np.zeros(0, _KEY)
+    keys = _salted(docs).select(F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "salt")
+    dealt = keys.repartitionByRange(shards, "known", "doc_id", "salt")
+    least = dealt.groupBy(F.spark_partition_id().alias("shard")).agg(F.min(F.struct("known", "doc_id", "salt")).alias("least"))
+    return np.array(sorted(tuple(r["least"]) for r in least.collect())[1:], _KEY)
 
 
-def _with_shard(batch: pa.RecordBatch, bounds: list[int]) -> np.ndarray:
-    ids = batch.column("doc_id")
-    known = np.array([bounds[0] - 1 if d is None else d for d in ids.to_pylist()] if bounds else [0] * len(ids), np.int64)
-    return np.searchsorted(np.array(bounds, np.int64), known, side="right")
+_STORED = "shard int, path string, doc_id long, turn_key long, n_docs long, n_ids long"
 
 
 def write_token_store(
-    docs: DataFrame, folder: str, bounds: list[int], vocabulary: str = "word_bpe_49k.json", end_id: int = 1
-) -> DataFrame:
-    """Writes the shards below folder and returns their manifest: shard, path, n_docs, n_ids.
+    docs: DataFrame, folder: str, bounds: np.ndarray, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """Writes the shards below folder. Returns the manifest (shard, path, n_docs, n_ids) and the keys (shard, path, doc_id
+    and the document's 64-bit key), both in shared storage.
 
-    Ids must be below 65536. Rows are sorted by doc_id, then ids; nulls come first. Rows with one doc_id are told
-    apart by their place among each other.
+    Ids must be below 65536. Shards are ranges of doc_id, dealt one to a task by their number; rows are sorted by doc_id,
+    nulls first. Rows with one doc_id are told apart by their place among each other in the shard.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(vocabulary)
-        out = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+        out = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("salt", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             ids = [np.append(x, end_id).astype("<u2").tobytes() for x in machine.ids(texts_of(batch))]
-            yield batch_of(out, [_with_shard(batch, bounds).astype(np.int32), batch.column("doc_id"), ids])
+            places = _places(batch.column("doc_id"), batch.column("salt"))
+            shards = np.searchsorted(bounds, places, side="right").astype(np.int32)
+            yield batch_of(out, [shards, batch.column("doc_id"), batch.column("salt"), ids])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        out = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("doc_id", pa.int64()), ("turn_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         shard, writer, seen = None, None, {}
 
         def done():
-            return batch_of(out, [[shard], [_name(folder, shard)], *([x] for x in writer.close())])
+            return batch_of(out, [[shard], [_name(folder, shard)], [None], [None], *([x] for x in writer.close())])
 
         for batch in batches:
             shards = np.array(batch.column("shard"))
@@ -158,34 +180,34 @@ def write_token_store(
                     shard, seen = int(shards[part[0]]), {}
                     writer = ShardWriter(_name(folder, shard))
                 rows = batch.slice(int(part[0]), len(part))
-                writer.add(document_keys(rows.column("doc_id").to_pylist(), seen), rows.column("ids").to_pylist())
+                ids, nothing = rows.column("doc_id"), pa.nulls(len(part), pa.int64())
+                keys = document_keys(ids.to_pylist(), seen)
+                writer.add(keys, rows.column("ids").to_pylist())
+                names = pa.array([_name(folder, shard)] * len(part))
+                yield batch_of(out, [shards[part], names, ids, keys.view(np.int64), nothing, nothing])
         if writer:
             yield done()
 
-    picked = docs.select(F.col("doc_id").cast("long"), "text")
-    encoded = arrow_map(picked, encode, "shard int, doc_id long, ids binary")
-    dealt = encoded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    return materialize(arrow_map(dealt, save, "shard int, path string, n_docs long, n_ids long"), "manifest")
+    encoded = arrow_map(_salted(docs), encode, "shard int, doc_id long, salt long, ids binary")
+    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "salt")
+    stored = materialize(arrow_map(dealt, save, _STORED), "manifest")
+    keys = stored.filter("turn_key is not null").select("shard", "path", "doc_id", "turn_key")
+    return stored.filter("turn_key is null").select("shard", "path", "n_docs", "n_ids"), keys
 
 
 def _name(folder: str, shard: int) -> str:
     return f"{folder}/tokens-{shard:06d}.bin"
 
 
-def read_token_store(keys: DataFrame, manifest: DataFrame, bounds: list[int]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every row of keys, read from the shards by key.
+def read_token_store(keys: DataFrame, manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row of keys (shard, path, doc_id, turn_key), read by key.
 
     start counts the ids of all documents before: those of earlier shards come from the manifest, a row per shard.
     """
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64())])
-        for batch in batches:
-            yield batch_of(out, [_with_shard(batch, bounds).astype(np.int32), batch.column("doc_id")])
-
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-        path, reader, seen = None, None, {}
+        out = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+        path, reader = None, None
         for batch in batches:
             shards = np.array(batch.column("shard"))
             for part in np.split(np.arange(len(shards)), np.flatnonzero(np.diff(shards)) + 1):
@@ -193,29 +215,26 @@ def read_token_store(keys: DataFrame, manifest: DataFrame, bounds: list[int]) ->
                     continue
                 rows = batch.slice(int(part[0]), len(part))
                 if rows.column("path")[0].as_py() != path:
-                    path, seen = rows.column("path")[0].as_py(), {}
+                    path = rows.column("path")[0].as_py()
                     reader = ShardReader(path)
-                ids = rows.column("doc_id")
-                starts, lengths = reader.find(document_keys(ids.to_pylist(), seen))
+                starts, lengths = reader.find(np.asarray(rows.column("turn_key")).view(np.uint64))
                 pairs = zip(starts.tolist(), lengths.tolist(), strict=True)
                 crc = [zlib.crc32(reader.read(s, n).astype("<u4").tobytes()) for s, n in pairs]
-                yield batch_of(out, [ids, starts + rows.column("before")[0].as_py(), lengths.astype(np.int64), crc])
+                yield batch_of(out, [shards[part], rows.column("doc_id"), starts, lengths.astype(np.int64), crc])
 
-    before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("before"))
-    if len(bounds) < MANIFEST_ROWS:
-        files = F.broadcast(files)
-    placed = arrow_map(keys.select(F.col("doc_id").cast("long")), place, "shard int, doc_id long")
-    dealt = placed.repartition(len(bounds) + 1, "shard").join(files, "shard").sortWithinPartitions("shard", "doc_id")
-    return arrow_map(dealt.select("shard", "doc_id", "path", "before"), look_up, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("shard", before.alias("before"))  # a row per shard
+    found = arrow_map(keys.select("shard", "path", "doc_id", "turn_key"), look_up, "shard int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return found.join(files, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_store(docs: DataFrame, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """Encodes, writes and reads back whole documents: doc_id, start, n_tokens (with the end id), ids_crc32.
 
     Null texts are empty and have the end id alone. Null doc_ids come before all others; rows with the same doc_id
-    follow each other. An empty table gives no rows; other columns are not read. The ids are shuffled once, by shard.
+    follow each other and may lie in several shards. An empty table gives no rows; other columns are not read. The ids
+    are shuffled once, by shard; keys are read where they were written.
     """
     bounds = shard_bounds(docs, docs_per_shard)
-    manifest = write_token_store(docs, scratch(docs.sparkSession, "tokens"), bounds)
-    return read_token_store(docs, manifest, bounds)
+    manifest, keys = write_token_store(docs, scratch(docs.sparkSession, "tokens"), bounds)
+    return read_token_store(keys, manifest)

@@ -5,6 +5,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import repeats, simhash
 from quern.llm.components import connected_components
@@ -172,6 +173,54 @@ def crowd():
 @pytest.mark.parametrize("limit", [6, 2])
 def test_chains_in_large_buckets(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "BAND_PAIRS", limit)
+    monkeypatch.setattr(simhash, "HEADS", 1 if limit == 2 else 12)
     rows = crowd()
     got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_similar(rows)
+
+
+def test_a_thousand_pairs_in_one_template(spark):
+    """Pairs at 0.82 of each other, 0.6 to all others, as bands of a frequent template are large."""
+    rows = []
+    template = [f"t{i}" for i in range(150)]
+    for k in range(300):
+        own = [f"o{k}w{i}" for i in range(40)]
+        rows.append((2 * k, " ".join([*template, *own])))
+        rows.append((2 * k + 1, " ".join([*template, *own[:-16], *(f"x{k}y{i}" for i in range(16))])))
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_stage_against_exact_similarity_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = {r.doc_id: r.component_id for r in similar_components(docs).collect()}
+    assert got == brute_similar(rows)
+
+
+def test_null_ids_with_texts_of_one_32_bit_hash(spark):
+    tail = "".join(f" w{i}" for i in range(70))
+    texts = spark.range(150_000).select(F.concat(F.col("id").cast("string"), F.lit(tail)).alias("text"))
+    twins = texts.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").first()["t"][:2]
+    alone = twins[0] + " and no more"
+    rows = [(None, "".join(f"u{i} " for i in range(70))), (None, twins[0]), (None, twins[1]), (1, alone)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_repeats(rows)
+
+
+def test_many_repeated_rows_of_one_document(spark):
+    rows = [(7, "".join(f"w{i} " for i in range(200)))] * 2000 + [(8, "".join(f"v{i} " for i in range(100)))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 2001 and all(r.n_removed == (r.n_bytes if r.doc_id == 7 else 0) for r in got)
+    assert {r.n_spans for r in got if r.doc_id == 7} == {1}
+
+
+def test_column_names_with_odd_characters(spark):
+    from quern.llm.quality import cleaned_documents
+
+    text = " ".join(f"Sentence{i} has word{i} and thing{i} besides what{i} nobody{i} saw{i} today{i}." for i in range(9))
+    docs = spark.createDataFrame([(1, text, 2, 3)], "doc_id long, text string, `a``b` int, `_row` int")
+    for out in (cleaned_documents(docs), without_repeats(docs), keep_one(docs)):
+        assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, text, 2, 3)]
+    for stage in (cleaned_documents, without_repeats, keep_one):
+        assert stage(docs.limit(0)).collect() == []

@@ -110,7 +110,8 @@ def test_mix(labelled, empty):
     assert np.allclose(shares, [targets[d] for d in DOMAINS], atol=2e-3)
     assert all(abs(r.copies - r.rate) < 1 and r.rate >= 0 for r in rows)
     assert mix(empty, empty, labels).count() == 0
-    assert {r.rate for r in mix(docs, docs, labels.limit(0)).collect()} != set()
+    with pytest.warns(UserWarning):  # without labels all domains are as likely, and no rate tells them apart
+        assert {r.rate for r in mix(docs, docs, labels.limit(0)).collect()} != set()
 
 
 def test_applied_mix_keeps_clean_rows(labelled):
@@ -164,3 +165,23 @@ def test_pipeline_mix_meets_targets_at_any_toxic_share(spark, tmp_path, percent)
     share = sum(i % 100 < percent for i in ids) / len(ids)
     assert 0.014 <= share <= 0.026
     assert abs(sum(percent <= i % 100 < 90 for i in ids) - 40 * (90 - percent)) < 60
+
+
+def test_unmet_targets_are_told(labelled):
+    docs, labels = labelled
+    only_clean = docs.filter("doc_id % 10 > 1")
+    with pytest.warns(UserWarning, match="not met"):
+        rows = mix(only_clean, only_clean, labels.filter("quality = 1 and toxic = 0")).collect()
+    assert not any(r.targets_met for r in rows)
+    assert all(r.targets_met for r in mix(docs, docs, labels).collect())
+
+
+def test_null_ids_are_drawn_each_for_itself_and_tokens_may_be_given(spark, labelled):
+    _, labels = labelled
+    draw = random.Random(3)
+    rows = [(None if i % 2 else i, " ".join(["vile", "scum", "awful"] * (i % 3 == 0) + [f"w{draw.randrange(400)}" for _ in range(50)]), 1000 + i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tokens long")
+    got = mix(docs, labelled[0], labels, {"clean": 0.8, "low": 0.0, "toxic": 0.2}, ("clean",), tokens="tokens").collect()
+    assert sorted(r.n_tokens for r in got) == [1000 + i for i in range(900)]
+    toxic = [r for r in got if r.domain == "toxic" and r.doc_id is None]
+    assert {r.copies for r in toxic} == {0, 1}

@@ -155,3 +155,45 @@ def test_media_query_returns_seek_offsets(spark):
 
     rows = op2_media_columns(spark, "/root/testdata/sf0.001").select("samples", "seek_offsets").collect()
     assert rows and all(r.samples == 1152 * len(r.seek_offsets) for r in rows)
+
+
+def test_vbri_mark_in_a_frame_without_room_for_the_table():
+    frame = bytes((0xFF, 0xF3, 0x14, 0xC0)) + bytes(20)  # MPEG-2 layer III, 8 kbit/s at 24 kHz: 24 bytes
+    data = bytearray(frame * 2)
+    data[36:40] = b"VBRI"
+    track = parse_stream(bytes(data))
+    assert track.table == "" and track.seek == [0, 24]
+    assert parse_stream(bytes(data[:40])).seek == [0]
+
+
+def test_small_groups_are_dealt_as_the_heap_deals_them():
+    from quern.llm.sharding import deal_class
+
+    for n, size in ((1, 5.0), (7, 3.0), (1000, 2.5), (12, 100.0)):
+        loads = [9.0, 0.0, 4.0, 30.0]
+        heap = [(load, shard) for shard, load in enumerate(loads)]
+        heapq.heapify(heap)
+        counts = deal_class(heap, n, size)
+        plain = [(load, shard) for shard, load in enumerate(loads)]
+        heapq.heapify(plain)
+        wanted = [0] * 4
+        for _ in range(n):
+            load, shard = plain[0]
+            wanted[shard] += 1
+            heapq.heapreplace(plain, (load + size, shard))
+        assert sum(counts) == n and all(abs(a - b) <= 1 for a, b in zip(counts, wanted))
+        assert sorted(heap) == sorted((loads[s] + counts[s] * size, s) for s in range(4)) or all(abs(x - y) < 1e-6 for (x, _), (y, _) in zip(sorted(heap, key=lambda h: h[1]), ((loads[s] + counts[s] * size, s) for s in range(4))))
+
+
+def test_shard_loads_are_near_those_of_a_plain_heap(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = defaultdict(int)
+    for r in docs.select("text").collect():
+        sizes[r.text or ""] += len((r.text or "").encode()) + 1
+    place = longest_first([(n, t) for t, n in sizes.items()], 16)
+    plain = defaultdict(int)
+    for t, n in sizes.items():
+        plain[place[t]] += n
+    loads = {r.shard: r.b for r in lpt_shards(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    mean = sum(plain.values()) / 16
+    assert max(loads.values()) / mean < max(plain.values()) / mean + 0.002

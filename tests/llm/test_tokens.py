@@ -18,7 +18,7 @@ from quern.llm.token_counts import token_counts
 from quern.llm.token_store import ShardReader, shard_bounds, token_store, write_token_store
 
 ODD = [" ", "\n", "\t", "  ", "a", "B", "'s", "'re", " 's", "é", "1", "22", "!", "...", " ", "　", "中", "́", "<|endoftext|>",
-       "<|startoftext|>", "Σ", "İ", "\x1d", "\r\n", "ﬁ", "\U0001f600", "'", "tion", "aaaa", "----", "\x00", "'l", "'v"]
+       "<|startoftext|>", "\ua7cb", "\ua7dc", "\u0897", "\U000113c9", "\U00011382", "\U00016d67", "\U00014155", "Σ", "İ", "\x1d", "\r\n", "ﬁ", "\U0001f600", "'", "tion", "aaaa", "----", "\x00", "'l", "'v"]
 
 
 def library(name):
@@ -98,6 +98,8 @@ def test_perfect_hash():
     table = PerfectHash.from_bytes(PerfectHash.of(keys).to_bytes())
     assert sorted(table.slots(keys).tolist()) == list(range(5000))
     assert PerfectHash.of(keys[:0]).slots(keys[:3]).tolist() == [-1, -1, -1]
+    with pytest.raises(ValueError):
+        PerfectHash.of(np.append(keys, keys[7]))
     assert len(set(fingerprints(keys).tolist())) > 4990
 
 
@@ -114,7 +116,33 @@ def test_token_store(spark, docs, empty, texts, tmp_path):
         assert sorted(got, key=lambda r: r[1]) == wanted
     assert token_store(empty).count() == 0
     bounds = shard_bounds(docs, 5)
-    manifest = write_token_store(docs, str(tmp_path), bounds).collect()
+    manifest = write_token_store(docs, str(tmp_path), bounds)[0].collect()
     assert len(manifest) > 1 and sum(r.n_ids for r in manifest) == start
     with pytest.raises(KeyError):
         ShardReader(manifest[0].path).find(np.array([123456789], np.uint64))
+
+
+def test_a_frequent_doc_id_is_dealt_to_several_shards(spark, tmp_path):
+    rows = [(None if i % 3 else i, "same text" if i % 2 else f"text {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = write_token_store(docs, str(tmp_path), shard_bounds(docs, 50))[0].collect()
+    assert len(manifest) > 6 and max(r.n_docs for r in manifest) < 200
+    got = token_store(docs, docs_per_shard=50).collect()
+    starts = sorted((r.start, r.n_tokens, r.doc_id is not None, r.doc_id or 0) for r in got)
+    assert len(got) == 600 and all(a[0] + a[1] == b[0] and a[2:] <= b[2:] for a, b in zip(starts, starts[1:]))
+
+
+@pytest.mark.parametrize("bins,ahead,most", [(64, 256, 1.01), (16, 64, 1.05)])
+def test_packing_closes_bins_and_still_fills_them(spark, bins, ahead, most):
+    from quern.llm.packing import pack
+
+    draw = np.random.default_rng(8)
+    lengths = np.minimum(draw.geometric(1 / 500, 4000), 2048)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = pack(pieces, 1, 2048, bins, ahead).collect()
+    assert len(rows) == 4000
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and len(used) <= most * -(-int(lengths.sum()) // 2048)
+    assert len(used) > bins  # so bins were closed

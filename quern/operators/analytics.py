@@ -111,6 +111,32 @@ def exposition(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.concat(shown, F.lit(" "), F.col("value").cast("string")).alias("line"))
 
 
+def ingestion_health(jobs: DataFrame) -> DataFrame:
+    """The stage table with the rates of all jobs beside it: overall_success and overall_failure."""
+    good, bad = F.count_if(F.col("status").isin("SUCCESS", "COMPLETED")), F.count_if(F.col("status") == "FAILED")
+    overall = jobs.agg(percent(good, F.count("*")).alias("overall_success"), percent(bad, F.count("*")).alias("overall_failure"))
+    return stage_outcomes(jobs).join(overall, F.lit(True))  # one row
+
+
+def comparison(modes: dict[str, DataFrame], expected: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each mode's recall_at_5, recall_at_10 and mrr_at_10 over the queries with an expectation, with their number and a
+    digest of the query set. Modes are rankings (query_id, document_id, rank), expected has query_id and document_id."""
+    asked = expected.select("query_id").distinct()
+    found = []
+    for name, ranked in modes.items():
+        first = ranked.filter("rank <= 10").join(expected, ["query_id", "document_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+        found.append(asked.join(first, "query_id", "left").withColumn("mode", F.lit(name)))
+    yes = lambda test: F.round(F.avg(F.when(test, 1.0).otherwise(0.0)), 6)
+    rows = reduce(DataFrame.unionByName, found).groupBy("mode").agg(
+        yes(F.col("first") <= 5).alias("recall_at_5"),
+        yes(F.col("first").isNotNull()).alias("recall_at_10"),
+        F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr_at_10"),
+        F.count("*").alias("queries"),
+    )
+    digest = queries.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("query", 256))), ","), 256).alias("dataset_hash"))
+    return rows.join(digest, F.lit(True))
+
+
 def missed_questions(questions: DataFrame) -> DataFrame:
     """Unanswered questions by tenant and text: hash, count and last_asked."""
     key = F.sha2(F.concat_ws(":", "tenant_id", "question"), 256)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,26 +18,183 @@ ANSWER_DDL = (
 )
 
 
-def greedy_batches(chunks: DataFrame, measure: str, budget: int) -> DataFrame:
-    """document_id, batch_index, chunk_ids and size: chunks in order, a new batch where the budget would be exceeded.
+def batch_numbers(chunks: DataFrame, measure: str, budget: int, fixed: int = 0) -> DataFrame:
+    """chunks with batch_index: in order of chunk_index, a new batch where `fixed` and the batch's measures would exceed the
+    budget. A chunk over the budget is a batch by itself.
+
+    Whether a batch is full depends on where it began, so each document's chunks are read in order, a task at a time, and
+    a batch's sum is all that is carried from one to the next.
+    """
+    types = dict(chunks.dtypes)
+    slim = chunks.select("document_id", "chunk_index", F.col(measure).cast("long").alias("_size"))
+    dealt = slim.repartition("document_id").sortWithinPartitions("document_id", "chunk_index")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        document, number, total = object(), 0, 0
+        for frame in frames:
+            numbers = []
+            for owner, size in zip(frame["document_id"], frame["_size"]):
+                if owner != document:
+                    document, number, total = owner, 0, fixed + size
+                elif total + size <= budget:
+                    total += size
+                else:
+                    number, total = number + 1, fixed + size
+                numbers.append(number)
+            yield pd.DataFrame({"document_id": frame["document_id"], "chunk_index": frame["chunk_index"], "batch_index": numbers})
+
+    ddl = f"document_id {types['document_id']}, chunk_index {types['chunk_index']}, batch_index int"
+    return chunks.join(dealt.mapInPandas(run, ddl), ["document_id", "chunk_index"])
 
-    The measure adds up, so a document's fold runs in the JVM over its sorted array. A chunk over the budget is a batch
-    by itself.
+
+def greedy_batches(chunks: DataFrame, measure: str, budget: int, fixed: int = 0) -> DataFrame:
+    """document_id, batch_index, chunk_ids and size: chunks in order, a new batch where the budget would be exceeded."""
+    entry = F.struct("chunk_index", "chunk_id")
+    grouped = batch_numbers(chunks, measure, budget, fixed).groupBy("document_id", "batch_index")
+    found = grouped.agg(F.array_sort(F.collect_list(entry)).alias("rows"), F.sum(measure).cast("long").alias("size"))
+    return found.select("document_id", "batch_index", F.col("rows.chunk_id").alias("chunk_ids"), "size")
+
+
+def token_batches(chunks: DataFrame, budget: int, fixed: int, splits: bool) -> DataFrame:
+    """Batches by prompt tokens: `fixed` for the contract and tokens for each chunk. document_id, batch_index, chunk_ids,
+    size and error.
+
+    A chunk that doesn't fit by itself is an error of adaptive collections (OVERSIZE) and is cut into fragments in others
+    (splits), each a part of the longest beginnings that fit; a document of several generations is an error
+    (GENERATIONS). chunks has document_id, chunk_id, chunk_index, content, tokens and generation.
     """
-    entry = F.struct("chunk_index", "chunk_id", F.col(measure).cast("long").alias("size"))
-    lists = chunks.groupBy("document_id").agg(F.sort_array(F.collect_list(entry)).alias("rows"))
-    empty = F.array().cast("array<struct<ids:array<string>,size:bigint>>")
+    room = budget - fixed
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / room)).cast("int") if splits else F.lit(1)
+    cut = chunks.withColumn("_part", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    name = F.when(pieces > 1, F.concat("chunk_id", F.lit("#"), F.col("_part").cast("string"))).otherwise(F.col("chunk_id"))
+    last = F.col("tokens") - F.col("_part") * room
+    size = F.when(pieces > 1, F.least(F.lit(room).cast("long"), last.cast("long"))).otherwise(F.col("tokens").cast("long"))
+    alone = F.when(pieces > 1, F.lit(room).cast("long")).otherwise(size)  # a fragment shares its batch with nothing
+    rows = cut.select("document_id", name.alias("chunk_id"), (F.col("chunk_index") * 100_000 + F.col("_part")).alias("chunk_index"), size.alias("tokens"), alone.alias("_alone"), "generation")
+    entry = F.struct("chunk_index", "chunk_id")
+    grouped = batch_numbers(rows, "_alone", budget, fixed).groupBy("document_id", "batch_index").agg(
+        F.array_sort(F.collect_list(entry)).alias("rows"), (F.sum("tokens") + fixed).alias("size"), F.max("tokens").alias("_most")
+    )
+    many = chunks.groupBy("document_id").agg((F.countDistinct("generation") > 1).alias("_mixed"))
+    error = F.when(F.col("_mixed"), "GENERATIONS").when(F.col("_most") > room, "OVERSIZE")
+    return grouped.join(many, "document_id").select("document_id", "batch_index", F.col("rows.chunk_id").alias("chunk_ids"), "size", error.alias("error"))
+
+
+class ProviderError(Exception):
+    """A model call that failed: TIMEOUT and TRUNCATED ask for less at once, others for another try if retryable."""
+
+    def __init__(self, code: str, retryable: bool = False):
+        super().__init__(code)
+        self.code, self.retryable = code, retryable
+
+
+def generate(batches: DataFrame, model: Callable[[list[str]], str], attempts: int = 3, depth: int = 4) -> DataFrame:
+    """Each batch (document_id, batch_index, chunk_ids) through a model: document_id, batch_index, path, chunk_ids, output
+    and error.
+
+    A timeout or a truncated output halves a batch of two chunks or more, at most `depth` times; each half is a row with
+    a longer path (.0, .1). Other retryable errors are tried again, `attempts` times in all. What still fails keeps its
+    error's code, so that a later run may take it up.
+    """
+    types = dict(batches.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for document, number, ids in zip(frame["document_id"], frame["batch_index"], frame["chunk_ids"]):
+                todo = [(str(number), list(ids))]
+                while todo:
+                    path, part = todo.pop()
+                    output = error = None
+                    for _ in range(attempts):
+                        try:
+                            output, error = model(part), None
+                            break
+                        except ProviderError as failure:
+                            error = failure.code
+                            if not failure.retryable or failure.code in ("TIMEOUT", "TRUNCATED"):
+                                break
+                    if error in ("TIMEOUT", "TRUNCATED") and len(part) > 1 and path.count(".") < depth:
+                        half = len(part) // 2
+                        todo += [(f"{path}.1", part[half:]), (f"{path}.0", part[:half])]
+                    else:
+                        rows.append((document, number, path, part, output, error))
+            yield pd.DataFrame(rows, columns=["document_id", "batch_index", "path", "chunk_ids", "output", "error"])
+
+    ddl = f"document_id {types['document_id']}, batch_index int, path string, chunk_ids array<string>, output string, error string"
+    return batches.select("document_id", "batch_index", "chunk_ids").mapInPandas(run, ddl)
 
-    def add(batches: Column, row: Column) -> Column:
-        last = F.element_at(batches, -1)
-        one = F.struct(F.array(row["chunk_id"]).alias("ids"), row["size"].alias("size"))
-        more = F.struct(F.array_append(last["ids"], row["chunk_id"]).alias("ids"), (last["size"] + row["size"]).alias("size"))
-        grown = F.array_append(F.slice(batches, 1, F.size(batches) - 1), more)
-        joins = (F.size(batches) > 0) & (F.try_element_at(batches, F.lit(-1))["size"] + row["size"] <= budget)
-        return F.when(joins, grown).otherwise(F.array_append(batches, one))
 
-    folded = lists.select("document_id", F.posexplode(F.aggregate("rows", empty, add)).alias("batch_index", "b"))
-    return folded.select("document_id", "batch_index", F.col("b.ids").alias("chunk_ids"), F.col("b.size").alias("size"))
+def pending(batches: DataFrame, done: DataFrame) -> DataFrame:
+    """Batches with an input_hash that no finished row of done (input_hash, error null) has: what a run has still to do."""
+    return batches.join(done.filter("error is null").select("input_hash").distinct(), "input_hash", "left_anti")
+
+
+def with_input_hash(batches: DataFrame) -> DataFrame:
+    """batches with a hash of what they ask: a run that is begun again finds what was done."""
+    return batches.withColumn("input_hash", F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), F.array_join("chunk_ids", ",")), 256))
+
+
+def checkpointed_run(batches: DataFrame, folder: str, model: Callable[[list[str]], str]) -> DataFrame:
+    """Runs the pending batches and appends their rows to folder. Returns all rows; a run without pending batches adds none.
+
+    A batch counts as done when all rows of its halves are without an error, so halves of one that failed in part are
+    asked again as a whole.
+    """
+    spark = batches.sparkSession
+    hashed = with_input_hash(batches)
+    ddl = "document_id bigint, batch_index int, path string, chunk_ids array<string>, output string, error string, input_hash string"
+    try:
+        found = spark.read.schema(ddl).parquet(folder)
+        whole = found.groupBy("input_hash").agg(F.max("error").alias("error"))
+    except AnalysisException:  # the first run
+        whole = spark.createDataFrame([], "input_hash string, error string")
+    todo = pending(hashed, whole)
+    made = generate(todo, model).join(todo.select("document_id", "batch_index", "input_hash"), ["document_id", "batch_index"])
+    made.selectExpr("CAST(document_id AS BIGINT) AS document_id", "batch_index", "path", "chunk_ids", "output", "error", "input_hash").write.mode("append").parquet(folder)
+    return spark.read.schema(ddl).parquet(folder)
+
+
+def publishable(batches: DataFrame, rows: DataFrame) -> DataFrame:
+    """document_id and ready: whether every batch of the document has rows, all without an error."""
+    state = rows.groupBy("input_hash").agg(F.max("error").alias("error"), F.lit(True).alias("ran"))
+    joined = with_input_hash(batches).join(state, "input_hash", "left")
+    return joined.groupBy("document_id").agg(F.every(F.coalesce("ran", F.lit(False)) & F.col("error").isNull()).alias("ready"))
+
+
+def concurrency(calls: DataFrame, most: int, rise: int = 3) -> DataFrame:
+    """id and allowed: how many calls a provider may have at once after each call, from `most` on.
+
+    A call that failed under pressure halves it, `rise` calls in a row without raise it by one. calls has provider, id, at
+    and pressed. Each provider's calls are read in order, and only the level and the run are carried on.
+    """
+    types = dict(calls.dtypes)
+    dealt = calls.select("provider", "id", "at", "pressed").repartition("provider").sortWithinPartitions("provider", "at", "id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider, level, good = object(), most, 0
+        for frame in frames:
+            levels = []
+            for owner, pressed in zip(frame["provider"], frame["pressed"]):
+                if owner != provider:
+                    provider, level, good = owner, most, 0
+                if pressed:
+                    level, good = max(1, level // 2), 0
+                else:
+                    good += 1
+                    if good == rise:
+                        level, good = min(most, level + 1), 0
+                levels.append(level)
+            yield pd.DataFrame({"id": frame["id"], "allowed": levels})
+
+    return dealt.mapInPandas(run, f"id {types['id']}, allowed int")
+
+
+def mock_answers(prompt: str) -> str:
+    """The canned output of a provider for tests: one pair that quotes the prompt's first line."""
+    quote = prompt.splitlines()[0][:80] if prompt else ""
+    item = {"question": "What is stated?", "answer": quote, "quote": quote, "pageNo": 1, "chunkIndex": 0}
+    return json.dumps({"items": [item], "coveredChunkIndexes": [0], "skippedChunks": []})
 
 
 def bisect(batches: DataFrame) -> DataFrame:
@@ -76,6 +238,19 @@ def validate_answers(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.select("batch_id", "document_id", "item_index", "item.*", error.alias("error"))
 
 
+def attributed_quotes(quotes: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """The one chunk of each quote (key, document_id, page, quote): the only one of its document whose pages hold the page
+    and whose text holds the quote, white space aside. Else error: NOT_FOUND or AMBIGUOUS. chunks has document_id,
+    chunk_id, content, page_start and page_end."""
+    flat = collapsed(F.col("quote"))
+    held = quotes.filter(flat != "").join(chunks, "document_id").filter(F.col("page").between(F.col("page_start"), F.col("page_end")) & F.contains(collapsed(F.col("content")), flat))
+    found = held.groupBy(key).agg(F.count("*").alias("_n"), F.max("chunk_id").alias("_chunk"))
+    joined = quotes.join(found, key, "left")
+    return joined.select(
+        *quotes.columns, F.when(F.col("_n") == 1, F.col("_chunk")).alias("chunk_id"), F.when(F.col("_n") > 1, "AMBIGUOUS").when(F.col("_n").isNull(), "NOT_FOUND").alias("error")
+    )
+
+
 def replace_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Pairs after documents of `new` have theirs replaced, numbered again in each document."""
     stay = old.join(new.select("document_id").distinct(), "document_id", "left_anti")

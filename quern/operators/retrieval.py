@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from quern.config import CHANNELS, RetrievalConfig
 from quern.functions.scalar import char_overlap, characters, collapsed, context_window, normalized
-from quern.operators.search import TIES, search
+from quern.operators.search import TIES, passage_matches, search
 from quern.storage import materialize
 
+__all__ = ["passage_matches", "search"]
 #: Error conditions of a missing chunk index. Others are raised.
 UNAVAILABLE = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
 

@@ -13,13 +13,6 @@ from quern.plans.entities import Tables
 from quern.plans.queries import EMPLOYEE, query
 
 
-@query("SELECT c_custkey AS key_id FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal >= 0 AND list_contains(string_split('BUILDING,AUTOMOBILE', ','), c_mktsegment)")
-def fil23_valid_keys(t: Tables) -> DataFrame:
-    scopes = F.split(F.lit("BUILDING,AUTOMOBILE"), ",")
-    live = (F.col("c_mktsegment") != "MACHINERY") & (F.col("c_acctbal") >= 0)
-    return t.raw("customer").filter(live & F.array_contains(scopes, F.col("c_mktsegment"))).select(F.col("c_custkey").alias("key_id"))
-
-
 @query("""SELECT l_orderkey AS run_id, list_sort(list(DISTINCT l_partkey)) AS documents FROM lineitem WHERE l_partkey IN (SELECT id FROM kb_visible) GROUP BY l_orderkey""")
 def fil24_explained_items(t: Tables) -> DataFrame:
     runs = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.to_json(F.collect_set("l_partkey")).alias("snapshot"))
@@ -34,31 +27,12 @@ def prj1_document_rows(t: Tables) -> DataFrame:
     return t.documents().select("id", label.alias("label"), F.coalesce("category_id", F.lit("none")).alias("category"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
-@query("SELECT event_id, round(value / 3.0, 6) AS score, CASE WHEN value > 50 THEN event_type END AS evidence FROM events")
-def prj2_snapshot_rows(t: Tables) -> DataFrame:
-    return t.raw("events").select("event_id", F.round(F.col("value") / 3.0, 6).alias("score"), F.when(F.col("value") > 50, F.col("event_type")).alias("evidence"))
-
-
-@query("SELECT chunk_id, coalesce(nullif(content, ''), 'untitled') AS question, sha256(content) AS content_hash, least(chunk_index, coalesce(len(content), 0)) AS source_rank FROM kb_live")
-def prj3_evidence_candidates(t: Tables) -> DataFrame:
-    live = A.live_chunks(t.chunks())
-    rank = F.least(F.col("chunk_index").cast("long"), F.length("content").cast("long"))
-    return live.select("chunk_id", F.coalesce(F.nullif("content", F.lit("")), F.lit("untitled")).alias("question"), F.sha2("content", 256).alias("content_hash"), rank.alias("source_rank"))
-
-
 @query("SELECT id, 'Document: ' || title || chr(10) || 'Section: ' || space_id || CASE WHEN category_id IS NOT NULL THEN chr(10) || 'Type: ' || category_id ELSE '' END AS input FROM kb_documents")
 def prj6_embedding_text(t: Tables) -> DataFrame:
     lines = (F.concat(F.lit("Document: "), "title"), F.concat(F.lit("Section: "), "space_id"), F.concat(F.lit("Type: "), "category_id"))
     return t.documents().select("id", F.concat_ws("\n", *lines).alias("input"))
 
 
-@query("SELECT document_id, sha256(string_agg('[' || chunk_index || '] ' || content, chr(10) ORDER BY chunk_index)) AS prompt_hash FROM kb_live GROUP BY document_id")
-def prj8_prompts(t: Tables) -> DataFrame:
-    line = F.struct("chunk_index", F.concat(F.lit("["), "chunk_index", F.lit("] "), "content").alias("line"))
-    grouped = A.live_chunks(t.chunks()).groupBy("document_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return grouped.select("document_id", F.sha2(F.array_join("lines.line", "\n"), 256).alias("prompt_hash"))
-
-
 @query("SELECT c.chunk_id, p.chunk_id AS parent FROM kb_live c JOIN kb_visible d ON d.id = c.document_id JOIN kb_chunks p ON p.chunk_id = c.parent_chunk_id AND p.document_id = c.document_id AND p.chunk_level = 'PARENT'")
 def joi7_scoped_parents(t: Tables) -> DataFrame:
     seen = A.visible_documents(t.documents(), t.rules(), EMPLOYEE).select(F.col("id").alias("document_id"))
@@ -112,14 +86,6 @@ def joi22_embedding_targets(t: Tables) -> DataFrame:
     return t.pairs().join(live, "chunk_id", "left").select("pair_id", "chunk_index", F.coalesce("target", F.lit("PAIR")).alias("target"))
 
 
-@query("""SELECT pair_id, chunk_id FROM (SELECT p.pair_id, c.chunk_id, count(*) OVER (PARTITION BY p.pair_id) AS n FROM (SELECT pair_id, document_id, substr(question, 1, 3) AS quote FROM kb_pairs) p
-    JOIN kb_live c ON c.document_id = p.document_id AND contains(lower(c.content), lower(p.quote))) WHERE n = 1""")
-def joi23_quote_attribution(t: Tables) -> DataFrame:
-    quotes = t.pairs().select("pair_id", "document_id", F.lower(F.substring("question", 1, 3)).alias("quote"))
-    held = quotes.join(A.live_chunks(t.chunks()).select("document_id", "chunk_id", "content"), "document_id").filter(F.contains(F.lower("content"), F.col("quote")))
-    return held.groupBy("pair_id").agg(F.count("*").alias("n"), F.first("chunk_id").alias("chunk_id")).filter("n = 1").drop("n")
-
-
 @query("SELECT p.pair_id, coalesce(c.chunk_index, -1) AS span_start, coalesce(c.content, '') AS content FROM kb_pairs p LEFT JOIN kb_live c ON c.chunk_id = p.chunk_id AND c.document_id = p.document_id")
 def joi26_pair_spans(t: Tables) -> DataFrame:
     live = A.live_chunks(t.chunks()).select("chunk_id", "document_id", "chunk_index", "content")
@@ -133,13 +99,6 @@ def agg4_document_stats(t: Tables) -> DataFrame:
     return N.document_stats(t.documents())
 
 
-@query("""SELECT stage, success_rate, failure * 100.0 / total >= 40 AS alarming FROM (SELECT stage, count(*) FILTER (status = 'FAILED') AS failure, count(*) AS total,
-    round(count(*) FILTER (status = 'SUCCESS') * 100.0 / count(*), 2) AS success_rate FROM kb_jobs GROUP BY stage)""")
-def agg11_ingestion_health(t: Tables) -> DataFrame:
-    alarming = F.col("failure") * 100.0 / F.col("total") >= 40
-    return N.stage_outcomes(t.jobs()).select("stage", "success_rate", alarming.alias("alarming"))
-
-
 @query("""SELECT stage, count(*) AS observations, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.95), 6) AS p95 FROM
     (SELECT l_returnflag AS stage, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F')
     WHERE d >= 0 GROUP BY stage""")
@@ -151,14 +110,6 @@ def agg17_stage_latency(t: Tables) -> DataFrame:
     return rows.groupBy("stage").agg(F.count("*").alias("observations"), p(0.5).alias("p50"), p(0.95).alias("p95"))
 
 
-@query("SELECT mode, count(*) AS calls, round(avg(latency_ms), 6) AS mean FROM (SELECT 'baseline' AS mode, latency_ms FROM kb_calls WHERE id % 2 = 0 UNION ALL SELECT 'candidate', latency_ms FROM kb_calls WHERE id % 2 = 1) GROUP BY mode")
-def agg18_comparison(t: Tables) -> DataFrame:
-    calls = t.calls()
-    part = lambda name, test: calls.filter(test).select(F.lit(name).alias("mode"), "latency_ms")
-    both = part("baseline", "id % 2 = 0").unionByName(part("candidate", "id % 2 = 1"))
-    return both.groupBy("mode").agg(F.count("*").alias("calls"), F.round(F.avg("latency_ms"), 6).alias("mean"))
-
-
 @query("SELECT document_id AS run_id, count(*) FILTER (status = 'SUCCESS') AS successful FROM kb_jobs GROUP BY document_id")
 def agg26_successful_batches(t: Tables) -> DataFrame:
     return t.jobs().groupBy(F.col("document_id").alias("run_id")).agg(F.count_if(F.col("status") == "SUCCESS").alias("successful"))
@@ -252,14 +203,6 @@ def emb3_input_limit(t: Tables) -> DataFrame:
     return A.live_chunks(t.chunks()).select("chunk_id", (S.token_count(F.col("content")) > 40).alias("too_long"))
 
 
-@query("""SELECT document_id, version, count(*) AS chunks FROM (SELECT document_id, CASE WHEN status = 'SUPERSEDED' THEN 1 ELSE 2 END AS version FROM kb_chunks WHERE chunk_level = 'CHILD')
-    GROUP BY 1, 2 QUALIFY version = max(version) OVER (PARTITION BY document_id)""")
-def src24_newest_version(t: Tables) -> DataFrame:
-    version = F.when(F.col("status") == "SUPERSEDED", 1).otherwise(2)
-    counted = t.chunks().filter("chunk_level = 'CHILD'").groupBy("document_id", version.alias("version")).agg(F.count("*").alias("chunks"))
-    return N.latest_per(counted, "document_id", "version")
-
-
 @query("SELECT doc_id AS document_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS blocks FROM documents")
 def src25_block_per_chunk(t: Tables) -> DataFrame:
     return t.raw("documents").select(F.col("doc_id").alias("document_id"), F.size(F.split("text", "\n")).cast("long").alias("blocks"))

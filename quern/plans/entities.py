@@ -149,6 +149,13 @@ _TEXT = "round(len(list_intersect(q.cs, t.cs)) / len(q.cs), 6)"
 _CHANNEL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
         (SELECT '{name}' AS channel, q.query_id, t.document_id, t.{id} AS item_id, t.{index} AS item_index, {score} AS score FROM kb_q q, {items} t) WHERE score > 0) WHERE rank <= {k}"""
 
+_FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_WINDOW = f"""SELECT *, substr(p, 1, spot - 1) AS l, substr(p, spot + length(o)) AS r FROM
+    (SELECT f.query_id, f.chunk_id, f.final_rank, f.fused_score, f.parent_chunk_id, {_FLAT.format("h.content")} AS p, {_FLAT.format("f.content")} AS o, instr({_FLAT.format("h.content")}, {_FLAT.format("f.content")}) AS spot
+     FROM kb_final f JOIN kb_chunks h ON h.chunk_id = f.parent_chunk_id AND h.document_id = f.document_id AND h.chunk_level = 'PARENT' AND h.status = 'ACTIVE') WHERE spot > 0 AND o <> ''"""
+_UNITS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]*')"
+_LEAD = "regexp_extract({}, '^[^\\p{{L}}\\p{{N}}]*')"
+
 #: The same tables for the SQL side, in dependency order.
 CTES = {
     "kb_documents": """SELECT doc_id AS id, 't' || (doc_id % 2) AS tenant_id, 'Document ' || doc_id AS title,
@@ -200,6 +207,11 @@ CTES = {
         coalesce(max(score) FILTER (channel = 'v'), 0) AS vs, coalesce(max(score) FILTER (channel = 'x'), 0) AS xs, round(sum(1.0 / (60 + rank)), 9) AS fused_score,
         min(CASE channel WHEN 'v' THEN rank ELSE 1000 + rank END) AS first_seen FROM ({_CHANNEL.format(name="v", score=_VECTOR, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}
         UNION ALL {_CHANNEL.format(name="x", score=_TEXT, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}) GROUP BY 1, 2""",
+    "kb_final_pairs": """SELECT query_id, item_id, vr, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_score DESC, xs DESC, first_seen, document_id, item_index, item_id) AS final_rank FROM
+    (SELECT f.*, round(fused_score * 8 + vs * 0.35 + xs * 0.45 + CASE WHEN q.flat <> '' AND contains(p.flat, q.flat) THEN 1.2 ELSE 0 END
+        + CASE WHEN len(q.cs) > 0 THEN len(list_intersect(q.cs, p.cs)) / len(q.cs) ELSE 0 END * 0.5 + 0.15 / (1 + greatest(item_index, 0)), 6) AS rerank_score
+     FROM kb_fused_pairs f JOIN kb_q q USING (query_id) JOIN (SELECT pair_id AS item_id, regexp_replace(lower(question), '\\s+', '', 'g') AS flat,
+        list_distinct(string_split(regexp_replace(lower(question), '\\s', '', 'g'), '')) AS cs FROM kb_pairs) p USING (item_id))""",
     "kb_hits": " UNION ALL ".join(
         _CHANNEL.format(name=name, score=score, items=items, id=id_, index=index, k=10)
         for name, score, items, id_, index in (
@@ -208,9 +220,10 @@ CTES = {
         )
     ),
     "kb_evidence": """SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS fused_score, max_by(score, rank) FILTER (channel = 'qv') AS qv, max_by(score, rank) FILTER (channel = 'qx') AS qx,
-        min_by(pair_index, (CASE channel WHEN 'qv' THEN 0 ELSE 1000 END) + rank) FILTER (pair_index IS NOT NULL) AS pair_index FROM
-        (SELECT h.query_id, h.channel, h.rank, h.score, p.chunk_id, p.pair_index FROM kb_hits h JOIN kb_qa_items p ON p.pair_id = h.item_id WHERE channel IN ('qv', 'qx') AND p.chunk_id IS NOT NULL
-         UNION ALL SELECT query_id, channel, rank, score, item_id, NULL FROM kb_hits WHERE channel IN ('tv', 'tx')) WHERE chunk_id IN (SELECT chunk_id FROM kb_text_items) GROUP BY 1, 2""",
+        min_by(pair_index, (CASE channel WHEN 'qv' THEN 0 ELSE 1000 END) + rank) FILTER (pair_index IS NOT NULL) AS pair_index,
+        min_by(pair_id, (CASE channel WHEN 'qv' THEN 0 ELSE 1000 END) + rank) FILTER (pair_id IS NOT NULL) AS pair_id, min(last) AS source_rank FROM
+        (SELECT *, max(rank) OVER (PARTITION BY query_id, chunk_id, channel) AS last FROM (SELECT h.query_id, h.channel, h.rank, h.score, p.chunk_id, p.pair_index, p.pair_id FROM kb_hits h JOIN kb_qa_items p ON p.pair_id = h.item_id WHERE channel IN ('qv', 'qx') AND p.chunk_id IS NOT NULL
+         UNION ALL SELECT query_id, channel, rank, score, item_id, NULL, NULL FROM kb_hits WHERE channel IN ('tv', 'tx'))) WHERE chunk_id IN (SELECT chunk_id FROM kb_text_items) GROUP BY 1, 2""",
     "kb_kept": """SELECT query_id, arg_min(chunk_id, o) AS chunk_id, min_by(fused_score, o) AS fused_score, min_by(pair_index, o) AS pair_index, max_by(qv, o) FILTER (qv IS NOT NULL) AS qv,
         max_by(qx, o) FILTER (qx IS NOT NULL) AS qx, count(*) AS merged FROM (SELECT e.*, c.content, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, c.document_id, e.chunk_id) AS o
         FROM kb_evidence e JOIN kb_text_items c USING (chunk_id)) GROUP BY query_id, content""",
@@ -220,6 +233,17 @@ CTES = {
             + 0.15 / (1 + greatest(coalesce(k.pair_index, c.chunk_index), 0)), 6) AS rerank_score
          FROM kb_kept k JOIN kb_text_items c USING (chunk_id) JOIN kb_q q USING (query_id) JOIN
          (SELECT chunk_id, regexp_replace(lower(title || content), '\\s+', '', 'g') AS flat, list_distinct(string_split(regexp_replace(lower(title || content), '\\s', '', 'g'), '')) AS cs FROM kb_text_items) s USING (chunk_id))) WHERE final_rank <= 5""",
+    "kb_context": f"""WITH RECURSIVE w AS ({_WINDOW}), u AS (SELECT *, {_UNITS.format("l")} AS lu, {_UNITS.format("r")} AS ru FROM w),
+    parts AS (SELECT query_id, chunk_id, final_rank, fused_score, 0 AS step, 'PARENT' AS kind, parent_chunk_id AS context_id, {_FLAT.format('''(CASE WHEN len(lu) = 0 THEN l
+        ELSE (CASE WHEN (len(lu) - 1) // 600 = 0 THEN ''' + _LEAD.format("l") + ''' ELSE '' END) || array_to_string(list_slice(lu, (len(lu) - 1) // 600 * 600 + 1, len(lu)), '') END)
+        || ' ' || ''' + _LEAD.format("r") + ''' || array_to_string(list_slice(ru, 1, 600), '')''')} AS content FROM u
+      UNION ALL SELECT f.query_id, f.chunk_id, f.final_rank, f.fused_score, n.chunk_index - f.chunk_index + 2, 'NEIGHBOR', n.chunk_id, {_FLAT.format("n.content")} FROM kb_final f JOIN kb_text_items n
+        ON n.document_id = f.document_id AND n.parent_chunk_id = f.parent_chunk_id AND n.chunk_index BETWEEN f.chunk_index - 1 AND f.chunk_index + 1 AND n.chunk_index <> f.chunk_index),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, final_rank, step, context_id) AS i FROM parts),
+    fold AS (SELECT query_id, 0 AS i, list_filter(list({_FLAT.format("content")}), lambda x: x <> '') AS seen, false AS taken FROM kb_final GROUP BY query_id
+      UNION ALL SELECT g.query_id, g.i + 1, CASE WHEN o.content <> '' AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 THEN list_append(g.seen, o.content) ELSE g.seen END,
+        o.content <> '' AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 FROM fold g JOIN o ON o.query_id = g.query_id AND o.i = g.i + 1)
+    SELECT o.query_id, o.chunk_id, o.final_rank, o.kind, o.context_id, o.content FROM o JOIN fold USING (query_id, i) WHERE taken""",
     "kb_vectors": """SELECT CAST(label AS BIGINT) AS document_id, vec_id AS item_id, vec_id AS item_index, embedding FROM embeddings""",
     "kb_asked": """SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0""",
 }

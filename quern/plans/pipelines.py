@@ -21,24 +21,34 @@ def _files(t: Tables) -> DataFrame:
     return t.raw("documents").select(F.col("doc_id").alias("id"), F.concat("doc_id", F.lit(".md")).alias("name"), F.col("text").alias("content"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p>|<p ')) AS BIGINT) AS paragraphs FROM pages")
-def src11_html_outline(t: Tables) -> DataFrame:
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return t.raw("pages").select("page_id", title.alias("title"), F.regexp_count("html", F.lit("<p>|<p ")).cast("long").alias("paragraphs"))
+_PLAIN = "regexp_replace(content, '[^\\x21-\\x7e]', '', 'g')"
 
 
-@query()
+@query(f"SELECT doc_id AS id, sha256(string_agg({_PLAIN}, '' ORDER BY pos)) AS text_hash FROM kb_lines WHERE regexp_matches(content, '[^\\s]') AND NOT regexp_matches(content, '^\\s*#') GROUP BY doc_id")
 def src2_markdown_blocks(t: Tables) -> DataFrame:
-    return parse_files(_files(t)).select("id", "index", "block_type", "line_start", "line_end", "content", "error")
+    """The printable characters of each document's blocks: those of its lines that are no headings."""
+    blocks = parse_files(_files(t)).filter("content is not null")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "content"))), lambda b: b["content"]), "")
+    return blocks.groupBy("id").agg(F.sha2(F.regexp_replace(joined, r"[^\x21-\x7e]", ""), 256).alias("text_hash"))
 
 
 @query()
+def src3_block_types(t: Tables) -> DataFrame:
+    return parse_files(_files(t)).select("id", "index", "block_type", "line_start", "line_end", "content", "error")
+
+
+@query("SELECT c_custkey // 200 AS id, count(*) AS rows, CAST(2 AS BIGINT) AS first, count(*) + 1 AS last, sha256(string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |', chr(10) ORDER BY c_custkey)) AS rows_hash, true AS bounded FROM customer GROUP BY 1")
 def src7_csv_blocks(t: Tables) -> DataFrame:
-    lines = t.raw("customer").select("c_nationkey", "c_custkey", F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment").alias("line"))
-    packed = lines.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    text = F.concat(F.lit("id,name,segment\n"), F.array_join("lines", "\n"))
-    files = packed.select(F.col("c_nationkey").cast("long").alias("id"), F.lit("customers.csv").alias("name"), text.alias("content"))
-    return parse_files(files).select("id", "index", "line_start", "line_end", "content")
+    """CSV files of 200 customers, packed into tables of at most 4000 characters that each repeat the header."""
+    line = F.struct("c_custkey", F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment").alias("line"))
+    packed = t.raw("customer").groupBy(F.floor(F.col("c_custkey") / 200).alias("id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    text = F.concat(F.lit("id,name,segment\n"), F.array_join("lines.line", "\n"))
+    blocks = parse_files(packed.select("id", F.lit("customers.csv").alias("name"), text.alias("content")))
+    rows = F.slice(F.split("content", "\n"), 3, 1 << 20)
+    own = blocks.select("id", "index", "line_start", "line_end", F.length("content").alias("size"), rows.alias("rows"))
+    lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("index", "rows"))), lambda b: b["rows"]))
+    grouped = own.groupBy("id").agg(lines.alias("lines"), F.min("line_start").cast("long").alias("first"), F.max("line_end").cast("long").alias("last"), F.every(F.col("size") <= 4000).alias("bounded"))
+    return grouped.select("id", F.size("lines").cast("long").alias("rows"), "first", "last", F.sha2(F.array_join("lines", "\n"), 256).alias("rows_hash"), "bounded")
 
 
 @query("SELECT doc_id AS id, true AS bounded, sha256(regexp_replace(text, '[\\s]+', '', 'g')) AS text_hash FROM documents WHERE regexp_matches(text, '\\S')")
@@ -103,14 +113,6 @@ def qas5_answer_validation(t: Tables) -> DataFrame:
     return qa.validate_answers(answers, chunks).select("document_id", "error")
 
 
-@query()
-def emb2_batched_embedding(t: Tables) -> DataFrame:
-    def embed(texts: list[str]) -> list[list[float]]:
-        return [[float(len(x)), float(x.count(" "))] for x in texts]
-
-    return R.embed_batches(t.raw("benchmark").select(F.col("item_id").alias("id"), "text"), embed, 2)
-
-
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '***REDACTED***' WHEN 1 THEN 'GET /x?api_key=***REDACTED***&id=' || event_id WHEN 2 THEN 'key ***REDACTED*** of ' || user_id ELSE 'plain text ' || event_id END AS line,
     '***REDACTED***' AS password, 'lk_live_12345678' AS key_prefix FROM events""")
 def fun23_redaction(t: Tables) -> DataFrame:
@@ -173,16 +175,74 @@ def str7_missed_counts(t: Tables) -> DataFrame:
     return _drained(t, logs.missed_counts(asked), "complete").select("tenant_id", "question_hash", "n")
 
 
-@query()
+@query(
+    """WITH RECURSIVE n AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) / 1000000.0 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    f AS (SELECT key, 0 AS i, CAST(NULL AS BIGINT) AS id, CAST([] AS DOUBLE[]) AS held, false AS allowed FROM n WHERE i = 1 UNION ALL SELECT n.key, n.i, n.id,
+    CASE WHEN len(list_filter(held, lambda x: x > s - 36000.0)) < 3 THEN list_append(list_filter(held, lambda x: x > s - 36000.0), CAST(s AS DOUBLE)) ELSE list_filter(held, lambda x: x > s - 36000.0) END,
+    len(list_filter(held, lambda x: x > s - 36000.0)) < 3 FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1) SELECT key, id, allowed FROM f WHERE i > 0"""
+)
 def str6_rate_limit(t: Tables) -> DataFrame:
     calls = _stream(t, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
     return _drained(t, logs.rate_limited(calls.select("key", "id", (F.col("us") / 1e6).alias("at")), 3, 36_000.0), "append")
 
 
-@query(
-    """SELECT pair_id AS run_id, CAST(2 + CASE WHEN status = 'ACTIVE' THEN CAST(ceil(length(answer) / 8.0) AS BIGINT) + 1 ELSE 0 END AS BIGINT) AS events FROM kb_pairs WHERE length(answer) > 0"""
-)
-def str1_answer_events(t: Tables) -> DataFrame:
+_EVENTS = """SELECT run_id, seq, event, data FROM (SELECT pair_id AS run_id, 0 AS seq, 'run_started' AS event, pair_id AS data FROM kb_pairs WHERE length(answer) > 0
+    UNION ALL SELECT pair_id, 1, 'no_answer', pair_id FROM kb_pairs WHERE length(answer) > 0 AND status <> 'ACTIVE'
+    UNION ALL SELECT pair_id, i + 1, 'delta', substr(answer, i * 8 + 1, 8) FROM (SELECT *, unnest(range(0, CAST(ceil(length(answer) / 8.0) AS BIGINT))) AS i FROM kb_pairs WHERE length(answer) > 0 AND status = 'ACTIVE')
+    UNION ALL SELECT pair_id, CAST(ceil(length(answer) / 8.0) AS BIGINT) + 1, 'citation', question FROM kb_pairs WHERE length(answer) > 0 AND status = 'ACTIVE'
+    UNION ALL SELECT pair_id, CAST(ceil(length(answer) / 8.0) AS BIGINT) + 2, 'done', pair_id FROM kb_pairs WHERE length(answer) > 0 AND status = 'ACTIVE')"""
+
+
+def _answer_events(t: Tables) -> DataFrame:
     status = F.when(F.col("status") == "ACTIVE", "COMPLETED").otherwise("NO_ANSWER")
-    runs = t.pairs().filter("length(answer) > 0").select(F.col("pair_id").alias("run_id"), status.alias("status"), "answer", F.array("question").alias("citations"))
-    return logs.frames(logs.answer_events(runs)).groupBy("run_id").agg(F.count("*").alias("events"))
+    return logs.answer_events(t.pairs().filter("length(answer) > 0").select(F.col("pair_id").alias("run_id"), status.alias("status"), "answer", F.array("question").alias("citations")))
+
+
+@query(f"SELECT run_id, CAST(seq AS BIGINT) AS seq, event, data FROM ({_EVENTS})")
+def str1_answer_events(t: Tables) -> DataFrame:
+    return _answer_events(t).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(f"SELECT sha256('event: ' || event || chr(10) || 'data: ' || replace(data, chr(10), chr(10) || 'data: ')) AS frame_hash, count(*) AS n FROM ({_EVENTS}) GROUP BY 1")
+def src22_event_frames(t: Tables) -> DataFrame:
+    """The frames that a stream of answer events leaves in the shared folder."""
+    base = scratch(t.spark, "frames")
+    _answer_events(t).write.parquet(f"{base}/in")
+    stream = t.spark.readStream.schema("run_id string, seq int, event string, data string").parquet(f"{base}/in")
+    logs.write_frames(stream, f"{base}/out", f"{base}/checkpoint")
+    frames = t.spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", "true").text(f"{base}/out").filter("value <> ''")
+    return frames.groupBy(F.sha2("value", 256).alias("frame_hash")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, greatest(0, coalesce((us - lag(us) OVER (PARTITION BY user_id ORDER BY us, id)) // 3600000000, 0)) AS heartbeats FROM (SELECT id, user_id, epoch_us(created_at) AS us FROM kb_calls)")
+def str2_heartbeats(t: Tables) -> DataFrame:
+    us = F.unix_micros(F.col("created_at").cast("timestamp"))
+    events = t.calls().select(F.col("user_id").alias("run_id"), F.struct(us, "id").alias("seq"), (us / 1e6).alias("at"), "id")
+    return logs.heartbeats(events, 3600.0).select(F.col("seq.id").alias("id"), "heartbeats")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'LOST' WHEN o_orderkey % 5 = 0 THEN 'RETRIED' ELSE 'DONE' END AS state FROM orders WHERE o_orderkey % 7 <> 0")
+def str3_chained_queues(t: Tables) -> DataFrame:
+    """Orders through two queues. One in five fails at its first attempt in the second, one in seven always."""
+    base = scratch(t.spark, "queues")
+    t.raw("orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("attempt")).write.parquet(f"{base}/one/batch-0")
+    read = lambda folder: t.spark.readStream.schema("id long, attempt int").option("recursiveFileLookup", "true").parquet(folder)
+    fine = lambda rows: rows.withColumn("error", F.lit(None).cast("string"))
+    wrong = (F.col("id") % 7 == 0) | ((F.col("id") % 5 == 0) & (F.col("attempt") == 0))
+    fails = lambda rows: rows.withColumn("error", F.when(wrong, "FAULT"))
+    logs.work_queue(read(f"{base}/one"), fine, f"{base}/two", f"{base}/one-again", f"{base}/c1")
+    inbox = f"{base}/two"
+    for turn in range(3):  # a queue and the retries that it leaves
+        logs.work_queue(read(inbox), fails, f"{base}/done/{turn}", f"{base}/again/{turn}", f"{base}/c2-{turn}")
+        inbox = f"{base}/again/{turn}"
+    done = t.spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/done")
+    return done.select("id", F.when(F.col("attempt") > 0, "RETRIED").otherwise("DONE").alias("state"))
+
+
+@query("SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM kb_calls WHERE created_at < TIMESTAMP '2024-01-15' GROUP BY 1")
+def str4_scheduled_archive(t: Tables) -> DataFrame:
+    """Two runs of the archive over one table: the second one finds nothing new."""
+    base = scratch(t.spark, "archive")
+    for _ in range(2):
+        logs.archive_stream(_stream_calls(t), f"{base}/days", "2024-01-15", f"{base}/checkpoint")
+    return t.spark.read.schema("id long, dt string").json(f"{base}/days").groupBy(F.col("dt").alias("day")).agg(F.count("*").alias("n"))

@@ -68,29 +68,6 @@ def fil8_document_list(t: Tables) -> DataFrame:
     return listed.select("id", "file_name", "status")
 
 
-@query("SELECT id, path, status_code FROM kb_calls WHERE tenant_id = 't1' AND status_code = 500 AND contains(path, 'err') AND created_at >= TIMESTAMP '2024-01-05'")
-def fil9_api_log(t: Tables) -> DataFrame:
-    recent = F.col("created_at") >= F.lit("2024-01-05").cast("timestamp_ntz")
-    mine = (F.col("tenant_id") == "t1") | F.col("tenant_id").isNull()
-    return t.calls().filter(mine & (F.col("status_code") == 500) & F.contains("path", F.lit("err")) & recent).select("id", "path", "status_code")
-
-
-@query("SELECT id, user_id, event_type FROM kb_calls WHERE user_id = 7 AND event_type = 'click' AND created_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-20'")
-def fil10_audit_log(t: Tables) -> DataFrame:
-    between = F.col("created_at").between(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"))
-    return t.calls().filter((F.col("user_id") == 7) & (F.col("event_type") == "click") & between).select("id", "user_id", "event_type")
-
-
-@query("SELECT id, latency_ms FROM kb_calls WHERE status = 'FAILED' AND latency_ms > 400 AND event_type = 'error'")
-def fil11_model_calls(t: Tables) -> DataFrame:
-    return t.calls().filter("status = 'FAILED' AND latency_ms > 400 AND event_type = 'error'").select("id", "latency_ms")
-
-
-@query("SELECT id, stage FROM kb_jobs WHERE status = 'FAILED' AND stage = '1-URGENT' AND document_id % 10 = 3")
-def fil12_task_runs(t: Tables) -> DataFrame:
-    return t.jobs().filter("status = 'FAILED' AND stage = '1-URGENT' AND document_id % 10 = 3").select("id", "stage")
-
-
 @query("SELECT count(*) AS calls FROM kb_calls WHERE path LIKE '/v1/%' AND tenant_id = 't0'")
 def fil13_external_calls(t: Tables) -> DataFrame:
     return t.calls().filter(F.startswith("path", F.lit("/v1/")) & (F.col("tenant_id") == "t0")).agg(F.count("*").alias("calls"))
@@ -124,12 +101,6 @@ def fil22_upload_limits(t: Tables) -> DataFrame:
     return t.documents().filter(F.col("file_type").isin("MARKDOWN", "CSV") & (F.col("n_chars") <= 3000)).select("id")
 
 
-@query("SELECT document_id, count(*) AS chunks FROM kb_chunks WHERE chunk_level = 'CHILD' GROUP BY document_id HAVING bool_and(status = 'ACTIVE')")
-def fil20_backfill_eligible(t: Tables) -> DataFrame:
-    children = t.chunks().filter("chunk_level = 'CHILD'").groupBy("document_id")
-    return children.agg(F.count("*").alias("chunks"), F.every(F.col("status") == "ACTIVE").alias("_all")).filter("_all").drop("_all")
-
-
 @query("SELECT id, title FROM kb_visible")
 def joi2_visible_documents(t: Tables) -> DataFrame:
     return A.visible_documents(t.documents(), t.rules(), EMPLOYEE).select("id", "title")
@@ -176,13 +147,6 @@ def joi12_role_counts(t: Tables) -> DataFrame:
     return N.with_zero_stats(both, permissions, "n_nationkey").select("n_name", "users", "permissions")
 
 
-@query("SELECT r_name, count(DISTINCT n_nationkey) AS roles, count(DISTINCT s_suppkey) AS grants FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name")
-def joi13_rbac_expansion(t: Tables) -> DataFrame:
-    roles = t.raw("region").join(t.raw("nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    grants = roles.join(t.raw("supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return grants.groupBy("r_name").agg(F.countDistinct("n_nationkey").alias("roles"), F.countDistinct("s_suppkey").alias("grants"))
-
-
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def joi15_unused(t: Tables) -> DataFrame:
     used = t.raw("orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
@@ -202,14 +166,6 @@ def joi19_cited_runs(t: Tables) -> DataFrame:
     return t.raw("orders").select(F.col("o_orderkey").alias("run_id")).join(cited, "run_id", "left_semi")
 
 
-@query("""SELECT p.pair_id, d.title, coalesce(c.content, '') AS source FROM kb_pairs p JOIN kb_documents d ON d.id = p.document_id
-    LEFT JOIN kb_chunks c ON c.chunk_id = p.chunk_id AND c.document_id = p.document_id AND c.chunk_level = 'CHILD'""")
-def joi20_citation_source(t: Tables) -> DataFrame:
-    children = t.chunks().filter("chunk_level = 'CHILD'").select("chunk_id", "document_id", "content")
-    named = t.pairs().join(t.documents().select(F.col("id").alias("document_id"), "title"), "document_id")
-    return named.join(children, ["chunk_id", "document_id"], "left").select("pair_id", "title", F.coalesce("content", F.lit("")).alias("source"))
-
-
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def joi21_passage_matches(t: Tables) -> DataFrame:
     passages = t.raw("benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
@@ -414,25 +370,6 @@ def win5_latest_job(t: Tables) -> DataFrame:
     return N.latest_per(t.jobs(), "document_id", "created_at", "id").select("document_id", "id", "status")
 
 
-@query("""SELECT document_id, CAST(run AS BIGINT) AS run, min(chunk_index) AS first, max(chunk_index) AS last FROM (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY chunk_index) AS run
-    FROM (SELECT document_id, chunk_index, CASE WHEN lag(parent_chunk_id) OVER w IS NOT DISTINCT FROM parent_chunk_id AND lag(chunk_index) OVER w = chunk_index - 1 THEN 0 ELSE 1 END AS new
-    FROM kb_live WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index))) GROUP BY ALL""")
-def win6_section_runs(t: Tables) -> DataFrame:
-    order = Window.partitionBy("document_id").orderBy("chunk_index")
-    same = F.lag("parent_chunk_id").over(order).eqNullSafe(F.col("parent_chunk_id")) & (F.lag("chunk_index").over(order) == F.col("chunk_index") - 1)
-    marked = A.live_chunks(t.chunks()).withColumn("new", F.when(same, 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("document_id", "run").agg(F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"))
-
-
-@query("""SELECT query_id, doc_id, n_chars FROM (SELECT *, sum(n_chars) OVER (PARTITION BY query_id ORDER BY rank) AS s FROM
-    (SELECT lang AS query_id, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS rank FROM documents)) WHERE s <= 6000""")
-def win10_context_budget(t: Tables) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy("n_chars", "doc_id")
-    ranked = t.raw("documents").select(F.col("lang").alias("query_id"), "doc_id", "n_chars", F.col("n_chars").alias("token_count"), F.row_number().over(order).alias("final_rank"))
-    return R.context_pack(ranked, CONFIG.context_tokens).select("query_id", "doc_id", "n_chars")
-
-
 @query("""SELECT query_id, document_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
     (SELECT query_id, document_id, item_id, item_index, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM kb_asked, kb_vectors)) WHERE rank <= 20""")
 def srt1_vector_top_k(t: Tables) -> DataFrame:
@@ -581,17 +518,3 @@ def src26_unreferenced(t: Tables) -> DataFrame:
 @query("SELECT conv_id, max_by(text, turn) AS question FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id")
 def ret13_last_question(t: Tables) -> DataFrame:
     return t.raw("conversations").filter("role = 'user' AND trim(text) <> ''").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
-
-
-@query("SELECT p.pair_id FROM kb_pairs p LEFT JOIN (SELECT pair_id, sha256(question) AS h FROM kb_pairs WHERE pair_index % 2 = 0) s ON s.pair_id = p.pair_id AND s.h = sha256(p.question) WHERE s.h IS NULL")
-def emb1_stale_targets(t: Tables) -> DataFrame:
-    known = t.pairs().filter("pair_index % 2 = 0").select("pair_id", F.sha2("question", 256).alias("h"))
-    wanted = t.pairs().select("pair_id", F.sha2("question", 256).alias("h"))
-    return wanted.join(known, ["pair_id", "h"], "left_anti").select("pair_id")
-
-
-@query("SELECT id, CASE WHEN id % 10 = 0 THEN 'moved' ELSE department_id END AS department_id, CASE WHEN id % 9 = 0 THEN 'DELETED' ELSE status END AS status FROM kb_documents")
-def upd1_reclassify_and_delete(t: Tables) -> DataFrame:
-    department = F.when(F.col("id") % 10 == 0, "moved").otherwise(F.col("department_id"))
-    status = F.when(F.col("id") % 9 == 0, "DELETED").otherwise(F.col("status"))
-    return t.documents().select("id", department.alias("department_id"), status.alias("status"))

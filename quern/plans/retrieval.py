@@ -12,13 +12,6 @@ from quern.plans.entities import Tables
 from quern.plans.queries import CONFIG, EMPLOYEE, query
 from quern.storage import materialize
 
-_QA_RANKED = """r AS (SELECT query_id, item_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_score DESC, xs DESC, first_seen, document_id, item_index, item_id) AS final_rank FROM
-    (SELECT f.*, round(fused_score * 8 + vs * 0.35 + xs * 0.45 + CASE WHEN q.flat <> '' AND contains(p.flat, q.flat) THEN 1.2 ELSE 0 END
-        + CASE WHEN len(q.cs) > 0 THEN len(list_intersect(q.cs, p.cs)) / len(q.cs) ELSE 0 END * 0.5 + 0.15 / (1 + greatest(item_index, 0)), 6) AS rerank_score
-     FROM kb_fused_pairs f JOIN kb_q q USING (query_id) JOIN (SELECT pair_id AS item_id, regexp_replace(lower(question), '\\s+', '', 'g') AS flat,
-        list_distinct(string_split(regexp_replace(lower(question), '\\s', '', 'g'), '')) AS cs FROM kb_pairs) p USING (item_id)))"""
-
-
 def _final_pairs(t: Tables) -> DataFrame:
     return R.qa_retrieve(t.questions(), t.scoped_pairs(EMPLOYEE), CONFIG)
 
@@ -30,12 +23,12 @@ def ret1_reciprocal_rank_fusion(t: Tables) -> DataFrame:
     return fused.select("query_id", "item_id", *(F.col(c).cast("long").alias(c) for c in ("qa_vector_rank", "qa_text_rank")), "fused_score")
 
 
-@query(f"WITH {_QA_RANKED} SELECT query_id, item_id, rerank_score, final_rank FROM r WHERE final_rank <= 5")
+@query("SELECT query_id, item_id, rerank_score, final_rank FROM kb_final_pairs WHERE final_rank <= 5")
 def ret1_qa_retrieval(t: Tables) -> DataFrame:
     return _final_pairs(t).select("query_id", "item_id", "rerank_score", F.col("final_rank").cast("long").alias("final_rank"))
 
 
-@query(f"WITH {_QA_RANKED} SELECT query_id, max(rerank_score) AS top_score, max(rerank_score) >= 1.35 AS has_answer FROM r WHERE final_rank <= 5 GROUP BY query_id")
+@query("SELECT query_id, max(rerank_score) AS top_score, max(rerank_score) >= 1.35 AS has_answer FROM kb_final_pairs WHERE final_rank <= 5 GROUP BY query_id")
 def fil18_answer_gate(t: Tables) -> DataFrame:
     return R.answer_gate(_final_pairs(t), CONFIG)
 
@@ -61,27 +54,7 @@ def ret4_deduplicated_evidence(t: Tables) -> DataFrame:
     return kept.select("query_id", "item_id", "fused_score", F.coalesce("qa_vector_score", F.lit(0.0)).alias("qa_vector_score"), "merged")
 
 
-_FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-_WINDOW = f"""SELECT *, substr(p, 1, spot - 1) AS l, substr(p, spot + length(o)) AS r FROM
-    (SELECT f.query_id, f.chunk_id, f.final_rank, f.fused_score, f.parent_chunk_id, {_FLAT.format("h.content")} AS p, {_FLAT.format("f.content")} AS o, instr({_FLAT.format("h.content")}, {_FLAT.format("f.content")}) AS spot
-     FROM kb_final f JOIN kb_chunks h ON h.chunk_id = f.parent_chunk_id AND h.document_id = f.document_id AND h.chunk_level = 'PARENT' AND h.status = 'ACTIVE') WHERE spot > 0 AND o <> ''"""
-_UNITS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]*')"
-_LEAD = "regexp_extract({}, '^[^\\p{{L}}\\p{{N}}]*')"
-
-
-@query(
-    f"""WITH RECURSIVE w AS ({_WINDOW}), u AS (SELECT *, {_UNITS.format("l")} AS lu, {_UNITS.format("r")} AS ru FROM w),
-    parts AS (SELECT query_id, chunk_id, final_rank, fused_score, 0 AS step, 'PARENT' AS kind, parent_chunk_id AS context_id, {_FLAT.format('''(CASE WHEN len(lu) = 0 THEN l
-        ELSE (CASE WHEN (len(lu) - 1) // 600 = 0 THEN ''' + _LEAD.format("l") + ''' ELSE '' END) || array_to_string(list_slice(lu, (len(lu) - 1) // 600 * 600 + 1, len(lu)), '') END)
-        || ' ' || ''' + _LEAD.format("r") + ''' || array_to_string(list_slice(ru, 1, 600), '')''')} AS content FROM u
-      UNION ALL SELECT f.query_id, f.chunk_id, f.final_rank, f.fused_score, n.chunk_index - f.chunk_index + 2, 'NEIGHBOR', n.chunk_id, {_FLAT.format("n.content")} FROM kb_final f JOIN kb_text_items n
-        ON n.document_id = f.document_id AND n.parent_chunk_id = f.parent_chunk_id AND n.chunk_index BETWEEN f.chunk_index - 1 AND f.chunk_index + 1 AND n.chunk_index <> f.chunk_index),
-    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, final_rank, step, context_id) AS i FROM parts),
-    fold AS (SELECT query_id, 0 AS i, list_filter(list({_FLAT.format("content")}), lambda x: x <> '') AS seen, false AS taken FROM kb_final GROUP BY query_id
-      UNION ALL SELECT g.query_id, g.i + 1, CASE WHEN o.content <> '' AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 THEN list_append(g.seen, o.content) ELSE g.seen END,
-        o.content <> '' AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 FROM fold g JOIN o ON o.query_id = g.query_id AND o.i = g.i + 1)
-    SELECT o.query_id, o.chunk_id AS item_id, o.kind, o.context_id, o.content FROM o JOIN fold USING (query_id, i) WHERE taken"""
-)
+@query("SELECT query_id, chunk_id AS item_id, kind, context_id, content FROM kb_context")
 def ret7_hydrated_context(t: Tables) -> DataFrame:
     final, chunks = _hybrid(t)
     context = R.hydrate(materialize(final, "final"), chunks, t.scoped_parents(EMPLOYEE))

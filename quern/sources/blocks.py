@@ -1,4 +1,4 @@
-"""Sources of structural blocks: Markdown, CSV, content lists and document trees.
+"""Sources of structural blocks: Markdown, CSV, HTML, content lists and document trees.
 
 Each parser is a plain function from one file's content to rows, applied to many files with mapInPandas. The common row:
 index, content, block_type, page_no, title_path, line_start, line_end, parent_id, metadata (JSON).
@@ -11,10 +11,12 @@ import io
 import json
 import re
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_DDL = (
     "index int, content string, block_type string, page_no int, title_path array<string>, line_start int, line_end int, "
@@ -153,15 +155,15 @@ def csv_blocks(text: str, limit: int = TABLE_CHARS) -> list[dict]:
         return []
     width = len(rows[0])
     head = [_table_line(rows[0], width), f"| {' | '.join(['---'] * width)} |"]
-    room = limit - sum(map(len, head))
+    room = limit - sum(map(len, head)) - 1  # line ends count
     packs: list[list[str]] = []
     used = 0
     for line in (_table_line(r, width) for r in rows[1:]):
-        if not packs or used + len(line) > room:
+        if not packs or used + len(line) + 1 > room:
             packs.append([])
             used = 0
         packs[-1].append(line)
-        used += len(line)
+        used += len(line) + 1
     out, at = [], 2
     for pack in packs:
         end = at + len(pack) - 1
@@ -229,31 +231,101 @@ def tree_blocks(text: str) -> list[dict]:
     return out
 
 
+class _Page(HTMLParser):
+    """Gathers a page's blocks: headings are the title path, tables become Markdown rows, lists their items."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[tuple[str, str, list[str]]] = []
+        self.path: list[str] = []
+        self.kind, self.parts, self.hidden, self.rows = "TEXT", [], 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "head")
+        if tag in ("p", "div", "li", "pre", "blockquote", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6") and self.kind != "TABLE":
+            self.close_block()
+            self.kind = {"li": "LIST", "pre": "CODE", "blockquote": "QUOTE", "table": "TABLE"}.get(tag, "TEXT")
+        if tag == "tr":
+            self.rows.append([])
+        if tag in ("td", "th"):
+            self.parts = []
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "head") and self.hidden > 0
+        text = " ".join("".join(self.parts).split())
+        if tag in ("td", "th") and self.rows:
+            self.rows[-1].append(text)
+            self.parts = []
+        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            self.path, self.parts = [*self.path[: int(tag[1]) - 1], *([text] if text else [])], []
+        elif tag in ("p", "div", "li", "pre", "blockquote", "table"):
+            self.close_block()
+
+    def close_block(self):
+        if self.kind == "TABLE" and any(self.rows):
+            rows = [r for r in self.rows if r]
+            width = len(rows[0])
+            text = "\n".join([_table_line(rows[0], width), f"| {' | '.join(['---'] * width)} |", *(_table_line(r, width) for r in rows[1:])])
+        else:
+            raw = "".join(self.parts)
+            text = raw.strip("\n") if self.kind == "CODE" else " ".join(raw.split())
+            text = f"- {text}" if text and self.kind == "LIST" else text
+        if text.strip():
+            self.blocks.append((self.kind, text, list(self.path)))
+        self.kind, self.parts, self.rows = "TEXT", [], []
+
+
+def html_blocks(text: str) -> list[dict]:
+    """Blocks of an HTML page. Neighbouring items of a list are one block; scripts, styles and the head are left out."""
+    page = _Page()
+    page.feed(text)
+    page.close()
+    page.close_block()
+    out = []
+    for (kind, path), group in groupby(page.blocks, key=lambda b: (b[0] if b[0] == "LIST" else id(b), b[2])):
+        rows = list(group)
+        out.append(_row(len(out), "\n".join(r[1] for r in rows), rows[0][0], 1, path, None, None, "/".join(path) or None, {}))
+    return out
+
+
 PARSERS: dict[str, Callable[[str], list[dict]]] = {
     "md": markdown_blocks, "markdown": markdown_blocks, "txt": markdown_blocks, "csv": csv_blocks, "list.json": content_list_blocks, "tree.json": tree_blocks,
+    "html": html_blocks, "htm": html_blocks,
 }
+#: Media types that stand for a suffix where a name has none that is known.
+MEDIA_TYPES = {"text/markdown": "md", "text/plain": "txt", "text/csv": "csv", "text/html": "html"}
 
 
-def parser_for(name: str) -> Callable[[str], list[dict]] | None:
-    """The parser of a file by its longest known suffix."""
-    found = [s for s in PARSERS if name.lower().endswith(f".{s}")]
-    return PARSERS[max(found, key=len)] if found else None
+def parser_for(name: str, media_type: str | None = None, allowed: frozenset[str] | None = None) -> Callable[[str], list[dict]] | None:
+    """The parser of a file by its longest known suffix, or else by its media type. `allowed` limits the suffixes; those
+    that no parser supports are of no use in it."""
+    usable = {s: p for s, p in PARSERS.items() if allowed is None or s in allowed}
+    found = [s for s in usable if name.lower().endswith(f".{s}")]
+    suffix = max(found, key=len) if found else MEDIA_TYPES.get((media_type or "").split(";")[0].strip().lower())
+    return usable.get(suffix)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Blocks of every file (id, name, content), with id. Files of unknown suffix or broken content give one row with an
-    error and no block."""
+def parse_files(files: DataFrame, allowed: frozenset[str] | None = None) -> DataFrame:
+    """Blocks of every file (id, name, content, and media_type if there is one), with id. Content is text, or bytes that
+    must be UTF-8. Files of unknown or other than allowed type, or of broken content, give one row with an error and no
+    block."""
 
     names = [c.split()[0] for c in BLOCK_DDL.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows: list[dict] = []
-            for id_, name, content in zip(frame["id"], frame["name"], frame["content"], strict=True):
-                parser = parser_for(name or "")
+            for id_, name, media_type, content in zip(frame["id"], frame["name"], frame["media_type"], frame["content"], strict=True):
+                parser = parser_for(name or "", media_type, allowed)
                 try:
                     if parser is None:
                         raise ValueError("UNSUPPORTED")
+                    if isinstance(content, (bytes, bytearray)):
+                        content = bytes(content).decode("utf-8", "strict")
                     rows += [{"id": id_, "error": None, **b} for b in parser(content or "")]
                 except (ValueError, KeyError, TypeError, AttributeError) as error:
                     known = "UNSUPPORTED" if parser is None else f"BROKEN: {type(error).__name__}"
@@ -261,4 +333,5 @@ def parse_files(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "error", *names], dtype=object)
 
     kind = dict(files.dtypes)["id"]
-    return files.select("id", "name", "content").mapInPandas(run, f"id {kind}, error string, {BLOCK_DDL}")
+    media_type = F.col("media_type") if "media_type" in files.columns else F.lit(None).cast("string").alias("media_type")
+    return files.select("id", "name", media_type, "content").mapInPandas(run, f"id {kind}, error string, {BLOCK_DDL}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +34,7 @@ def rate_limited(calls: DataFrame, limit: int, seconds: float = 60.0) -> DataFra
     """Each call (key, id, at in seconds) with allowed: fewer than `limit` allowed calls of its key in the seconds before.
 
     Rejected calls don't count, so a decision depends on earlier ones: the state of a key is its at most `limit` allowed
-    times. Within a batch, calls of a key are taken in order of time and id.
+    times, and stays. Within a batch, calls of a key are taken in order of time and id; maxFilesPerTrigger bounds a batch.
     """
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,3 +78,41 @@ def heartbeats(events: DataFrame, interval: float) -> DataFrame:
 
     gap = F.col("at") - F.lag("at").over(Window.partitionBy("run_id").orderBy("seq"))
     return events.select("run_id", "seq", F.coalesce(F.floor(gap / interval), F.lit(0)).cast("long").alias("heartbeats"))
+
+
+def work_queue(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], outbox: str, retries: str, checkpoint: str, attempts: int = 3) -> None:
+    """One stage of a chain of queues: all waiting tasks (id, attempt and a payload) through work, which adds error.
+
+    Done tasks are appended to outbox, which is the next stage's inbox. Failed ones are appended to retries with one more
+    attempt, up to `attempts`; a folder of retries is an inbox too. Offsets are kept in checkpoint after a batch's files
+    are written, so a task is taken up again if its batch was lost, and its batch's folder is then replaced.
+    """
+
+    def run(rows: DataFrame, number: int) -> None:
+        done = work(rows).cache()
+        plain = rows.columns
+        done.filter("error is null").select(*plain).write.mode("overwrite").parquet(f"{outbox}/batch-{number}")
+        again = done.filter(f"error is not null and attempt + 1 < {attempts}").withColumn("attempt", F.col("attempt") + 1)
+        again.select(*plain).write.mode("overwrite").parquet(f"{retries}/batch-{number}")
+        done.unpersist()
+
+    tasks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def archive_stream(calls: DataFrame, folder: str, cutoff: str, checkpoint: str) -> None:
+    """A scheduled run of the archive: what came since the last run and is older than the cutoff, as gzip JSON lines, a
+    folder a day. A run without new rows writes none."""
+    old = calls.filter(F.col("created_at") < F.lit(cutoff).cast("timestamp")).withColumn("dt", F.date_format("created_at", "yyyy-MM-dd"))
+    writer = old.writeStream.partitionBy("dt").format("json").option("compression", "gzip").option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start(folder).awaitTermination()
+
+
+def write_frames(events: DataFrame, folder: str, checkpoint: str) -> None:
+    """Frames of a stream of events as text files, in order within each run and batch."""
+
+    def run(rows: DataFrame, number: int) -> None:
+        ordered = frames(rows).repartition("run_id").sortWithinPartitions("run_id", "seq")
+        bodies = F.regexp_replace("frame", "\n\n$", "").alias("value")  # the line end that Spark writes closes the frame
+        ordered.select(bodies).write.mode("overwrite").option("lineSep", "\n\n").text(f"{folder}/batch-{number}")
+
+    events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quern.plans import catalog, pipelines, retrieval  # noqa: F401
+from quern.plans import catalog, operations, pipelines, retrieval  # noqa: F401
 from quern.plans import queries as knowledge
 
 FOLDER = "/root/testdata/sf0.001"

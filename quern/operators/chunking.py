@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quern.config import ChunkPolicy
+from quern.operators.handlers import HANDLERS, Context, Handler, handled, hard_cut, prefix_within
+
+__all__ = ["HANDLERS", "Handler", "chunk_document", "chunk_documents", "chunking_warnings", "count_tokens", "prefix_within"]
 
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 #: Where a long text may be cut, coarsest first.
-LEVELS = (("paragraph", re.compile(r"\n\s*\n")), ("line", re.compile(r"\n")), ("sentence", re.compile(r"(?<=[.!?。！？])\s*")), ("word", re.compile(r"(?<=[\s,;:，；：])")))
+LEVELS = (
+    ("structure", re.compile(r"\n(?=\s*(?:#|[-+*]\s|\d+[.)]\s|>))")), ("paragraph", re.compile(r"\n\s*\n")), ("line", re.compile(r"\n")),
+    ("sentence", re.compile(r"(?<=[.!?。！？])\s*")), ("punctuation", re.compile(r"(?<=[,;:，；：])\s*")), ("word", re.compile(r"(?<=\s)")),
+)
 PROSE = ("TEXT", "QUOTE")
 
 Counter = Callable[[str], int]
@@ -35,34 +43,27 @@ class Piece:
     pages: list[int]
     level: str = ""
     prefix: str = ""
-    unique: str = field(default="")
+    metadata: dict = field(default_factory=dict)
 
     def text(self) -> str:
         return f"{self.prefix}\n\n{self.content}" if self.prefix else self.content
 
 
-def prefix_within(text: str, limit: int, count: Counter) -> int:
-    """Length of the longest prefix of at most `limit` tokens, at least one character."""
-    low, high = 1, len(text)
-    while low < high:
-        middle = (low + high + 1) // 2
-        if count(text[:middle]) <= limit:
-            low = middle
-        else:
-            high = middle - 1
-    return low
+def _spans(text: str, pattern: re.Pattern) -> list[str]:
+    ends = sorted({m.end() for m in pattern.finditer(text) if 0 < m.end() < len(text)})
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
 
 
 def split_text(text: str, policy: ChunkPolicy, count: Counter) -> list[tuple[str, str]]:
-    """(level, part) of a text over the maximum, cut at the coarsest level that makes parts smaller and packed to the
-    target. The parts joined are the text."""
-    if count(text) <= policy.max_tokens:
+    """(level, part) of a text over the maximum, cut at the coarsest level that makes its largest span smaller and packed
+    to the target. The parts joined are the text."""
+    whole = count(text)
+    if whole <= policy.max_tokens:
         return [("", text)]
     for level, pattern in LEVELS:
-        ends = sorted({m.end() for m in pattern.finditer(text) if 0 < m.end() < len(text)})
-        if not ends:
+        spans = _spans(text, pattern)
+        if len(spans) < 2 or max(map(count, spans)) >= whole:
             continue
-        spans = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
         packed: list[str] = []
         bound = 0  # at least the last part's tokens: joined texts never have more tokens than their parts
         for span in spans:
@@ -80,46 +81,70 @@ def split_text(text: str, policy: ChunkPolicy, count: Counter) -> list[tuple[str
                 packed.append(span)
                 bound = count(span)
         if len(packed) > 1:
-            return [(deeper or level, part) for p in packed for deeper, part in split_text(p, policy, count)]
-    out = []
-    while text:
-        cut = prefix_within(text, policy.max_tokens, count)
-        out.append(("hard", text[:cut]))
-        text = text[cut:]
-    return out
+            parts = [(deeper or level, part) for p in packed for deeper, part in split_text(p, policy, count)]
+            return balanced_tail(parts, policy, count)
+    return [("hard", part) for part in hard_cut(text, policy.max_tokens, count)]
+
+
+def balanced_tail(parts: list[tuple[str, str]], policy: ChunkPolicy, count: Counter) -> list[tuple[str, str]]:
+    """The parts, with the last boundary moved where the last part is under the minimum: to the coarsest place that leaves
+    both sides within the bounds, of several to that which brings the left one nearest to the target."""
+    if len(parts) < 2 or count(parts[-1][1]) >= policy.min_tokens:
+        return parts
+    joined = parts[-2][1] + parts[-1][1]
+    within = lambda text: policy.min_tokens <= count(text) <= policy.max_tokens
+    for level, pattern in LEVELS:
+        ends = sorted({m.end() for m in pattern.finditer(joined) if 0 < m.end() < len(joined)})
+        fits = [e for e in ends if within(joined[:e]) and within(joined[e:])]
+        if fits:
+            cut = min(fits, key=lambda e: (abs(count(joined[:e]) - policy.target_tokens), e))
+            return [*parts[:-2], (level, joined[:cut]), (level, joined[cut:])]
+    return parts
 
 
-def split_table(text: str, policy: ChunkPolicy, count: Counter) -> list[str]:
-    """Groups of rows that fit, each behind the header. A row too long for a chunk is cut as text is."""
-    lines = text.split("\n")
-    rule = next((i for i, line in enumerate(lines) if re.fullmatch(r"[|\s:-]*-{3,}[|\s:-]*", line)), None)
-    if count(text) <= policy.max_tokens or rule is None:
-        return [p for _, p in split_text(text, policy, count)]
-    head, out = "\n".join(lines[: rule + 1]), []
-    for line in lines[rule + 1 :]:
-        joined = f"{out[-1]}\n{line}" if out else f"{head}\n{line}"
-        if out and count(joined) <= policy.target_tokens:
-            out[-1] = joined
-        elif count(f"{head}\n{line}") <= policy.max_tokens:
-            out.append(f"{head}\n{line}")
-        else:
-            out += [p for _, p in split_text(line, policy, count)]
-    return out or [head]
+def _render(a: Piece, b: Piece) -> Piece:
+    """Two neighbours as one: lists joined by a line end, others by a blank line; of two types TEXT."""
+    joiner = "\n" if a.kind == b.kind == "LIST" else "\n\n"
+    return Piece(f"{a.content}{joiner}{b.content}", a.kind if a.kind == b.kind else "TEXT", a.path, a.blocks + b.blocks, a.pages + b.pages)
 
 
-def merge_small(pieces: list[Piece], policy: ChunkPolicy, count: Counter) -> list[Piece]:
-    """Prose under the minimum joins the next prose of its section, or the last one, while the maximum holds."""
+def merge_small(pieces: list[Piece], policy: ChunkPolicy, count: Counter, warnings: list[str] | None = None) -> list[Piece]:
+    """Prose under the minimum joins the next prose of its section while the maximum holds; else the one before; else it
+    stays, with a warning. What is not prose, or of another section, ends a run."""
     out: list[Piece] = []
+    run: list[Piece] = []  # emitted pieces of the present run
+    held: Piece | None = None
+
+    def emit(piece: Piece) -> None:
+        if count(piece.content) < policy.min_tokens:
+            if run and count(_render(run[-1], piece).content) <= policy.max_tokens:
+                run[-1] = _render(run[-1], piece)
+                return
+            if warnings is not None:
+                warnings.append(f"TINY:{piece.blocks[0]}")
+        run.append(piece)
+
+    def close() -> None:
+        nonlocal held
+        if held is not None:
+            emit(held)
+        held = None
+        out.extend(run)
+        run.clear()
+
     for piece in pieces:
-        last = out[-1] if out else None
-        if last and piece.kind in PROSE and last.kind in PROSE and last.path == piece.path:
-            small = count(last.content) < policy.min_tokens or count(piece.content) < policy.min_tokens
-            joined = f"{last.content}\n\n{piece.content}"
-            if small and count(joined) <= policy.max_tokens:
-                kind = last.kind if last.kind == piece.kind else "TEXT"
-                out[-1] = Piece(joined, kind, last.path, last.blocks + piece.blocks, last.pages + piece.pages)
-                continue
-        out.append(piece)
+        if piece.kind not in PROSE:
+            close()
+            out.append(piece)
+        elif held is None or held.path != piece.path:
+            close()
+            held = piece
+        elif count(held.content) < policy.min_tokens and count(_render(held, piece).content) <= policy.max_tokens:
+            held = _render(held, piece)
+        else:
+            emit(held)
+            held = piece
+    close()
     return out
 
 
@@ -140,27 +165,50 @@ def overlap_prefix(text: str, limit: int, count: Counter) -> str:
     return text[low:].strip()
 
 
-def chunk_document(blocks: list[dict], policy: ChunkPolicy, count: Counter = count_tokens) -> list[dict]:
-    """Parents and children of one document's blocks (index, content, block_type, page_no, title_path).
+def _normalized(blocks: list[dict], warnings: list[str]) -> list[Piece]:
+    """Blocks in order of their index, which must be unique and not negative; empty ones are left out with a warning."""
+    indexes = [b["index"] for b in blocks]
+    if len(set(indexes)) < len(indexes) or any(i is None or i < 0 for i in indexes):
+        raise ValueError("block indexes must be unique and not negative")
+    out = []
+    for b in sorted(blocks, key=lambda b: b["index"]):
+        text = (b["content"] or "").replace("\r\n", "\n").replace("\r", "\n").strip()
+        kind = "TEXT" if b["block_type"] in (None, "UNKNOWN") else b["block_type"]
+        if not text and kind != "IMAGE":
+            warnings.append(f"EMPTY:{b['index']}")
+            continue
+        path = tuple(b["title_path"] if b["title_path"] is not None else ())
+        pages = [b["page_no"]] if b["page_no"] is not None else []
+        out.append(Piece(text, kind, path, [b["index"]], pages, metadata=json.loads(b.get("metadata") or "{}")))
+    return out
+
+
+def chunk_document(
+    blocks: list[dict], policy: ChunkPolicy, count: Counter = count_tokens, handlers: dict[str, Handler] | None = None, warnings: list[str] | None = None
+) -> list[dict]:
+    """Parents and children of one document's blocks (index, content, block_type, page_no, title_path, metadata).
 
     Every child has at most the maximum of tokens, prefix included. A child's `content` without its first
-    `prefix_chars` characters is its own text. Parents are runs of one section within the parent maximum.
+    `prefix_chars` characters is its own text. Parents are runs of one section within the parent maximum, of the
+    children's own texts. Types with a handler are cut by it, others as prose; an image that nothing is known of gives no
+    chunk. Warnings are TINY, EMPTY and SKIPPED with a block's index.
     """
-    ordered = sorted((b for b in blocks if (b["content"] or "").strip()), key=lambda b: b["index"])
-    pieces = [
-        Piece(b["content"].replace("\r\n", "\n").replace("\r", "\n").strip(), "TEXT" if b["block_type"] in (None, "UNKNOWN") else b["block_type"],
-              tuple(b["title_path"] if b["title_path"] is not None else ()), [b["index"]], [b["page_no"]] if b["page_no"] is not None else [])
-        for b in ordered
-    ]
+    told: list[str] = [] if warnings is None else warnings
+    typed = handlers or HANDLERS
+    pieces = merge_small(_normalized(blocks, told), policy, count, told)
     children: list[Piece] = []
-    for piece in merge_small(pieces, policy, count):
-        if piece.kind == "TABLE":
-            parts = [("table", p) for p in split_table(piece.content, policy, count)]
-        else:
-            parts = split_text(piece.content, policy, count)
-        for i, (level, part) in enumerate(p for p in parts if p[1].strip()):
+    for number, piece in enumerate(pieces):
+        if piece.kind in typed:
+            near = [pieces[k].content if 0 <= k < len(pieces) and pieces[k].kind in PROSE and pieces[k].path == piece.path else "" for k in (number - 1, number + 1)]
+            parts = handled(piece.kind, piece.content, policy, count, Context(piece.path, piece.metadata, *near), typed)
+            if not parts:
+                told.append(f"SKIPPED:{piece.blocks[0]}")
+            children += [Piece(content, piece.kind, piece.path, piece.blocks, piece.pages, metadata=more) for content, more in parts]
+            continue
+        parts = [p for p in split_text(piece.content, policy, count) if p[1].strip()]
+        for i, (level, part) in enumerate(parts):
             child = Piece(part.strip(), piece.kind, piece.path, piece.blocks, piece.pages, level)
-            if i and piece.kind in PROSE and level in ("sentence", "word", "hard") and policy.overlap_tokens:
+            if i and piece.kind == "TEXT" and level in ("sentence", "punctuation", "word", "hard") and policy.overlap_tokens:
                 prefix = overlap_prefix(children[-1].content, policy.overlap_tokens, count)
                 if prefix and count(f"{prefix}\n\n{child.content}") <= policy.max_tokens:
                     child.prefix = prefix
@@ -169,48 +217,71 @@ def chunk_document(blocks: list[dict], policy: ChunkPolicy, count: Counter = cou
     for i, child in enumerate(children):
         own = count(child.content)
         if not parents or parents[-1]["path"] != child.path or parents[-1]["tokens"] + own > policy.parent_max_tokens:
-            parents.append({"path": child.path, "tokens": 0, "parts": [], "pages": [], "kinds": set()})
+            parents.append({"path": child.path, "tokens": 0, "parts": [], "pages": [], "kinds": set(), "blocks": []})
         parent = parents[-1]
         parent["tokens"] += own
         parent["parts"].append(child.content)
         parent["pages"] += child.pages
         parent["kinds"].add(child.kind)
+        parent["blocks"] += child.blocks
         text = child.text()
-        rows.append(_chunk("CHILD", i, len(parents) - 1, text, child.kind, child.path, count(text), child.pages, child.blocks, len(text) - len(child.content), child.level))
+        rows.append(_chunk("CHILD", i, len(parents) - 1, text, child, count(text), len(text) - len(child.content)))
     for i, p in enumerate(parents):
         text = "\n\n".join(p["parts"])
         kind = p["kinds"].pop() if len(p["kinds"]) == 1 else "TEXT"
-        rows.append(_chunk("PARENT", i, None, text, kind, p["path"], count(text), p["pages"], [], 0, ""))
+        rows.append(_chunk("PARENT", i, None, text, Piece(text, kind, p["path"], p["blocks"], p["pages"]), count(text), 0))
     return rows
 
 
 CHUNK_DDL = (
     "chunk_level string, chunk_index int, parent_index int, content string, block_type string, title_path array<string>, "
-    "token_count int, page_start int, page_end int, block_indexes array<int>, prefix_chars int, split_level string"
+    "token_count int, page_start int, page_end int, block_indexes array<int>, prefix_chars int, split_level string, metadata string"
 )
 
 
-def _chunk(level, index, parent, content, kind, path, tokens, pages, blocks, prefix, split) -> dict:
+def _chunk(level: str, index: int, parent: int | None, content: str, piece: Piece, tokens: int, prefix: int) -> dict:
     return {
-        "chunk_level": level, "chunk_index": index, "parent_index": parent, "content": content, "block_type": kind, "title_path": list(path),
-        "token_count": tokens, "page_start": min(pages, default=None), "page_end": max(pages, default=None), "block_indexes": sorted(set(blocks)),
-        "prefix_chars": prefix, "split_level": split,
+        "chunk_level": level, "chunk_index": index, "parent_index": parent, "content": content, "block_type": piece.kind, "title_path": list(piece.path),
+        "token_count": tokens, "page_start": min(piece.pages, default=None), "page_end": max(piece.pages, default=None),
+        "block_indexes": list(dict.fromkeys(piece.blocks)), "prefix_chars": prefix, "split_level": piece.level,
+        "metadata": json.dumps(piece.metadata, ensure_ascii=False, sort_keys=True),
     }
 
 
-def chunk_documents(blocks: DataFrame, policy: ChunkPolicy | None = None, count: Counter = count_tokens) -> DataFrame:
+def _records(frame: pd.DataFrame) -> list[dict]:
+    return frame.astype(object).where(frame.notna(), None).to_dict("records")
+
+
+def _picked(blocks: DataFrame) -> DataFrame:
+    more = F.col("metadata") if "metadata" in blocks.columns else F.lit(None).cast("string").alias("metadata")
+    return blocks.select("id", "index", "content", "block_type", "page_no", "title_path", more)
+
+
+def chunk_documents(blocks: DataFrame, policy: ChunkPolicy | None = None, count: Counter = count_tokens, handlers: dict[str, Handler] | None = None) -> DataFrame:
     """Chunks of every document: blocks has id and the columns of a block. A group is one document's blocks."""
     bounds = policy or ChunkPolicy()
     names = [c.split()[0] for c in CHUNK_DDL.split(", ")]
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        records = frame.astype(object).where(frame.notna(), None).to_dict("records")
-        out = pd.DataFrame(chunk_document(records, bounds, count), columns=names)
-        out["parent_index"] = out["parent_index"].astype("Int32")
-        out["page_start"], out["page_end"] = out["page_start"].astype("Int32"), out["page_end"].astype("Int32")
+        out = pd.DataFrame(chunk_document(_records(frame), bounds, count, handlers), columns=names)
+        for name in ("parent_index", "page_start", "page_end"):
+            out[name] = out[name].astype("Int32")
         out.insert(0, "id", frame["id"].iloc[0])
         return out
 
     kind = dict(blocks.dtypes)["id"]
-    picked = blocks.select("id", "index", "content", "block_type", "page_no", "title_path")
-    return picked.groupBy("id").applyInPandas(fold, f"id {kind}, {CHUNK_DDL}")
+    return _picked(blocks).groupBy("id").applyInPandas(fold, f"id {kind}, {CHUNK_DDL}")
+
+
+def chunking_warnings(blocks: DataFrame, policy: ChunkPolicy | None = None, count: Counter = count_tokens) -> DataFrame:
+    """id, code and block index of each warning."""
+    bounds = policy or ChunkPolicy()
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        told: list[str] = []
+        chunk_document(_records(frame), bounds, count, warnings=told)
+        rows = [(frame["id"].iloc[0], *w.split(":")) for w in told]
+        return pd.DataFrame([(i, code, int(at)) for i, code, at in rows], columns=["id", "code", "index"])
+
+    kind = dict(blocks.dtypes)["id"]
+    return _picked(blocks).groupBy("id").applyInPandas(fold, f"id {kind}, code string, index int")

@@ -5,8 +5,6 @@ import random
 
 import pandas as pd
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -115,17 +113,6 @@ def test_unknown_and_broken_files_become_errors(spark):
 SMALL = ChunkPolicy(min_tokens=5, target_tokens=12, max_tokens=20, overlap_tokens=4, parent_max_tokens=40)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["TEXT", "LIST", "TABLE", "CODE"]), st.text("ab c.\n|-1é中", max_size=300)), max_size=6))
-def test_chunks_are_bounded_and_lossless(blocks):
-    rows = [{"index": i, "content": c, "block_type": k, "page_no": 1, "title_path": ["s"]} for i, (k, c) in enumerate(blocks)]
-    children = [r for r in C.chunk_document(rows, SMALL) if r["chunk_level"] == "CHILD"]
-    assert all(r["token_count"] <= SMALL.max_tokens for r in children)
-    flat = lambda text: "".join(text.split())
-    if not any(k == "TABLE" for k, _ in blocks):  # tables repeat their header
-        assert flat("".join(r["content"][r["prefix_chars"] :] for r in children)) == flat("".join(c for _, c in blocks))
-
-
 def test_chunking_is_the_same_on_any_partitioning(spark):
     rows = [(d, i, f"Sentence {i} of {d}. " * 30, "TEXT", 1, ["a"]) for d in range(6) for i in range(4)]
     frame = spark.createDataFrame(rows, "id int, index int, content string, block_type string, page_no int, title_path array<string>")

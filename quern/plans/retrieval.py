@@ -13,7 +13,7 @@ from quern.plans.queries import CONFIG, EMPLOYEE, query
 from quern.storage import materialize
 
 def _final_pairs(t: Tables) -> DataFrame:
-    return R.qa_retrieve(t.questions(), t.scoped_pairs(EMPLOYEE), CONFIG)
+    return R.qa_retrieve(t.questions(), materialize(t.scoped_pairs(EMPLOYEE), "pair-items"), CONFIG)
 
 
 @query("SELECT query_id, item_id, vr AS qa_vector_rank, xr AS qa_text_rank, fused_score FROM kb_fused_pairs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -125,9 +126,14 @@ def generate(batches: DataFrame, model: Callable[[list[str]], str], attempts: in
     return batches.select("document_id", "batch_index", "chunk_ids").mapInPandas(run, ddl)
 
 
-def pending(batches: DataFrame, done: DataFrame) -> DataFrame:
-    """Batches with an input_hash that no finished row of done (input_hash, error null) has: what a run has still to do."""
-    return batches.join(done.filter("error is null").select("input_hash").distinct(), "input_hash", "left_anti")
+def finished(rows: DataFrame) -> DataFrame:
+    """input_hash and run of the batches that a run has answered in all their parts."""
+    return rows.groupBy("input_hash", "run").agg(F.max("error").alias("_error")).filter("_error is null").drop("_error")
+
+
+def pending(batches: DataFrame, rows: DataFrame) -> DataFrame:
+    """Batches with an input_hash that no run has finished: what is still to do."""
+    return batches.join(finished(rows).select("input_hash").distinct(), "input_hash", "left_anti")
 
 
 def with_input_hash(batches: DataFrame) -> DataFrame:
@@ -138,28 +144,28 @@ def with_input_hash(batches: DataFrame) -> DataFrame:
 def checkpointed_run(batches: DataFrame, folder: str, model: Callable[[list[str]], str]) -> DataFrame:
     """Runs the pending batches and appends their rows to folder. Returns all rows; a run without pending batches adds none.
 
-    A batch counts as done when all rows of its halves are without an error, so halves of one that failed in part are
-    asked again as a whole.
+    A batch counts as done when a run has all its parts without an error, so one that failed in part is asked again as a
+    whole.
     """
     spark = batches.sparkSession
     hashed = with_input_hash(batches)
-    ddl = "document_id bigint, batch_index int, path string, chunk_ids array<string>, output string, error string, input_hash string"
+    ddl = "document_id bigint, batch_index int, path string, chunk_ids array<string>, output string, error string, input_hash string, run string"
     try:
         found = spark.read.schema(ddl).parquet(folder)
-        whole = found.groupBy("input_hash").agg(F.max("error").alias("error"))
     except AnalysisException:  # the first run
-        whole = spark.createDataFrame([], "input_hash string, error string")
-    todo = pending(hashed, whole)
+        found = spark.createDataFrame([], ddl)
+    todo = pending(hashed, found)
     made = generate(todo, model).join(todo.select("document_id", "batch_index", "input_hash"), ["document_id", "batch_index"])
-    made.selectExpr("CAST(document_id AS BIGINT) AS document_id", "batch_index", "path", "chunk_ids", "output", "error", "input_hash").write.mode("append").parquet(folder)
+    named = made.withColumns({"document_id": F.col("document_id").cast("long"), "run": F.lit(uuid.uuid4().hex)})
+    named.select(*found.columns).write.mode("append").parquet(folder)
     return spark.read.schema(ddl).parquet(folder)
 
 
 def publishable(batches: DataFrame, rows: DataFrame) -> DataFrame:
-    """document_id and ready: whether every batch of the document has rows, all without an error."""
-    state = rows.groupBy("input_hash").agg(F.max("error").alias("error"), F.lit(True).alias("ran"))
-    joined = with_input_hash(batches).join(state, "input_hash", "left")
-    return joined.groupBy("document_id").agg(F.every(F.coalesce("ran", F.lit(False)) & F.col("error").isNull()).alias("ready"))
+    """document_id and ready: whether every batch of the document was finished by some run."""
+    done = finished(rows).select("input_hash", F.lit(True).alias("_done")).distinct()
+    joined = with_input_hash(batches).join(done, "input_hash", "left")
+    return joined.groupBy("document_id").agg(F.every(F.coalesce("_done", F.lit(False))).alias("ready"))
 
 
 def concurrency(calls: DataFrame, most: int, rise: int = 3) -> DataFrame:

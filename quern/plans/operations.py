@@ -449,9 +449,8 @@ def qas6_checkpointed_run(t: Tables) -> DataFrame:
 
     qa.checkpointed_run(batches, folder, flaky)
     rows = qa.checkpointed_run(batches, folder, lambda ids: ",".join(ids))
-    good = rows.filter("error is null")
-    ready = qa.publishable(batches, good)
-    counted = good.groupBy("document_id").agg(F.sum(F.size("chunk_ids")).alias("chunks"))
+    ready = qa.publishable(batches, rows)
+    counted = rows.join(qa.finished(rows), ["input_hash", "run"]).groupBy("document_id").agg(F.sum(F.size("chunk_ids")).alias("chunks"))
     return ready.join(counted, "document_id").select("document_id", "ready", "chunks")
 
 
@@ -555,7 +554,7 @@ def src16_objects(t: Tables) -> DataFrame:
     put = sources.put_objects(t.raw("documents").select(key.alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")), folder)
     sizes = materialize(put.select("key", "size"), "written")
     got = sources.get_objects(t.spark, folder, "*.txt").select("key", F.sha2("data", 256).alias("sha256"))
-    return got.join(sizes, "key").select("key", "sha256", "size")
+    return sizes.join(got, "key", "left").select("key", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256"), "size")
 
 
 @query("SELECT item_id AS id, text AS query, item_id % 3 = 0 AS visible FROM benchmark")

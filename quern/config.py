@@ -8,9 +8,16 @@ import math
 from dataclasses import asdict, dataclass, field
 
 
+def canonical_hash(value, ascii_only: bool = True) -> str:
+    """SHA-256 of a value as JSON with sorted keys and no spaces. Callers differ in whether other than ASCII letters are
+    escaped; numbers that JSON has no form for are an error."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only, allow_nan=False)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 @dataclass(frozen=True)
 class ChunkPolicy:
-    """Token bounds of chunks."""
+    """Token bounds of chunks. The defaults."""
 
     min_tokens: int = 100
     target_tokens: int = 450
@@ -28,8 +35,7 @@ class ChunkPolicy:
 
     def config_hash(self) -> str:
         """SHA-256 of the policy as JSON with sorted keys."""
-        text = json.dumps(asdict(self), sort_keys=True, separators=(",", ":"))
-        return hashlib.sha256(text.encode()).hexdigest()
+        return canonical_hash(asdict(self), ascii_only=False)
 
 
 CHANNELS = ("qa_vector", "qa_text", "chunk_vector", "chunk_text")
@@ -37,7 +43,7 @@ CHANNELS = ("qa_vector", "qa_text", "chunk_vector", "chunk_text")
 
 @dataclass(frozen=True)
 class RetrievalConfig:
-    """Sizes and weights of a retrieval."""
+    """Sizes and weights of a retrieval. The defaults."""
 
     qa_top_k: int = 20
     hybrid_top_k: int = 10
@@ -55,3 +61,23 @@ class RetrievalConfig:
             raise ValueError(f"unknown channels: {sorted(unknown)}")
         if any(not math.isfinite(w) or w < 0 for w in self.weights.values()):
             raise ValueError("channel weights must be finite and not negative")
+
+
+@dataclass(frozen=True)
+class Services:
+    """What a deployment's settings choose: bounds, sizes and the token counter."""
+
+    policy: ChunkPolicy
+    retrieval: RetrievalConfig
+    counter: object
+
+    @classmethod
+    def of(cls, settings: dict) -> Services:
+        """From a mapping with chunking, retrieval and vocabulary, a file of a byte-pair tokenizer; all may be missing.
+        Names that no setting has are an error."""
+        from quern.operators.handlers import byte_pair_counter, word_counter
+
+        if unknown := set(settings) - {"chunking", "retrieval", "vocabulary"}:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        counter = byte_pair_counter(settings["vocabulary"]) if settings.get("vocabulary") else word_counter()
+        return cls(ChunkPolicy(**settings.get("chunking", {})), RetrievalConfig(**settings.get("retrieval", {})), counter)

@@ -149,6 +149,19 @@ def title_path(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*(F.trim(p) for p in parts)), lambda x: x != ""), " / ")
 
 
+def source_identity(explicit: Column, derived: Column) -> Column:
+    """Where a block comes from: the identity that its locator names, else the derived one. Two that differ are an error."""
+    clash = explicit.isNotNull() & derived.isNotNull() & (explicit != derived)
+    return F.when(clash, F.raise_error(F.concat(F.lit("two identities of one source: "), explicit, F.lit(", "), derived))).otherwise(F.coalesce(explicit, derived))
+
+
+def locator_ranges(locators: Column) -> Column:
+    """(block, start, end) of locators, an array of structs with block, merged_start, merged_end, source_start and
+    source_end: the merged span, else the source's; those that are empty or lack an end are left out."""
+    span = lambda x: F.struct(x["block"].alias("block"), F.coalesce(x["merged_start"], x["source_start"]).alias("start"), F.coalesce(x["merged_end"], x["source_end"]).alias("end"))
+    return F.filter(F.transform(F.coalesce(locators, F.array()), span), lambda r: r["end"] > r["start"])
+
+
 def page_range(start: Column, end: Column, page: Column) -> Column:
     """First and last page with fallbacks, as a struct."""
     first = F.coalesce(start, page, F.lit(1))

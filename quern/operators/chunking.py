@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import ChunkPolicy
-from quern.operators.handlers import HANDLERS, Context, Handler, handled, hard_cut, prefix_within
+from quern.operators.handlers import HANDLERS, Context, Handler, handled, hard_cut, prefix_within, word_counter
 
 __all__ = ["HANDLERS", "Handler", "chunk_document", "chunk_documents", "chunking_warnings", "count_tokens", "prefix_within"]
 
-_TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 #: Where a long text may be cut, coarsest first.
 LEVELS = (
     ("structure", re.compile(r"\n(?=\s*(?:#|[-+*]\s|\d+[.)]\s|>))")), ("paragraph", re.compile(r"\n\s*\n")), ("line", re.compile(r"\n")),
@@ -27,9 +26,8 @@ PROSE = ("TEXT", "QUOTE")
 Counter = Callable[[str], int]
 
 
-def count_tokens(text: str) -> int:
-    """The default counter: runs of letters and digits, and single ideographs."""
-    return len(_TOKEN.findall(text))
+#: The default counter.
+count_tokens = word_counter()
 
 
 @dataclass

@@ -52,6 +52,42 @@ def hard_cut(text: str, limit: int, count: Counter) -> Iterator[str]:
         text = text[cut:]
 
 
+_TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
+_loaded: dict[str, object] = {}
+
+
+@dataclass(frozen=True)
+class TokenCounter:
+    """A named way to count tokens. It is called as a function, in the workers too."""
+
+    name: str
+    version: str
+    vocabulary: str | None = None
+
+    def __call__(self, text: str) -> int:
+        if self.vocabulary is None:
+            return len(_TOKEN.findall(text))
+        if self.vocabulary not in _loaded:
+            from tokenizers import Tokenizer
+
+            _loaded[self.vocabulary] = Tokenizer.from_file(self.vocabulary)
+        return len(_loaded[self.vocabulary].encode(text, add_special_tokens=False).ids)
+
+    def split(self, text: str, limit: int) -> list[str]:
+        """The text in nearly longest parts of at most `limit` tokens; joined they are the text."""
+        return list(hard_cut(text, limit, self))
+
+
+def word_counter() -> TokenCounter:
+    """Runs of letters and digits, and single ideographs."""
+    return TokenCounter("words", "1")
+
+
+def byte_pair_counter(vocabulary: str) -> TokenCounter:
+    """Tokens of a byte-pair vocabulary, a file that every worker can read; it is loaded once in each."""
+    return TokenCounter("byte-pairs", vocabulary.rsplit("/", 1)[-1], vocabulary)
+
+
 def _affordable(wrap: Callable[[str], str], policy: ChunkPolicy, count: Counter) -> Callable[[str], str]:
     """wrap, or nothing around a part where that alone would take over half of the maximum."""
     return wrap if count(wrap("")) <= policy.max_tokens // 2 else lambda body: body

@@ -329,6 +329,30 @@ def fun8_search_tokens(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.array_join(X.search_tokens(F.col("text")), " ").alias("tokens"))
 
 
+@query("SELECT chunk_id, coalesce(CASE WHEN chunk_index % 2 = 0 THEN 's' || document_id END, 'd' || document_id) AS source FROM kb_live")
+def fun16_source_identity(t: Tables) -> DataFrame:
+    name = F.col("document_id").cast("string")
+    explicit = F.when(F.col("chunk_index") % 2 == 0, F.concat(F.lit("s"), name))
+    derived = F.when(F.col("chunk_index") % 2 == 1, F.concat(F.lit("d"), name))
+    return A.live_chunks(t.chunks()).select("chunk_id", S.source_identity(explicit, derived).alias("source"))
+
+
+@query(
+    """SELECT chunk_id, CASE WHEN chunk_index % 3 = 0 THEN 2 WHEN chunk_index % 3 = 1 THEN 7 END AS range_start, CASE WHEN chunk_index % 3 = 0 THEN 9 WHEN chunk_index % 3 = 1 THEN 8 END AS range_end, CASE WHEN chunk_index % 3 = 2 THEN 0 ELSE 1 END AS ranges FROM kb_live"""
+)
+def fun17_locator_ranges(t: Tables) -> DataFrame:
+    """A merged span, a source's span, and spans without an end or with nothing in them."""
+    kind = F.col("chunk_index") % 3
+    pick = lambda test, value: F.when(test, F.lit(value))
+    first = F.struct(
+        F.col("chunk_id").alias("block"), pick(kind == 0, 2).alias("merged_start"), pick(kind == 0, 9).alias("merged_end"), F.when(kind == 2, 5).otherwise(7).alias("source_start"),
+        pick(kind == 1, 8).alias("source_end"),
+    )
+    nothing = F.struct(F.col("chunk_id").alias("block"), F.lit(4).alias("merged_start"), F.lit(4).alias("merged_end"), F.lit(0).alias("source_start"), F.lit(9).alias("source_end"))
+    made = A.live_chunks(t.chunks()).select("chunk_id", S.locator_ranges(F.array(first, nothing)).alias("r"))
+    return made.select("chunk_id", F.get("r.start", F.lit(0)).alias("range_start"), F.get("r.end", F.lit(0)).alias("range_end"), F.size("r").alias("ranges"))
+
+
 @query("SELECT doc_id, trim(nfc_normalize(text), ' ' || chr(9) || chr(10) || chr(13)) AS plain, true AS mapped FROM documents")
 def fun10_normalized_texts(t: Tables) -> DataFrame:
     made = t.raw("documents").select("doc_id", "text", X.normalized_text(F.col("text")).alias("n"))

@@ -120,3 +120,23 @@ def test_a_deployment_may_bring_its_own_handler():
     assert [(r["content"], json.loads(r["metadata"])) for r in got] == [("mine", {"k": 1})]
     with pytest.raises(ValueError):
         children([block(0, "TABLE", "x")], handlers={"TABLE": lambda *a: [("w " * 99, {})]})
+
+
+def test_counters_and_services():
+    import public_tokenizers
+
+    from quern.config import Services, canonical_hash
+
+    made = Services.of({"chunking": {"max_tokens": 900}, "retrieval": {"rrf_k": 10}, "vocabulary": public_tokenizers.path("byte_bpe_50k.json")})
+    assert (made.policy.max_tokens, made.retrieval.rrf_k, made.counter.name, made.counter.version) == (900, 10, "byte-pairs", "byte_bpe_50k.json")
+    text = "Unbelievable tokenization, naïve café 中文 " * 20
+    parts = made.counter.split(text, 9)
+    assert "".join(parts) == text and all(made.counter(p) <= 9 for p in parts)
+    rows = children([block(0, "TEXT", text)], SMALL, count=made.counter)
+    assert len(rows) > 3 and all(made.counter(r["content"]) <= 20 for r in rows)
+    assert Services.of({}).counter("Hello, 中文 w0rld") == 4
+    with pytest.raises(ValueError):
+        Services.of({"other": 1})
+    assert canonical_hash({"b": 1, "a": "é"}) == canonical_hash({"a": "é", "b": 1}) != canonical_hash({"a": "é", "b": 1}, ascii_only=False)
+    with pytest.raises(ValueError):
+        canonical_hash(float("nan"))

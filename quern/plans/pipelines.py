@@ -9,7 +9,6 @@ from quern.config import ChunkPolicy
 from quern.functions import scalar as S
 from quern.operators import access as A
 from quern.operators import chunking, qa
-from quern.operators import retrieval as R
 from quern.plans.entities import Tables
 from quern.plans.queries import query
 from quern.sources.blocks import parse_files

@@ -143,10 +143,10 @@ def _mock(text: str) -> str:
     return f"list_transform(range(0, 32), lambda i: round(CAST('0x' || sha256({text})[i * 2 + 1 : i * 2 + 2] AS INT) / 255.0, 6)::DOUBLE)"
 
 
-_VECTOR = "round(coalesce(list_cosine_similarity(q.e, t.e), 0), 6)"
-_TEXT = "round(len(list_intersect(q.cs, t.cs)) / len(q.cs), 6)"
+VECTOR_SCORE = "round(coalesce(list_cosine_similarity(q.e, t.e), 0), 6)"
+TEXT_SCORE = "round(len(list_intersect(q.cs, t.cs)) / len(q.cs), 6)"
 #: One channel's best rows of each question. A text channel leaves out rows with nothing in common, a vector channel has none here.
-_CHANNEL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
+CHANNEL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
         (SELECT '{name}' AS channel, q.query_id, t.document_id, t.{id} AS item_id, t.{index} AS item_index, {score} AS score FROM kb_q q, {items} t) WHERE score > 0) WHERE rank <= {k}"""
 
 _FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
@@ -205,18 +205,18 @@ CTES = {
     "kb_text_items": f"""SELECT c.*, d.title, {_chars("content")} AS cs, {_mock("content")} AS e FROM kb_live c JOIN kb_visible d ON d.id = c.document_id""",
     "kb_fused_pairs": f"""SELECT query_id, item_id, min(document_id) AS document_id, min(item_index) AS item_index, max(rank) FILTER (channel = 'v') AS vr, max(rank) FILTER (channel = 'x') AS xr,
         coalesce(max(score) FILTER (channel = 'v'), 0) AS vs, coalesce(max(score) FILTER (channel = 'x'), 0) AS xs, round(sum(1.0 / (60 + rank)), 9) AS fused_score,
-        min(CASE channel WHEN 'v' THEN rank ELSE 1000 + rank END) AS first_seen FROM ({_CHANNEL.format(name="v", score=_VECTOR, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}
-        UNION ALL {_CHANNEL.format(name="x", score=_TEXT, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}) GROUP BY 1, 2""",
+        min(CASE channel WHEN 'v' THEN rank ELSE 1000 + rank END) AS first_seen FROM ({CHANNEL.format(name="v", score=VECTOR_SCORE, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}
+        UNION ALL {CHANNEL.format(name="x", score=TEXT_SCORE, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}) GROUP BY 1, 2""",
     "kb_final_pairs": """SELECT query_id, item_id, vr, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_score DESC, xs DESC, first_seen, document_id, item_index, item_id) AS final_rank FROM
     (SELECT f.*, round(fused_score * 8 + vs * 0.35 + xs * 0.45 + CASE WHEN q.flat <> '' AND contains(p.flat, q.flat) THEN 1.2 ELSE 0 END
         + CASE WHEN len(q.cs) > 0 THEN len(list_intersect(q.cs, p.cs)) / len(q.cs) ELSE 0 END * 0.5 + 0.15 / (1 + greatest(item_index, 0)), 6) AS rerank_score
      FROM kb_fused_pairs f JOIN kb_q q USING (query_id) JOIN (SELECT pair_id AS item_id, regexp_replace(lower(question), '\\s+', '', 'g') AS flat,
         list_distinct(string_split(regexp_replace(lower(question), '\\s', '', 'g'), '')) AS cs FROM kb_pairs) p USING (item_id))""",
     "kb_hits": " UNION ALL ".join(
-        _CHANNEL.format(name=name, score=score, items=items, id=id_, index=index, k=10)
+        CHANNEL.format(name=name, score=score, items=items, id=id_, index=index, k=10)
         for name, score, items, id_, index in (
-            ("qv", _VECTOR, "kb_qa_items", "pair_id", "pair_index"), ("qx", _TEXT, "kb_qa_items", "pair_id", "pair_index"),
-            ("tv", _VECTOR, "kb_text_items", "chunk_id", "chunk_index"), ("tx", _TEXT, "kb_text_items", "chunk_id", "chunk_index"),
+            ("qv", VECTOR_SCORE, "kb_qa_items", "pair_id", "pair_index"), ("qx", TEXT_SCORE, "kb_qa_items", "pair_id", "pair_index"),
+            ("tv", VECTOR_SCORE, "kb_text_items", "chunk_id", "chunk_index"), ("tx", TEXT_SCORE, "kb_text_items", "chunk_id", "chunk_index"),
         )
     ),
     "kb_evidence": """SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS fused_score, max_by(score, rank) FILTER (channel = 'qv') AS qv, max_by(score, rank) FILTER (channel = 'qx') AS qx,

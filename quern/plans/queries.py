@@ -13,7 +13,7 @@ from quern.operators import access as A
 from quern.operators import analytics as N
 from quern.operators import retrieval as R
 from quern.operators.search import passage_matches
-from quern.plans.entities import Tables, with_tables
+from quern.plans.entities import CHANNEL, TEXT_SCORE, Tables, with_tables
 from quern.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,24 +384,14 @@ def _asked(t: Tables) -> DataFrame:
     return t.raw("embeddings").filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
 
 
-_TEXT_TOP = """SELECT query_id, document_id, item_id, item_index, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
-    (SELECT query_id, document_id, item_id, item_index, round(len(list_intersect(q, d)) / len(q), 6) AS score FROM
-     (SELECT item_id AS query_id, list_distinct(string_split(regexp_replace(lower(text), '\\s', '', 'g'), '')) AS q FROM benchmark),
-     (SELECT document_id, pair_id AS item_id, pair_index AS item_index, list_distinct(string_split(regexp_replace(lower(question || ' ' || answer), '\\s', '', 'g'), '')) AS d FROM kb_pairs))
-    WHERE score > 0"""
-
-
-def _pair_items(t: Tables) -> DataFrame:
-    return t.pairs().select("document_id", F.col("pair_id").alias("item_id"), F.col("pair_index").alias("item_index"), F.concat_ws(" ", "question", "answer").alias("search_text"), "question")
-
-
 def _text_queries(t: Tables) -> DataFrame:
     return t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query(f"SELECT query_id, document_id, item_id, score, rank FROM ({_TEXT_TOP}) WHERE rank <= 20")
+@query(f"SELECT query_id, document_id, item_id, score, rank FROM ({CHANNEL.format(name='x', score=TEXT_SCORE, items='kb_qa_items', id='pair_id', index='pair_index', k=20)})")
 def srt4_text_top_k(t: Tables) -> DataFrame:
-    return R.text_channel(_pair_items(t), _text_queries(t), 20).select("query_id", "document_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+    found = R.text_channel(t.scoped_pairs(EMPLOYEE), _text_queries(t), 20)
+    return found.select("query_id", "document_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT id, title FROM kb_documents ORDER BY updated_at DESC, id DESC LIMIT 20 OFFSET 40")

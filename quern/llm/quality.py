@@ -20,9 +20,6 @@ BOILERPLATE_WORDS = 25
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie", "javascript", "click here",
     "read more", "sign up", "log in", "subscribe to", "share this", "powered by", "licensed under", "released under the",
-    "alle rechte vorbehalten", "datenschutz", "impressum", "nutzungsbedingungen", "mehr lesen", "jetzt anmelden",
-    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "en savoir plus",
-    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "leer más",
 )
 #: A document whose lines left hold under this percentage of its word characters is rejected.
 MIN_LEFT = 60

@@ -110,7 +110,9 @@ def quality_columns(text: Column, with_text: bool = False) -> Column:
                 ]
                 return F.struct(*measures, *([F.array_join(kept, "\n").alias("text")] if with_text else []))
 
-            return let(kept_lines(t), by_lines)
+            if with_text:
+                return let(kept_lines(t), by_lines)
+            return by_lines(F.filter(F.filter(F.split(t, "\n"), lambda x: trimmed(x) != ""), lambda x: ~line_fails(x)))
 
         return let(split_words(t), by_words)
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.lexical import lexical_search, lexical_sql
+from quern.llm.licenses import license_scan, license_sql
 from quern.llm.media import media_round_trip
+from quern.llm.merkle import merkle_manifest, merkle_sql
 from quern.llm.mixing import mix
 from quern.llm.packing import best_fit_packing
 from quern.llm.quality import quality_rules, quality_sql
@@ -63,6 +66,18 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,7 +91,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lpt_sharding,
         op9_token_store,
         op10_remove_repeats,
+        op11_license_scan,
+        op12_merkle_manifest,
+        op13_lexical_search,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality_sql(), "op7_warc": warc_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": quality_sql(),
+    "op7_warc": warc_sql(),
+    "op11_license_scan": license_sql(),
+    "op12_merkle_manifest": merkle_sql(),
+    "op13_lexical_search": lexical_sql(),
+}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ BOILERPLATE_WORDS = 25
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie", "javascript", "click here",
     "read more", "sign up", "log in", "subscribe to", "share this", "powered by", "licensed under", "released under the",
+    "alle rechte vorbehalten", "datenschutz", "impressum", "nutzungsbedingungen", "mehr lesen", "jetzt anmelden",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "en savoir plus",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "leer más",
 )
 #: A document whose lines left hold under this percentage of its word characters is rejected.
 MIN_LEFT = 60
@@ -68,28 +74,43 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(hashed, count))
 
 
+def has_phrase(text: Column) -> Column:
+    """True if a boilerplate phrase is in the text, letter case aside."""
+    return let(F.lower(text), lambda low: reduce(or_, (F.contains(low, F.lit(p)) for p in BOILERPLATE)))
+
+
+def _breaks_rule(text: Column, phrases: Column) -> Column:
+    """Whether a trimmed line breaks a rule. phrases: false where no line of its text holds a boilerplate phrase."""
+
+    def rules(words: Column) -> Column:
+        marks = F.length(text) - F.length(F.translate(text, PUNCTUATION, ""))
+        separators = F.size(F.filter(words, lambda w: w.isin(*SEPARATORS)))
+        n = F.size(words)
+        punctuation = (100 * marks > MAX_PUNCTUATION * word_chars(text)) & (marks > 1)
+        unended = (n < SHORT_LINE) & ~F.substring(text, -1, 1).isin(*TERMINAL)
+        navigation = (separators >= 2) | (4 * separators >= n)
+        return punctuation | unended | navigation | (phrases & (n < BOILERPLATE_WORDS) & has_phrase(text))
+
+    return let(F.split(text, "[ \t\n\x0b\f\r]+"), rules)
+
+
 def line_fails(line: Column) -> Column:
-    """True if a line breaks the punctuation, navigation or boilerplate rule."""
+    """True if a line with words breaks the punctuation, navigation or boilerplate rule."""
+    return let(trimmed(line), lambda text: _breaks_rule(text, F.lit(True)))
 
-    def judge(text: Column) -> Column:
-        def rules(words: Column) -> Column:
-            marks = F.length(text) - F.length(F.translate(text, PUNCTUATION, ""))
-            separators = F.size(F.filter(words, lambda w: w.isin(*SEPARATORS)))
-            n = F.size(words)
-            punctuation = (100 * marks > MAX_PUNCTUATION * word_chars(text)) & (marks > 1)
-            unended = (n < SHORT_LINE) & ~F.substring(text, -1, 1).isin(*TERMINAL)
-            navigation = (separators >= 2) | (4 * separators >= n)
-            phrase = (n < BOILERPLATE_WORDS) & F.lower(text).rlike("|".join(BOILERPLATE))
-            return punctuation | unended | navigation | phrase
 
-        return let(split_words(text), rules)
+def judged_lines(text: Column) -> Column:
+    """Each line of a text as a struct: x, blank and fails. A line is trimmed and split once, and phrases are looked for
+    in the whole text first: most texts have none, so their lines are not searched, however long the list is."""
 
-    return let(trimmed(line), judge)
+    def judged(line: Column, phrases: Column) -> Column:
+        def of(bare: Column) -> Column:
+            blank = bare == ""
+            return F.struct(line.alias("x"), blank.alias("blank"), (~blank & _breaks_rule(bare, phrases)).alias("fails"))
 
+        return let(trimmed(line), of)
 
-def kept_lines(text: Column) -> Column:
-    """The lines of a text that pass the rules, and those without words."""
-    return F.filter(F.split(text, "\n"), lambda x: (trimmed(x) == "") | ~line_fails(x))
+    return let(has_phrase(text), lambda phrases: F.transform(F.split(text, "\n"), lambda x: judged(x, phrases)))
 
 
 def quality_columns(text: Column, with_text: bool = False) -> Column:
@@ -97,22 +118,22 @@ def quality_columns(text: Column, with_text: bool = False) -> Column:
 
     def measured(t: Column) -> Column:
         def by_words(words: Column) -> Column:
-            def by_lines(kept: Column) -> Column:
-                lines = F.filter(F.split(t, "\n"), lambda x: trimmed(x) != "")
-                duplicate = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+            def by_lines(lines: Column) -> Column:
+                with_words = F.transform(F.filter(lines, lambda x: ~x["blank"]), lambda x: x["x"])
+                duplicate = let(with_words, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+                left = F.filter(lines, lambda x: ~x["blank"] & ~x["fails"])
                 measures = [
                     F.size(words).cast("long").alias("n_words"),
                     word_chars(t).cast("long").alias("word_chars"),
                     (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
                     duplicate.cast("long").alias("n_dup_lines"),
                     repeated_words(words).alias("n_repeat_words"),
-                    F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + word_chars(x)).alias("chars_left"),
+                    F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + word_chars(x["x"])).alias("chars_left"),
                 ]
+                kept = F.transform(F.filter(lines, lambda x: ~x["fails"]), lambda x: x["x"])
                 return F.struct(*measures, *([F.array_join(kept, "\n").alias("text")] if with_text else []))
 
-            if with_text:
-                return let(kept_lines(t), by_lines)
-            return by_lines(F.filter(F.filter(F.split(t, "\n"), lambda x: trimmed(x) != ""), lambda x: ~line_fails(x)))
+            return let(judged_lines(t), by_lines)
 
         return let(split_words(t), by_words)
 

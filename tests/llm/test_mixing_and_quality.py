@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import mixing
 from quern.llm.mixing import DOMAINS, apply_mix, fit_classifier, fit_rates, mix
-from quern.llm.quality import BLANKS, SYMBOLS, cleaned_documents, line_fails, quality_rules
+from quern.llm.quality import BLANKS, BOILERPLATE, SYMBOLS, cleaned_documents, line_fails, quality_rules
 
 
 def brute_base(text):
@@ -42,12 +42,24 @@ def test_line_rules(spark):
         "Short title without an end": True,
         "This is a long line of prose without a mark at its end which nobody should throw away": False,
         "Yes.": False,
+        "Wir schützen Ihre Daten, siehe Datenschutz auf dieser Seite hier.": True,
+        "Lisez aussi nos Mentions légales sur cette page du site maintenant.": True,
+        "Consulte nuestra Política de privacidad antes de usar este sitio web.": True,
+        "We value your choice, see our Privacy Policy on this page here.": True,
         "« Bien sûr », dit-elle.": False,
     }
     frame = spark.createDataFrame([(x,) for x in lines], "x string")
     assert {r.x: r.f for r in frame.select("x", line_fails(F.col("x")).alias("f")).collect()} == lines
 
 
+def test_every_boilerplate_phrase_fails_its_line_and_no_other(spark):
+    plain = "These lines of prose have enough words to stand and they end with a full stop."
+    rows = [(i, f"{plain}\nThis line of more than ten words has {p.upper()} in it for once.\n{plain}") for i, p in enumerate(BOILERPLATE)]
+    frame = spark.createDataFrame(rows * 1, "doc_id long, text string").withColumn("text", F.concat("text", F.lit("\n\n")))
+    kept = {r.doc_id: r for r in quality_rules(frame).collect()}
+    assert len(BOILERPLATE) >= 31 and {r.chars_left for r in kept.values()} == {2 * len(plain.replace(" ", ""))}
+
+
 def test_cleaned_documents_keep_columns(docs, texts):
     out = cleaned_documents(docs)
     assert out.columns == docs.columns

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, batch_of, keep, materialize, temporary, texts_of
+from quern.llm.common import arrow_map, batch_of, keep, materialize, quoted, temporary, texts_of
 from quern.llm.components import connected_components
 
 #: A block with more fingerprints than this is linked through one-bit neighbours, not through its pairs.
@@ -133,9 +133,15 @@ def symbols(hashes: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits of a row's doc_id and text: rows that differ in either have another key."""
+    return F.md5(F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("-")), F.coalesce(docs["text"], F.lit(""))))
+
+
 def _symbol_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles) and the key of each band. Texts of fewer words are their own shingle."""
-    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, key (of the row), node (a hash of the set of shingles) and the key of each band. Texts of fewer words are
+    their own shingle."""
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -148,9 +154,10 @@ def _symbol_rows(docs: DataFrame, words: int) -> DataFrame:
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 bands.append([xxhash.xxh64_intdigest(raw[i : i + 4 * BAND], i) for i in range(0, 4 * SYMBOLS, 4 * BAND)])
             keys = np.array(bands, np.uint64).view(np.int64).tolist()
-            yield batch_of(out, [batch.column("doc_id"), np.array(nodes, np.uint64).view(np.int64), keys])
+            yield batch_of(out, [batch.column("doc_id"), batch.column("key"), np.array(nodes, np.uint64).view(np.int64), keys])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, bands array<long>")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(docs).alias("key"), "text")
+    return arrow_map(slim, run, "doc_id long, key string, node long, bands array<long>")
 
 
 #: Bits of the filter by doc_id that stands before shingles are made again: 2 MB at any size of the input.
@@ -295,6 +302,29 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(named, "labels")
 
 
+def _labelled(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, key, node, bands) and the component of each node, to be called in a block of temporary()."""
+    rows = materialize(_symbol_rows(docs, words), "symbols")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes, "nodes")
+    least = nodes.select("node", "least")
+    pairs, crowded = _meetings(nodes.select("node", F.posexplode("bands").alias("band", "key")))
+    again = nodes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode(_band_pairs()).alias("p"))
+    near = materialize(pairs.union(_meetings(again.select("node", "p.band", "p.key"))[0]).distinct(), "candidates")
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(_shingle_sets(docs, ends.join(least, "node"), words), "sets")
+    links = materialize(_verified(near, sets, similarity), "links")
+    labels = _joined(nodes.select("node", F.col("node").alias("component")), links)
+    seen = crowded.join(labels, "node")
+    mixed = seen.groupBy("band", "key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h")
+    left = materialize(seen.join(mixed.select("band", "key"), ["band", "key"]).select("node").distinct(), "left")
+    if not left.isEmpty():
+        sets = materialize(_shingle_sets(docs, left.join(least, "node"), words), "sets")
+        near = materialize(_all_apart(_mixed_front(_front(sets, similarity), labels), similarity), "apart")
+        labels = _joined(labels, materialize(_verified(near, sets, similarity), "links"))
+    return rows, labels
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of each row: rows whose shingles of `words` words are similar by `similarity` or more.
 
@@ -311,39 +341,27 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     their number; an empty table gives no rows; other columns are not read.
     """
     with temporary():
-        rows = materialize(_symbol_rows(docs, words), "symbols")
-        nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-        nodes = materialize(nodes, "nodes")
-        least = nodes.select("node", "least")
-        pairs, crowded = _meetings(nodes.select("node", F.posexplode("bands").alias("band", "key")))
-        again = nodes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode(_band_pairs()).alias("p"))
-        near = materialize(pairs.union(_meetings(again.select("node", "p.band", "p.key"))[0]).distinct(), "candidates")
-        ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = materialize(_shingle_sets(docs, ends.join(least, "node"), words), "sets")
-        links = materialize(_verified(near, sets, similarity), "links")
-        labels = _joined(nodes.select("node", F.col("node").alias("component")), links)
-        seen = crowded.join(labels, "node")
-        mixed = seen.groupBy("band", "key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h")
-        left = materialize(seen.join(mixed.select("band", "key"), ["band", "key"]).select("node").distinct(), "left")
-        if not left.isEmpty():
-            sets = materialize(_shingle_sets(docs, left.join(least, "node"), words), "sets")
-            near = materialize(_all_apart(_mixed_front(_front(sets, similarity), labels), similarity), "apart")
-            labels = _joined(labels, materialize(_verified(near, sets, similarity), "links"))
+        rows, labels = _labelled(docs, words, similarity)
+        least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
         named = labels.join(least, "node").groupBy("component").agg(F.min("least").alias("component_id"))
         names = materialize(labels.join(named, "component").select("node", "component_id"), "names")
         return keep(rows.select("doc_id", "node").join(names, "node").select("doc_id", "component_id"), "components")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, with all their columns, but of each component of similar rows only the least doc_id's.
+    """The rows of docs, with all their columns, but of each component of similar rows only one: of the least doc_id, null
+    last, and of the least hash of the text where several have it.
 
-    Of repeated rows with that doc_id one stays. Components whose doc_ids are all null keep a row for each text.
+    Rows are chosen by doc_id and text: different texts under one doc_id are different rows, and a row with a null doc_id
+    goes if a similar one stays. Of rows equal in both one stays.
     """
-    kept = similar_components(docs, words, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    text = F.xxhash64("text")
-    group = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
-    turn = F.row_number().over(group)
-    packed = found.select(F.struct("*").alias("_row"), turn.alias("_turn"))
-    return packed.filter("_turn = 1").select("_row.*")
+    with temporary():
+        rows, labels = _labelled(docs, words, similarity)
+        order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
+        by_node = rows.groupBy("node").agg(F.min(order).alias("first"))
+        chosen = labels.join(by_node, "node").groupBy("component").agg(F.min("first").alias("first"))
+        chosen = keep(chosen.select(F.col("first.key").alias("_chosen")), "chosen")
+    packed = docs.select(F.struct(*(docs[quoted(c)] for c in docs.columns)).alias("_row"), _row_key(docs).alias("_key"))
+    found = packed.join(chosen, packed["_key"] == chosen["_chosen"], "left_semi")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # the join has dealt and sorted the rows by it
+    return found.withColumn("_turn", turn).filter("_turn = 1").select("_row.*")

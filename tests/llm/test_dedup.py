@@ -224,3 +224,20 @@ def test_column_names_with_odd_characters(spark):
         assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, text, 2, 3)]
     for stage in (cleaned_documents, without_repeats, keep_one):
         assert stage(docs.limit(0)).collect() == []
+
+
+def test_keep_one_chooses_rows_not_ids(spark):
+    first, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "wz")
+    near = first.replace("w79", "changed")
+    cases = [
+        ([(1, first), (1, other)], [(1, first), (1, other)]),  # two texts under one id
+        ([(1, first), (5, near), (5, other)], [(1, first), (5, other)]),  # a copy's id is also another text's
+        ([(None, near), (1, first), (None, other)], [(1, first), (None, other)]),  # null ids go where a similar row stays
+        ([(None, None), (3, ""), (3, None)], [(3, "")]),
+        ([(2, first), (2, first), (2, first)], [(2, first)]),
+    ]
+    for rows, wanted in cases:
+        frame = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, _row string, _turn string")
+        got = keep_one(frame)
+        assert got.columns == frame.columns
+        assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted((str(i), t) for i, t in wanted)

@@ -13,6 +13,7 @@ from quern.operators import access as A
 from quern.operators import analytics as N
 from quern.operators import retrieval as R
 from quern.operators.search import passage_matches
+from quern.operators.vector_index import build_index, search_index
 from quern.plans.entities import CHANNEL, TEXT_SCORE, Tables, with_tables
 from quern.storage import materialize
 
@@ -370,12 +371,22 @@ def win5_latest_job(t: Tables) -> DataFrame:
     return N.latest_per(t.jobs(), "document_id", "created_at", "id").select("document_id", "id", "status")
 
 
-@query("""SELECT query_id, document_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
-    (SELECT query_id, document_id, item_id, item_index, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM kb_asked, kb_vectors)) WHERE rank <= 20""")
+_VECTOR_TOP_K = """SELECT query_id, document_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
+    (SELECT query_id, document_id, item_id, item_index, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM kb_asked, kb_vectors)) WHERE rank <= 20"""
+
+
+@query(_VECTOR_TOP_K)
 def srt1_vector_top_k(t: Tables) -> DataFrame:
     return R.vector_channel(_items(t), _asked(t), 20).select("query_id", "document_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(_VECTOR_TOP_K)
+def srt1_indexed(t: Tables) -> DataFrame:
+    """The same rows through the inverted-file index, which is built first."""
+    found = search_index(build_index(_items(t)), _asked(t), 20)
+    return found.select("query_id", "document_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _items(t: Tables) -> DataFrame:
     return t.raw("embeddings").selectExpr("CAST(label AS BIGINT) AS document_id", "vec_id AS item_id", "vec_id AS item_index", "embedding")
 

@@ -52,9 +52,9 @@ def _clear() -> None:
             return
 
 
-def _write(df: DataFrame, name: str, blocks: tuple[list[DataFrame], ...]) -> DataFrame:
+def _write(df: DataFrame, name: str, blocks: tuple[list[DataFrame], ...], **options: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quern_path = path  # for release
     if blocks:
@@ -62,9 +62,10 @@ def _write(df: DataFrame, name: str, blocks: tuple[list[DataFrame], ...]) -> Dat
     return out
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again, so that a lost executor costs no recomputation."""
-    return _write(df, name, _blocks.get())
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it again, so that a lost executor costs no recomputation. options are those
+    of the writer."""
+    return _write(df, name, _blocks.get(), **options)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

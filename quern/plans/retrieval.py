@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import retrieval as R
 from quern.operators.redaction import SNAPSHOT_DDL, sanitized_snapshot
 from quern.operators.search import search
+from quern.operators.text_index import build_text_index, search_text_index
 from quern.plans.entities import Tables
 from quern.plans.queries import CONFIG, EMPLOYEE, query
 from quern.storage import materialize
@@ -95,3 +96,32 @@ def agg21_dedup_and_hit_ratio(t: Tables) -> DataFrame:
 def srt3_token_top_k(t: Tables) -> DataFrame:
     found = R.token_channel(t.scoped_pairs(EMPLOYEE), t.questions(), 20)
     return found.select("query_id", "document_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _rank_sql(items: str, item_id: str, index: str, text: str) -> str:
+    """The database's text rank of every item of a table for every question."""
+    tokens = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+    part = "0.1 * list_sum(list_transform(range(1, least(tf, 256) + 1), lambda i: 1.0 / (i * i))) / 1.64493406685"
+    return f"""SELECT query_id, document_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
+    (SELECT query_id, document_id, item_id, item_index, round(sum({part}) / any_value(size), 6) AS score FROM
+     (SELECT query_id, len(ws) AS size, unnest(ws) AS w FROM (SELECT query_id, list_distinct({tokens.format("query")}) AS ws FROM kb_queries)) q
+     JOIN (SELECT document_id, {item_id} AS item_id, {index} AS item_index, w, count(*) AS tf FROM (SELECT *, unnest({tokens.format(text)}) AS w FROM {items}) GROUP BY ALL) t USING (w)
+     GROUP BY query_id, document_id, item_id, item_index)) WHERE rank <= 20"""
+
+
+def _by_rank(t: Tables, items: DataFrame) -> DataFrame:
+    found = search_text_index(build_text_index(items), t.questions(), 20)
+    return found.select("query_id", "document_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_rank_sql("kb_qa_items", "pair_id", "pair_index", "question || ' ' || answer"))
+def srt3_text_rank(t: Tables) -> DataFrame:
+    """Live, visible pairs by the database's text rank, over posting lists."""
+    return _by_rank(t, t.scoped_pairs(EMPLOYEE))
+
+
+@query(_rank_sql("kb_text_items", "chunk_id", "chunk_index", "content"))
+def srt3_chunk_text_rank(t: Tables) -> DataFrame:
+    """Live, visible chunks by the database's text rank, over posting lists."""
+    chunks = t.scoped_chunks(EMPLOYEE)
+    return _by_rank(t, chunks.select("document_id", F.col("chunk_id").alias("item_id"), F.col("chunk_index").alias("item_index"), "search_text"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalar import search_text, title_path
 from quern.operators.filters import stale_targets
+from quern.storage import materialize
 
 #: The version of the text that is embedded; a change makes all vectors stale.
 TEMPLATE = "v1"
@@ -106,18 +107,21 @@ def embed_job(
 ) -> tuple[dict[str, DataFrame], str]:
     """Embeds the stale targets of each group (records, targets) and gives the groups' new records and the stage reached.
 
-    All or nothing: vectors are asked for first; where the chunks' generation is another one then, or a vector is
-    missing, nothing changes and the stage is FAILED.
+    All or nothing: vectors are asked for once and written, then counted; where a vector is missing, or the chunks'
+    generation is another one by then or after the records are written, nothing changes and the stage is FAILED. Vectors
+    that were written are not lost if embed logs them (results.logged_vectors).
     """
     begun = generation()
+    unchanged = {name: records for name, (records, _) in groups.items()}
     made = {}
     for name, (_, targets) in groups.items():
         stale = stale_targets(targets, stored, model_key)
-        made[name] = stale, embed(stale.select("id", F.col("input_text").alias("text")))
-    lost = sum(stale.join(vectors.filter("vector is not null"), "id", "left_anti").count() for stale, vectors in made.values())
+        made[name] = stale, materialize(embed(stale.select("id", F.col("input_text").alias("text"))), "vectors")
+    lost = any(not stale.join(vectors.filter("vector is not null"), "id", "left_anti").isEmpty() for stale, vectors in made.values())
     if lost or generation() != begun:
-        return {name: records for name, (records, _) in groups.items()}, "FAILED"
-    return {name: persist_embeddings(groups[name][0], stale, vectors, model_key) for name, (stale, vectors) in made.items()}, "COMPLETED"
+        return unchanged, "FAILED"
+    written = {name: materialize(persist_embeddings(groups[name][0], stale, vectors, model_key), "records") for name, (stale, vectors) in made.items()}
+    return (written, "COMPLETED") if generation() == begun else (unchanged, "FAILED")
 
 
 def reclassify(documents: DataFrame, where: Column, **values: str | None) -> DataFrame:

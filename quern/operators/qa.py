@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import collapsed, json_slice
+from quern.operators.results import call_log, logged_calls
 
 ANSWER_DDL = (
     "items array<struct<question: string, answer: string, quote: string, pageNo: int, chunkIndex: int>>, "
@@ -89,6 +88,28 @@ class ProviderError(Exception):
         self.code, self.retryable = code, retryable
 
 
+def answered(model: Callable[[list[str]], str], number: int, ids: list[str], attempts: int = 3, depth: int = 4) -> list[tuple]:
+    """(path, chunk_ids, output, error) of one batch's parts: see generate."""
+    rows, todo = [], [(str(number), list(ids))]
+    while todo:
+        path, part = todo.pop()
+        output = error = None
+        for _ in range(attempts):
+            try:
+                output, error = model(part), None
+                break
+            except ProviderError as failure:
+                error = failure.code
+                if not failure.retryable or failure.code in ("TIMEOUT", "TRUNCATED"):
+                    break
+        if error in ("TIMEOUT", "TRUNCATED") and len(part) > 1 and path.count(".") < depth:
+            half = len(part) // 2
+            todo += [(f"{path}.1", part[half:]), (f"{path}.0", part[:half])]
+        else:
+            rows.append((path, part, output, error))
+    return rows
+
+
 def generate(batches: DataFrame, model: Callable[[list[str]], str], attempts: int = 3, depth: int = 4) -> DataFrame:
     """Each batch (document_id, batch_index, chunk_ids) through a model: document_id, batch_index, path, chunk_ids, output
     and error.
@@ -101,25 +122,8 @@ def generate(batches: DataFrame, model: Callable[[list[str]], str], attempts: in
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for document, number, ids in zip(frame["document_id"], frame["batch_index"], frame["chunk_ids"]):
-                todo = [(str(number), list(ids))]
-                while todo:
-                    path, part = todo.pop()
-                    output = error = None
-                    for _ in range(attempts):
-                        try:
-                            output, error = model(part), None
-                            break
-                        except ProviderError as failure:
-                            error = failure.code
-                            if not failure.retryable or failure.code in ("TIMEOUT", "TRUNCATED"):
-                                break
-                    if error in ("TIMEOUT", "TRUNCATED") and len(part) > 1 and path.count(".") < depth:
-                        half = len(part) // 2
-                        todo += [(f"{path}.1", part[half:]), (f"{path}.0", part[:half])]
-                    else:
-                        rows.append((document, number, path, part, output, error))
+            asked = zip(frame["document_id"], frame["batch_index"], frame["chunk_ids"])
+            rows = [(document, number, *part) for document, number, ids in asked for part in answered(model, number, ids, attempts, depth)]
             yield pd.DataFrame(rows, columns=["document_id", "batch_index", "path", "chunk_ids", "output", "error"])
 
     ddl = f"document_id {types['document_id']}, batch_index int, path string, chunk_ids array<string>, output string, error string"
@@ -131,34 +135,36 @@ def finished(rows: DataFrame) -> DataFrame:
     return rows.groupBy("input_hash", "run").agg(F.max("error").alias("_error")).filter("_error is null").drop("_error")
 
 
-def pending(batches: DataFrame, rows: DataFrame) -> DataFrame:
-    """Batches with an input_hash that no run has finished: what is still to do."""
-    return batches.join(finished(rows).select("input_hash").distinct(), "input_hash", "left_anti")
-
-
 def with_input_hash(batches: DataFrame) -> DataFrame:
     """batches with a hash of what they ask: a run that is begun again finds what was done."""
     return batches.withColumn("input_hash", F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), F.array_join("chunk_ids", ",")), 256))
 
 
-def checkpointed_run(batches: DataFrame, folder: str, model: Callable[[list[str]], str]) -> DataFrame:
-    """Runs the pending batches and appends their rows to folder. Returns all rows; a run without pending batches adds none.
+_PARTS = "array<struct<path: string, chunk_ids: array<string>, output: string, error: string>>"
+
+
+def checkpointed_run(batches: DataFrame, folder: str, model: Callable[[list[str]], str], batch: int = 1) -> DataFrame:
+    """Runs the batches that the log in folder has no answer for. Returns the logged rows of all runs, as generate gives
+    them, with input_hash and run; a run without pending batches adds none.
 
-    A batch counts as done when a run has all its parts without an error, so one that failed in part is asked again as a
-    whole.
+    A worker logs the answers of every `batch` batches before it asks for more (results.logged_calls), so a job that fails
+    half way keeps them, and so does a task. A batch counts as done when a run has all its parts without an error, so one
+    that failed in part is asked again as a whole.
     """
-    spark = batches.sparkSession
     hashed = with_input_hash(batches)
-    ddl = "document_id bigint, batch_index int, path string, chunk_ids array<string>, output string, error string, input_hash string, run string"
-    try:
-        found = spark.read.schema(ddl).parquet(folder)
-    except AnalysisException:  # the first run
-        found = spark.createDataFrame([], ddl)
-    todo = pending(hashed, found)
-    made = generate(todo, model).join(todo.select("document_id", "batch_index", "input_hash"), ["document_id", "batch_index"])
-    named = made.withColumns({"document_id": F.col("document_id").cast("long"), "run": F.lit(uuid.uuid4().hex)})
-    named.select(*found.columns).write.mode("append").parquet(folder)
-    return spark.read.schema(ddl).parquet(folder)
+    payload = F.to_json(F.struct("batch_index", "chunk_ids"))
+
+    def call(payloads: list[str]) -> list[list[dict]]:
+        out = []
+        for one in map(json.loads, payloads):
+            parts = answered(model, one["batch_index"], one["chunk_ids"])
+            out.append([dict(zip(("path", "chunk_ids", "output", "error"), p, strict=True)) for p in parts])
+        return out
+
+    logged_calls(hashed.select(F.col("input_hash").alias("key"), payload.alias("payload")), folder, call, batch, lambda parts: all(p["error"] is None for p in parts))
+    log = call_log(batches.sparkSession, folder).withColumnRenamed("key", "input_hash")
+    rows = hashed.join(log, "input_hash").select("document_id", "batch_index", "input_hash", "run", F.explode(F.from_json("result", _PARTS)).alias("p"))
+    return rows.select("document_id", "batch_index", "p.path", "p.chunk_ids", "p.output", "p.error", "input_hash", "run")
 
 
 def publishable(batches: DataFrame, rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from quern.functions import text as X
 from quern.operators import access as A
 from quern.operators import analytics as N
 from quern.operators import chunking, filters, indexing, qa
-from quern.operators import redaction
+from quern.operators import redaction, results, snapshots
 from quern.operators import retrieval as R
 from quern.plans.entities import Tables
 from quern.plans.queries import CONFIG, EMPLOYEE, query
@@ -376,6 +376,52 @@ def src24_published_collection(t: Tables) -> DataFrame:
     return N.status_counts(indexing.publish(current, staged))
 
 
+@query(
+    """SELECT 0 AS snapshot, status, count(*) AS n FROM kb_chunks GROUP BY status UNION ALL
+    SELECT 2, status, count(*) FROM (SELECT CASE WHEN status = 'ACTIVE' AND (document_id % 3 = 0 OR document_id % 10 = 1) THEN 'SUPERSEDED' ELSE status END AS status FROM kb_chunks
+      UNION ALL SELECT 'ACTIVE' FROM kb_chunks WHERE (document_id % 3 = 0 OR document_id % 10 = 1) AND chunk_level = 'CHILD') GROUP BY status"""
+)
+def src24_snapshots(t: Tables) -> DataFrame:
+    """Two publishes from one version, of which the second is tried again; readers of the first and the last version."""
+    held = snapshots.Collection(t.spark, f"{scratch(t.spark, 'collection')}/chunks")
+    current = t.chunks()
+    held.create(current)
+    children = current.filter("chunk_level = 'CHILD'")
+    before = held.read(0)
+    held.publish(children.filter("document_id % 3 = 0"), expected=0)
+    try:
+        held.publish(children.filter("document_id % 10 = 1 and document_id % 3 <> 0"), expected=0)
+    except snapshots.Conflict:
+        held.publish(children.filter("document_id % 10 = 1 and document_id % 3 <> 0"))
+    counts = before.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(0).alias("snapshot"), "status", "n")
+    return counts.unionByName(snapshots.snapshot_counts(held, [2]))
+
+
+@query(
+    f"""SELECT document_id, CASE WHEN children > 0 THEN 'v2' ELSE version END AS version, count(*) AS n FROM
+    (SELECT *, count(*) FILTER (chunk_level = 'CHILD') OVER (PARTITION BY document_id) AS children FROM {_VERSIONED} WHERE status = 'ACTIVE') GROUP BY 1, 2"""
+)
+def chk19_rebuild_run(t: Tables) -> DataFrame:
+    """A rebuild of all documents to another version that is killed on its second page and begun again."""
+    held = snapshots.Collection(t.spark, f"{scratch(t.spark, 'rebuilt')}/chunks")
+    held.create(_versioned(t))
+    pages: list[int] = []
+
+    def build(active: DataFrame) -> DataFrame:
+        pages.append(1)
+        if len(pages) == 2:
+            raise InterruptedError
+        return active
+
+    share = max(1, t.raw("documents").count() // 4)  # few pages at any size
+    for _ in range(2):
+        try:
+            snapshots.rebuild(held, "r1", "v2", build, share)
+        except InterruptedError:
+            continue
+    return held.read().filter("status = 'ACTIVE'").groupBy("document_id", "version").agg(F.count("*").alias("n"))
+
+
 @query("SELECT id, CASE WHEN id % 10 = 0 THEN 'moved' ELSE space_id END AS space_id, CASE WHEN id % 10 = 0 THEN 'archive' ELSE department_id END AS department_id FROM kb_documents")
 def upd1_reclassify(t: Tables) -> DataFrame:
     changed = indexing.reclassify(t.documents(), F.col("id") % 10 == 0, space_id="moved", department_id="archive")
@@ -392,13 +438,14 @@ def _pair_targets(t: Tables) -> DataFrame:
     return t.pairs().select(F.lit("QA").alias("target_type"), F.col("pair_id").alias("id"), F.lit(indexing.TEMPLATE).alias("template_version"), F.col("question").alias("input_text"), text.alias("search_text"))
 
 
-def _mock_vectors(texts: DataFrame) -> DataFrame:
+def _mock_model(batch: list[str]) -> list[list[float]]:
     import hashlib
 
-    def embed(batch: list[str]) -> list[list[float]]:
-        return [[round(b / 255, 6) for b in hashlib.sha256(x.encode()).digest()[:8]] for x in batch]
+    return [[round(b / 255, 6) for b in hashlib.sha256(x.encode()).digest()[:8]] for x in batch]
+
 
-    return R.embed_batches(texts, embed, 8, attempts=3)
+def _mock_vectors(texts: DataFrame) -> DataFrame:
+    return R.embed_batches(texts, _mock_model, 8, attempts=3)
 
 
 _MOCK8 = "list_transform(range(0, 8), lambda i: round(CAST('0x' || sha256({0})[i * 2 + 1 : i * 2 + 2] AS INT) / 255.0, 6)::FLOAT)"
@@ -409,15 +456,38 @@ def emb2_batched_embedding(t: Tables) -> DataFrame:
     return _mock_vectors(t.raw("benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
-@query(f"SELECT pair_id AS id, {_MOCK8.format('question')} AS embedding, len(regexp_extract_all(lower(question || ' ' || answer), '[\\p{{L}}\\p{{N}}]+')) AS token_count, sha256(question) AS input_hash, 'COMPLETED' AS stage FROM kb_pairs")
-def emb5_embedded_pairs(t: Tables) -> DataFrame:
+_EMBEDDED = f"SELECT pair_id AS id, {_MOCK8.format('question')} AS embedding, len(regexp_extract_all(lower(question || ' ' || answer), '[\\p{{L}}\\p{{N}}]+')) AS token_count, sha256(question) AS input_hash, 'COMPLETED' AS stage FROM kb_pairs"
+
+
+def _job(t: Tables, embed) -> tuple[DataFrame, str]:
     records = t.pairs().select(F.col("pair_id").alias("id"))
     none = t.spark.createDataFrame([], "target_type string, id string, template_version string, input_hash string, model_key string, vector array<float>")
-    made, stage = indexing.embed_job({"QA": (records, _pair_targets(t))}, none, _mock_vectors, "m", lambda: "g1")
-    rows = made["QA"]
+    made, stage = indexing.embed_job({"QA": (records, _pair_targets(t))}, none, embed, "m", lambda: "g1")
+    return made["QA"], stage
+
+
+def _embedded(rows: DataFrame, stage: str) -> DataFrame:
     return rows.select("id", "embedding", F.col("token_count").cast("long").alias("token_count"), F.get_json_object("metadata", "$.inputTextHash").alias("input_hash"), F.lit(stage).alias("stage"))
 
 
+@query(_EMBEDDED)
+def emb5_embedded_pairs(t: Tables) -> DataFrame:
+    return _embedded(*_job(t, _mock_vectors))
+
+
+@query(_EMBEDDED)
+def emb5_resumed_job(t: Tables) -> DataFrame:
+    """A job whose model fails for one text in five; the job after it asks only for what has no logged vector."""
+    folder = f"{scratch(t.spark, 'vectors')}/log"
+
+    def failing(batch: list[str]) -> list:
+        return [None if sum(x.encode()) % 5 == 0 else v for x, v in zip(batch, _mock_model(batch), strict=True)]
+
+    for model in (failing, _mock_model):
+        rows, stage = _job(t, lambda texts, model=model: results.logged_vectors(texts, folder, "mock", model))
+    return _embedded(rows, stage)
+
+
 # --- question-answer runs ---------------------------------------------------------------------------------------------------
 
 

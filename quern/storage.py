@@ -89,3 +89,14 @@ def temporary() -> Iterator[None]:
         _blocks.reset(token)
         for df in made:
             release(df)
+
+
+def store_of(uri: str):
+    """The Arrow file system and the path in it for a URI, for use in tasks; a path without a scheme is local."""
+    from pyarrow import fs
+
+    if uri.startswith("s3a://"):
+        uri = "s3://" + uri[6:]
+    if "://" not in uri and uri.startswith("file:/"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)

@@ -15,6 +15,11 @@ FILE_TYPES = {
 }
 
 
+#: The white space of Unicode, as a class for regular expressions here and in SQL; what is not of it.
+WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+NOT_WHITE = WHITE.replace("[", "[^", 1)
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value worked out once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -35,7 +40,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def characters(text: Column) -> Column:
     """The distinct lower-case characters of a text other than white space."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s", "")
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WHITE, "")
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(plain, "")))
 
 
@@ -47,12 +52,12 @@ def char_overlap(query: Column, document: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Lower case without white space."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", "")
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WHITE + "+", "")
 
 
 def collapsed(text: Column) -> Column:
     """Words joined by single spaces."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE + "+", " "))
 
 
 def tokens(text: Column) -> Column:

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import collapsed, json_slice
+from quern.functions.text import holds_quote
 from quern.operators.results import call_log, logged_calls
 
 ANSWER_DDL = (
-    "items array<struct<question: string, answer: string, quote: string, pageNo: int, chunkIndex: int>>, "
+    "items array<struct<question: string, answer: string, quote: string, pageNo: variant, chunkIndex: int>>, "
     "coveredChunkIndexes array<int>, skippedChunks array<struct<chunkIndex: int, reason: string>>"
 )
 
@@ -224,9 +225,10 @@ def bisect(batches: DataFrame) -> DataFrame:
 def validate_answers(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     """The items of each model answer (batch_id, document_id, expected: array of chunk indexes, output) with an error.
 
-    Errors, first that holds: INVALID_JSON, MISSING_FIELD, UNKNOWN_CHUNK, PAGE_RANGE, QUOTE_NOT_FOUND, COVERAGE (covered
-    and skipped indexes must part the expected ones, and items must be of covered ones). chunks has document_id,
-    chunk_index, content, page_start and page_end.
+    Errors, first that holds: INVALID_JSON, MISSING_FIELD, UNKNOWN_CHUNK, PAGE_RANGE (also where pageNo is missing or no
+    whole number), QUOTE_NOT_FOUND (composition and white space aside), COVERAGE (covered and skipped indexes must part
+    the expected ones, and items must be of covered ones). An answer without items is one row without an item; it is
+    valid if it skips all chunks. chunks has document_id, chunk_index, content, page_start and page_end.
     """
     parsed = answers.withColumn("a", F.from_json(json_slice(F.col("output")), ANSWER_DDL))
     covered, skipped = F.coalesce("a.coveredChunkIndexes", F.array().cast("array<int>")), F.coalesce(F.col("a.skippedChunks.chunkIndex"), F.array().cast("array<int>"))
@@ -237,17 +239,19 @@ def validate_answers(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     rows = parsed.select("batch_id", "document_id", "expected", F.coalesce(parted, F.lit(False)).alias("parted"), F.col("a.items").isNull().alias("broken"), F.posexplode_outer("a.items").alias("item_index", "item"))
     source = chunks.select("document_id", F.col("chunk_index").alias("_i"), "content", "page_start", "page_end")
     joined = rows.join(source, (rows["document_id"] == source["document_id"]) & (F.col("item.chunkIndex") == F.col("_i")), "left").drop(source["document_id"])
-    blank = lambda name: F.coalesce(F.trim(F.col(f"item.{name}")), F.lit("")) == ""
-    first, page = F.coalesce("page_start", F.lit(1)), F.col("item.pageNo")
-    error = (
-        F.when(F.col("broken"), "INVALID_JSON")
-        .when(blank("question") | blank("answer") | blank("quote"), "MISSING_FIELD")
-        .when(~F.array_contains("expected", F.col("item.chunkIndex")) | F.col("_i").isNull(), "UNKNOWN_CHUNK")
-        .when((page < first) | (page > F.coalesce("page_end", first)), "PAGE_RANGE")
-        .when(~F.contains(collapsed(F.col("content")), collapsed(F.col("item.quote"))), "QUOTE_NOT_FOUND")
-        .when(~F.col("parted"), "COVERAGE")
+    blank = lambda name: collapsed(F.col(f"item.{name}")) == ""
+    whole = F.schema_of_variant("item.pageNo") == "BIGINT"
+    first, page = F.coalesce("page_start", F.lit(1)), F.when(whole, F.try_variant_get("item.pageNo", "$", "bigint"))
+    in_range = F.coalesce((page >= 1) & page.between(first, F.coalesce("page_end", first)), F.lit(False))
+    of_item = (
+        F.when(blank("question") | blank("answer") | blank("quote"), "MISSING_FIELD")
+        .when(~F.coalesce(F.array_contains("expected", F.col("item.chunkIndex")), F.lit(False)) | F.col("_i").isNull(), "UNKNOWN_CHUNK")
+        .when(~in_range, "PAGE_RANGE")
+        .when(~holds_quote(F.col("content"), F.col("item.quote")), "QUOTE_NOT_FOUND")
     )
-    return joined.select("batch_id", "document_id", "item_index", "item.*", error.alias("error"))
+    error = F.when(F.col("broken"), "INVALID_JSON").when(F.col("item").isNotNull() & of_item.isNotNull(), of_item).when(~F.col("parted"), "COVERAGE")
+    fields = ("question", "answer", "quote")
+    return joined.select("batch_id", "document_id", "item_index", *(F.col(f"item.{f}") for f in fields), page.cast("int").alias("pageNo"), "item.chunkIndex", error.alias("error"))
 
 
 def attributed_quotes(quotes: DataFrame, chunks: DataFrame, key: str) -> DataFrame:

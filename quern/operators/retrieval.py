@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import CHANNELS, RetrievalConfig
-from quern.functions.scalar import char_overlap, characters, collapsed, context_window, normalized
+from quern.functions.scalar import char_overlap, characters, collapsed, context_window, normalized, token_count
 from quern.operators.search import TIES, passage_matches, search
 from quern.storage import materialize
 
@@ -265,7 +265,7 @@ def hydrate(final: DataFrame, chunks: DataFrame, parents: DataFrame, budget: int
 
     For each chunk in order of fused_score: what stands around it in its parent (context_window, `budget` tokens), then
     its neighbours within `reach` places. A text is left out if it is equal to, within or around a final chunk's or one
-    taken before. chunks and parents are scoped and live. A query's few texts are folded in the JVM.
+    taken before, or has no token. chunks and parents are scoped and live. A query's few texts are folded in the JVM.
     """
     own = final.select("query_id", "item_id", "document_id", "parent_chunk_id", "chunk_index", "final_rank", "fused_score", "content")
     place = F.struct(F.negative("fused_score").alias("f"), "final_rank")
@@ -286,7 +286,7 @@ def hydrate(final: DataFrame, chunks: DataFrame, parents: DataFrame, budget: int
 
     def step(state: Column, p: Column) -> Column:
         text = p["content"]
-        known = (text == "") | F.exists(state["seen"], lambda x: F.contains(x, text) | F.contains(text, x))
+        known = (token_count(text) == 0) | F.exists(state["seen"], lambda x: F.contains(x, text) | F.contains(text, x))
         seen = F.when(known, state["seen"]).otherwise(F.array_append(state["seen"], text))
         return F.struct(seen.alias("seen"), F.array_append(state["taken"], ~known).alias("taken"))
 

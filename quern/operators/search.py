@@ -25,7 +25,6 @@ QUERY_BLOCK, PAIRS = 1000, 1 << 21
 TIES = ("document_id", "item_index", "item_id")
 #: Scores are whole millionths inside a task.
 _ONE = 1_000_000
-_BLANKS = " \t\n\x0b\f\r"
 
 
 class _Vectors:
@@ -64,7 +63,7 @@ class _Characters:
     column = "_plain"
 
     def __init__(self, block: pa.Table):
-        sets = [set(q or "") - set(_BLANKS) for q in block["_plain"].to_pylist()]
+        sets = [{c for c in q or "" if not c.isspace()} for q in block["_plain"].to_pylist()]
         known = sorted(set().union(*sets)) if sets else []
         self.place = np.full(0x110000, -1, np.int32)
         self.place[[ord(c) for c in known]] = range(len(known))

@@ -185,7 +185,7 @@ def fun30_evidence_sections(t: Tables) -> DataFrame:
     return t.pairs().select("pair_id", F.concat(F.lit("["), "pair_index", F.lit("] Q: "), "question", F.lit("\nA: "), "answer").alias("section"))
 
 
-@query("SELECT doc_id, length(regexp_replace(lower(text), '\\s+', '', 'g')) AS n FROM documents")
+@query(f"SELECT doc_id, length(regexp_replace(lower(text), '{S.WHITE}+', '', 'g')) AS n FROM documents")
 def fun3_normalized_length(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.length(S.normalized(F.col("text"))).cast("long").alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import mock_embedding
+from quern.functions.scalar import WHITE, mock_embedding
 from quern.operators.access import Principal, live_chunks, live_pairs, visible_documents
 from quern.session import configure, ship
 
@@ -136,7 +136,7 @@ class Tables:
 
 
 def _chars(text: str) -> str:
-    return f"list_distinct(string_split(regexp_replace(lower({text}), '\\s', '', 'g'), ''))"
+    return f"list_distinct(string_split(regexp_replace(lower({text}), '{WHITE}', '', 'g'), ''))"
 
 
 def _mock(text: str) -> str:
@@ -149,7 +149,7 @@ TEXT_SCORE = "round(len(list_intersect(q.cs, t.cs)) / len(q.cs), 6)"
 CHANNEL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, item_index, item_id) AS rank FROM
         (SELECT '{name}' AS channel, q.query_id, t.document_id, t.{id} AS item_id, t.{index} AS item_index, {score} AS score FROM kb_q q, {items} t) WHERE score > 0) WHERE rank <= {k}"""
 
-_FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_FLAT = "trim(regexp_replace({}, '" + WHITE.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g'))"
 _WINDOW = f"""SELECT *, substr(p, 1, spot - 1) AS l, substr(p, spot + length(o)) AS r FROM
     (SELECT f.query_id, f.chunk_id, f.final_rank, f.fused_score, f.parent_chunk_id, {_FLAT.format("h.content")} AS p, {_FLAT.format("f.content")} AS o, instr({_FLAT.format("h.content")}, {_FLAT.format("f.content")}) AS spot
      FROM kb_final f JOIN kb_chunks h ON h.chunk_id = f.parent_chunk_id AND h.document_id = f.document_id AND h.chunk_level = 'PARENT' AND h.status = 'ACTIVE') WHERE spot > 0 AND o <> ''"""
@@ -199,7 +199,7 @@ CTES = {
         (SELECT 1 FROM kb_rules r WHERE r.document_id = d.id AND (subject_type = 'ALL_AUTHENTICATED' OR (subject_type = 'DEPARTMENT' AND subject_id IN ('src1', 'src2'))
          OR (subject_type = 'ROLE' AND subject_id IN ('editor')) OR (subject_type = 'USER' AND subject_id = 'u7')))""",
     "kb_queries": """SELECT item_id AS query_id, text AS query FROM benchmark""",
-    "kb_q": f"""SELECT item_id AS query_id, text AS query, {_chars("text")} AS cs, regexp_replace(lower(text), '\\s+', '', 'g') AS flat, {_mock("text")} AS e FROM benchmark""",
+    "kb_q": f"""SELECT item_id AS query_id, text AS query, {_chars("text")} AS cs, regexp_replace(lower(text), '{WHITE}+', '', 'g') AS flat, {_mock("text")} AS e FROM benchmark""",
     "kb_qa_items": f"""SELECT p.*, {_chars("question || ' ' || answer")} AS cs, {_mock("question")} AS e FROM kb_pairs p WHERE status = 'ACTIVE'
         AND document_id IN (SELECT id FROM kb_visible) AND (chunk_id IS NULL OR chunk_id IN (SELECT chunk_id FROM kb_live))""",
     "kb_text_items": f"""SELECT c.*, d.title, {_chars("content")} AS cs, {_mock("content")} AS e FROM kb_live c JOIN kb_visible d ON d.id = c.document_id""",
@@ -207,11 +207,11 @@ CTES = {
         coalesce(max(score) FILTER (channel = 'v'), 0) AS vs, coalesce(max(score) FILTER (channel = 'x'), 0) AS xs, round(sum(1.0 / (60 + rank)), 9) AS fused_score,
         min(CASE channel WHEN 'v' THEN rank ELSE 1000 + rank END) AS first_seen FROM ({CHANNEL.format(name="v", score=VECTOR_SCORE, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}
         UNION ALL {CHANNEL.format(name="x", score=TEXT_SCORE, items="kb_qa_items", id="pair_id", index="pair_index", k=20)}) GROUP BY 1, 2""",
-    "kb_final_pairs": """SELECT query_id, item_id, vr, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_score DESC, xs DESC, first_seen, document_id, item_index, item_id) AS final_rank FROM
+    "kb_final_pairs": f"""SELECT query_id, item_id, vr, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_score DESC, xs DESC, first_seen, document_id, item_index, item_id) AS final_rank FROM
     (SELECT f.*, round(fused_score * 8 + vs * 0.35 + xs * 0.45 + CASE WHEN q.flat <> '' AND contains(p.flat, q.flat) THEN 1.2 ELSE 0 END
         + CASE WHEN len(q.cs) > 0 THEN len(list_intersect(q.cs, p.cs)) / len(q.cs) ELSE 0 END * 0.5 + 0.15 / (1 + greatest(item_index, 0)), 6) AS rerank_score
-     FROM kb_fused_pairs f JOIN kb_q q USING (query_id) JOIN (SELECT pair_id AS item_id, regexp_replace(lower(question), '\\s+', '', 'g') AS flat,
-        list_distinct(string_split(regexp_replace(lower(question), '\\s', '', 'g'), '')) AS cs FROM kb_pairs) p USING (item_id))""",
+     FROM kb_fused_pairs f JOIN kb_q q USING (query_id) JOIN (SELECT pair_id AS item_id, regexp_replace(lower(question), '{WHITE}+', '', 'g') AS flat,
+        list_distinct(string_split(regexp_replace(lower(question), '{WHITE}', '', 'g'), '')) AS cs FROM kb_pairs) p USING (item_id))""",
     "kb_hits": " UNION ALL ".join(
         CHANNEL.format(name=name, score=score, items=items, id=id_, index=index, k=10)
         for name, score, items, id_, index in (
@@ -227,12 +227,12 @@ CTES = {
     "kb_kept": """SELECT query_id, arg_min(chunk_id, o) AS chunk_id, min_by(fused_score, o) AS fused_score, min_by(pair_index, o) AS pair_index, max_by(qv, o) FILTER (qv IS NOT NULL) AS qv,
         max_by(qx, o) FILTER (qx IS NOT NULL) AS qx, count(*) AS merged FROM (SELECT e.*, c.content, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, c.document_id, e.chunk_id) AS o
         FROM kb_evidence e JOIN kb_text_items c USING (chunk_id)) GROUP BY query_id, content""",
-    "kb_final": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_score DESC, coalesce(qx, 0) DESC, document_id, chunk_id) AS final_rank FROM
+    "kb_final": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_score DESC, coalesce(qx, 0) DESC, document_id, chunk_id) AS final_rank FROM
         (SELECT k.*, c.document_id, c.parent_chunk_id, c.chunk_index, c.content, round(fused_score * 8 + coalesce(qv, 0) * 0.35 + coalesce(qx, 0) * 0.45
             + CASE WHEN q.flat <> '' AND contains(s.flat, q.flat) THEN 1.2 ELSE 0 END + CASE WHEN len(q.cs) > 0 THEN len(list_intersect(q.cs, s.cs)) / len(q.cs) ELSE 0 END * 0.5
             + 0.15 / (1 + greatest(coalesce(k.pair_index, c.chunk_index), 0)), 6) AS rerank_score
          FROM kb_kept k JOIN kb_text_items c USING (chunk_id) JOIN kb_q q USING (query_id) JOIN
-         (SELECT chunk_id, regexp_replace(lower(title || content), '\\s+', '', 'g') AS flat, list_distinct(string_split(regexp_replace(lower(title || content), '\\s', '', 'g'), '')) AS cs FROM kb_text_items) s USING (chunk_id))) WHERE final_rank <= 5""",
+         (SELECT chunk_id, regexp_replace(lower(title || content), '{WHITE}+', '', 'g') AS flat, list_distinct(string_split(regexp_replace(lower(title || content), '{WHITE}', '', 'g'), '')) AS cs FROM kb_text_items) s USING (chunk_id))) WHERE final_rank <= 5""",
     "kb_context": f"""WITH RECURSIVE w AS ({_WINDOW}), u AS (SELECT *, {_UNITS.format("l")} AS lu, {_UNITS.format("r")} AS ru FROM w),
     parts AS (SELECT query_id, chunk_id, final_rank, fused_score, 0 AS step, 'PARENT' AS kind, parent_chunk_id AS context_id, {_FLAT.format('''(CASE WHEN len(lu) = 0 THEN l
         ELSE (CASE WHEN (len(lu) - 1) // 600 = 0 THEN ''' + _LEAD.format("l") + ''' ELSE '' END) || array_to_string(list_slice(lu, (len(lu) - 1) // 600 * 600 + 1, len(lu)), '') END)
@@ -241,8 +241,8 @@ CTES = {
         ON n.document_id = f.document_id AND n.parent_chunk_id = f.parent_chunk_id AND n.chunk_index BETWEEN f.chunk_index - 1 AND f.chunk_index + 1 AND n.chunk_index <> f.chunk_index),
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, final_rank, step, context_id) AS i FROM parts),
     fold AS (SELECT query_id, 0 AS i, list_filter(list({_FLAT.format("content")}), lambda x: x <> '') AS seen, false AS taken FROM kb_final GROUP BY query_id
-      UNION ALL SELECT g.query_id, g.i + 1, CASE WHEN o.content <> '' AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 THEN list_append(g.seen, o.content) ELSE g.seen END,
-        o.content <> '' AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 FROM fold g JOIN o ON o.query_id = g.query_id AND o.i = g.i + 1)
+      UNION ALL SELECT g.query_id, g.i + 1, CASE WHEN regexp_matches(o.content, '[\\p{{L}}\\p{{N}}]') AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 THEN list_append(g.seen, o.content) ELSE g.seen END,
+        regexp_matches(o.content, '[\\p{{L}}\\p{{N}}]') AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 FROM fold g JOIN o ON o.query_id = g.query_id AND o.i = g.i + 1)
     SELECT o.query_id, o.chunk_id, o.final_rank, o.kind, o.context_id, o.content FROM o JOIN fold USING (query_id, i) WHERE taken""",
     "kb_vectors": """SELECT CAST(label AS BIGINT) AS document_id, vec_id AS item_id, vec_id AS item_index, embedding FROM embeddings""",
     "kb_asked": """SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0""",

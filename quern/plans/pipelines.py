@@ -93,19 +93,20 @@ def qas3_bisection(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id AS document_id, CASE doc_id % 5 WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'QUOTE_NOT_FOUND' WHEN 2 THEN 'PAGE_RANGE' WHEN 3 THEN 'COVERAGE' END AS error
-    FROM documents WHERE regexp_matches(text, '^[A-Za-z]')"""
+    f"""SELECT doc_id AS document_id, CASE WHEN doc_id % 9 = 0 THEN 'INVALID_JSON' WHEN doc_id % 9 = 1 THEN 'QUOTE_NOT_FOUND' WHEN doc_id % 9 = 7 THEN NULL
+    WHEN NOT regexp_matches(coalesce(substr(text, 1, 40), ''), '{S.NOT_WHITE}') THEN 'MISSING_FIELD' WHEN doc_id % 9 IN (2, 5, 6) THEN 'PAGE_RANGE' WHEN doc_id % 9 = 3 THEN 'COVERAGE' END AS error FROM documents"""
 )
 def qas5_answer_validation(t: Tables) -> DataFrame:
-    docs = t.raw("documents").filter(F.col("text").rlike("^[A-Za-z]"))
-    kind = F.col("doc_id") % 5
-    item = F.struct(
-        F.lit("q?").alias("question"), F.lit("a").alias("answer"),
-        F.when(kind == 1, "no such passage \u0001").otherwise(F.substring("text", 1, 1)).alias("quote"),
-        F.when(kind == 2, 9).otherwise(1).alias("pageNo"), F.lit(0).alias("chunkIndex"),
-    )
-    covered = F.when(kind == 3, F.array(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0)))
-    body = F.to_json(F.struct(F.array(item).alias("items"), covered.alias("coveredChunkIndexes")))
+    """Answers of nine kinds: no JSON, another quote, a page beyond the chunk, a chunk too much, a right one, no page, a page
+    that is no number, a chunk that is skipped with a reason, and a right one whose quote has other white space."""
+    kind = F.col("doc_id") % 9
+    docs = t.raw("documents").withColumn("quote", F.coalesce(F.substring("text", 1, 40), F.lit("")))
+    quote = F.when(kind == 1, "no such passage \u0001").when(kind == 8, F.replace("quote", F.lit(" "), F.lit("\n\t "))).otherwise(F.col("quote"))
+    page = F.when(kind == 2, "9").when(kind == 6, '"x"').when(kind != 5, "1")
+    item = F.concat(F.lit('{"question": "q?", "answer": "a", "quote": '), F.get(F.split(F.to_json(F.struct(quote.alias("q"))), '^\\{"q":|\\}$'), F.lit(1)), F.coalesce(F.concat(F.lit(', "pageNo": '), page), F.lit("")), F.lit(', "chunkIndex": 0}'))
+    covered = F.when(kind == 3, "[0, 7]").otherwise("[0]")
+    body = F.concat(F.lit('{"items": ['), item, F.lit('], "coveredChunkIndexes": '), covered, F.lit("}"))
+    body = F.when(kind == 7, '{"items": [], "coveredChunkIndexes": [], "skippedChunks": [{"chunkIndex": 0, "reason": "no content"}]}').otherwise(body)
     output = F.when(kind == 0, "no json at all").otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
     answers = docs.select(F.col("doc_id").alias("batch_id"), F.col("doc_id").alias("document_id"), F.array(F.lit(0)).alias("expected"), output.alias("output"))
     chunks = docs.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))

@@ -467,7 +467,7 @@ def fun14_content_hash(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{S.WHITE}+', ' ', 'g')) AS flat FROM documents")
 def fun18_collapse(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", S.collapsed(F.col("text")).alias("flat"))
 

@@ -301,6 +301,41 @@ def test_answers_are_validated(spark):
     assert got == {1: None, 2: "COVERAGE", 3: "INVALID_JSON"}
 
 
+def test_answers_with_odd_pages_quotes_and_no_items(spark):
+    def answer(quote="two words", covered=(0, 1), skipped=(), items=None, **more):
+        item = {"question": "q", "answer": "a", "quote": quote, "chunkIndex": 0, **more}
+        return json.dumps({"items": [item] if items is None else items, "coveredChunkIndexes": list(covered), "skippedChunks": [{"chunkIndex": i, "reason": "r"} for i in skipped]})
+
+    cases = [
+        (answer(pageNo=2), None), (answer(), "PAGE_RANGE"), (answer(pageNo="x"), "PAGE_RANGE"), (answer(pageNo="2"), "PAGE_RANGE"), (answer(pageNo=0), "PAGE_RANGE"),
+        (answer(pageNo=2.5), "PAGE_RANGE"), (answer(pageNo=True), "PAGE_RANGE"), (answer(pageNo=None), "PAGE_RANGE"), (answer(pageNo=4), "PAGE_RANGE"), (answer("\u3000", pageNo=2), "MISSING_FIELD"),
+        (answer("cafe\u0301\u00a0au lait", pageNo=2), None), (answer("caf au", pageNo=2), "QUOTE_NOT_FOUND"), (answer(pageNo=2, chunkIndex=5), "UNKNOWN_CHUNK"), (answer(pageNo=2, chunkIndex=None), "UNKNOWN_CHUNK"),
+        (answer(items=[], covered=(), skipped=(0, 1)), None), (answer(items=[], covered=(), skipped=(0,)), "COVERAGE"), (answer(items=[], covered=(0, 1)), None), ("{}", "INVALID_JSON"), ("[1]", "INVALID_JSON"),
+    ]
+    answers = spark.createDataFrame([(i, 1, [0, 1], text) for i, (text, _) in enumerate(cases)], "batch_id int, document_id int, expected array<int>, output string")
+    chunks = spark.createDataFrame([(1, 0, "a two words, caf\u00e9 au\nlait", 2, 3), (1, 1, "x", 1, 1)], "document_id int, chunk_index int, content string, page_start int, page_end int")
+    got = {r.batch_id: r.error for r in qa.validate_answers(answers, chunks).collect()}
+    assert got == {i: error for i, (_, error) in enumerate(cases)}
+
+
+def test_all_white_space_of_unicode_counts(spark):
+    get = lambda c: spark.range(1).select(c).first()[0]
+    white = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    text = "a" + "b".join(white) + "c"
+    assert get(S.normalized(F.lit(text))) == "a" + "b" * (len(white) - 1) + "c" and get(S.collapsed(F.lit("".join(white) + "x\u3000\u00a0y"))) == "x y"
+    assert sorted(get(S.characters(F.lit(text)))) == ["a", "b", "c"]
+    items = spark.createDataFrame([(1, "i", 0, "\u3000 z"), (2, "j", 0, "ab")], "document_id int, item_id string, item_index int, search_text string")
+    asked = spark.createDataFrame([(1, "a\u3000\u00a0")], "query_id int, query string")
+    assert [(r.item_id, r.score) for r in R.text_channel(items, asked, 5).collect()] == [("j", 1.0)]
+
+
+def test_context_without_a_token_is_left_out(spark):
+    final = spark.createDataFrame([(1, "c1", 1, "p", 1, 1, 0.5, "one two")], "query_id int, item_id string, document_id int, parent_chunk_id string, chunk_index int, final_rank int, fused_score double, content string")
+    chunks = spark.createDataFrame([("c0", 1, "p", 0, "---"), ("c1", 1, "p", 1, "one two"), ("c2", 1, "p", 2, "three")], "chunk_id string, document_id int, parent_chunk_id string, chunk_index int, content string")
+    parents = spark.createDataFrame([("p", 1, "*** one two ***")], "chunk_id string, document_id int, content string")
+    assert [(r.kind, r.content) for r in R.hydrate(final, chunks, parents).collect()] == [("NEIGHBOR", "three")]
+
+
 def test_archive_is_repeatable(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00"), (3, "2024-02-01 00:00:00")], "id int, t string").selectExpr("id", "CAST(t AS TIMESTAMP_NTZ) AS t")
     for _ in range(2):

@@ -13,7 +13,7 @@ from quern.plans.entities import Tables
 from quern.plans.queries import query
 from quern.sources.blocks import parse_files
 from quern.storage import scratch
-from quern.streaming import logs
+from quern.streaming import logs, stateful, upserts
 
 
 def _files(t: Tables) -> DataFrame:
@@ -182,8 +182,32 @@ def str7_missed_counts(t: Tables) -> DataFrame:
     len(list_filter(held, lambda x: x > s - 36000.0)) < 3 FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1) SELECT key, id, allowed FROM f WHERE i > 0"""
 )
 def str6_rate_limit(t: Tables) -> DataFrame:
-    calls = _stream(t, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
-    return _drained(t, logs.rate_limited(calls.select("key", "id", (F.col("us") / 1e6).alias("at")), 3, 36_000.0), "append")
+    """Calls of a file stream, and a file that tells the time two windows after the last call, so that all are decided."""
+    base = scratch(t.spark, "calls")
+    events = t.raw("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    later = F.timestamp_micros(F.max(F.unix_micros("at")) + 72_000_000_000).alias("at")
+    events.agg(later).select(F.lit(0).cast("long").alias("key"), F.lit(None).cast("long").alias("id"), "at").write.parquet(f"{base}/time")
+    clock = t.spark.readStream.schema("key long, id long, at timestamp").parquet(f"{base}/time")
+    calls = _stream(t, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    return _drained(t, stateful.rate_limited(calls.unionByName(clock), 3, 36_000.0), "append")
+
+
+@query("SELECT tenant_id, question_hash, n, last_role, first_turn FROM (SELECT tenant_id, sha256(tenant_id || ':' || trim(question)) AS question_hash, count(*) AS n, arg_max(role, turn * 10 + length(role)) AS last_role, CAST(max(turn) FILTER (turn < 3) AS VARCHAR) AS first_turn FROM (SELECT 't' || (conv_id % 2) AS tenant_id, text AS question, role, turn FROM conversations) GROUP BY 1, 2)")
+def str7_upserted_questions(t: Tables) -> DataFrame:
+    """Questions of a stream that are merged into a table in two batches; the second one is merged twice."""
+    base = scratch(t.spark, "missed")
+    none = F.create_map().cast("map<string,string>")
+    early = F.when(F.col("turn") < 3, F.create_map(F.lit("early"), F.col("turn").cast("string"))).otherwise(none)
+    asked = t.raw("conversations").select(
+        F.concat(F.lit("t"), F.col("conv_id") % 2).alias("tenant_id"), F.col("text").alias("question"), (F.col("turn") * 10 + F.length("role")).alias("asked_at"), F.map_concat(F.create_map(F.lit("role"), "role"), early).alias("metadata"),
+        (F.col("turn") >= 2).alias("late"),
+    )
+    table = upserts.UpsertTable(t.spark, f"{base}/table")
+    for late in (False, True):
+        asked.filter(F.col("late") == late).drop("late").write.mode("append").parquet(f"{base}/in")
+        table.follow(t.spark.readStream.schema(asked.drop("late").schema).parquet(f"{base}/in"), f"{base}/checkpoint")
+    table.merge(asked.filter("late").drop("late"), 1)
+    return table.read().select("tenant_id", "question_hash", "n", F.col("metadata").getItem("role").alias("last_role"), F.col("metadata").getItem("early").alias("first_turn"))
 
 
 _EVENTS = """SELECT run_id, seq, event, data FROM (SELECT pair_id AS run_id, 0 AS seq, 'run_started' AS event, pair_id AS data FROM kb_pairs WHERE length(answer) > 0

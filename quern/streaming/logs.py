@@ -66,10 +66,10 @@ def answer_events(runs: DataFrame, size: int = 8) -> DataFrame:
     return runs.select("run_id", F.posexplode(whole).alias("seq", "e")).select("run_id", "seq", "e.event", "e.data")
 
 
-def frames(events: DataFrame) -> DataFrame:
-    """Server-sent frames of event rows."""
+def frames(events: DataFrame, *others: str) -> DataFrame:
+    """Server-sent frames of event rows, with other columns."""
     body = F.regexp_replace(F.coalesce("data", F.lit("")), "\n", "\ndata: ")
-    return events.select("run_id", "seq", F.concat(F.lit("event: "), "event", F.lit("\ndata: "), body, F.lit("\n\n")).alias("frame"))
+    return events.select("run_id", "seq", *others, F.concat(F.lit("event: "), "event", F.lit("\ndata: "), body, F.lit("\n\n")).alias("frame"))
 
 
 def heartbeats(events: DataFrame, interval: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import scalar as S
 from quern.operators import access as A
 from quern.operators import analytics as N
-from quern.operators import retrieval as R
+from quern.operators.spans import overlapping_spans
 from quern.plans.entities import Tables
 from quern.plans.queries import EMPLOYEE, query
 
@@ -46,12 +46,30 @@ def joi7_scoped_parents(t: Tables) -> DataFrame:
     SELECT a.l_linenumber AS a, b.l_linenumber AS b, a.l_orderkey AS query_id FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
     WHERE greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) / CAST(least(a.hi - a.lo, b.hi - b.lo) AS DOUBLE) >= 0.8""")
 def joi8_span_overlaps(t: Tables) -> DataFrame:
-    low = (F.col("l_suppkey") % 50).cast("double")
-    spans = t.raw("lineitem").filter("l_quantity > 0").select("l_orderkey", "l_linenumber", low.alias("lo"), (low + F.col("l_quantity")).alias("hi"))
-    other = spans.withColumnsRenamed({"l_linenumber": "b", "lo": "lo2", "hi": "hi2"})
-    pairs = spans.join(other, "l_orderkey").filter("l_linenumber < b")
-    near = R.span_overlap(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")) >= 0.8
-    return pairs.filter(near).select(F.col("l_linenumber").alias("a"), "b", F.col("l_orderkey").alias("query_id"))
+    low = F.col("l_suppkey") % 50
+    spans = t.raw("lineitem").select(F.col("l_orderkey").alias("key"), F.struct("l_orderkey", "l_linenumber").alias("id"), low.alias("start"), (low + F.col("l_quantity")).cast("long").alias("end"))
+    pairs = overlapping_spans(spans, spans, 0.8).filter("left_id.l_linenumber < right_id.l_linenumber")
+    return pairs.select(F.col("left_id.l_linenumber").alias("a"), F.col("right_id.l_linenumber").alias("b"), F.col("left_id.l_orderkey").alias("query_id"))
+
+
+_LINES = "SELECT doc_id, pos, sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(content) - 1 AS a, sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS b FROM kb_lines"
+
+
+@query(
+    f"""WITH l AS ({_LINES}), w AS (SELECT doc_id, i AS part, i * 100 AS a, i * 100 + 150 AS b FROM (SELECT doc_id, unnest(range(CAST(ceil(length(text) / 100.0) AS BIGINT))) AS i FROM documents))
+    SELECT l.doc_id, pos AS line, part AS window_no, round(CAST(least(l.b, w.b) - greatest(l.a, w.a) AS DOUBLE) / least(l.b - l.a, w.b - w.a), 6) AS overlap FROM l JOIN w ON l.doc_id = w.doc_id AND l.a < w.b AND w.a < l.b
+    WHERE l.b > l.a AND CAST(least(l.b, w.b) - greatest(l.a, w.a) AS DOUBLE) / least(l.b - l.a, w.b - w.a) >= 0.5"""
+)
+def joi8_line_windows(t: Tables) -> DataFrame:
+    """Lines and windows of 150 characters of each text that overlap by half of the shorter one."""
+    docs = t.raw("documents").filter("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
+    end = F.sum(F.length("content") + 1).over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    own = lines.select(F.col("doc_id").alias("key"), F.struct("doc_id", "pos").alias("id"), (end - F.length("content")).alias("start"), end.alias("end"))
+    part = F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / 100) - 1))
+    windows = docs.filter("length(text) > 0").select("doc_id", part.alias("part")).select(F.col("doc_id").alias("key"), F.struct("doc_id", "part").alias("id"), (F.col("part") * 100).alias("start"), (F.col("part") * 100 + 150).alias("end"))
+    pairs = overlapping_spans(own, windows, 0.5)
+    return pairs.select("left_id.doc_id", F.col("left_id.pos").alias("line"), F.col("right_id.part").alias("window_no"), F.round("overlap", 6).alias("overlap"))
 
 
 @query("SELECT c_custkey, list_sort(list(n_name)) AS roles FROM customer JOIN nation ON n_regionkey = c_nationkey % 5 GROUP BY c_custkey")

@@ -1,7 +1,8 @@
-"""Text functions that need Unicode normalization, which the JVM functions lack: Arrow batches of whole columns."""
+"""Text functions that the JVM lacks, of Unicode normalization and nested payloads: Arrow batches of whole columns."""
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.scalar import MASK, SAFE_NAMES, SECRET_FORM, SECRET_NAMES, SECRET_PARAMETER
+
 _WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 
 
@@ -78,3 +81,44 @@ def holds_quote(text: Column, quote: Column) -> Column:
         return pd.Series([bool(flat(q)) and flat(q) in flat(t) for t, q in zip(texts, quotes)])
 
     return run(text, quote)
+
+
+def _clean(value, masked: bool = False):
+    """A value of JSON without secrets: see redacted_json."""
+    if masked:
+        return MASK
+    if isinstance(value, dict):
+        out = {}
+        for name, inner in value.items():
+            plain = name.lower().replace("-", "_")
+            safe = any(p in plain for p in SAFE_NAMES)
+            out[name] = inner if safe else _clean(inner, any(p in plain for p in SECRET_NAMES))
+        return out
+    if isinstance(value, list):
+        return [_clean(v) for v in value]
+    if isinstance(value, str):
+        low = value.lower()
+        if "authorization:" in low or "bearer " in low:
+            return MASK
+        return re.sub(SECRET_FORM, MASK, re.sub(SECRET_PARAMETER, rf"\g<1>{MASK}", value))
+    return value
+
+
+def redacted_json(payload: Column) -> Column:
+    """A payload (JSON of any depth) without secrets: values of secret names are masked whole, those of safe names stay,
+    other texts are redacted as free text, in objects and lists. What is no JSON is redacted as a text."""
+
+    @F.pandas_udf("string")
+    def run(payloads: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            try:
+                value = json.loads(text)
+            except ValueError:
+                return _clean(text)
+            return json.dumps(_clean(value), ensure_ascii=False, separators=(",", ":"))
+
+        return payloads.map(one)
+
+    return run(payload)

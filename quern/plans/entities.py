@@ -42,11 +42,14 @@ class Tables:
         )
 
     def rules(self) -> DataFrame:
-        d = self.documents()
-        pick = lambda where, kind, subject: d.filter(where).selectExpr("id AS document_id", f"'{kind}' AS subject_type", f"{subject} AS subject_id")
-        everyone = pick("id % 2 = 0 AND coalesce(toxic, 0) = 0", "ALL_AUTHENTICATED", "'*'")
-        some = pick("id % 3 = 1", "DEPARTMENT", "department_id").unionByName(pick("toxic = 1", "ROLE", "'auditor'"))
-        return everyone.unionByName(some).unionByName(pick("id % 11 = 0", "USER", "'u7'"))
+        """Access rules; a document's rules come from one scan of the documents."""
+        rule = lambda where, kind, subject: F.when(F.expr(where), F.struct(F.lit(kind).alias("subject_type"), F.expr(subject).alias("subject_id")))
+        rules = F.array(
+            rule("id % 2 = 0 AND coalesce(toxic, 0) = 0", "ALL_AUTHENTICATED", "'*'"), rule("id % 3 = 1", "DEPARTMENT", "department_id"),
+            rule("toxic = 1", "ROLE", "'auditor'"), rule("id % 11 = 0", "USER", "'u7'"),
+        )
+        each = self.documents().select(F.col("id").alias("document_id"), F.explode(rules).alias("r"))
+        return each.filter("r is not null").select("document_id", "r.subject_type", "r.subject_id")
 
     def chunks(self) -> DataFrame:
         lines = self.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
@@ -85,25 +88,34 @@ class Tables:
             "answer",
         )
 
-    def scoped_pairs(self, principal: Principal) -> DataFrame:
-        """Live pairs of documents that the principal may see, as items of retrieval."""
-        seen = visible_documents(self.documents(), self.rules(), principal).select(F.col("id").alias("document_id"))
-        live = live_pairs(self.pairs(), self.chunks()).join(seen, "document_id", "left_semi")
-        return live.select(
+    def seen(self, principal: Principal) -> DataFrame:
+        """document_id and title of the documents that the principal may see."""
+        return visible_documents(self.documents(), self.rules(), principal).select(F.col("id").alias("document_id"), "title")
+
+    def scoped_pairs(self, principal: Principal, seen: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+        """Live pairs of documents that the principal may see, as items of retrieval. seen and chunks (live ones of these
+        documents) are taken where they are made already."""
+        seen = self.seen(principal) if seen is None else seen
+        pairs = self.pairs()
+        if chunks is None:
+            live = live_pairs(pairs, self.chunks())
+        else:
+            active = pairs.filter("status = 'ACTIVE'")
+            live = active.join(chunks.select("chunk_id"), "chunk_id", "left_semi").unionByName(active.filter("chunk_id is null"), allowMissingColumns=True)
+        return live.join(seen, "document_id", "left_semi").select(
             "document_id", F.col("pair_id").alias("item_id"), F.col("pair_index").alias("item_index"), "chunk_id", "question", "answer",
             F.concat_ws(" ", "question", "answer").alias("search_text"), mock_embedding(F.col("question"), 32).alias("embedding"),
         )
 
-    def scoped_chunks(self, principal: Principal) -> DataFrame:
+    def scoped_chunks(self, principal: Principal, seen: DataFrame | None = None) -> DataFrame:
         """Live child chunks of documents that the principal may see, as items of retrieval."""
-        seen = visible_documents(self.documents(), self.rules(), principal).select(F.col("id").alias("document_id"), "title")
-        live = live_chunks(self.chunks()).join(seen, "document_id")
+        live = live_chunks(self.chunks()).join(self.seen(principal) if seen is None else seen, "document_id")
         text = F.col("content").alias("search_text")
         return live.select("document_id", "chunk_id", "chunk_index", "parent_chunk_id", F.array("title").alias("title_path"), "content", text, mock_embedding(F.col("content"), 32).alias("embedding"))
 
-    def scoped_parents(self, principal: Principal) -> DataFrame:
+    def scoped_parents(self, principal: Principal, seen: DataFrame | None = None) -> DataFrame:
         """Active parents of documents that the principal may see."""
-        seen = visible_documents(self.documents(), self.rules(), principal).select(F.col("id").alias("document_id"))
+        seen = self.seen(principal) if seen is None else seen
         return self.chunks().filter("chunk_level = 'PARENT' and status = 'ACTIVE'").join(seen, "document_id", "left_semi")
 
     def questions(self) -> DataFrame:

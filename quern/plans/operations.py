@@ -16,6 +16,7 @@ from quern.operators import retrieval as R
 from quern.plans.entities import Tables
 from quern.plans.queries import CONFIG, EMPLOYEE, query
 from quern.sources import files as sources
+from quern.sources import objects
 from quern.sources.blocks import parse_files
 from quern.storage import materialize, scratch
 
@@ -238,7 +239,9 @@ def _mode_sql(name: str, cs: str) -> str:
     + _mode_sql("characters", "list_distinct(string_split(regexp_replace(lower(text), '\\s', '', 'g'), ''))")
     + " UNION ALL "
     + _mode_sql("tokens", "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))")
-    + ") SELECT *, (SELECT count(DISTINCT query_id) FROM e) AS queries, (SELECT sha256(string_agg(sha256(text), ',' ORDER BY sha256(text))) FROM benchmark) AS dataset_hash FROM m"
+    + ") SELECT *, (SELECT count(DISTINCT query_id) FROM e) AS queries, (SELECT sha256(concat_ws(':', count(*), "
+    + ", ".join(f"sum(CAST('0x' || substr(sha256(coalesce(text, '')), {1 + 12 * i}, 12) AS BIGINT))" for i in range(5))
+    + ")) FROM benchmark) AS dataset_hash FROM m"
 )
 def agg18_comparison(t: Tables) -> DataFrame:
     docs = t.raw("documents").select(F.col("doc_id").alias("document_id"), "text")
@@ -651,6 +654,19 @@ def src16_objects(t: Tables) -> DataFrame:
     return sizes.join(got, "key", "left").select("key", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256"), "size")
 
 
+@query("SELECT lang || '/' || doc_id AS key, sha256(coalesce(text, '')) AS sha256, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size FROM documents WHERE lang IN ('en', 'de') AND NOT starts_with(lang || '/' || doc_id, 'de/1')")
+def src16_object_source(t: Tables) -> DataFrame:
+    """Texts through the data source of objects, in two appends, of which two languages are opened again."""
+    objects.register(t.spark)
+    folder = scratch(t.spark, "object-source")
+    rows = t.raw("documents").select(F.concat_ws("/", "lang", "doc_id").alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), "lang")
+    for part in (F.col("lang") == "en", F.col("lang") != "en"):
+        rows.filter(part).select("key", "data").write.format(objects.NAME).option("path", folder).mode("append").save()
+    read = t.spark.read.format(objects.NAME).option("path", folder).load()
+    two = read.filter("startswith(key, 'en/')").unionByName(read.filter("startswith(key, 'de/')").filter("not startswith(key, 'de/1')"))
+    return two.select("key", F.sha2("data", 256).alias("sha256"), "size")
+
+
 @query("SELECT item_id AS id, text AS query, item_id % 3 = 0 AS visible FROM benchmark")
 def src18_json_lines(t: Tables) -> DataFrame:
     folder = f"{scratch(t.spark, 'lines')}/queries"

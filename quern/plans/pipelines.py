@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.config import ChunkPolicy
 from quern.functions import scalar as S
+from quern.functions.text import redacted_json
 from quern.operators import access as A
 from quern.operators import chunking, qa
 from quern.plans.entities import Tables
@@ -124,6 +125,16 @@ def fun23_redaction(t: Tables) -> DataFrame:
     return masked.select("event_id", *(F.col("p").getItem(k).alias(name) for k, name in (("message", "line"), ("Password", "password"), ("key-prefix", "key_prefix"))))
 
 
+@query(
+    """SELECT event_id, '{"a":{"Password":"***REDACTED***","list":["GET /x?api_key=***REDACTED***&id=' || event_id || '",{"key-prefix":"lk_live_12345678","n":' || event_id || ',"token":["***REDACTED***"]}],"secrets":"***REDACTED***"},"note":"plain ' || event_id || '"}' AS payload FROM events"""
+)
+def fun23_nested_payloads(t: Tables) -> DataFrame:
+    """Secrets at every depth of payloads, of which a name masks objects and numbers too."""
+    n = F.col("event_id").cast("string")
+    shape = '{"a": {"Password": @, "list": ["GET /x?api_key=k@&id=@", {"key-prefix": "lk_live_12345678", "n": @, "token": ["sk-0123456789abcdef@"]}], "secrets": {"x": [1, @]}}, "note": "plain @"}'
+    return t.raw("events").select("event_id", redacted_json(F.replace(F.lit(shape), F.lit("@"), n)).alias("payload"))
+
+
 def _stream(t: Tables, name: str) -> DataFrame:
     reader = t.spark.readStream.schema(t.raw(name).schema).option("pathGlobFilter", f"{name}.parquet")
     return reader.parquet(t.folder)

@@ -520,6 +520,19 @@ def src23_exposition(t: Tables) -> DataFrame:
     return N.exposition(counted.select(F.col("path").alias("name"), F.create_map(F.lit("code"), F.col("status_code").cast("string")).alias("labels"), "value"))
 
 
+@query(
+    """WITH b AS (SELECT event_type, unnest([10, 100, 500]) AS le FROM (SELECT DISTINCT event_type FROM kb_calls))
+    SELECT 'latency_bucket{event="a\\\\b\\"' || b.event_type || '\\n",le="' || CAST(le AS DOUBLE) || '"} ' || (SELECT count(*) FROM kb_calls c WHERE c.event_type = b.event_type AND latency_ms <= le) AS line FROM b
+    UNION ALL SELECT 'latency_bucket{event="a\\\\b\\"' || event_type || '\\n",le="+Inf"} ' || count(*) FROM kb_calls GROUP BY event_type
+    UNION ALL SELECT 'latency_sum{event="a\\\\b\\"' || event_type || '\\n"} ' || sum(latency_ms) FROM kb_calls GROUP BY event_type
+    UNION ALL SELECT 'latency_count{event="a\\\\b\\"' || event_type || '\\n"} ' || count(*) FROM kb_calls GROUP BY event_type"""
+)
+def src23_histogram(t: Tables) -> DataFrame:
+    """Histogram lines whose label values need escapes."""
+    event = F.concat(F.lit('a\\b"'), "event_type", F.lit("\n"))
+    return N.histogram_exposition(t.calls().withColumn("event", event), "latency", "latency_ms", [10.0, 100.0, 500.0], "event")
+
+
 @query("SELECT id, title, department_id FROM kb_documents WHERE id NOT IN (SELECT document_id FROM kb_rules)")
 def src26_unreferenced(t: Tables) -> DataFrame:
     return t.documents().join(t.rules().select(F.col("document_id").alias("id")), "id", "left_anti").select("id", "title", "department_id")

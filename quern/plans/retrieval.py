@@ -34,22 +34,29 @@ def fil18_answer_gate(t: Tables) -> DataFrame:
     return R.answer_gate(_final_pairs(t), CONFIG)
 
 
-def _hybrid(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """The final evidence and the chunk items, which are written once as several steps read them."""
-    chunks = materialize(t.scoped_chunks(EMPLOYEE), "chunk-items")
-    pairs = materialize(t.scoped_pairs(EMPLOYEE), "pair-items")
-    return R.hybrid_retrieve(t.questions(), pairs, chunks, CONFIG), chunks
+def _scoped(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs, chunks and documents in scope, each written once as several steps read them: the rules are applied once, and
+    a pair's chunk is looked up among the chunks that are live and visible already."""
+    seen = materialize(t.seen(EMPLOYEE), "seen")
+    chunks = materialize(t.scoped_chunks(EMPLOYEE, seen), "chunk-items")
+    return materialize(t.scoped_pairs(EMPLOYEE, seen, chunks), "pair-items"), chunks, seen
+
+
+def _hybrid(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The final evidence, the chunk items and the documents in scope."""
+    pairs, chunks, seen = _scoped(t)
+    return R.hybrid_retrieve(t.questions(), pairs, chunks, CONFIG), chunks, seen
 
 
 @query("SELECT query_id, chunk_id AS item_id, document_id, rerank_score, final_rank, max(rerank_score) OVER (PARTITION BY query_id) >= 1.35 AS has_answer FROM kb_final")
 def ret2_hybrid_retrieval(t: Tables) -> DataFrame:
-    final, _ = _hybrid(t)
+    final, *_ = _hybrid(t)
     return final.select("query_id", "item_id", "document_id", "rerank_score", F.col("final_rank").cast("long").alias("final_rank"), "has_answer")
 
 
 @query("SELECT query_id, chunk_id AS item_id, fused_score, round(coalesce(qv, 0), 6) AS qa_vector_score, merged FROM kb_kept")
 def ret4_deduplicated_evidence(t: Tables) -> DataFrame:
-    chunks, pairs = materialize(t.scoped_chunks(EMPLOYEE), "chunk-items"), materialize(t.scoped_pairs(EMPLOYEE), "pair-items")
+    pairs, chunks, _ = _scoped(t)
     hits = materialize(R.hybrid_hits(t.questions(), pairs, chunks, CONFIG), "hits")
     kept = R.deduplicate(R.chunk_evidence(hits, pairs, chunks, CONFIG), CONFIG.overlap_share)
     return kept.select("query_id", "item_id", "fused_score", F.coalesce("qa_vector_score", F.lit(0.0)).alias("qa_vector_score"), "merged")
@@ -57,8 +64,8 @@ def ret4_deduplicated_evidence(t: Tables) -> DataFrame:
 
 @query("SELECT query_id, chunk_id AS item_id, kind, context_id, content FROM kb_context")
 def ret7_hydrated_context(t: Tables) -> DataFrame:
-    final, chunks = _hybrid(t)
-    context = R.hydrate(materialize(final, "final"), chunks, t.scoped_parents(EMPLOYEE))
+    final, chunks, seen = _hybrid(t)
+    context = R.hydrate(materialize(final, "final"), chunks, t.scoped_parents(EMPLOYEE, seen))
     return context.select("query_id", "item_id", "kind", "context_id", "content")
 
 
@@ -79,7 +86,7 @@ def ret9_snapshots(t: Tables) -> DataFrame:
     (SELECT CASE WHEN count(DISTINCT channel) = 4 THEN 1.0 ELSE 0.0 END FROM kb_hits) AS hit)"""
 )
 def agg21_dedup_and_hit_ratio(t: Tables) -> DataFrame:
-    chunks, pairs = materialize(t.scoped_chunks(EMPLOYEE), "chunk-items"), materialize(t.scoped_pairs(EMPLOYEE), "pair-items")
+    pairs, chunks, _ = _scoped(t)
     hits = materialize(R.hybrid_hits(t.questions(), pairs, chunks, CONFIG), "hits")
     kept = R.deduplicate(R.chunk_evidence(hits, pairs, chunks, CONFIG), CONFIG.overlap_share)
     counted = hits.agg(F.count("*").alias("raw"), F.countDistinct("channel").alias("channels")).join(kept.agg(F.count("*").alias("fused")), F.lit(True))

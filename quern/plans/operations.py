@@ -662,8 +662,8 @@ def src16_object_source(t: Tables) -> DataFrame:
     rows = t.raw("documents").select(F.concat_ws("/", "lang", "doc_id").alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), "lang")
     for part in (F.col("lang") == "en", F.col("lang") != "en"):
         rows.filter(part).select("key", "data").write.format(objects.NAME).option("path", folder).mode("append").save()
-    read = t.spark.read.format(objects.NAME).option("path", folder).load()
-    two = read.filter("startswith(key, 'en/')").unionByName(read.filter("startswith(key, 'de/')").filter("not startswith(key, 'de/1')"))
+    read = lambda: t.spark.read.format(objects.NAME).option("path", folder).load()
+    two = read().filter("startswith(key, 'en/')").unionByName(read().filter("startswith(key, 'de/')").filter("not startswith(key, 'de/1')"))
     return two.select("key", F.sha2("data", 256).alias("sha256"), "size")
 
 

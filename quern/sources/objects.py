@@ -149,7 +149,8 @@ def register(spark: SparkSession) -> None:
     keys, for one of several and for a beginning are done by the source, so that only such objects are opened. A task
     writes to a folder of its attempt; the job's commit names the folders of the tasks that ended well in one file, which
     readers follow. So a job or task that fails leaves nothing that is read, and the driver handles a name for each task.
-    Objects of one key that several appends wrote are several rows; overwrite replaces all.
+    Objects of one key that several appends wrote are several rows; overwrite replaces all. Spark keeps pushed filters with
+    the loaded relation, so parts of one plan that filter differently need a load() each.
     """
     ship(configure(spark))
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

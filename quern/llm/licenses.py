@@ -73,7 +73,8 @@ def blocks_of(lower: Column) -> Column:
 
 def template_table(spark, templates=TEMPLATES) -> DataFrame:
     """template, label and distinct words of each template."""
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
+    each = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text")) for i, (label, text) in enumerate(templates)]
+    rows = spark.range(1).select(F.explode(F.array(*each)).alias("t")).select("t.*")
     return rows.select("template", "label", F.array_distinct(words_of(spaced(lowered(F.col("text"))))).alias("words"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.config import CHANNELS, RetrievalConfig
 from quern.functions.scalar import char_overlap, characters, collapsed, context_window, normalized, token_count
+from quern.functions.places import quote_span, window_span
 from quern.operators.search import TIES, passage_matches, search
 from quern.storage import materialize
 
@@ -261,7 +262,8 @@ def context_pack(evidence: DataFrame, budget: int) -> DataFrame:
 
 
 def hydrate(final: DataFrame, chunks: DataFrame, parents: DataFrame, budget: int = 1200, reach: int = 1) -> DataFrame:
-    """Context around each query's final chunks: query_id, item_id, final_rank, kind (PARENT or NEIGHBOR), context_id, content.
+    """Context around each query's final chunks: query_id, item_id, final_rank, kind (PARENT or NEIGHBOR), context_id, content
+    and span: start and end (exclusive) in the original text of context_id, for a window with the chunk's text between.
 
     For each chunk in order of fused_score: what stands around it in its parent (context_window, `budget` tokens), then
     its neighbours within `reach` places. A text is left out if it is equal to, within or around a final chunk's or one
@@ -273,12 +275,14 @@ def hydrate(final: DataFrame, chunks: DataFrame, parents: DataFrame, budget: int
     above = own.join(held, ["document_id", "parent_chunk_id"]).select(
         "query_id", "item_id", "final_rank", place.alias("place"), F.lit(0).alias("step"), F.lit("PARENT").alias("kind"),
         F.col("parent_chunk_id").alias("context_id"), context_window(F.col("parent_content"), F.col("content"), budget).alias("content"),
+        window_span(F.col("parent_content"), F.col("content"), budget).alias("span"),
     )
     beside = neighbors(own.drop("content"), chunks, reach).select(
         "query_id", "item_id", "final_rank", place.alias("place"), (F.col("neighbor_index") - F.col("chunk_index") + reach + 1).alias("step"),
         F.lit("NEIGHBOR").alias("kind"), F.col("neighbor_id").alias("context_id"), collapsed(F.col("neighbor_content")).alias("content"),
+        quote_span(F.col("neighbor_content"), F.col("neighbor_content")).alias("span"),
     )
-    part = F.struct("place", "step", "context_id", "kind", "item_id", "final_rank", "content")
+    part = F.struct("place", "step", "context_id", "kind", "item_id", "final_rank", "content", "span")
     parts = above.unionByName(beside).groupBy("query_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     seeds = own.groupBy("query_id").agg(F.collect_set(collapsed(F.col("content"))).alias("seeds"))
     none = F.array_repeat(F.lit(False), 0)
@@ -292,7 +296,7 @@ def hydrate(final: DataFrame, chunks: DataFrame, parents: DataFrame, budget: int
 
     folded = parts.join(seeds, "query_id").withColumn("taken", F.aggregate("parts", start, step, lambda s: s["taken"]))
     rows = folded.select("query_id", F.explode(F.arrays_zip("parts", "taken")).alias("r")).filter("r.taken")
-    return rows.select("query_id", *(F.col(f"r.parts.{c}").alias(c) for c in ("item_id", "final_rank", "kind", "context_id", "content")))
+    return rows.select("query_id", *(F.col(f"r.parts.{c}").alias(c) for c in ("item_id", "final_rank", "kind", "context_id", "content", "span")))
 
 
 def snapshots(stages: dict[str, DataFrame], cap: int, fields: tuple[str, ...]) -> DataFrame:

@@ -248,14 +248,16 @@ CTES = {
     "kb_context": f"""WITH RECURSIVE w AS ({_WINDOW}), u AS (SELECT *, {_UNITS.format("l")} AS lu, {_UNITS.format("r")} AS ru FROM w),
     parts AS (SELECT query_id, chunk_id, final_rank, fused_score, 0 AS step, 'PARENT' AS kind, parent_chunk_id AS context_id, {_FLAT.format('''(CASE WHEN len(lu) = 0 THEN l
         ELSE (CASE WHEN (len(lu) - 1) // 600 = 0 THEN ''' + _LEAD.format("l") + ''' ELSE '' END) || array_to_string(list_slice(lu, (len(lu) - 1) // 600 * 600 + 1, len(lu)), '') END)
-        || ' ' || ''' + _LEAD.format("r") + ''' || array_to_string(list_slice(ru, 1, 600), '')''')} AS content FROM u
-      UNION ALL SELECT f.query_id, f.chunk_id, f.final_rank, f.fused_score, n.chunk_index - f.chunk_index + 2, 'NEIGHBOR', n.chunk_id, {_FLAT.format("n.content")} FROM kb_final f JOIN kb_text_items n
+        || ' ' || ''' + _LEAD.format("r") + ''' || array_to_string(list_slice(ru, 1, 600), '')''')} AS content, {_FLAT.format('''(CASE WHEN len(lu) = 0 THEN l
+        ELSE (CASE WHEN (len(lu) - 1) // 600 = 0 THEN ''' + _LEAD.format("l") + ''' ELSE '' END) || array_to_string(list_slice(lu, (len(lu) - 1) // 600 * 600 + 1, len(lu)), '') END)
+        || o || ''' + _LEAD.format("r") + ''' || array_to_string(list_slice(ru, 1, 600), '')''')} AS whole FROM u
+      UNION ALL SELECT f.query_id, f.chunk_id, f.final_rank, f.fused_score, n.chunk_index - f.chunk_index + 2, 'NEIGHBOR', n.chunk_id, {_FLAT.format("n.content")}, {_FLAT.format("n.content")} FROM kb_final f JOIN kb_text_items n
         ON n.document_id = f.document_id AND n.parent_chunk_id = f.parent_chunk_id AND n.chunk_index BETWEEN f.chunk_index - 1 AND f.chunk_index + 1 AND n.chunk_index <> f.chunk_index),
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, final_rank, step, context_id) AS i FROM parts),
     fold AS (SELECT query_id, 0 AS i, list_filter(list({_FLAT.format("content")}), lambda x: x <> '') AS seen, false AS taken FROM kb_final GROUP BY query_id
       UNION ALL SELECT g.query_id, g.i + 1, CASE WHEN regexp_matches(o.content, '[\\p{{L}}\\p{{N}}]') AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 THEN list_append(g.seen, o.content) ELSE g.seen END,
         regexp_matches(o.content, '[\\p{{L}}\\p{{N}}]') AND len(list_filter(g.seen, lambda x: contains(x, o.content) OR contains(o.content, x))) = 0 FROM fold g JOIN o ON o.query_id = g.query_id AND o.i = g.i + 1)
-    SELECT o.query_id, o.chunk_id, o.final_rank, o.kind, o.context_id, o.content FROM o JOIN fold USING (query_id, i) WHERE taken""",
+    SELECT o.query_id, o.chunk_id, o.final_rank, o.kind, o.context_id, o.content, o.whole FROM o JOIN fold USING (query_id, i) WHERE taken""",
     "kb_vectors": """SELECT CAST(label AS BIGINT) AS document_id, vec_id AS item_id, vec_id AS item_index, embedding FROM embeddings""",
     "kb_asked": """SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0""",
 }

@@ -154,6 +154,11 @@ def title_path(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*(F.trim(p) for p in parts)), lambda x: x != ""), " / ")
 
 
+def evidence_section(index: Column, question: Column, answer: Column) -> Column:
+    """One numbered question and answer as a section of a prompt."""
+    return F.concat(F.lit("["), index.cast("string"), F.lit("] Q: "), question, F.lit("\nA: "), answer)
+
+
 def source_identity(explicit: Column, derived: Column) -> Column:
     """Where a block comes from: the identity that its locator names, else the derived one. Two that differ are an error."""
     clash = explicit.isNotNull() & derived.isNotNull() & (explicit != derived)

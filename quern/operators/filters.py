@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,3 +102,14 @@ def section_segments(blocks: DataFrame, key: str) -> DataFrame:
     runs = marked.withColumn("run", F.sum("_new").over(order)).groupBy("id", "run", F.col(key).alias("section"))
     found = runs.agg(F.min("index").alias("first"), F.max("index").alias("last"))
     return found.withColumn("segment", F.row_number().over(Window.partitionBy("id", "section").orderBy("run")) - 1)
+
+
+def upload_error(file_type: Column, size: Column, types: tuple[str, ...], most: int) -> Column:
+    """Why a file can't be uploaded, UNSUPPORTED_TYPE or TOO_LARGE; null if it can. An unknown type or size can't."""
+    known = F.coalesce(file_type.isin(*types), F.lit(False))
+    return F.when(~known, "UNSUPPORTED_TYPE").when(~F.coalesce(size <= most, F.lit(False)), "TOO_LARGE")
+
+
+def over_input_limit(text: Column, tokens: Callable[[Column], Column], limit: int) -> Column:
+    """True where a text has more tokens than a model takes; a null text has none."""
+    return F.coalesce(tokens(text) > limit, F.lit(False))

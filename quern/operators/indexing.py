@@ -139,6 +139,16 @@ def soft_delete(documents: DataFrame, where: Column, at: str) -> DataFrame:
     return documents.withColumns({"status": F.when(hit, "DELETED").otherwise(F.col("status")), "deleted_at": date})
 
 
+def default_switch(records: DataFrame, where: Column, chosen: DataFrame, flag: str = "is_default") -> DataFrame:
+    """records of which those that match are the default if their id is in chosen, and not otherwise; the flags of others
+    stay. So a group has the chosen default alone after one write."""
+    picked = chosen.select("id").distinct().withColumn("_picked", F.lit(True))
+    hit = F.coalesce(where, F.lit(False))
+    old = F.col(flag) if flag in records.columns else F.lit(False)
+    joined = records.join(picked, "id", "left").withColumn(flag, F.when(hit, F.coalesce("_picked", F.lit(False))).otherwise(old))
+    return joined.select(*records.columns, *([] if flag in records.columns else [flag]))
+
+
 def citations(final: DataFrame, documents: DataFrame) -> DataFrame:
     """Citations of each query's evidence in order: query_id, rank, document_id, item_id, title and path of the
     classification, blank parts left out."""

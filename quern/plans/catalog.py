@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import scalar as S
 from quern.operators import access as A
 from quern.operators import analytics as N
+from quern.operators import filters, indexing
 from quern.operators.spans import overlapping_spans
 from quern.plans.entities import Tables
 from quern.plans.queries import EMPLOYEE, query
@@ -29,8 +30,8 @@ def prj1_document_rows(t: Tables) -> DataFrame:
 
 @query("SELECT id, 'Document: ' || title || chr(10) || 'Section: ' || space_id || CASE WHEN category_id IS NOT NULL THEN chr(10) || 'Type: ' || category_id ELSE '' END AS input FROM kb_documents")
 def prj6_embedding_text(t: Tables) -> DataFrame:
-    lines = (F.concat(F.lit("Document: "), "title"), F.concat(F.lit("Section: "), "space_id"), F.concat(F.lit("Type: "), "category_id"))
-    return t.documents().select("id", F.concat_ws("\n", *lines).alias("input"))
+    text = indexing.embedding_text(F.col("title"), F.col("space_id"), F.col("category_id"), F.lit(None).cast("string"))
+    return t.documents().select("id", text.alias("input"))
 
 
 @query("SELECT c.chunk_id, p.chunk_id AS parent FROM kb_live c JOIN kb_visible d ON d.id = c.document_id JOIN kb_chunks p ON p.chunk_id = c.parent_chunk_id AND p.document_id = c.document_id AND p.chunk_level = 'PARENT'")
@@ -200,7 +201,7 @@ def fun27_since_days(t: Tables) -> DataFrame:
 
 @query("SELECT pair_id, '[' || pair_index || '] Q: ' || question || chr(10) || 'A: ' || answer AS section FROM kb_pairs")
 def fun30_evidence_sections(t: Tables) -> DataFrame:
-    return t.pairs().select("pair_id", F.concat(F.lit("["), "pair_index", F.lit("] Q: "), "question", F.lit("\nA: "), "answer").alias("section"))
+    return t.pairs().select("pair_id", S.evidence_section(F.col("pair_index"), F.col("question"), F.col("answer")).alias("section"))
 
 
 @query(f"SELECT doc_id, length(regexp_replace(lower(text), '{S.WHITE}+', '', 'g')) AS n FROM documents")
@@ -211,14 +212,13 @@ def fun3_normalized_length(t: Tables) -> DataFrame:
 @query("SELECT id, CASE WHEN id % 7 = 3 THEN id = (SELECT max(id) FROM kb_documents WHERE id % 7 = 3) ELSE false END AS is_default FROM kb_documents")
 def upd3_default_flag(t: Tables) -> DataFrame:
     docs = t.documents().select("id")
-    newest = docs.filter("id % 7 = 3").agg(F.max("id").alias("newest"))
-    marked = docs.join(F.broadcast(newest), F.lit(True))  # one row
-    return marked.select("id", F.when(F.col("id") % 7 == 3, F.col("id") == F.col("newest")).otherwise(False).alias("is_default"))
+    newest = docs.filter("id % 7 = 3").agg(F.max("id").alias("id"))
+    return indexing.default_switch(docs, F.col("id") % 7 == 3, newest)
 
 
 @query("SELECT chunk_id, n > 40 AS too_long FROM (SELECT chunk_id, len(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS n FROM kb_live)")
 def emb3_input_limit(t: Tables) -> DataFrame:
-    return A.live_chunks(t.chunks()).select("chunk_id", (S.token_count(F.col("content")) > 40).alias("too_long"))
+    return A.live_chunks(t.chunks()).select("chunk_id", filters.over_input_limit(F.col("content"), S.token_count, 40).alias("too_long"))
 
 
 @query("SELECT doc_id AS document_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS blocks FROM documents")

@@ -12,6 +12,7 @@ from quern.functions import scalar as S
 from quern.operators import access as A
 from quern.operators import analytics as N
 from quern.operators import retrieval as R
+from quern.operators.filters import upload_error
 from quern.operators.percentiles import exact_percentiles
 from quern.operators.search import passage_matches
 from quern.operators.vector_index import build_index, search_index
@@ -98,9 +99,9 @@ def fil21_duplicate_uploads(t: Tables) -> DataFrame:
     return A.duplicate_uploads(t.documents()).select("id")
 
 
-@query("SELECT id FROM kb_documents WHERE file_type IN ('MARKDOWN', 'CSV') AND n_chars <= 3000")
+@query("SELECT id, CASE WHEN file_type NOT IN ('MARKDOWN', 'CSV') THEN 'UNSUPPORTED_TYPE' WHEN n_chars > 3000 THEN 'TOO_LARGE' END AS error FROM kb_documents")
 def fil22_upload_limits(t: Tables) -> DataFrame:
-    return t.documents().filter(F.col("file_type").isin("MARKDOWN", "CSV") & (F.col("n_chars") <= 3000)).select("id")
+    return t.documents().select("id", upload_error(F.col("file_type"), F.col("n_chars"), ("MARKDOWN", "CSV"), 3000).alias("error"))
 
 
 @query("SELECT id, title FROM kb_visible")

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import percentiles
+from quern.functions import scalar as S
+from quern.operators import indexing, percentiles
+from quern.operators.filters import over_input_limit, upload_error
 from quern.operators.percentiles import exact_percentiles
 from quern.operators.spans import overlapping_spans
 
@@ -68,3 +70,17 @@ def test_percentiles(spark, monkeypatch, bins):
             if values:
                 assert r[name] == pytest.approx(float(np.percentile(values, 100 * share)), rel=1e-12)
     assert exact_percentiles(frame.limit(0), ["k"], "v", shares).count() == 0
+
+
+def test_flags_limits_and_sections(spark):
+    records = spark.createDataFrame([(1, "m", True), (2, "m", False), (3, "n", True), (None, "m", True)], "id int, kind string, is_default boolean")
+    chosen = spark.createDataFrame([(2,), (2,)], "id int")
+    got = {(r.id, r.kind): r.is_default for r in indexing.default_switch(records, F.col("kind") == "m", chosen).collect()}
+    assert got == {(1, "m"): False, (2, "m"): True, (3, "n"): True, (None, "m"): False}
+    files = spark.createDataFrame([("CSV", 5), ("CSV", 50), ("EXE", 1), (None, 1), ("CSV", None)], "t string, n int")
+    assert [r.e for r in files.select(upload_error(F.col("t"), F.col("n"), ("CSV",), 10).alias("e")).collect()] == [None, "TOO_LARGE", "UNSUPPORTED_TYPE", "UNSUPPORTED_TYPE", "TOO_LARGE"]
+    texts = spark.createDataFrame([("a b c",), ("a",), (None,)], "t string")
+    assert [r.o for r in texts.select(over_input_limit(F.col("t"), S.token_count, 2).alias("o")).collect()] == [True, False, False]
+    assert spark.range(1).select(S.evidence_section(F.lit(3), F.lit("q"), F.lit("a"))).first()[0] == "[3] Q: q\nA: a"
+    text = indexing.embedding_text(F.lit("d"), F.lit(" "), F.lit(None).cast("string"), F.lit("body"))
+    assert spark.range(1).select(text).first()[0] == "Document: d\nbody"

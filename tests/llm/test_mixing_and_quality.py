@@ -197,3 +197,32 @@ def test_null_ids_are_drawn_each_for_itself_and_tokens_may_be_given(spark, label
     assert sorted(r.n_tokens for r in got) == [1000 + i for i in range(900)]
     toxic = [r for r in got if r.domain == "toxic" and r.doc_id is None]
     assert {r.copies for r in toxic} == {0, 1}
+
+
+def test_the_draw_follows_the_rates(spark, labelled):
+    _, labels = labelled
+    draw = random.Random(11)
+    rows = [(i, " ".join(["vile", "scum", "awful"] * (i % 4 == 0) + [f"w{draw.randrange(400)}" for _ in range(draw.randrange(20, 80))])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    targets = {"clean": 0.9, "low": 0.0, "toxic": 0.1}
+    got = mix(docs, labelled[0], labels, targets, ("clean",), nearest=False).collect()
+    assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
+    for unit in (lambda r: 1, lambda r: r.n_tokens):  # rows and tokens: within four deviations of what the rates say
+        wanted = sum(unit(r) * r.rate for r in got)
+        spread = sum(unit(r) ** 2 * (r.rate % 1) * (1 - r.rate % 1) for r in got) ** 0.5
+        assert spread > 0 and abs(sum(unit(r) * r.copies for r in got) - wanted) < 4 * spread
+    again = {r.doc_id: r.copies for r in mix(docs.repartition(7), labelled[0], labels, targets, ("clean",), nearest=False).collect()}
+    assert again == {r.doc_id: r.copies for r in got}  # a task that runs again draws the same
+    kept = {}
+    for r in apply_mix(docs, labelled[0], labels, targets, ("clean",), nearest=False).collect():
+        kept[r.doc_id] = kept.get(r.doc_id, 0) + 1
+    assert kept == {i: n for i, n in again.items() if n}
+
+
+def test_mixed_rows_keep_columns_of_any_name(spark, labelled):
+    _, labels = labelled
+    names = ("_row", "_copy", "_n", "_key", "_turn", "rate", "draw", "n_tokens", "copies")
+    rows = [(i, f"w{i} w{i + 1} w{i + 2}", *(f"{c}{i}" for c in names)) for i in range(30)] + [(None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    out = apply_mix(docs, labelled[0], labels, {"clean": 1.0, "low": 0.0, "toxic": 0.0}, ("clean",))
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in rows} and out.count() > 0

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import collapsed
 from quern.operators import retrieval as R
 from quern.operators.redaction import SNAPSHOT_DDL, sanitized_snapshot
 from quern.operators.search import search
@@ -70,16 +69,6 @@ def ret7_hydrated_context(t: Tables) -> DataFrame:
     return context.select("query_id", "item_id", "kind", "context_id", "content")
 
 
-@query("SELECT query_id, chunk_id AS item_id, kind, context_id, sha256(whole) AS shown FROM kb_context")
-def ret7_context_spans(t: Tables) -> DataFrame:
-    """What the spans of the context cut out of the original texts, white space aside."""
-    final, chunks, seen = _hybrid(t)
-    context = R.hydrate(materialize(final, "final"), chunks, t.scoped_parents(EMPLOYEE, seen))
-    texts = t.chunks().select(F.col("chunk_id").alias("context_id"), F.col("content").alias("original"))
-    cut = F.substring("original", F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-    return context.join(texts, "context_id").select("query_id", "item_id", "kind", "context_id", F.sha2(collapsed(cut), 256).alias("shown"))
-
-
 @query("SELECT query_id, CASE channel WHEN 'qv' THEN 'qaVector' WHEN 'qx' THEN 'qaText' WHEN 'tv' THEN 'chunkVector' ELSE 'chunkText' END AS stage, rank, item_id AS evidence_id, score FROM kb_hits WHERE rank <= 4")
 def ret9_snapshots(t: Tables) -> DataFrame:
     hits = materialize(R.hybrid_hits(t.questions(), t.scoped_pairs(EMPLOYEE), t.scoped_chunks(EMPLOYEE), CONFIG), "hits")

@@ -9,7 +9,10 @@ Two transducers in cascade give a text's tokens:
    could still extend, the last token of the text before that suffix and the number of tokens there. That is all that
    later bytes can depend on, since a byte-pair encoding is the one token sequence whose neighbours all stay apart when
    encoded as pairs. Each transition carries the change in the number of tokens, so counts add up along the path.
-   States and transitions are made when first met and kept for later batches; a full table starts again.
+   States and transitions are made when first met and kept for later batches; a full table starts again. A bounded
+   merger makes only those that one batch meets several times and keeps them when it is full: learning a state costs
+   far more than reading it, and most words of a large corpus are rare. Pre-tokens that leave its table are encoded by
+   the library, each distinct one of a batch once.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ PIECE = 1 << 21
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 #: States kept before the table starts again, and columns of the table, which distinct bytes take as they are met.
 MAX_STATES, COLUMNS = 160_000, 128
+#: In a bounded merger: how often a batch meets a transition that is made.
+OFTEN = 2
 #: What may follow an apostrophe in a contraction of its own.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
@@ -145,8 +150,9 @@ _NEVER = 1 << 60
 class Merger:
     """The transducer over one pre-token's symbols: bytes, and 256 + byte for a word's last byte where that differs."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, limit: int | None = None):
         symbols, suffix = _byte_symbols(), model.get("end_of_word_suffix") or ""
+        self.bounded, self.limit = limit is not None, limit or MAX_STATES
 
         def word(token: str) -> str:
             last = bool(suffix) and token.endswith(suffix)
@@ -175,11 +181,11 @@ class Merger:
     def reset(self) -> None:
         """Forget all states but the first."""
         # For each state and byte: the next state, or 1 + a word's last token, above 6 bits of 32 + change; 0: not made.
-        self.next = np.zeros((MAX_STATES, self.width), np.int32)
-        self.final = np.zeros((MAX_STATES, self.width), np.int32) if self.marks_end else None
-        self.last = np.zeros(MAX_STATES, np.int32)
+        self.next = np.zeros((self.limit, self.width), np.int32)
+        self.final = np.zeros((self.limit, self.width), np.int32) if self.marks_end else None
+        self.last = np.zeros(self.limit, np.int32)
         start = ("", ((0, -1, 0),))
-        self.states, self.numbers = [None, start], {start: 1}
+        self.states, self.numbers, self.full = [None, start], {start: 1}, False
 
     def merge(self, word: str) -> list[int]:
         """The tokens of a symbol string, by its merges."""
@@ -267,8 +273,9 @@ class Merger:
         return (content, (*((k, b, c - change) for k, b, c in kept), (0, token, 0))), token, change
 
     def learn(self, states: np.ndarray, symbols: np.ndarray, final: bool) -> None:
-        """Make the transitions of these pairs."""
-        for pair in np.unique(states.astype(np.int64) * 256 + symbols).tolist():
+        """Make the transitions of these pairs; in a bounded merger those that are met often, while there is room."""
+        pairs, times = np.unique(states.astype(np.int64) * 256 + symbols, return_counts=True)
+        for pair in (pairs[times >= OFTEN] if self.bounded else pairs).tolist():
             state, byte = divmod(pair, 256)
             content, token, change = self._step(state, self.bytes[byte] + 256 * final)
             if final:
@@ -277,7 +284,10 @@ class Merger:
             number = self.numbers.get(content)
             if number is None:
                 number = len(self.states)
-                if number >= MAX_STATES:
+                if number >= self.limit:
+                    self.full = self.bounded
+                    if self.full:
+                        return
                     raise OverflowError
                 self.numbers[content] = number
                 self.states.append(content)
@@ -298,7 +308,8 @@ class Merger:
         return columns
 
     def run(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, want_last: bool):
-        """Tokens of each span of data; with want_last, also the last token after each byte."""
+        """Tokens of each span of data; with want_last, also the last token after each byte; and which spans left the
+        table of a bounded merger, whose tokens are not known. State 0 is of those."""
         data, lengths = self._columns(data), end - begin
         order = np.argsort(-lengths, kind="stable")
         at, size = begin[order], lengths[order]
@@ -317,8 +328,8 @@ class Merger:
             where = at[:n] + k
             index = state[:n] * self.width + data[where]
             found = self.next.take(index)
-            if not found.all():
-                missing = np.flatnonzero(found == 0)
+            if not self.full and not found.all():
+                missing = np.flatnonzero((found == 0) & (state[:n] > 0))
                 self.learn(state[:n][missing], data[where[missing]], final=False)
                 found = self.next.take(index)
             count[:n] += (found & 63) - 32
@@ -326,27 +337,30 @@ class Merger:
             state[:n] = found
             if want_last:
                 last[where] = self.last.take(found)
-        out = np.empty(len(at), np.int64)
-        out[order] = count
-        return out, last
+        out, lost = np.empty(len(at), np.int64), np.empty(len(at), bool)
+        out[order], lost[order] = count, state == 0
+        return out, last, lost
 
     def _finish(self, data, at, state, count, last, low, high, k) -> None:
         where = at[low:high] + k
         index = state[low:high] * self.width + data[where]
         found = self.final.take(index)
         if not found.all():
-            missing = np.flatnonzero(found == 0)
-            self.learn(state[low:high][missing], data[where[missing]], final=True)
-            found = self.final.take(index)
+            if not self.full:
+                missing = np.flatnonzero((found == 0) & (state[low:high] > 0))
+                self.learn(state[low:high][missing], data[where[missing]], final=True)
+                found = self.final.take(index)
+            state[low:high][found == 0] = 0
         count[low:high] += (found & 63) - 32
         if last is not None:
             last[where] = (found >> 6) - 1
 
 
 class Transducer:
-    """A compiled tokenizer: token counts or ids of texts, as the library gives them by default."""
+    """A compiled tokenizer: token counts or ids of texts, as the library gives them by default. With states, its merger
+    is bounded by that many."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, states: int | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -355,7 +369,9 @@ class Transducer:
         self.normalizer = self.library.normalizer
         self.odd = _odd(self.normalizer) if self.normalizer is not None else frozenset()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.merger = Merger(spec["model"])
+        self.merger = Merger(spec["model"], states)
+        self.stand_ins = {byte: char for char, byte in _byte_symbols().items()}
+        self.bare = Tokenizer(self.library.model)
         self.classes = _classes()
         self.step, self.mark = _splitter(drops_space=self.normalizer is not None)
 
@@ -415,9 +431,9 @@ class Transducer:
             pairs = [ord(a) << 32 | ord(b) for a, b in TWO_LETTERS]
             symbol[quotes[np.isin(one.astype(np.uint64) << np.uint64(32) | two, np.array(pairs, np.uint64))]] = _LONG
         marks = self._marks(symbol.reshape(-1, CHUNK), first[:-1]).reshape(-1)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        width = 1 + (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000)
         width[points > sys.maxunicode] = 0
-        offset = np.concatenate(([0], np.cumsum(width)))
+        offset = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
         edges = np.flatnonzero(marks)  # begins and drops; a pad drops, so every pre-token has an edge after it
         begins = marks[edges] == _BEGINS
         stops = np.concatenate((edges[1:], [len(marks)]))[begins]
@@ -434,29 +450,45 @@ class Transducer:
             maps = step[maps.astype(np.intp) * 10 + columns[k][:, None]]
         same = (maps == maps[:, :1]).all(axis=1)
         settled, loose = np.flatnonzero(same), np.flatnonzero(~same)
-        one = maps[settled, 0]
+        rows = step.astype(np.intp) * 10  # where the next state's row begins
+        one, inner = maps[settled, 0].astype(np.intp) * 10, columns if len(settled) == len(symbols) else columns[:, settled]
         for k in range(SETTLE, CHUNK):
-            one = step[one.astype(np.intp) * 10 + columns[k, settled]]
+            one = rows.take(one + inner[k])
         rest = maps[loose]
         for k in range(SETTLE, CHUNK if len(loose) else SETTLE):
             rest = step[rest.astype(np.intp) * 10 + columns[k, loose][:, None]]
-        maps[settled], maps[loose] = one[:, None], rest
+        maps[settled], maps[loose] = one[:, None] // 10, rest
         maps[heads] = maps[heads, :1]  # a segment always enters at the start state, so scans don't cross segments
         entry = np.zeros(len(symbols), np.uint8)
         entry[1:] = compose_scan(maps)[:-1, 0]
         entry[heads] = _START
         marks, mark = np.empty(columns.shape, np.uint8), self.mark.reshape(-1)
+        row = entry.astype(np.intp) * 10
         for k in range(CHUNK):
-            index = entry.astype(np.intp) * 10 + columns[k]
-            marks[k] = mark[index]
-            entry = step[index]
+            index = row + columns[k]
+            marks[k] = mark.take(index)
+            row = rows.take(index)
         return np.ascontiguousarray(marks.T)
 
-    def _tokens(self, begin, end, count, last) -> np.ndarray:
-        """The ids of all pre-tokens in turn, found from the last token of each backwards."""
+    def _encoded(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens by the library, one after another, and how many each has. Equal ones are encoded once."""
+        text, places = data.tobytes().decode("latin-1").translate(self.stand_ins), {}
+        which = np.fromiter((places.setdefault(text[b:e], len(places)) for b, e in zip(begin.tolist(), end.tolist())), np.int64, len(begin))
+        found = self.bare.encode_batch_fast([list(places)], is_pretokenized=True, add_special_tokens=False)
+        ids, stops = np.array(found[0].ids, np.int32), np.cumsum(np.fromiter(map(len, places), np.int64, len(places)))
+        stops = np.searchsorted(np.cumsum(self.merger.lengths[ids]), stops, side="right")  # tokens cover their word's bytes
+        sizes = np.diff(stops, prepend=0)
+        heads, count = stops - sizes, sizes[which]
+        return ids[np.repeat(heads[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())], count
+
+    def _tokens(self, begin, end, count, last, lost: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """The ids of all pre-tokens in turn: rare those of the lost ones, others found from the last token backwards."""
         stops = np.cumsum(count)
         flat, at, slot = np.empty(int(stops[-1]) if len(stops) else 0, np.int32), end.copy(), stops - 1
-        live = np.arange(len(begin))
+        if len(rare):
+            sizes = count[lost]
+            flat[np.repeat(stops[lost] - np.cumsum(sizes), sizes) + np.arange(len(rare))] = rare
+        live = np.flatnonzero(~lost)
         while len(live):
             token = last[at[live] - 1]
             flat[slot[live]] = token
@@ -468,23 +500,26 @@ class Transducer:
     def _run(self, segments: list[str], want_ids: bool) -> list:
         data, begin, end, segment = self.split(segments)
         try:
-            count, last = self.merger.run(data, begin, end, want_ids)
+            count, last, lost = self.merger.run(data, begin, end, want_ids)
         except OverflowError:  # the table is full: start again, and with less text if one batch fills it
             self.merger.reset()
             if len(segments) > 1:
                 half = len(segments) // 2
                 return self._run(segments[:half], want_ids) + self._run(segments[half:], want_ids)
             try:
-                count, last = self.merger.run(data, begin, end, want_ids)
+                count, last, lost = self.merger.run(data, begin, end, want_ids)
             except OverflowError:
                 self.merger.reset()
                 ids = self.library.encode(segments[0], add_special_tokens=False).ids
                 return [np.array(ids, np.int32)] if want_ids else [len(ids)]
+        rare = np.empty(0, np.int32)
+        if lost.any():
+            rare, count[lost] = self._encoded(data, begin[lost], end[lost])
         per_segment = np.zeros(len(segments), np.int64)
         np.add.at(per_segment, segment, count)
         if not want_ids:
             return per_segment.tolist()
-        return np.split(self._tokens(begin, end, count, last), np.cumsum(per_segment)[:-1])
+        return np.split(self._tokens(begin, end, count, last, lost, rare), np.cumsum(per_segment)[:-1])
 
     def _each(self, texts: list[str], want_ids: bool) -> tuple[list, list[int]]:
         """The result of each segment, and the text it belongs to."""
@@ -520,13 +555,13 @@ class Transducer:
         return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, np.int32) for x in out]
 
 
-_compiled: dict[str, Transducer] = {}
+_compiled: dict[tuple[str, int | None], Transducer] = {}
 
 
-def transducer(name: str) -> Transducer:
-    """One compiled tokenizer per worker process and vocabulary."""
-    if name not in _compiled:
+def transducer(name: str, states: int | None = None) -> Transducer:
+    """One compiled tokenizer per worker process, vocabulary and bound of states."""
+    if (name, states) not in _compiled:
         import public_tokenizers
 
-        _compiled[name] = Transducer(public_tokenizers.path(name))
-    return _compiled[name]
+        _compiled[name, states] = Transducer(public_tokenizers.path(name), states)
+    return _compiled[name, states]

@@ -16,6 +16,8 @@ from quern.llm.common import arrow_map, batch_of, texts_of
 
 #: Documents whose pieces one task packs, bins that it holds open, and pieces that it looks ahead.
 DOCS_PER_TASK, OPEN_BINS, LOOK_AHEAD = 100_000, 1024, 4096
+#: States of the tokenizer's table: 33 MB in a worker, and about twice that for what they stand for.
+STATES = 64_000
 
 
 class BestFit:
@@ -73,7 +75,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(vocabulary)
+        machine = transducer(vocabulary, STATES)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), machine.ids(texts_of(batch)), strict=True):

@@ -43,6 +43,19 @@ def test_full_table_starts_again(monkeypatch, texts):
     assert machine.counts(cases) == [len(e.ids) for e in machine.library.encode_batch(cases, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_bounded_table_gives_the_ids_of_the_library(name, texts):
+    draw = random.Random(6)
+    cases = ["".join(draw.choice(ODD) for _ in range(draw.randint(0, 14))) for _ in range(500)] + [t or "" for _, t in texts]
+    wanted = [e.ids for e in library(name).encode_batch(cases, add_special_tokens=False)]
+    for states in (2, 60, 4000):
+        machine = Transducer(public_tokenizers.path(name), states)
+        for _ in range(2):
+            assert [x.tolist() for x in machine.ids(cases)] == wanted
+            assert machine.counts(cases) == [len(x) for x in wanted]
+        assert len(machine.merger.states) <= states and len(machine.merger.next) == states
+
+
 def test_scan_composes_maps_in_order():
     draw = np.random.default_rng(1)
     maps = draw.integers(0, 8, (37, 8)).astype(np.uint8)

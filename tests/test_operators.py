@@ -1,5 +1,6 @@
 """Operators on small cases worked out by hand."""
 
+import hashlib
 import json
 import random
 
@@ -366,3 +367,17 @@ def test_embedding_batches_check_sizes(spark):
     assert sorted(r.vector[0] for r in got) == [97.0, 98.0, 99.0, 100.0, 101.0]
     with pytest.raises(Exception, match="another number"):
         R.embed_batches(texts, lambda xs: xs[:1], 2).collect()
+
+
+def test_the_digest_of_a_query_set_takes_every_text_whole(spark):
+    texts = [f"question {i % 700}" for i in range(1500)] + ["", None, None, "é", "é", "é"]
+    ranked = spark.createDataFrame([(1, 7, 1)], "query_id int, document_id int, rank int")
+    expected = ranked.select("query_id", "document_id")
+
+    def digest(texts):
+        queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id int, query string").repartition(5)
+        return [r.dataset_hash for r in N.comparison({"m": ranked}, expected, queries).collect()]
+
+    wanted = ",".join(sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts if t is not None))
+    assert digest(texts) == [hashlib.sha256(wanted.encode()).hexdigest()]
+    assert digest([None]) == digest([]) == [None]

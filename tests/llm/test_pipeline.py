@@ -13,7 +13,8 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from quern.llm import mixing, quality
+from quern.llm import mixing, packing, quality
+from quern.llm.automaton import Transducer
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -207,3 +208,11 @@ def test_stages_on_nulls_repeats_and_no_rows(spark):
             held = stage(spark, held, FOLDER)
             assert held.columns == source.columns
             assert start is docs or held.count() == 0
+
+
+def test_workers_that_pack_hold_a_bounded_table():
+    draw = random.Random(3)
+    machine = Transducer(public_tokenizers.path("byte_bpe_50k.json"), packing.STATES)
+    words = ["".join(draw.choices("abcdefghijklmnoprstuvwxyz", k=5)) for _ in range(60_000)]
+    machine.ids([" ".join(words + words)])
+    assert len(machine.merger.states) <= packing.STATES and machine.merger.next.nbytes < 40 << 20

@@ -381,3 +381,19 @@ def test_the_digest_of_a_query_set_takes_every_text_whole(spark):
     wanted = ",".join(sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts if t is not None))
     assert digest(texts) == [hashlib.sha256(wanted.encode()).hexdigest()]
     assert digest([None]) == digest([]) == [None]
+
+
+def test_roles_are_expanded_once_for_each_group(spark):
+    users = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 2), (5, None)], "user_id int, region int")
+    grants = spark.createDataFrame([(0, "b", "y"), (0, "a", "x"), (0, "a", "y"), (1, "c", None)], "region int, role string, permission string")
+    made = A.expanded_roles(users, grants, "region")
+    assert sorted(map(tuple, made.collect()), key=str) == [(1, ["a", "b"], ["x", "y"]), (2, ["a", "b"], ["x", "y"]), (3, ["c"], None)]
+
+
+def test_no_list_of_permissions_is_sorted_for_a_user(spark):
+    from quern.plans import operations  # noqa: F401
+    from quern.plans.queries import QUERIES
+
+    plan = QUERIES["joi13_rbac_expansion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    users = plan[: plan.index("Join")]
+    assert not any(name in users for name in ("sort", "distinct", "flatten"))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import ChunkPolicy
-from quern.operators.handlers import HANDLERS, Context, Handler, handled, hard_cut, prefix_within, word_counter
+from quern.operators.handlers import HANDLERS, Context, Handler, Places, Remembered, handled, prefix_within, word_counter
 
 __all__ = ["HANDLERS", "Handler", "chunk_document", "chunk_documents", "chunking_warnings", "count_tokens", "prefix_within"]
 
@@ -47,59 +48,72 @@ class Piece:
         return f"{self.prefix}\n\n{self.content}" if self.prefix else self.content
 
 
-def _spans(text: str, pattern: re.Pattern) -> list[str]:
-    ends = sorted({m.end() for m in pattern.finditer(text) if 0 < m.end() < len(text)})
-    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+def _ends(places: Places, low: int, high: int, pattern: re.Pattern) -> list[int]:
+    """Where a part of a text may be cut."""
+    part = places.text[low:high]
+    return sorted({low + m.end() for m in pattern.finditer(part) if 0 < m.end() < len(part)})
 
 
 def split_text(text: str, policy: ChunkPolicy, count: Counter) -> list[tuple[str, str]]:
     """(level, part) of a text over the maximum, cut at the coarsest level that makes its largest span smaller and packed
     to the target. The parts joined are the text."""
-    whole = count(text)
+    return [(level, text[low:high]) for level, low, high in _split(Places(text, count), 0, len(text), policy)]
+
+
+def _split(places: Places, start: int, end: int, policy: ChunkPolicy) -> list[tuple[str, int, int]]:
+    whole = places.tokens(start, end)
     if whole <= policy.max_tokens:
-        return [("", text)]
+        return [("", start, end)]
     for level, pattern in LEVELS:
-        spans = _spans(text, pattern)
-        if len(spans) < 2 or max(map(count, spans)) >= whole:
+        edges = [start, *_ends(places, start, end, pattern), end]
+        sizes = [places.tokens(low, high) for low, high in zip(edges, edges[1:])]
+        if len(sizes) < 2 or max(sizes) >= whole:
             continue
-        packed: list[str] = []
+        packed: list[tuple[int, int]] = []
         bound = 0  # at least the last part's tokens: joined texts never have more tokens than their parts
-        for span in spans:
-            more = bound + count(span)
+        for low, high, size in zip(edges, edges[1:], sizes):
+            more = bound + size
             if packed and more > policy.target_tokens:
-                joined = count(packed[-1] + span)
-                fits = joined <= policy.target_tokens or (joined <= policy.max_tokens and count(packed[-1]) < policy.min_tokens)
+                joined = places.tokens(packed[-1][0], high)
+                fits = joined <= policy.target_tokens or (joined <= policy.max_tokens and places.tokens(*packed[-1]) < policy.min_tokens)
                 more = joined
             else:
                 fits = bool(packed)
             if fits:
-                packed[-1] += span
+                packed[-1] = packed[-1][0], high
                 bound = more
             else:
-                packed.append(span)
-                bound = count(span)
+                packed.append((low, high))
+                bound = size
         if len(packed) > 1:
-            parts = [(deeper or level, part) for p in packed for deeper, part in split_text(p, policy, count)]
-            return balanced_tail(parts, policy, count)
-    return [("hard", part) for part in hard_cut(text, policy.max_tokens, count)]
+            return _balanced([(deeper or level, low, high) for p in packed for deeper, low, high in _split(places, *p, policy)], places, policy)
+    return [("hard", low, high) for low, high in places.cuts(start, end, policy.max_tokens)]
 
 
-def balanced_tail(parts: list[tuple[str, str]], policy: ChunkPolicy, count: Counter) -> list[tuple[str, str]]:
-    """The parts, with the last boundary moved where the last part is under the minimum: to the coarsest place that leaves
-    both sides within the bounds, of several to that which brings the left one nearest to the target."""
-    if len(parts) < 2 or count(parts[-1][1]) >= policy.min_tokens:
+def _balanced(parts: list[tuple[str, int, int]], places: Places, policy: ChunkPolicy) -> list[tuple[str, int, int]]:
+    if len(parts) < 2 or places.tokens(*parts[-1][1:]) >= policy.min_tokens:
         return parts
-    joined = parts[-2][1] + parts[-1][1]
-    within = lambda text: policy.min_tokens <= count(text) <= policy.max_tokens
+    start, end = parts[-2][1], parts[-1][2]
+    within = lambda low, high: policy.min_tokens <= places.tokens(low, high) <= policy.max_tokens
     for level, pattern in LEVELS:
-        ends = sorted({m.end() for m in pattern.finditer(joined) if 0 < m.end() < len(joined)})
-        fits = [e for e in ends if within(joined[:e]) and within(joined[e:])]
+        fits = [e for e in _ends(places, start, end, pattern) if within(start, e) and within(e, end)]
         if fits:
-            cut = min(fits, key=lambda e: (abs(count(joined[:e]) - policy.target_tokens), e))
-            return [*parts[:-2], (level, joined[:cut]), (level, joined[cut:])]
+            cut = min(fits, key=lambda e: (abs(places.tokens(start, e) - policy.target_tokens), e))
+            return [*parts[:-2], (level, start, cut), (level, cut, end)]
     return parts
 
 
+def balanced_tail(parts: list[tuple[str, str]], policy: ChunkPolicy, count: Counter) -> list[tuple[str, str]]:
+    """The parts, with the last boundary moved where the last part is under the minimum: to the coarsest place that leaves
+    both sides within the bounds, of several to that which brings the left one nearest to the target."""
+    if len(parts) < 2:
+        return parts
+    (level, left), (last, right) = parts[-2:]
+    joined = left + right
+    moved = _balanced([(level, 0, len(left)), (last, len(left), len(joined))], Places(joined, count), policy)
+    return [*parts[:-2], *((name, joined[low:high]) for name, low, high in moved)]
+
+
 def _render(a: Piece, b: Piece) -> Piece:
     """Two neighbours as one: lists joined by a line end, others by a blank line; of two types TEXT."""
     joiner = "\n" if a.kind == b.kind == "LIST" else "\n\n"
@@ -157,8 +171,8 @@ def overlap_prefix(text: str, limit: int, count: Counter) -> str:
         held = joined
     if held:
         return held
-    low = len(text)
-    while low and count(text[low - 1 :]) <= limit:
+    places, low = Places(text, count), len(text)
+    while low and places.tokens(low - 1, len(text)) <= limit:
         low -= 1
     return text[low:].strip()
 
@@ -192,7 +206,7 @@ def chunk_document(
     chunk. Warnings are TINY, EMPTY and SKIPPED with a block's index.
     """
     told: list[str] = [] if warnings is None else warnings
-    typed = handlers or HANDLERS
+    typed, count = handlers or HANDLERS, Remembered(count)
     pieces = merge_small(_normalized(blocks, told), policy, count, told)
     children: list[Piece] = []
     for number, piece in enumerate(pieces):
@@ -246,40 +260,54 @@ def _chunk(level: str, index: int, parent: int | None, content: str, piece: Piec
     }
 
 
-def _records(frame: pd.DataFrame) -> list[dict]:
-    return frame.astype(object).where(frame.notna(), None).to_dict("records")
-
-
 def _picked(blocks: DataFrame) -> DataFrame:
     more = F.col("metadata") if "metadata" in blocks.columns else F.lit(None).cast("string").alias("metadata")
     return blocks.select("id", "index", "content", "block_type", "page_no", "title_path", more)
 
 
-def chunk_documents(blocks: DataFrame, policy: ChunkPolicy | None = None, count: Counter = count_tokens, handlers: dict[str, Handler] | None = None) -> DataFrame:
-    """Chunks of every document: blocks has id and the columns of a block. A group is one document's blocks."""
-    bounds = policy or ChunkPolicy()
-    names = [c.split()[0] for c in CHUNK_DDL.split(", ")]
+def _each_document(blocks: DataFrame, fold: Callable[[list[dict]], list[dict]], ddl: str) -> DataFrame:
+    """What fold makes of each document's blocks, with id. Blocks are dealt by document and read in order; a task holds one
+    document's blocks, and many documents share a batch."""
+    kinds = [column.split() for column in ddl.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+        held: list[dict] = []
+
+        def made(documents: list[list[dict]], id_type: pa.DataType) -> pa.RecordBatch:
+            rows = [{"id": rows[0]["id"], **row} for rows in documents for row in fold(rows)]
+            return pa.RecordBatch.from_pylist(rows, pa.schema([("id", id_type), *((name, types[kind]) for name, kind in kinds)]))
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(chunk_document(_records(frame), bounds, count, handlers), columns=names)
-        for name in ("parent_index", "page_start", "page_end"):
-            out[name] = out[name].astype("Int32")
-        out.insert(0, "id", frame["id"].iloc[0])
-        return out
+        id_type = pa.null()
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            groups = [list(rows) for _, rows in groupby(batch.to_pylist(), key=lambda row: row["id"])]
+            if held and groups and groups[0][0]["id"] == held[0]["id"]:
+                held += groups.pop(0)
+            if groups:
+                done, held = [held, *groups[:-1]] if held else groups[:-1], groups[-1]
+                yield made(done, id_type)
+        if held:
+            yield made([held], id_type)
 
     kind = dict(blocks.dtypes)["id"]
-    return _picked(blocks).groupBy("id").applyInPandas(fold, f"id {kind}, {CHUNK_DDL}")
+    dealt = _picked(blocks).repartition("id").sortWithinPartitions("id", "index")
+    return dealt.mapInArrow(run, f"id {kind}, {ddl}")
+
+
+def chunk_documents(blocks: DataFrame, policy: ChunkPolicy | None = None, count: Counter = count_tokens, handlers: dict[str, Handler] | None = None) -> DataFrame:
+    """Chunks of every document: blocks has id and the columns of a block. A group is one document's blocks."""
+    bounds = policy or ChunkPolicy()
+    return _each_document(blocks, lambda rows: chunk_document(rows, bounds, count, handlers), CHUNK_DDL)
 
 
 def chunking_warnings(blocks: DataFrame, policy: ChunkPolicy | None = None, count: Counter = count_tokens) -> DataFrame:
     """id, code and block index of each warning."""
     bounds = policy or ChunkPolicy()
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[dict]:
         told: list[str] = []
-        chunk_document(_records(frame), bounds, count, warnings=told)
-        rows = [(frame["id"].iloc[0], *w.split(":")) for w in told]
-        return pd.DataFrame([(i, code, int(at)) for i, code, at in rows], columns=["id", "code", "index"])
+        chunk_document(rows, bounds, count, warnings=told)
+        return [{"code": code, "index": int(at)} for code, at in (w.split(":") for w in told)]
 
-    kind = dict(blocks.dtypes)["id"]
-    return _picked(blocks).groupBy("id").applyInPandas(fold, f"id {kind}, code string, index int")
+    return _each_document(blocks, fold, "code string, index int")

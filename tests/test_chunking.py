@@ -140,3 +140,43 @@ def test_counters_and_services():
     assert canonical_hash({"b": 1, "a": "é"}) == canonical_hash({"a": "é", "b": 1}) != canonical_hash({"a": "é", "b": 1}, ascii_only=False)
     with pytest.raises(ValueError):
         canonical_hash(float("nan"))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab_ c.\n-1é中文", max_size=60))
+def test_places_count_any_part_as_the_counter_does(text):
+    places = H.Places(text, C.count_tokens)
+    for low in range(len(text) + 1):
+        for high in range(low, len(text) + 1):
+            assert places.tokens(low, high) == C.count_tokens(text[low:high])
+
+
+def test_a_long_text_is_counted_a_few_times_only(spark):
+    class Counting:
+        read = 0
+
+        def __call__(self, text):
+            self.read += len(text)
+            return C.count_tokens(text)
+
+        def places(self, text):
+            self.read += len(text)
+            return C.count_tokens.places(text)
+
+    count, text = Counting(), " ".join(f"word{i}." for i in range(20_000))
+    assert len(children([block(0, "TEXT", text)], count=count)) > 1000
+    assert count.read < 12 * len(text)
+
+
+def test_documents_are_chunked_many_at_a_time(spark):
+    rows = [(i, j, f"word {i} {j}. " * 30, "TEXT", 1, ["s"]) for i in (None, *range(40)) for j in range(3)]
+    blocks = spark.createDataFrame(rows, "id long, index int, content string, block_type string, page_no int, title_path array<string>")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # documents go over the ends of batches
+    made = C.chunk_documents(blocks.repartition(3), SMALL)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    names = [c for c in made.columns if c != "id"]
+    wanted = [(i, *(c[n] for n in names)) for i in (None, *range(40)) for c in C.chunk_document([dict(zip(blocks.columns[1:], r[1:])) for r in rows if r[0] == i], SMALL)]
+    got = sorted(map(str, map(tuple, made.collect())))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == sorted(map(str, wanted))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions.scalar import collapsed, json_slice
 from quern.functions.text import holds_quote
 from quern.operators.results import call_log, logged_calls
+from quern.storage import materialize
 
 ANSWER_DDL = (
     "items array<struct<question: string, answer: string, quote: string, pageNo: variant, chunkIndex: int>>, "
@@ -165,7 +166,8 @@ def checkpointed_run(batches: DataFrame, folder: str, model: Callable[[list[str]
     logged_calls(hashed.select(F.col("input_hash").alias("key"), payload.alias("payload")), folder, call, batch, lambda parts: all(p["error"] is None for p in parts))
     log = call_log(batches.sparkSession, folder).withColumnRenamed("key", "input_hash")
     rows = hashed.join(log, "input_hash").select("document_id", "batch_index", "input_hash", "run", F.explode(F.from_json("result", _PARTS)).alias("p"))
-    return rows.select("document_id", "batch_index", "p.path", "p.chunk_ids", "p.output", "p.error", "input_hash", "run")
+    found = rows.select("document_id", "batch_index", "p.path", "p.chunk_ids", "p.output", "p.error", "input_hash", "run")
+    return materialize(found, "answers")  # so that the log is read once, whatever is asked of its rows
 
 
 def publishable(batches: DataFrame, rows: DataFrame) -> DataFrame:

@@ -184,3 +184,25 @@ def test_a_run_whose_job_dies_keeps_its_finished_batches(spark, tmp_path):
     rows = qa.checkpointed_run(batches, folder, model)
     assert rows.count() == 8 and counted(calls) == Counter(f"c{d}" for d in range(8)) and kept < 8
     assert all(r.ready for r in qa.publishable(batches, rows).collect())
+
+
+def test_a_log_of_many_batches_has_few_files_and_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quern.operators.results.MERGED", 3)
+    folder = str(tmp_path / "log")
+    asked = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").cast("string").alias("payload"))
+    got = logged_calls(asked, folder, lambda texts: [f"<{t}>" for t in texts], batch=1)
+    assert {r.key: json.loads(r.result) for r in got.collect()} == {f"k{i}": f"<{i}>" for i in range(500)}
+    files = [p for p in Path(folder).rglob("*") if p.is_file() and p.name.endswith((".jsonl", ".draft"))]
+    assert 1 < len(files) <= 8 and call_log(spark, folder).count() == 500
+
+
+def test_another_attempt_of_a_task_takes_up_its_log(tmp_path, monkeypatch):
+    from quern.operators import results
+
+    monkeypatch.setattr(results, "MERGED", 3)
+    first = results._TaskLog(str(tmp_path), "run", 7)
+    lines = [json.dumps({"key": f"k{i}", "run": "run", "done": True, "result": str(i)}) for i in range(11)]
+    for line in lines:
+        first.add([line])  # and then the worker dies
+    assert results._TaskLog(str(tmp_path), "run", 7).earlier() == {f"k{i}": str(i) for i in range(11)}
+    assert results._TaskLog(str(tmp_path), "run", 8).earlier() == {}

@@ -15,6 +15,8 @@ from quern.session import configure, ship
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Milliseconds whose calls of one key are decided together.
 SLOT = 1000
+#: Calls of one key that are kept in one piece until they are decided; of more, one SLOT is read at a time.
+FEW = 4096
 _SECOND = 1_000_000
 
 
@@ -30,9 +32,10 @@ def _limiter(limit: int, seconds: float, columns: list[str]) -> StatefulProcesso
     class Limiter(StatefulProcessor):
         """Decides calls in order of time when the watermark has passed them.
 
-        pending holds the calls of each SLOT that are not decided yet, held the times of the allowed calls of the last
-        `seconds`, `limit` at most. A timer for each slot decides it; one at the end of the last allowed call's time clears
-        the key, so a key without calls has no state.
+        state holds the times of the allowed calls of the last `seconds`, `limit` at most, the calls that are not decided
+        yet, and the time of the next timer. Of a key with over FEW calls, pending holds them by SLOT. One timer decides
+        all slots that the watermark has passed and sets the next one; without calls it is the end of the last allowed
+        call's time, which clears the key, so a key without calls has no state.
         """
 
         def __init__(self, limit: int, seconds: float, columns: list[str]):
@@ -41,46 +44,80 @@ def _limiter(limit: int, seconds: float, columns: list[str]) -> StatefulProcesso
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.pending = handle.getMapState("pending", "slot long", "at array<long>, id array<long>")
-            self.held = handle.getValueState("held", "at array<long>")
+            self.state = handle.getValueState("state", "held array<long>, at array<long>, id array<long>, many boolean, timer long")
+
+        def _known(self) -> tuple[list[int], list[int], list[int], bool, int | None]:
+            found = self.state.get()
+            if found is None:
+                return [], [], [], False, None
+            held, at, ids, many, timer = found
+            return list(held), list(at), list(ids), many, timer
+
+        def _put_by_slot(self, at: list[int], ids: list[int]) -> None:
+            slots: dict[int, list[tuple[int, int]]] = {}
+            for t, i in zip(at, ids):
+                slots.setdefault(t // (SLOT * 1000), []).append((t, i))
+            for slot, calls in slots.items():
+                before = self.pending.getValue((slot,)) if self.pending.containsKey((slot,)) else ([], [])
+                self.pending.updateValue((slot,), ([*before[0], *(t for t, _ in calls)], [*before[1], *(i for _, i in calls)]))
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            known, first = None, None
             for frame in rows:
                 frame = frame[~frame["tick"]]
-                for slot, part in frame.groupby(frame["us"] // (SLOT * 1000)):
-                    at, ids = part["us"].tolist(), part["id"].tolist()
-                    if self.pending.containsKey((int(slot),)):
-                        before = self.pending.getValue((int(slot),))
-                        at, ids = list(before[0]) + at, list(before[1]) + ids
-                    else:
-                        self.handle.registerTimer((int(slot) + 1) * SLOT)
-                    self.pending.updateValue((int(slot),), (at, ids))
+                if not len(frame):
+                    continue
+                held, at, ids, many, timer = known or self._known()
+                at, ids = at + frame["us"].tolist(), ids + frame["id"].tolist()
+                low = int(frame["us"].min())
+                first = low if first is None else min(first, low)
+                if len(at) > FEW:
+                    self._put_by_slot(at, ids)
+                    at, ids, many = [], [], True
+                known = held, at, ids, many, timer
+            if known:
+                due = (first // (SLOT * 1000) + 1) * SLOT
+                if known[4] is None or due < known[4]:
+                    self.handle.registerTimer(due)
+                    known = (*known[:4], due)
+                self.state.update(known)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            now = expiredTimerInfo.getExpiryTimeInMs()
-            passed = max(now, timerValues.getCurrentWatermarkInMs()) * 1000
-            slots = sorted(k[0] for k in self.pending.keys())
-            held = list(self.held.get()[0]) if self.held.exists() else []
-            due = [s for s in slots if (s + 1) * SLOT <= now]
+            held, at, ids, many, timer = self._known()
+            passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // SLOT  # slots below it are whole
+            few: dict[int, list[tuple[int, int]]] = {}
+            for t, i in zip(at, ids):
+                few.setdefault(t // (SLOT * 1000), []).append((t, i))
+            stored = {k[0] for k in self.pending.keys()} if many else set()
+            slots = sorted(stored | few.keys())
             out = []
-            for slot in due:
-                at, ids = self.pending.getValue((slot,))
-                for t, i in sorted(zip(at, ids)):
+            for slot in slots:
+                if slot >= passed:
+                    break
+                calls = few.pop(slot, [])
+                if slot in stored:
+                    calls += zip(*self.pending.getValue((slot,)))
+                    self.pending.removeKey((slot,))
+                for t, i in sorted(calls):
                     held = [h for h in held if h > t - self.span]
                     allowed = len(held) < self.limit
                     if allowed:
                         held.append(t)
                     out.append((key[0], i, allowed))
-                self.pending.removeKey((slot,))
-            held = [h for h in held if h + self.span > now * 1000]
-            if held and held[-1] + self.span <= passed and len(due) == len(slots):
-                held = []
-            if held:
-                self.held.update((held,))
-                if due and len(due) == len(slots):  # else a later slot's timer comes first
-                    self.handle.registerTimer(-(-(held[-1] + self.span) // 1000))
-            elif self.held.exists():
-                self.held.clear()
+                if len(out) >= FEW:
+                    yield pd.DataFrame(out, columns=self.columns)
+                    out = []
+            left = [s for s in slots if s >= passed]
+            held = [h for h in held if h + self.span > passed * SLOT * 1000]  # calls to come are not before that
+            if left or held:
+                after = left[0] + 1 if left else -(-(held[-1] + self.span) // (SLOT * 1000))
+                if after * SLOT != timer:
+                    self.handle.registerTimer(after * SLOT)
+                calls = [c for s in sorted(few) for c in few[s]]
+                self.state.update((held, [t for t, _ in calls], [i for _, i in calls], bool(stored.intersection(left)), after * SLOT))
+            elif timer is not None:
+                self.state.clear()
             if out:
                 yield pd.DataFrame(out, columns=self.columns)
 
@@ -96,8 +133,8 @@ def rate_limited(calls: DataFrame, limit: int, seconds: float = 60.0, late: str
 
     Calls are decided in order of time and id, across batches too, when the watermark has passed them: `late` is how long
     a decision waits for earlier calls; calls that come later than that are left out, and so are those without a key or a
-    time. A row without an id only tells the time, whatever its key: a source that is idle sends one now and then. A task holds one key's calls of one SLOT and its
-    `limit` allowed times; the rest is in the state store, and a key's state goes when its last allowed call is too old
+    time. A row without an id only tells the time, whatever its key: a source that is idle sends one now and then. A task holds FEW of one key's
+    calls and those of one SLOT, and its `limit` allowed times; the rest is in the state store, and a key's state goes when its last allowed call is too old
     to count.
     """
     stateful(calls.sparkSession)

@@ -125,3 +125,37 @@ def test_a_stream_of_upserts_goes_on_after_a_failed_batch(spark, tmp_path):
         except Exception:
             continue
     assert failed == [0] and table_rows(table) == [("t", "a", 5, (("k", "4"),))]
+
+
+def test_a_key_has_one_timer_however_many_calls_wait(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "FEW", 40)
+    draw = random.Random(3)
+    calls = [(k, i, START + timedelta(seconds=draw.random() * n)) for k, n in ((1, 30), (2, 300), (3, 3)) for i in range(39 if k == 1 else 400)]  # one below FEW
+    stateful.stateful(spark)
+    stream = lambda: stateful.rate_limited(spark.readStream.schema(CALLS).parquet(str(tmp_path / "in")), 2, 2.5, "1 hour")
+    spark.createDataFrame(calls, CALLS).repartition(3).write.parquet(str(tmp_path / "in"))
+    drained(stream(), str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 0
+    more = [(1, 5000, START + timedelta(seconds=1)), (1, 5001, START + timedelta(seconds=2)), (4, 0, START + timedelta(seconds=9))]
+    spark.createDataFrame(more, CALLS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = drained(stream(), str(tmp_path))
+    timers = query.lastProgress.stateOperators[0].customMetrics
+    assert timers["numRegisteredTimers"] <= 4
+    spark.createDataFrame([(1, None, START + timedelta(hours=3))], CALLS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = drained(stream(), str(tmp_path))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.key, r.id): r.allowed for r in rows} == brute_limit(calls + more, 2, 2.5) and len(rows) == len(calls) + len(more)
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal == 0
+
+
+def test_a_span_that_ends_within_a_slot_counts_to_its_end(spark, tmp_path):
+    at = lambda s: START + timedelta(seconds=s)
+    stateful.stateful(spark)
+    stream = lambda: stateful.rate_limited(spark.readStream.schema(CALLS).parquet(str(tmp_path / "in")), 1, 60.5, "1 second")
+    calls = [(1, 0, at(0)), (1, 1, at(60.4)), (1, 2, at(60.6))]
+    ticks = [(0, None, at(30)), (0, None, at(61.7)), (0, None, at(61.8)), (0, None, at(7200))]
+    for part in ([calls[0]], [ticks[0]], [*calls[1:], ticks[1]], [ticks[2]], [ticks[3]]):
+        spark.createDataFrame(part, CALLS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        drained(stream(), str(tmp_path))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.key, r.id): r.allowed for r in rows} == brute_limit(calls, 1, 60.5) == {(1, 0): True, (1, 1): False, (1, 2): True}

@@ -136,8 +136,8 @@ def fun23_nested_payloads(t: Tables) -> DataFrame:
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
-    reader = t.spark.readStream.schema(t.raw(name).schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(t.folder)
+    """A stream of a table's files. A pattern, as a stream's path may not be a file, and a table is one or a folder of many."""
+    return t.spark.readStream.schema(t.raw(name).schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
 def _drained(t: Tables, stream: DataFrame, mode: str) -> DataFrame:

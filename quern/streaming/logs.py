@@ -25,8 +25,8 @@ def session_lengths(calls: DataFrame, gap: str = "30 minutes", late: str = "10 m
 
 
 def missed_counts(questions: DataFrame) -> DataFrame:
-    """Running count of each unanswered question, for the update mode."""
-    key = F.sha2(F.concat_ws(":", "tenant_id", "question"), 256)
+    """Running count of each unanswered question, for the update mode. Without a tenant or a question there is no hash."""
+    key = F.sha2(F.concat("tenant_id", F.lit(":"), "question"), 256)
     return questions.groupBy("tenant_id", key.alias("question_hash")).agg(F.count("*").alias("n"), F.max("asked_at").alias("last_asked"))
 
 

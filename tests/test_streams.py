@@ -159,3 +159,23 @@ def test_a_span_that_ends_within_a_slot_counts_to_its_end(spark, tmp_path):
         drained(stream(), str(tmp_path))
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {(r.key, r.id): r.allowed for r in rows} == brute_limit(calls, 1, 60.5) == {(1, 0): True, (1, 1): False, (1, 2): True}
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    from hashlib import sha256
+
+    from quern.plans import pipelines  # noqa: F401
+    from quern.plans.queries import QUERIES
+
+    ddl = "conv_id long, turn long, role string, text string"
+    rows = [(0, 0, "user", "a"), (2, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "c"), (3, 0, "user", None), (None, 0, "user", "a")]
+    folder = tmp_path / "many"
+    spark.createDataFrame(rows, ddl).repartition(3).write.parquet(str(folder / "conversations.parquet"))
+    one = tmp_path / "one"
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "part"))
+    one.mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(one / "conversations.parquet")
+    h = lambda text: sha256(text.encode()).hexdigest()
+    wanted = {("t0", h("t0:a"), 2), ("t1", h("t1:b"), 1), ("t1", None, 1), (None, None, 1)}
+    for place in (folder, one):
+        assert set(map(tuple, QUERIES["str7_missed_counts"](spark, str(place)).collect())) == wanted

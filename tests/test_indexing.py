@@ -151,3 +151,16 @@ def test_temporary_tables_go_and_results_stay(spark):
     assert out.count() == 2
     path = lambda df: Path(df._quern_path.split(":", 1)[-1])
     assert path(out).exists() and not path(inner).exists() and not path(result).exists()
+
+
+def test_the_driver_lists_no_objects(spark, tmp_path):
+    objects = spark.createDataFrame([(f"d/{i}.txt" if i % 3 else f"{i}/x/{i}.bin", bytes([i % 251]) * (i % 7)) for i in range(300)], "key string, data binary")
+    folder = str(tmp_path / "o")
+    files.put_objects(objects, folder).count()
+    (tmp_path / "o" / "_attempts" / "dead.txt").write_bytes(b"cut")  # of a task that died
+    for pattern, name in (("*", "."), ("*.txt", ".txt")):
+        got = files.get_objects(spark, folder, pattern)
+        assert got.inputFiles() == []
+        wanted = {r.key: bytes(r.data) for r in objects.collect() if r.data and name in r.key}
+        rows = got.collect()
+        assert {r.key: bytes(r.data) for r in rows} == wanted and len(rows) == len(wanted)
